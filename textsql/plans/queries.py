@@ -300,3 +300,191 @@ def q_flagship_eval(spark, sf):
     from .flagship import flagship
 
     return flagship(spark, sf)
+
+
+# ==============================================================================================
+# Schema linking: P6, G7, J10, W2, J6, W3
+# ==============================================================================================
+
+def _terms_sql(x: str) -> str:
+    from ..operators.linking import TOKEN_RE
+    words = f"regexp_extract_all(lower({x}), '{TOKEN_RE}', 0)"
+    return (f"flatten(list_transform({words}, lambda w: list_concat(list_filter(string_split(w, '_'), lambda p: p <> ''), "
+            f"CASE WHEN contains(w, '_') THEN [w] ELSE CAST([] AS VARCHAR[]) END)))")
+
+
+@register("tokenize_terms", f"""
+WITH t AS (SELECT doc_id, {_terms_sql('text')} AS toks FROM documents)
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_terms, md5(array_to_string(toks, ' ')) AS terms_md5 FROM t""")
+def q_tokenize_terms(spark, sf):
+    from ..operators.linking import tokenize
+
+    d = V.read(spark, sf, "documents").select("doc_id", tokenize("text").alias("toks"))
+    return d.select("doc_id", F.size("toks").cast("bigint").alias("n_terms"),
+                    F.md5(F.array_join("toks", " ")).alias("terms_md5"))
+
+
+def _bm25_sql_ctes() -> str:
+    from ..operators.linking import BM25_B, BM25_K1, BM25_MIN_DENOM
+    return f"""
+, docs AS (SELECT db_id, table_index, {_terms_sql('text')} AS toks FROM v_corpus)
+, d2 AS (SELECT db_id, table_index, len(toks) AS dl, toks FROM docs)
+, stats AS (SELECT db_id, count(*) AS n_docs, avg(dl) AS avgdl FROM d2 GROUP BY db_id)
+, qtok AS (SELECT question_id, db_id, unnest({_terms_sql('question')}) AS term FROM v_questions)
+, qt AS (SELECT question_id, db_id, term, count(*) AS qtf FROM qtok GROUP BY ALL)
+, vocab AS (SELECT DISTINCT db_id, term FROM qt)
+, dtok AS (SELECT db_id, table_index, dl, unnest(toks) AS term FROM d2)
+, post AS (SELECT d.db_id, d.table_index, d.term, count(*) AS tf, any_value(d.dl) AS dl
+           FROM dtok d JOIN vocab v ON v.db_id = d.db_id AND v.term = d.term GROUP BY ALL)
+, dfs AS (SELECT db_id, term, count(*) AS df FROM post GROUP BY ALL)
+, idf AS (SELECT dfs.db_id, term, avgdl, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf
+          FROM dfs JOIN stats ON stats.db_id = dfs.db_id)
+, scores AS (
+  SELECT qt.question_id, p.db_id, p.table_index,
+         sum(qt.qtf * i.idf * (p.tf * ({BM25_K1} + 1)) /
+             greatest(p.tf + {BM25_K1} * (1 - {BM25_B} + {BM25_B} * CASE WHEN i.avgdl > 0 THEN p.dl / i.avgdl ELSE 0.0 END),
+                      {BM25_MIN_DENOM})) AS score
+  FROM post p JOIN qt ON qt.db_id = p.db_id AND qt.term = p.term
+       JOIN idf i ON i.db_id = p.db_id AND i.term = p.term
+  GROUP BY ALL)"""
+
+
+@register("bm25_scores", with_views(["v_corpus", "v_questions"], _bm25_sql_ctes() + """
+SELECT question_id, db_id, table_index, round(score, 6) AS score FROM scores"""))
+def q_bm25_scores(spark, sf):
+    from ..operators.linking import bm25_scores
+
+    s = bm25_scores(V.corpus(spark, sf), V.questions(spark, sf))
+    return s.select("question_id", "db_id", "table_index", F.round("score", 6).alias("score"))
+
+
+def _topk_sql(k: int) -> str:
+    return f"""
+, firsts AS (SELECT db_id, table_index FROM
+             (SELECT db_id, table_index, row_number() OVER (PARTITION BY db_id ORDER BY table_index) AS r FROM v_corpus)
+             WHERE r <= {k})
+, fill AS (SELECT q.question_id, q.db_id, f.table_index, 0.0 AS score FROM v_questions q JOIN firsts f ON f.db_id = q.db_id)
+, cand AS (SELECT question_id, db_id, table_index, max(score) AS score FROM
+           (SELECT question_id, db_id, table_index, score FROM scores UNION ALL SELECT * FROM fill) GROUP BY ALL)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, table_index) AS rank
+             FROM cand)"""
+
+
+@register("bm25_topk", with_views(["v_corpus", "v_questions"], _bm25_sql_ctes() + _topk_sql(2) + """
+SELECT question_id, db_id, table_index, round(score, 6) AS score, rank FROM ranked WHERE rank <= 2"""))
+def q_bm25_topk(spark, sf):
+    from ..operators.linking import bm25_scores, top_tables
+
+    c, q = V.corpus(spark, sf), V.questions(spark, sf)
+    t = top_tables(bm25_scores(c, q), c, q, k=2)
+    return t.select("question_id", "db_id", "table_index", F.round("score", 6).alias("score"),
+                    F.col("rank").cast("int").alias("rank"))
+
+
+@register("schema_prune", with_views(["v_corpus", "v_questions", "v_fk_edges"], _bm25_sql_ctes() + _topk_sql(2) + """
+, sizes AS (SELECT db_id, sum(length(text)) + 2 * (count(*) - 1) AS full_chars FROM v_corpus GROUP BY db_id)
+, seeds AS (SELECT question_id, db_id, list(table_index) AS seed FROM ranked WHERE rank <= 2 GROUP BY ALL)
+, fks AS (SELECT db_id, list(struct_pack(f := from_table, t := to_table) ORDER BY pos) AS fks
+          FROM v_fk_edges GROUP BY db_id)
+, closed AS (
+  SELECT s.question_id, s.db_id,
+         list_reduce(coalesce(f.fks, []), lambda acc, fk:
+             CASE WHEN list_contains(acc, fk.f) OR list_contains(acc, fk.t)
+                  THEN list_distinct(list_concat(acc, [fk.f, fk.t])) ELSE acc END, s.seed) AS kept
+  FROM seeds s LEFT JOIN fks f ON f.db_id = s.db_id)
+, over_budget AS (
+  SELECT c.question_id, c.db_id, unnest(c.kept) AS table_index
+  FROM closed c JOIN sizes z ON z.db_id = c.db_id WHERE NOT (z.full_chars <= 5000))
+, in_budget AS (
+  SELECT q.question_id, q.db_id, v.table_index FROM v_questions q JOIN sizes z ON z.db_id = q.db_id
+  JOIN v_corpus v ON v.db_id = q.db_id WHERE z.full_chars <= 5000)
+SELECT question_id, db_id, table_index FROM over_budget UNION ALL SELECT * FROM in_budget"""))
+def q_schema_prune(spark, sf):
+    from ..operators.linking import prune_schema
+
+    return prune_schema(V.corpus(spark, sf), V.questions(spark, sf), V.fk_edges(spark, sf))
+
+
+# ==============================================================================================
+# Candidate choice and funnel: W1, F6, G4, G5
+# ==============================================================================================
+
+_CAND_ORDER = ("sample_index", "sample_key")
+
+
+def _selection(spark, sf):
+    from ..operators.traces import select_candidates
+
+    q = V.cand_questions(spark, sf)
+    tables = q.select("db_id").distinct().withColumn("tables", F.array(*[F.lit(t) for t in _TPCH_TABLES]))
+    return select_candidates(q, V.candidates(spark, sf), tables, order_cols=_CAND_ORDER)
+
+
+_PACK_SQL = "struct_pack(sample_index, k_a, k_b, k_c, k_d, k_e, sql, parses_ok, executes_ok, matches_gold)"
+
+
+def _selection_sql() -> str:
+    refs = _refs_sql("ch.sql")
+    ground = f"(len({refs}) = 0 OR len(list_intersect({refs}, {list(_TPCH_TABLES)})) > 0)"
+    return with_views(["v_candidates"], f"""
+, per_q AS (SELECT question_id, count(*) AS n_candidates,
+                   min({_PACK_SQL}) FILTER (WHERE matches_gold) AS first_match,
+                   min({_PACK_SQL}) FILTER (WHERE executes_ok) AS first_exec
+            FROM v_candidates GROUP BY question_id)
+, q AS (SELECT c.*, p.n_candidates, p.first_match, p.first_exec,
+               CASE WHEN p.first_match IS NOT NULL THEN p.first_match ELSE p.first_exec END AS ch
+        FROM v_cand_questions c LEFT JOIN per_q p ON p.question_id = c.question_id)
+, r AS (SELECT *, CASE WHEN NOT coalesce(gold_ok, false) THEN 'gold-failed'
+                       WHEN NOT coalesce(has_schema, false) THEN 'missing-schema'
+                       WHEN coalesce(n_candidates, 0) = 0 THEN 'no-candidates'
+                       WHEN first_match IS NULL AND first_exec IS NULL THEN 'no-executable'
+                       WHEN NOT ch.executes_ok THEN 'no-executable'
+                       WHEN NOT ch.parses_ok THEN 'parse-error'
+                       WHEN ch.sql IS NULL OR ch.sql = '' THEN 'no-sql'
+                       WHEN NOT {ground} THEN 'ungrounded' END AS drop_reason
+        FROM q)
+, sel AS (SELECT question_id, db_id, drop_reason IS NULL AS kept, drop_reason,
+                 CAST(CASE WHEN drop_reason IN ('gold-failed', 'missing-schema') THEN 0
+                           ELSE coalesce(n_candidates, 0) END AS BIGINT) AS n_candidates,
+                 ch.sample_index AS chosen_index, ch.sql AS chosen_sql,
+                 coalesce(ch.matches_gold, false) AS matched_gold
+          FROM r)""")
+
+
+@register("select_candidate", _selection_sql() + """
+SELECT question_id, db_id, kept, coalesce(drop_reason, '') AS drop_reason, n_candidates,
+       coalesce(chosen_index, -1) AS chosen_index, coalesce(chosen_sql, '') AS chosen_sql, matched_gold
+FROM sel""")
+def q_select_candidate(spark, sf):
+    s = _selection(spark, sf)
+    return s.select("question_id", "db_id", "kept", F.coalesce("drop_reason", F.lit("")).alias("drop_reason"),
+                    "n_candidates", F.coalesce("chosen_index", F.lit(-1)).cast("bigint").alias("chosen_index"),
+                    F.coalesce("chosen_sql", F.lit("")).alias("chosen_sql"), "matched_gold")
+
+
+@register("candidate_funnel", _selection_sql() + """
+, per_c AS (SELECT question_id, count(*) AS c_total, count_if(parses_ok) AS c_parse,
+                   count_if(executes_ok) AS c_exec, count_if(matches_gold) AS c_match
+            FROM v_candidates GROUP BY question_id)
+, j AS (SELECT s.*, p.c_total, p.c_parse, p.c_exec, p.c_match,
+               NOT coalesce(s.drop_reason, '') IN ('gold-failed', 'missing-schema') AS sampled
+        FROM sel s LEFT JOIN per_c p ON p.question_id = s.question_id)
+SELECT count(*) AS examples_seen, CAST(count_if(kept) AS BIGINT) AS examples_kept,
+       CAST(count_if(NOT kept) AS BIGINT) AS examples_dropped,
+       CAST(coalesce(sum(c_total) FILTER (WHERE sampled), 0) AS BIGINT) AS candidates_total,
+       CAST(coalesce(sum(c_parse) FILTER (WHERE sampled), 0) AS BIGINT) AS candidates_parse_ok,
+       CAST(coalesce(sum(c_exec) FILTER (WHERE sampled), 0) AS BIGINT) AS candidates_execute_ok,
+       CAST(coalesce(sum(c_match) FILTER (WHERE sampled), 0) AS BIGINT) AS candidates_match_gold
+FROM j""")
+def q_candidate_funnel(spark, sf):
+    from ..operators.traces import candidate_funnel
+
+    return candidate_funnel(_selection(spark, sf), V.candidates(spark, sf))
+
+
+@register("drop_reasons", _selection_sql() + """
+SELECT drop_reason, count(*) AS n FROM sel WHERE NOT kept GROUP BY drop_reason""")
+def q_drop_reasons(spark, sf):
+    from ..operators.traces import drop_reasons
+
+    return drop_reasons(_selection(spark, sf))

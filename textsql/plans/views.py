@@ -367,9 +367,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         parses.alias("parses_ok"),
         executes.alias("executes_ok"),
         matches.alias("matches_gold"),
-        F.concat(F.lit("db"), (F.col("l_orderkey") % 20).cast("string")).alias("db_id"),
-        (F.col("l_orderkey") % 13 != 0).alias("gold_ok"),
-        (F.col("l_orderkey") % 17 != 0).alias("has_schema"),
+    )
+
+
+def cand_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of the candidate fixture: every order (orders without lines have no candidates)."""
+    o = read(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("question_id"),
+        F.concat(F.lit("db"), (F.col("o_orderkey") % 20).cast("string")).alias("db_id"),
+        (F.col("o_orderkey") % 13 != 0).alias("gold_ok"),
+        (F.col("o_orderkey") % 17 != 0).alias("has_schema"),
     )
 
 
@@ -382,11 +390,13 @@ v_candidates AS (
               ELSE 'SELECT l_quantity FROM lineitem WHERE l_partkey = ' || CAST(l_partkey AS VARCHAR) END AS sql,
          l_returnflag <> 'R' AS parses_ok,
          l_returnflag <> 'R' AND l_linestatus = 'F' AS executes_ok,
-         l_returnflag <> 'R' AND l_linestatus = 'F' AND l_quantity > 25 AS matches_gold,
-         'db' || CAST(l_orderkey % 20 AS VARCHAR) AS db_id,
-         l_orderkey % 13 <> 0 AS gold_ok,
-         l_orderkey % 17 <> 0 AS has_schema
+         l_returnflag <> 'R' AND l_linestatus = 'F' AND l_quantity > 25 AS matches_gold
   FROM lineitem
+),
+v_cand_questions AS (
+  SELECT o_orderkey AS question_id, 'db' || CAST(o_orderkey % 20 AS VARCHAR) AS db_id,
+         o_orderkey % 13 <> 0 AS gold_ok, o_orderkey % 17 <> 0 AS has_schema
+  FROM orders
 )"""
 
 

@@ -488,3 +488,131 @@ def q_drop_reasons(spark, sf):
     from ..operators.traces import drop_reasons
 
     return drop_reasons(_selection(spark, sf))
+
+
+# ==============================================================================================
+# Dataset preparation: W4, W5, W6, F4, F5, P7, P9
+# ==============================================================================================
+
+def _docs(spark, sf):
+    return V.read(spark, sf, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+
+
+@register("assign_mode", """
+WITH n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents)
+SELECT doc_id, CASE WHEN r <= (SELECT CAST(round_even(0.4 * n, 0) AS BIGINT) FROM n) THEN 'reasoning' ELSE 'direct' END AS mode
+FROM r""")
+def q_assign_mode(spark, sf):
+    from ..operators.datasets import assign_modes
+
+    return assign_modes(_docs(spark, sf).select("doc_id"), id_col="doc_id").select("doc_id", "mode")
+
+
+@register("train_val_split", """
+WITH n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents)
+SELECT doc_id, CASE WHEN r <= (SELECT greatest(1, CAST(floor(n * 0.05) AS BIGINT)) FROM n) THEN 'val' ELSE 'train' END AS split
+FROM r""")
+def q_train_val_split(spark, sf):
+    from ..operators.datasets import train_val_split
+
+    return train_val_split(_docs(spark, sf).select("doc_id"), id_col="doc_id").select("doc_id", "split")
+
+
+@register("length_batches", """
+SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS position,
+       (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 16 AS batch_id
+FROM documents""")
+def q_length_batches(spark, sf):
+    from ..operators.datasets import length_batches
+
+    return length_batches(_docs(spark, sf).select("doc_id", "n_chars"), "n_chars", 16, id_col="doc_id").select(
+        "doc_id", "position", "batch_id")
+
+
+_DOC_SCHEMA_BLOCK = "CREATE TABLE documents (\n  doc_id INTEGER PRIMARY KEY,\n  text TEXT\n);"
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _user_prompt_sql(schema_block: str, question: str, mode: str) -> str:
+    from ..functions.prompts import DIRECT_INSTRUCTION, REASONING_INSTRUCTION
+    instr = f"CASE WHEN {mode} = 'reasoning' THEN {_sql_lit(REASONING_INSTRUCTION)} ELSE {_sql_lit(DIRECT_INSTRUCTION)} END"
+    return (f"concat('### Schema (SQLite)' || chr(10), {schema_block}, chr(10) || chr(10) || '### Question' || chr(10), "
+            f"{strip_sql(question)}, chr(10) || chr(10) || '### Instruction' || chr(10), {instr})")
+
+
+def _length_filter_sql() -> str:
+    from ..functions.prompts import SYSTEM_PROMPT
+    user = _user_prompt_sql(_sql_lit(_DOC_SCHEMA_BLOCK), "source", "'direct'")
+    text = f"concat_ws(chr(10) || chr(10), {_sql_lit(SYSTEM_PROMPT)}, {user}, text)"
+    return f"""
+WITH t AS (SELECT doc_id, CAST(floor(length({text}) / 4) AS BIGINT) AS n_tokens FROM documents)
+SELECT doc_id, n_tokens, n_tokens <= 1024 AS keep FROM t"""
+
+
+@register("length_filter", _length_filter_sql())
+def q_length_filter(spark, sf):
+    from ..functions.prompts import SYSTEM_PROMPT, user_prompt
+    from ..operators.datasets import length_filter, training_text
+
+    d = _docs(spark, sf)
+    text = training_text(F.lit(SYSTEM_PROMPT), user_prompt(F.lit(_DOC_SCHEMA_BLOCK), "source", F.lit("direct")),
+                         F.col("text"))
+    return length_filter(d, text).select("doc_id", "n_tokens", "keep")
+
+
+@register("direct_only", """
+WITH n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents)
+SELECT doc_id, 'direct' AS mode FROM r WHERE r > (SELECT CAST(round_even(0.4 * n, 0) AS BIGINT) FROM n)""")
+def q_direct_only(spark, sf):
+    from ..operators.datasets import assign_modes, direct_only
+
+    return direct_only(assign_modes(_docs(spark, sf).select("doc_id"), id_col="doc_id")).select("doc_id", "mode")
+
+
+@register("user_prompts", with_views(["v_questions"], f"""
+, n AS (SELECT count(*) AS n FROM v_questions)
+, r AS (SELECT *, row_number() OVER (ORDER BY md5('0:' || CAST(question_id AS VARCHAR)), question_id) AS r FROM v_questions)
+, m AS (SELECT *, CASE WHEN r <= (SELECT CAST(round_even(0.4 * n, 0) AS BIGINT) FROM n) THEN 'reasoning' ELSE 'direct' END AS mode FROM r)
+, p AS (SELECT question_id, mode, {_user_prompt_sql(_sql_lit(_DOC_SCHEMA_BLOCK), 'question', 'mode')} AS prompt FROM m)
+SELECT question_id, mode, CASE WHEN mode = 'reasoning' THEN 512 ELSE 256 END AS max_tokens,
+       CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS prompt_md5 FROM p"""))
+def q_user_prompts(spark, sf):
+    from ..functions.prompts import max_tokens_for, user_prompt
+    from ..operators.datasets import assign_modes
+
+    q = assign_modes(V.questions(spark, sf))
+    p = q.select("question_id", "mode", max_tokens_for("mode").alias("max_tokens"),
+                 user_prompt(F.lit(_DOC_SCHEMA_BLOCK), "question", "mode").alias("prompt"))
+    return p.select("question_id", "mode", "max_tokens", F.length("prompt").cast("bigint").alias("prompt_chars"),
+                    F.md5("prompt").alias("prompt_md5"))
+
+
+def _chat_sql() -> str:
+    from ..functions.prompts import SYSTEM_PROMPT
+    rec = (f"concat('system: ', {_sql_lit(SYSTEM_PROMPT)}, chr(10), 'user: ', u.text, chr(10), "
+           f"'assistant: ', a.text)")
+    return f"""
+SELECT u.conv_id, u.turn, 3 AS n_messages, md5({rec}) AS record_md5, CAST(length({rec}) AS BIGINT) AS record_chars
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'"""
+
+
+@register("chat_records", _chat_sql())
+def q_chat_records(spark, sf):
+    from ..functions.prompts import chat_messages
+
+    c = V.read(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("u_text"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("a_text"))
+    pairs = u.join(a, on=["conv_id", "turn"])
+    msgs = pairs.select("conv_id", "turn", chat_messages(F.col("u_text"), F.col("a_text")).alias("messages"))
+    rec = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return msgs.select("conv_id", "turn", F.size("messages").alias("n_messages"), F.md5(rec).alias("record_md5"),
+                       F.length(rec).cast("bigint").alias("record_chars"))

@@ -616,3 +616,141 @@ def q_chat_records(spark, sf):
     rec = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return msgs.select("conv_id", "turn", F.size("messages").alias("n_messages"), F.md5(rec).alias("record_md5"),
                        F.length(rec).cast("bigint").alias("record_chars"))
+
+
+# ==============================================================================================
+# Requests, response store, spend: P20-P22, J9, W7, F8, G8-G11, A10
+# ==============================================================================================
+
+_TEACHER_MODEL = "teacher-model"
+_TEMPERATURE = 0.3
+_CAP_USD = 0.005
+
+
+def _requests(spark, sf):
+    from ..functions.prompts import SYSTEM_PROMPT
+    from ..operators.ledger import request_key
+
+    c = V.read(spark, sf, "conversations").filter(F.col("role") == "user")
+    msgs = F.concat(F.lit(SYSTEM_PROMPT + "\n"), F.col("text"))
+    r = c.select("conv_id", "turn", msgs.alias("messages_text"),
+                 F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sample_index"))
+    return r.withColumn("key", request_key(F.lit(_TEACHER_MODEL), "messages_text", _TEMPERATURE, 256, "sample_index"))
+
+
+def _requests_sql() -> str:
+    from ..functions.prompts import SYSTEM_PROMPT
+    return f"""
+, req AS (
+  SELECT u.conv_id, u.turn, {_sql_lit(SYSTEM_PROMPT + chr(10))} || u.text AS messages_text, s.sample_index,
+         sha256(concat_ws(chr(31), '{_TEACHER_MODEL}', {_sql_lit(SYSTEM_PROMPT + chr(10))} || u.text, '{_TEMPERATURE:.4f}',
+                          '256', CAST(s.sample_index AS VARCHAR))) AS key
+  FROM conversations u CROSS JOIN (SELECT unnest(range(0, 3)) AS sample_index) s
+  WHERE u.role = 'user')
+, store AS (
+  SELECT r.key, a.text, CAST(floor(length(r.messages_text) / 4) AS BIGINT) AS prompt_tokens,
+         CAST(floor(length(a.text) / 4) AS BIGINT) AS completion_tokens
+  FROM req r JOIN conversations a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant'
+  WHERE r.sample_index = 0)
+, replayed AS (
+  SELECT r.*, s.key IS NOT NULL AS cached, coalesce(s.prompt_tokens, 0) AS prompt_tokens,
+         coalesce(s.completion_tokens, 0) AS completion_tokens
+  FROM req r LEFT JOIN store s ON s.key = r.key)"""
+
+
+def _store(spark, sf, req):
+    """Responses already stored: the assistant reply to sample 0 of each user turn."""
+    c = V.read(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    r0 = req.filter(F.col("sample_index") == 0).select("conv_id", "turn", "key", "messages_text")
+    return r0.join(a, on=["conv_id", "turn"]).select(
+        "key", "text", F.floor(F.length("messages_text") / 4).cast("bigint").alias("prompt_tokens"),
+        F.floor(F.length("text") / 4).cast("bigint").alias("completion_tokens"))
+
+
+@register("request_keys", "WITH dummy AS (SELECT 1)" + _requests_sql() + """
+SELECT conv_id, turn, sample_index, key FROM req""")
+def q_request_keys(spark, sf):
+    return _requests(spark, sf).select("conv_id", "turn", F.col("sample_index").cast("bigint").alias("sample_index"),
+                                       "key")
+
+
+@register("cache_replay", "WITH dummy AS (SELECT 1)" + _requests_sql() + """
+SELECT count(*) AS calls, CAST(count_if(cached) AS BIGINT) AS hits, CAST(count_if(NOT cached) AS BIGINT) AS misses
+FROM replayed""")
+def q_cache_replay(spark, sf):
+    from ..operators.ledger import replay, replay_counts
+
+    req = _requests(spark, sf)
+    return replay_counts(replay(req, _store(spark, sf, req)))
+
+
+@register("token_cost_per_1k", "WITH dummy AS (SELECT 1)" + _requests_sql() + f"""
+SELECT '{_TEACHER_MODEL}' AS model, count(*) AS hits, round(avg(prompt_tokens), 6) AS avg_in_tokens,
+       round(avg(completion_tokens), 6) AS avg_out_tokens,
+       round(1000 * (avg(prompt_tokens) * 0.15 / 1000000 + avg(completion_tokens) * 0.60 / 1000000), 9) AS usd_per_1k
+FROM replayed WHERE cached HAVING count(*) > 0""")
+def q_token_cost_per_1k(spark, sf):
+    from ..operators.ledger import cost_per_1k, replay
+
+    req = _requests(spark, sf)
+    r = replay(req, _store(spark, sf, req)).withColumn("model", F.lit(_TEACHER_MODEL))
+    out = cost_per_1k(r)
+    return out.select("model", "hits", F.round("avg_in_tokens", 6).alias("avg_in_tokens"),
+                      F.round("avg_out_tokens", 6).alias("avg_out_tokens"),
+                      F.round("usd_per_1k", 9).alias("usd_per_1k"))
+
+
+@register("call_cost", with_views(["v_calls"], """
+SELECT event_id, round(in_tokens * (0.15 / 1000000) + out_tokens * (0.60 / 1000000), 12) AS cost_usd,
+       round(in_tokens * (0.15 / 1000000) + 256 * (0.60 / 1000000), 12) AS upper_bound_usd
+FROM v_calls"""))
+def q_call_cost(spark, sf):
+    from ..operators.ledger import call_cost
+
+    c = V.calls(spark, sf)
+    return c.select("event_id", F.round(call_cost("in_tokens", "out_tokens"), 12).alias("cost_usd"),
+                    F.round(call_cost("in_tokens", F.lit(256)), 12).alias("upper_bound_usd"))
+
+
+@register("budget_gate", with_views(["v_calls"], f"""
+, c AS (SELECT *, in_tokens * (0.15 / 1000000) + out_tokens * (0.60 / 1000000) AS cost FROM v_calls)
+, s AS (SELECT event_id, ledger,
+               coalesce(sum(cost) OVER (PARTITION BY ledger ORDER BY ts, event_id
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spend_before,
+               in_tokens * (0.15 / 1000000) + 256 * (0.60 / 1000000) AS estimate
+        FROM c)
+SELECT event_id, ledger, round(spend_before, 9) AS spend_before, spend_before + estimate <= {_CAP_USD} AS allowed FROM s"""))
+def q_budget_gate(spark, sf):
+    from ..operators.ledger import budget_gate, call_cost, running_spend
+
+    c = V.calls(spark, sf)
+    s = budget_gate(running_spend(c, call_cost("in_tokens", "out_tokens")), call_cost("in_tokens", F.lit(256)), _CAP_USD)
+    return s.select("event_id", "ledger", F.round("spend_before", 9).alias("spend_before"), "allowed")
+
+
+@register("spend_ledger", with_views(["v_calls"], f"""
+SELECT ledger, round(sum(in_tokens * (0.15 / 1000000) + out_tokens * (0.60 / 1000000)), 9) AS spend_usd,
+       round(greatest(0.0, {_CAP_USD} - sum(in_tokens * (0.15 / 1000000) + out_tokens * (0.60 / 1000000))), 9) AS remaining_usd
+FROM v_calls GROUP BY ledger"""))
+def q_spend_ledger(spark, sf):
+    from ..operators.ledger import call_cost, spend_summary
+
+    s = spend_summary(V.calls(spark, sf), call_cost("in_tokens", "out_tokens"), _CAP_USD)
+    return s.select("ledger", F.round("spend_usd", 9).alias("spend_usd"), F.round("remaining_usd", 9).alias("remaining_usd"))
+
+
+@register("latency_summary", with_views(["v_calls"], """
+, g AS (SELECT model, count(*) AS n, arg_min(seconds, (ts, event_id)) AS cold_s,
+               arg_min(out_tokens, (ts, event_id)) AS cold_out, sum(seconds) AS s, sum(out_tokens) AS o,
+               avg(in_tokens) AS ai, avg(out_tokens) AS ao
+        FROM v_calls GROUP BY model)
+SELECT model, n - 1 AS n_warm, round(cold_s, 2) AS cold_s,
+       round(CASE WHEN n > 1 THEN (s - cold_s) / (n - 1) END, 3) AS warm_s_per_query,
+       round(CASE WHEN s - cold_s > 0 THEN (o - cold_out) / (s - cold_s) END, 1) AS tokens_per_s,
+       round(ai, 0) AS avg_in_tokens, round(ao, 0) AS avg_out_tokens
+FROM g"""))
+def q_latency_summary(spark, sf):
+    from ..operators.ledger import latency_summary
+
+    return latency_summary(V.calls(spark, sf))

@@ -143,15 +143,13 @@ def join_predictions(predictions: DataFrame, examples: DataFrame, strict: bool =
     )
     j = predictions.join(ex, on="question_id", how="left")
     if strict:
-        j = j.withColumn(
-            "__known",
-            F.when(
-                F.col("__known").isNull(),
-                F.raise_error(F.concat(F.lit("no example for question_id "),
-                                       F.coalesce(F.col("question_id").cast("string"), F.lit("NULL")))),
-            ).otherwise(F.col("__known")),
-        )
-        return j.drop("__known")
+        # The check sits in a filter so the optimizer cannot prune it away.
+        check = F.when(
+            F.col("__known").isNull(),
+            F.raise_error(F.concat(F.lit("no example for question_id "),
+                                   F.coalesce(F.col("question_id").cast("string"), F.lit("NULL")))),
+        ).otherwise(F.lit(True))
+        return j.filter(check.isNull() | check).drop("__known")
     return j.filter(F.col("__known")).drop("__known")
 
 
@@ -234,15 +232,40 @@ EVAL_LINE_RE = (
 EVAL_BUCKETS = ("easy", "medium", "hard", "extra", "all")
 
 
-def parse_evaluator_printout(lines: DataFrame, run_col: str = "run", text_col: str = "value") -> DataFrame:
+def evaluator_printout(summary: DataFrame, run_col: str = "run") -> DataFrame:
+    """The evaluator's closing table as text lines per run (the A14 input format): a header,
+    then ``execution`` and ``exact match`` rows with easy/medium/hard/extra/all at 3 dp
+    (half-even first, so the printed digits do not depend on the formatter's rounding)."""
+    def cell(metric: str, b: str) -> Column:
+        v = F.first(F.when(F.col("difficulty") == b, F.col(metric)), ignorenulls=True)
+        return F.format_string("%.3f", F.bround(F.coalesce(v, F.lit(0.0)), 3))
+
+    per = summary.groupBy(run_col).agg(
+        *[cell("exec_accuracy", b).alias(f"e_{b}") for b in EVAL_BUCKETS],
+        *[cell("exact_match_accuracy", b).alias(f"m_{b}") for b in EVAL_BUCKETS],
+    )
+    head = F.lit("                     easy                 medium               hard                 extra                all")
+    ex = F.concat_ws("     ", F.lit("execution         "), *[F.col(f"e_{b}") for b in EVAL_BUCKETS])
+    em = F.concat_ws("     ", F.lit("exact match       "), *[F.col(f"m_{b}") for b in EVAL_BUCKETS])
+    lines = F.array(
+        F.struct(F.lit(0).alias("line_no"), head.alias("value")),
+        F.struct(F.lit(1).alias("line_no"), ex.alias("value")),
+        F.struct(F.lit(2).alias("line_no"), em.alias("value")),
+    )
+    return per.select(run_col, F.inline(lines))
+
+
+def parse_evaluator_printout(lines: DataFrame, run_col: str = "run", text_col: str = "value",
+                             pos_col: str | None = None) -> DataFrame:
     """Evaluator stdout lines -> (run, metric, bucket, value).
 
     The last printed line per (run, metric) wins (dict semantics). A run missing either metric
     fails the job via ``raise_error``.
     """
+    pos = F.col(pos_col) if pos_col else F.monotonically_increasing_id()
     m = lines.select(
         run_col,
-        F.monotonically_increasing_id().alias("__pos"),
+        pos.alias("__pos"),
         F.regexp_extract(text_col, EVAL_LINE_RE, 1).alias("metric"),
         *[F.regexp_extract(text_col, EVAL_LINE_RE, i + 2).alias(b) for i, b in enumerate(EVAL_BUCKETS)],
     ).filter(F.col("metric") != "")
@@ -252,11 +275,9 @@ def parse_evaluator_printout(lines: DataFrame, run_col: str = "run", text_col: s
     long = long.select(run_col, "metric", "bucket", F.col("value_s").cast("double").alias("value"))
     check = long.groupBy(run_col).agg(F.count_if(F.col("metric") == "execution").alias("ne"),
                                       F.count_if(F.col("metric") == "exact match").alias("nm"))
-    bad = check.filter((F.col("ne") == 0) | (F.col("nm") == 0))
-    return long.join(
-        bad.select(run_col, F.raise_error(F.lit("evaluator output lacks execution/exact match rows")).alias("__bad")),
-        on=run_col, how="left",
-    ).drop("__bad")
+    ok = F.when((F.col("ne") == 0) | (F.col("nm") == 0),
+                F.raise_error(F.lit("evaluator output lacks execution/exact match rows"))).otherwise(F.lit(True))
+    return long.join(check, on=run_col).filter(ok.isNull() | ok).drop("ne", "nm")
 
 
 def overlay_metrics(summary: DataFrame, official: DataFrame, run_col: str = "run") -> DataFrame:

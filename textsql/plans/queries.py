@@ -754,3 +754,137 @@ def q_latency_summary(spark, sf):
     from ..operators.ledger import latency_summary
 
     return latency_summary(V.calls(spark, sf))
+
+
+# ==============================================================================================
+# Run comparison: J4, J5, G6, W8, G13, A12, A14, J11, J12
+# ==============================================================================================
+
+def _disagreement_sql() -> str:
+    cat = _category_sql("a.gold_sql", "a.pred_sql", "coalesce(a.failure_mode, '')")
+    return with_views(["v_outcomes", "v_questions"], f"""
+, a AS (SELECT * FROM v_outcomes WHERE run = 'student' AND NOT coalesce(exec_match, false))
+, b AS (SELECT * FROM v_outcomes WHERE run = 'teacher' AND coalesce(exec_match, false))
+, d AS (SELECT a.question_id, a.db_id, coalesce(a.difficulty, 'unknown') AS difficulty, a.gold_sql,
+               a.pred_sql AS pred_a_sql, coalesce(a.failure_mode, '') AS pred_a_failure, b.pred_sql AS pred_b_sql,
+               {cat} AS category, coalesce(q.question, '') AS question
+        FROM a JOIN b ON b.question_id = a.question_id LEFT JOIN v_questions q ON q.question_id = a.question_id)""")
+
+
+def _cases(spark, sf):
+    from ..operators.compare import disagreements
+
+    return disagreements(V.outcomes(spark, sf), "student", "teacher",
+                         questions=V.questions(spark, sf).select("question_id", "question"))
+
+
+@register("disagreements", _disagreement_sql() + "\nSELECT * FROM d")
+def q_disagreements(spark, sf):
+    return _cases(spark, sf)
+
+
+@register("disagreement_categories", _disagreement_sql() + """
+SELECT category, count(*) AS n, min(question_id) AS first_question_id FROM d GROUP BY category""")
+def q_disagreement_categories(spark, sf):
+    from ..operators.compare import category_counts
+
+    return category_counts(_cases(spark, sf))
+
+
+@register("case_examples", _disagreement_sql() + """
+, per AS (SELECT category, count(*) AS n, min(question_id) AS qid FROM d GROUP BY category)
+, ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, qid) AS shown FROM per)
+SELECT r.shown, r.category, r.n, d.question_id, d.db_id, d.difficulty, d.question, d.gold_sql, d.pred_a_sql,
+       d.pred_a_failure, d.pred_b_sql
+FROM ranked r JOIN d ON d.category = r.category AND d.question_id = r.qid WHERE r.shown <= 12""")
+def q_case_examples(spark, sf):
+    from ..operators.compare import case_examples
+
+    return case_examples(_cases(spark, sf), 12)
+
+
+@register("fixed_regressed", with_views(["v_outcomes"], """
+, base AS (SELECT question_id, coalesce(exec_match, false) AS base_ok FROM v_outcomes WHERE run = 'base')
+, t AS (SELECT o.run, coalesce(o.exec_match, false) AS t_ok, b.base_ok FROM v_outcomes o
+        JOIN base b ON b.question_id = o.question_id WHERE o.run <> 'base')
+SELECT run AS treatment, CAST(count_if(NOT base_ok AND t_ok) AS BIGINT) AS fixed,
+       CAST(count_if(base_ok AND NOT t_ok) AS BIGINT) AS regressed,
+       CAST(count_if(NOT base_ok AND t_ok) AS BIGINT) - CAST(count_if(base_ok AND NOT t_ok) AS BIGINT) AS net
+FROM t GROUP BY run"""))
+def q_fixed_regressed(spark, sf):
+    from ..operators.compare import fixed_regressed
+
+    return fixed_regressed(V.outcomes(spark, sf), "base")
+
+
+_SUMMARY_SQL = """
+SELECT run, CASE WHEN grouping(difficulty) = 1 THEN 'all' ELSE difficulty END AS difficulty, count(*) AS n,
+       round(sum(CAST(exec_match AS INTEGER)) / count(*), 6) AS exec_accuracy,
+       round(sum(CAST(exact_set_match AS INTEGER)) / count(*), 6) AS exact_match_accuracy
+FROM v_outcomes WHERE run IN {runs} GROUP BY GROUPING SETS ((run), (run, difficulty))"""
+
+
+@register("merge_runs", with_views(["v_outcomes"], f"""
+, existing AS ({_SUMMARY_SQL.format(runs="('base', 'student')")})
+, new AS ({_SUMMARY_SQL.format(runs="('student', 'teacher')")})
+SELECT *, 'existing' AS source FROM existing WHERE run NOT IN (SELECT run FROM new)
+UNION ALL SELECT *, 'new' AS source FROM new"""))
+def q_merge_runs(spark, sf):
+    from ..operators.compare import merge_runs
+
+    o = V.outcomes(spark, sf)
+    existing = ev.summarize(o.filter(F.col("run").isin("base", "student"))).withColumn("source", F.lit("existing"))
+    new = ev.summarize(o.filter(F.col("run").isin("student", "teacher"))).withColumn("source", F.lit("new"))
+    return merge_runs(existing, new)
+
+
+def _printout_sql() -> str:
+    buckets = ("easy", "medium", "hard", "extra", "all")
+
+    def cell(metric, b):
+        return (f"printf('%.3f', round_even(coalesce(first({metric}) FILTER (WHERE difficulty = '{b}'), 0.0), 3))")
+    ex = ", ".join(cell("exec_accuracy", b) for b in buckets)
+    em = ", ".join(cell("exact_match_accuracy", b) for b in buckets)
+    return f"""
+, summ AS ({_SUMMARY_SQL.format(runs="('base', 'student', 'teacher')")})
+, per AS (SELECT run, concat_ws('     ', 'execution         ', {ex}) AS ex,
+                 concat_ws('     ', 'exact match       ', {em}) AS em FROM summ GROUP BY run)
+, lines AS (SELECT run, 1 AS line_no, ex AS value FROM per UNION ALL SELECT run, 2, em FROM per)
+, parsed AS (
+  SELECT run, regexp_extract(value, '{ev.EVAL_LINE_RE}', 1) AS metric,
+         {", ".join(f"CAST(regexp_extract(value, '{ev.EVAL_LINE_RE}', {i + 2}) AS DOUBLE) AS {b}" for i, b in enumerate(buckets))}
+  FROM lines)
+, official AS (UNPIVOT parsed ON easy, medium, hard, extra, "all" INTO NAME bucket VALUE value)"""
+
+
+@register("eval_printout", with_views(["v_outcomes"], _printout_sql() + """
+SELECT run, metric, bucket, value FROM official"""))
+def q_eval_printout(spark, sf):
+    s = ev.summarize(V.outcomes(spark, sf))
+    return ev.parse_evaluator_printout(ev.evaluator_printout(s), pos_col="line_no")
+
+
+@register("overlay_metrics", with_views(["v_outcomes"], _printout_sql() + """
+SELECT s.run, s.difficulty, s.exec_accuracy, o.value AS official_exec, coalesce(o.value, s.exec_accuracy) AS exec_overlay
+FROM summ s LEFT JOIN official o ON o.run = s.run AND o.bucket = s.difficulty AND o.metric = 'execution'"""))
+def q_overlay_metrics(spark, sf):
+    s = ev.summarize(V.outcomes(spark, sf))
+    off = ev.parse_evaluator_printout(ev.evaluator_printout(s), pos_col="line_no")
+    return ev.overlay_metrics(s, off).select("run", "difficulty", "exec_accuracy", "official_exec", "exec_overlay")
+
+
+_AXIS = [("Base 0.5B", "base", 0.5), ("Student 1.5B", "student", 1.5), ("Teacher", "teacher", 7.0),
+         ("Student 3B", "student_3b", 3.0)]
+
+
+@register("scaling_axis", with_views(["v_outcomes"], f"""
+, summ AS ({_SUMMARY_SQL.format(runs="('base', 'student', 'teacher')")})
+, axis(label, run, size) AS (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in _AXIS)})
+SELECT a.run, a.label, a.size, CASE WHEN s.exec_accuracy IS NULL THEN 'NaN'
+            ELSE printf('%.1f', round_even(s.exec_accuracy * 100.0, 1)) END AS exec_pct
+FROM axis a LEFT JOIN summ s ON s.run = a.run AND s.difficulty = 'all'"""))
+def q_scaling_axis(spark, sf):
+    from ..operators.compare import scaling_axis
+
+    axis = spark.createDataFrame(_AXIS, "label string, run string, size double")
+    return scaling_axis(axis, ev.summarize(V.outcomes(spark, sf))).select("run", "label", "size", "exec_pct")

@@ -888,3 +888,240 @@ def q_scaling_axis(spark, sf):
 
     axis = spark.createDataFrame(_AXIS, "label string, run string, size double")
     return scaling_axis(axis, ev.summarize(V.outcomes(spark, sf))).select("run", "label", "size", "exec_pct")
+
+
+# ==============================================================================================
+# Catalog and schema text: A1, A2, A13, A16, J7, J8, G14, P1-P5
+# ==============================================================================================
+
+def _raw_catalog_roundtrip(spark, sf):
+    """A1 read path: the catalog is written as JSON lines to the shared scratch folder and read
+    back with the explicit catalog schema."""
+    from ..session import scratch_path
+    from ..sources.catalog import read_raw_catalog
+
+    path = scratch_path(spark, "catalog")
+    V.raw_catalog(spark, sf).write.mode("overwrite").json(path)
+    return read_raw_catalog(spark, path)
+
+
+def _qi_sql(n: str) -> str:
+    from ..functions.ddl import BARE_IDENT_RE
+    return (f"CASE WHEN {n} = '' THEN '\"\"' WHEN starts_with({n}, '\"') AND ends_with({n}, '\"') THEN {n} "
+            f"WHEN regexp_matches({n}, '{BARE_IDENT_RE}') THEN {n} "
+            f"ELSE '\"' || replace({n}, '\"', '\"\"') || '\"' END")
+
+
+@register("schema_catalog", with_views(["v_raw_catalog"], """
+, cc AS (SELECT unnest([0, 1, 2]) AS c)
+SELECT db_id, CAST(table_index AS INTEGER) AS table_index, tab.tname AS table_name,
+       CAST(1 + 3 * table_index + c AS BIGINT) AS flat_index,
+       CASE c WHEN 0 THEN tab.c0 WHEN 1 THEN tab.c1 ELSE 'flag' END AS column_name,
+       CASE c WHEN 2 THEN tab.ty2 ELSE 'number' END AS column_type, c = 0 AS is_primary
+FROM v_cat_flat, cc"""))
+def q_schema_catalog(spark, sf):
+    from ..sources.catalog import catalog_columns
+
+    return catalog_columns(_raw_catalog_roundtrip(spark, sf))
+
+
+@register("fk_resolved", with_views(["v_raw_catalog"], """
+SELECT db_id, CAST(table_index AS BIGINT) AS pos, CAST(table_index AS INTEGER) AS from_table, tab.c1 AS from_column,
+       0 AS to_table, tabs[1].c0 AS to_column, tabs[1].tname AS to_table_name
+FROM v_cat_flat WHERE table_index >= 1"""))
+def q_fk_resolved(spark, sf):
+    from ..sources.catalog import catalog_fks
+
+    return catalog_fks(_raw_catalog_roundtrip(spark, sf))
+
+
+def _ddl_sql() -> str:
+    t2 = "CASE WHEN tab.ty2 = '' THEN 'TEXT' ELSE upper(tab.ty2) END"
+    lines = (f"['  ' || {_qi_sql('tab.c0')} || ' NUMBER PRIMARY KEY', '  ' || {_qi_sql('tab.c1')} || ' NUMBER', "
+             f"'  flag ' || {t2}]")
+    fk = (f"CASE WHEN table_index >= 1 THEN ['  FOREIGN KEY (' || {_qi_sql('tab.c1')} || ') REFERENCES ' || "
+          f"{_qi_sql('tabs[1].tname')} || '(' || {_qi_sql('tabs[1].c0')} || ')'] ELSE CAST([] AS VARCHAR[]) END")
+    return with_views(["v_raw_catalog"], f"""
+SELECT db_id, CAST(table_index AS INTEGER) AS table_index,
+       'CREATE TABLE ' || {_qi_sql('tab.tname')} || ' (' || chr(10) ||
+       array_to_string(list_concat({lines}, {fk}), ',' || chr(10)) || chr(10) || ');' AS ddl
+FROM v_cat_flat""")
+
+
+@register("table_ddl", _ddl_sql())
+def q_table_ddl(spark, sf):
+    from ..functions.ddl import column_line, create_table, fk_line
+    from ..sources.catalog import catalog_columns, catalog_fks
+
+    raw = _raw_catalog_roundtrip(spark, sf)
+    cols = catalog_columns(raw)
+    per_t = cols.groupBy("db_id", "table_index").agg(
+        F.first("table_name").alias("table_name"),
+        F.array_sort(F.collect_list(F.struct("flat_index", column_line("column_name", "column_type", "is_primary")
+                                             .alias("line")))).alias("cl"))
+    fks = catalog_fks(raw).groupBy("db_id", F.col("from_table").alias("table_index")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", fk_line(F.col("from_column"), F.col("to_table_name"),
+                                                            F.col("to_column")).alias("line")))).alias("fl"))
+    t = per_t.join(fks, on=["db_id", "table_index"], how="left")
+    ddl = create_table("table_name", F.transform("cl", lambda x: x["line"]),
+                       F.transform(F.coalesce("fl", F.array().cast("array<struct<pos:bigint,line:string>>")),
+                                   lambda x: x["line"]))
+    return t.select("db_id", "table_index", ddl.alias("ddl"))
+
+
+@register("quote_ident", f"""
+SELECT p_partkey, {_qi_sql('p_name')} AS q_name, {_qi_sql('p_brand')} AS q_brand, {_qi_sql('p_type')} AS q_type,
+       {_qi_sql("replace(p_type, ' ', '_')")} AS q_type_snake FROM part""")
+def q_quote_ident(spark, sf):
+    from ..functions.ddl import quote_ident
+
+    p = V.read(spark, sf, "part")
+    return p.select("p_partkey", quote_ident("p_name").alias("q_name"), quote_ident("p_brand").alias("q_brand"),
+                    quote_ident("p_type").alias("q_type"),
+                    quote_ident(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("q_type_snake"))
+
+
+def _cell_sql(x: str, n: int) -> str:
+    s = f"replace(replace(CAST({x} AS VARCHAR), chr(10), ' '), chr(9), ' ')"
+    return (f"CASE WHEN {x} IS NULL THEN 'NULL' WHEN length({s}) > {n} THEN substr({s}, 1, {n - 1}) || '…' "
+            f"ELSE {s} END")
+
+
+@register("cell_text", f"""
+SELECT page_id, {_cell_sql('html', 40)} AS html_cell, {_cell_sql('url', 40)} AS url_cell FROM pages""")
+def q_cell_text(spark, sf):
+    from ..functions.ddl import cell_text
+
+    p = V.read(spark, sf, "pages")
+    return p.select("page_id", cell_text("html", 40).alias("html_cell"), cell_text("url", 40).alias("url_cell"))
+
+
+_SAMPLE_TRUNC = 12
+_SAMPLE_HEADERS = ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+def _sample_block_sql() -> str:
+    cells = [_cell_sql("c_custkey", _SAMPLE_TRUNC), _cell_sql("c_name", _SAMPLE_TRUNC),
+             _cell_sql("CAST(c_acctbal AS DECIMAL(12, 2))", _SAMPLE_TRUNC), _cell_sql("c_mktsegment", _SAMPLE_TRUNC)]
+    sel = ", ".join(f"{c} AS v{i}" for i, c in enumerate(cells))
+    widths = ", ".join(f"greatest({len(h)}, max(length(v{i}))) AS w{i}" for i, h in enumerate(_SAMPLE_HEADERS))
+    line = " || '  ' || ".join(f"rpad(v{i}, CAST(w{i} AS INTEGER), ' ')" for i in range(4))
+    head = " || '  ' || ".join(f"rpad('{h}', CAST(w{i} AS INTEGER), ' ')" for i, h in enumerate(_SAMPLE_HEADERS))
+    return f"""
+WITH r AS (SELECT c_nationkey, c_custkey, {sel},
+                  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer),
+top AS (SELECT * FROM r WHERE rn <= 3),
+w AS (SELECT c_nationkey, {widths} FROM top GROUP BY c_nationkey),
+lines AS (SELECT t.c_nationkey, t.rn, '  ' || {line} AS line, '  ' || {head} AS head
+          FROM top t JOIN w ON w.c_nationkey = t.c_nationkey)
+SELECT c_nationkey AS nation_key,
+       '/* sample rows:' || chr(10) || any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY rn) || chr(10) || '*/' AS block
+FROM lines GROUP BY c_nationkey"""
+
+
+@register("sample_row_block", _sample_block_sql())
+def q_sample_row_block(spark, sf):
+    from ..functions.ddl import sample_rows_block
+    from ..sources.catalog import sample_rows
+
+    c = V.read(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name",
+                                             F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"), "c_mktsegment")
+    rows = sample_rows(c, ["c_custkey"], n=3, cell_truncate=_SAMPLE_TRUNC, group_cols=["c_nationkey"])
+    per = rows.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("__r", "cells"))).alias("rs"))
+    headers = F.array(*[F.lit(h) for h in _SAMPLE_HEADERS])
+    return per.select(F.col("c_nationkey").alias("nation_key"),
+                      sample_rows_block(headers, F.transform("rs", lambda x: x["cells"])).alias("block"))
+
+
+@register("corpus_check", """
+WITH ex AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS db_id FROM orders),
+sch AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS db_id FROM customer),
+dat AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS db_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+d AS (SELECT DISTINCT db_id FROM ex)
+SELECT (SELECT count(*) FROM ex) AS n_examples, (SELECT count(*) FROM d) AS n_dbs,
+       (SELECT count(*) FROM d WHERE db_id NOT IN (SELECT db_id FROM sch)) AS n_dbs_without_schema,
+       (SELECT count(*) FROM d WHERE db_id NOT IN (SELECT db_id FROM dat)) AS n_dbs_without_data,
+       (SELECT count(*) FROM ex WHERE db_id IN (SELECT db_id FROM sch)) AS n_examples_with_schema""")
+def q_corpus_check(spark, sf):
+    from ..sources.catalog import corpus_check
+
+    o = V.read(spark, sf, "orders")
+    ex = o.select(F.concat(F.lit("c"), _s("o_custkey")).alias("db_id"))
+    sch = V.read(spark, sf, "customer").select(F.concat(F.lit("c"), _s("c_custkey")).alias("db_id"))
+    li = V.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    dat = o.join(li, on="o_orderkey", how="left_semi").select(F.concat(F.lit("c"), _s("o_custkey")).alias("db_id"))
+    return corpus_check(ex, sch, dat)
+
+
+def _s(c):
+    return F.col(c).cast("string")
+
+
+# ==============================================================================================
+# Statement execution and scoring: X1, X3, X4, F2, F3
+# ==============================================================================================
+
+def _register_tpch(spark, sf):
+    from .sql_pairs import TPCH_TABLES
+
+    for t in TPCH_TABLES:
+        V.read(spark, sf, t).createOrReplaceTempView(t)
+
+
+def _pairs_df(spark):
+    from .sql_pairs import PAIRS
+
+    return spark.createDataFrame([(p[0], p[1], p[2]) for p in PAIRS], "pair_id long, gold_sql string, pred_sql string")
+
+
+def _pairs_oracle(count_rows: bool) -> str:
+    from .sql_pairs import PAIRS
+
+    def clean(s):
+        return s.strip().rstrip(";").strip()
+    parts = []
+    for pid, gold, pred, kind, _ in PAIRS:
+        g, p = clean(gold), clean(pred)
+        if kind == "cmp":
+            m = (f"((SELECT count(*) FROM (SELECT * FROM ({g}) EXCEPT ALL SELECT * FROM ({p}))) = 0 AND "
+                 f"(SELECT count(*) FROM (SELECT * FROM ({p}) EXCEPT ALL SELECT * FROM ({g}))) = 0)")
+            pst = "'ok'"
+        else:
+            m, pst = "false", f"'{kind}'"
+        fm = f"CASE WHEN {m} THEN 'ok' WHEN {pst} = 'empty' THEN 'empty' WHEN {pst} = 'parse' THEN 'parse' " \
+             f"WHEN {pst} = 'execution' THEN 'execution' ELSE 'wrong-result' END"
+        if count_rows:
+            parts.append(f"SELECT sha256({_sql_lit(g)}) AS stmt_id, 'ok' AS status, "
+                         f"(SELECT count(*) FROM ({g})) AS n_rows")
+            if kind == "cmp":
+                parts.append(f"SELECT sha256({_sql_lit(p)}), 'ok', (SELECT count(*) FROM ({p}))")
+            else:
+                parts.append(f"SELECT sha256({_sql_lit(p)}), '{kind}', 0")
+        else:
+            parts.append(f"SELECT CAST({pid} AS BIGINT) AS pair_id, 'ok' AS gold_status, {pst} AS pred_status, "
+                         f"{m} AS exec_match, {fm} AS failure_mode")
+    body = "\nUNION ALL ".join(parts)
+    if count_rows:
+        return f"SELECT DISTINCT * FROM ({body})"
+    return body
+
+
+@register("run_statements", _pairs_oracle(True))
+def q_run_statements(spark, sf):
+    from ..operators.execute import run_statements
+
+    _register_tpch(spark, sf)
+    p = _pairs_df(spark)
+    stmts = p.select(F.col("gold_sql").alias("sql")).unionByName(p.select(F.col("pred_sql").alias("sql")))
+    status, rows = run_statements(spark, stmts)
+    counts = rows.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return status.join(counts, "stmt_id", "left").select(
+        "stmt_id", "status", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
+
+
+@register("score_sql_pairs", _pairs_oracle(False))
+def q_score_sql_pairs(spark, sf):
+    from ..operators.execute import score_pairs
+
+    _register_tpch(spark, sf)
+    return score_pairs(spark, _pairs_df(spark))

@@ -492,3 +492,64 @@ def with_views(names, body: str) -> str:
     """DuckDB query text: the named view CTEs followed by ``body``."""
     ctes = ",\n".join(VIEW_SQL[n].strip() for n in names)
     return f"WITH {ctes}\n{body}"
+
+
+# ----------------------------------------------------------------------------------------------
+# raw catalog (tables.json layout): one database per order, one table per line item
+# ----------------------------------------------------------------------------------------------
+
+def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Database ``ord<k>``; tables = the order's lines in (linenumber, partkey, suppkey,
+    extendedprice, shipdate) order; 3 columns each; first column is the key; FK from the second
+    column of every later table to the first column of table 0; one FK pair touches the
+    sentinel and must be dropped by the reader. An order has a handful of lines, so a database
+    row is small by construction."""
+    li = read(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber")
+    tname = (F.when(ln % 3 == 0, F.concat(F.lit("line "), _s(ln)))
+             .when(ln % 3 == 1, F.concat(F.lit("line_"), _s(ln), F.lit("_"), _s("l_partkey")))
+             .otherwise(F.concat(F.lit('l"'), _s("l_suppkey"))))
+    c1 = F.when(ln == 3, F.concat(F.lit("3rd supp "), _s("l_suppkey"))).otherwise(F.concat(F.lit("supp_"), _s("l_suppkey")))
+    ty2 = F.when(F.col("l_returnflag") == "A", "text").when(F.col("l_returnflag") == "N", "").otherwise("varchar(1)")
+    t = li.select("l_orderkey", F.struct(ln.alias("a"), F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c"),
+                                         F.col("l_extendedprice").alias("d"), F.col("l_shipdate").alias("e"),
+                                         tname.alias("tname"), F.concat(F.lit("part_"), _s("l_partkey")).alias("c0"),
+                                         c1.alias("c1"), ty2.alias("ty2")).alias("t"))
+    g = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("t")).alias("tabs"))
+    n = F.size("tabs")
+    cols = F.flatten(F.transform("tabs", lambda x, i: F.array(
+        F.array(i.cast("string"), x["c0"]), F.array(i.cast("string"), x["c1"]), F.array(i.cast("string"), F.lit("flag")))))
+    types = F.flatten(F.transform("tabs", lambda x: F.array(F.lit("number"), F.lit("number"), x["ty2"])))
+    pks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i * 3 + 1).cast("bigint"))
+    fks = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1),
+                                    lambda i: F.array((i * 3 + 2).cast("bigint"), F.lit(1).cast("bigint")))) \
+        .otherwise(F.array().cast("array<array<bigint>>"))
+    return g.select(
+        F.concat(F.lit("ord"), _s("l_orderkey")).alias("db_id"),
+        F.transform("tabs", lambda x: x["tname"]).alias("table_names_original"),
+        F.concat(F.array(F.array(F.lit("-1"), F.lit("*"))), cols).alias("column_names_original"),
+        F.concat(F.array(F.lit("text")), types).alias("column_types"),
+        pks.alias("primary_keys"),
+        F.concat(F.array(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))), fks).alias("foreign_keys"),
+    )
+
+
+RAW_CATALOG_SQL = """
+v_cat_tabs AS (
+  SELECT l_orderkey,
+         list(struct_pack(a := l_linenumber, b := l_partkey, c := l_suppkey, d := l_extendedprice, e := l_shipdate,
+              tname := CASE WHEN l_linenumber % 3 = 0 THEN 'line ' || CAST(l_linenumber AS VARCHAR)
+                            WHEN l_linenumber % 3 = 1 THEN 'line_' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_partkey AS VARCHAR)
+                            ELSE 'l"' || CAST(l_suppkey AS VARCHAR) END,
+              c0 := 'part_' || CAST(l_partkey AS VARCHAR),
+              c1 := CASE WHEN l_linenumber = 3 THEN '3rd supp ' || CAST(l_suppkey AS VARCHAR) ELSE 'supp_' || CAST(l_suppkey AS VARCHAR) END,
+              ty2 := CASE WHEN l_returnflag = 'A' THEN 'text' WHEN l_returnflag = 'N' THEN '' ELSE 'varchar(1)' END)
+              ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS tabs
+  FROM lineitem GROUP BY l_orderkey
+),
+v_cat_flat AS (
+  SELECT 'ord' || CAST(l_orderkey AS VARCHAR) AS db_id, tabs, generate_subscripts(tabs, 1) - 1 AS table_index,
+         unnest(tabs) AS tab
+  FROM v_cat_tabs
+)"""
+VIEW_SQL["v_raw_catalog"] = RAW_CATALOG_SQL

@@ -1125,3 +1125,109 @@ def q_score_sql_pairs(spark, sf):
 
     _register_tpch(spark, sf)
     return score_pairs(spark, _pairs_df(spark))
+
+
+# ==============================================================================================
+# Prediction plumbing: J1, J2, J3, A8, U1
+# ==============================================================================================
+
+def _examples(spark, sf):
+    o = V.outcomes(spark, sf).filter(F.col("run") == "student")
+    return o.select("question_id", "db_id", F.col("gold_sql").alias("query"),
+                    F.concat(F.lit("question "), _s("question_id")).alias("question"))
+
+
+@register("predict_join", with_views(["v_outcomes"], f"""
+, ex AS (SELECT question_id, 'c' || CAST(o_custkey AS VARCHAR) AS db_id, gold_sql AS query
+         FROM v_outcomes o JOIN orders ON o_orderkey = question_id WHERE run = 'student')
+, preds AS (SELECT question_id, pred_sql AS predicted_sql FROM v_outcomes WHERE run = 'student' AND pred_sql <> '')
+, sch AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS db_id FROM customer WHERE c_custkey % 7 <> 0)
+, j AS (SELECT e.question_id, e.db_id, e.query, coalesce(p.predicted_sql, '') AS predicted_sql,
+               s.db_id IS NOT NULL AS has_schema
+        FROM ex e LEFT JOIN preds p ON p.question_id = e.question_id LEFT JOIN sch s ON s.db_id = e.db_id)
+SELECT question_id, has_schema, predicted_sql,
+       CASE WHEN replace(replace({strip_sql('predicted_sql')}, chr(10), ' '), chr(13), ' ') = '' THEN 'SELECT 1'
+            ELSE replace(replace({strip_sql('predicted_sql')}, chr(10), ' '), chr(13), ' ') END AS pred_line,
+       replace({strip_sql('query')}, chr(10), ' ') || chr(9) || db_id AS gold_line
+FROM j"""))
+def q_predict_join(spark, sf):
+    o = V.read(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"),
+                                           F.concat(F.lit("c"), _s("o_custkey")).alias("db_id"))
+    ex = _examples(spark, sf).drop("db_id").join(o, "question_id")
+    preds = V.outcomes(spark, sf).filter((F.col("run") == "student") & (F.col("pred_sql") != "")).select(
+        "question_id", F.col("pred_sql").alias("predicted_sql"))
+    cust = V.read(spark, sf, "customer")
+    sch = cust.filter(F.col("c_custkey") % 7 != 0).select(F.concat(F.lit("c"), _s("c_custkey")).alias("db_id"))
+    j = ev.attach_schemas(ev.attach_outputs(ex, preds), sch)
+    lines = ev.evaluator_pred_lines(j).withColumnRenamed("line", "pred_line")
+    gold = ev.evaluator_gold_lines(j).withColumnRenamed("line", "gold_line")
+    return j.select("question_id", "has_schema", "predicted_sql").join(lines, "question_id").join(gold, "question_id")
+
+
+@register("predictor_baselines", """
+WITH q AS (SELECT item_id FROM benchmark)
+SELECT 'gold' AS run, count(*) AS n, 1.0 AS exec_accuracy, CAST(0 AS BIGINT) AS n_empty FROM q
+UNION ALL SELECT 'empty', count(*), 0.0, count(*) FROM q""")
+def q_predictor_baselines(spark, sf):
+    """The gold and empty predictors scored end to end (statements executed on Spark)."""
+    from ..operators.execute import score_pairs
+
+    V.read(spark, sf, "documents").createOrReplaceTempView("documents")
+    ex = V.questions(spark, sf)
+    runs = []
+    for name, pred in (("gold", ev.predict_gold(ex)), ("empty", ev.predict_empty(ex))):
+        j = ev.join_predictions(pred, ex)
+        pairs = j.select(F.col("question_id").alias("pair_id"), "gold_sql", F.col("predicted_sql").alias("pred_sql"))
+        runs.append(score_pairs(spark, pairs).withColumn("run", F.lit(name)))
+    allr = runs[0].unionByName(runs[1])
+    return allr.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col("exec_match").cast("double")).alias("exec_accuracy"),
+        F.count_if(F.col("failure_mode") == "empty").alias("n_empty"),
+    )
+
+
+# ==============================================================================================
+# Streams: R1, R2 (availableNow over responses landed as files; checked against batch SQL)
+# ==============================================================================================
+
+def _landing(spark, sf):
+    """Completions as landed responses; every tenth response is delivered twice."""
+    from ..session import scratch_path
+    from ..streaming.traces import write_landing
+
+    c = V.completions(spark, sf).join(_docs(spark, sf).select("doc_id", "n_chars"), "doc_id")
+    resp = c.select(F.concat(F.lit("doc"), _s("doc_id")).alias("key"), "text",
+                    F.floor(F.col("n_chars") / 4).cast("bigint").alias("prompt_tokens"),
+                    (F.col("doc_id") % 50).cast("bigint").alias("completion_tokens"),
+                    F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("saved_at"),
+                    F.col("doc_id"))
+    resp = resp.unionByName(resp.filter(F.col("doc_id") % 10 == 0)).drop("doc_id")
+    path = scratch_path(spark, "landing")
+    write_landing(resp, path, n_files=4)
+    return path
+
+
+@register("stream_trace_build", with_views(["v_completions"], f"""
+SELECT 'doc' || CAST(doc_id AS VARCHAR) AS key, coalesce({_extract_sql_sql('text')}, '') AS sql,
+       {_extract_sql_sql('text')} IS NULL AS sql_missing, {_split_reasoning_sql('text')} IS NULL AS reasoning_missing
+FROM v_completions"""))
+def q_stream_trace_build(spark, sf):
+    from ..session import scratch_path
+    from ..streaming.traces import build_traces_stream
+
+    t = build_traces_stream(spark, _landing(spark, sf), scratch_path(spark, "r1-sink"))
+    return t.select("key", F.coalesce("sql", F.lit("")).alias("sql"), F.col("sql").isNull().alias("sql_missing"),
+                    F.col("reasoning").isNull().alias("reasoning_missing"))
+
+
+@register("stream_counters", with_views(["v_completions"], f"""
+SELECT CASE WHEN {_extract_sql_sql('c.text')} IS NULL THEN 'dropped' ELSE 'kept' END AS outcome, count(*) AS n,
+       CAST(sum(CAST(floor(d.n_chars / 4) AS BIGINT)) AS BIGINT) AS prompt_tokens,
+       CAST(sum(c.doc_id % 50) AS BIGINT) AS completion_tokens
+FROM v_completions c JOIN documents d ON d.doc_id = c.doc_id GROUP BY 1"""))
+def q_stream_counters(spark, sf):
+    from ..session import scratch_path
+    from ..streaming.traces import counters_stream
+
+    return counters_stream(spark, _landing(spark, sf), scratch_path(spark, "r2-sink"))

@@ -51,11 +51,34 @@ def _is_query(text: str) -> bool:
     return bool(re.match(QUERY_PREFIX_RE.replace("(?is)", ""), text, re.I | re.S)) and ";" not in text
 
 
+def _analyze(spark: SparkSession, sid: str, text: str):
+    """Driver-side parse + analysis of one statement (no job runs)."""
+    if not text:
+        return sid, "empty", None, None
+    if not _is_query(text):
+        return sid, "execution", "refused: not a read-only query", None
+    try:
+        df = spark.sql(text)
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+        return sid, "ok", None, df.select(F.array(*cells).alias("row"), F.lit(sid).alias("stmt_id"))
+    except ParseException as e:
+        return sid, "parse", type(e).__name__, None
+    except AnalysisException as e:
+        return sid, "execution", getattr(e, "getCondition", lambda: None)() or type(e).__name__, None
+
+
 def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
                    max_workers: int = 8, timeout_s: float | None = 300.0,
-                   out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+                   out_path: str | None = None, batch_size: int = 32) -> tuple[DataFrame, DataFrame]:
     """Run every distinct cleaned statement once.
 
+    Statements are parsed and analysed on the driver (no data moves), then the runnable ones
+    are executed in batches: one Spark job writes the union of a batch's result rows,
+    partitioned by statement id. A batch that fails at run time is re-run one statement per
+    job so the failure is pinned to its statement. Batches run concurrently from a bounded
+    pool; each job group is cancelled after ``timeout_s``.
+
     Returns ``(status, rows)``: status (stmt_id, status, error) and rows (stmt_id, row
     array<string>) with NULL cells as ''. ``stmt_id`` = sha256 of the cleaned text.
     """
@@ -65,42 +88,52 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
     out = out_path or scratch_path(spark, "stmt-rows")
     sc = spark.sparkContext
 
-    def run_one(item):
-        sid, text = item
-        if not text:
-            return (sid, "empty", None)
-        if not _is_query(text):
-            return (sid, "execution", "refused: not a read-only query")
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        analyzed = list(pool.map(lambda it: _analyze(spark, *it), todo))
+    status = {sid: (st, err) for sid, st, err, _ in analyzed}
+    runnable = [(sid, df) for sid, st, _, df in analyzed if st == "ok"]
+    batches = [runnable[i:i + batch_size] for i in range(0, len(runnable), batch_size)]
+
+    def write(items, tag):
         group = f"textsql-{uuid.uuid4().hex[:8]}"
         timer = None
         try:
-            sc.setJobGroup(group, f"statement {sid[:12]}", interruptOnCancel=True)
+            sc.setJobGroup(group, f"statements {tag}", interruptOnCancel=True)
             if timeout_s:
                 timer = threading.Timer(timeout_s, lambda: sc.cancelJobGroup(group))
                 timer.start()
-            df = spark.sql(text)
-            df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-            cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-            df.select(F.array(*cells).alias("row")).write.mode("overwrite").parquet(f"{out}/stmt_id={sid}")
-            return (sid, "ok", None)
-        except ParseException as e:
-            return (sid, "parse", type(e).__name__)
-        except AnalysisException as e:
-            return (sid, "execution", getattr(e, "getErrorClass", lambda: None)() or type(e).__name__)
-        except Exception as e:  # noqa: BLE001 - runtime failures of the statement itself
-            return (sid, "execution", type(e).__name__)
+            u = items[0][1]
+            for _, df in items[1:]:
+                u = u.unionByName(df)
+            u.write.mode("overwrite").partitionBy("stmt_id").parquet(f"{out}/batch={tag}")
+            return None
+        except Exception as e:  # noqa: BLE001 - runtime failure of a statement in the batch
+            return type(e).__name__
         finally:
             if timer is not None:
                 timer.cancel()
 
+    def run_batch(k_items):
+        k, items = k_items
+        err = write(items, str(k))
+        if err is None:
+            return
+        for j, (sid, df) in enumerate(items):
+            e = write([(sid, df)], f"{k}-{j}")
+            if e is not None:
+                status[sid] = ("execution", e)
+
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        results = list(pool.map(run_one, todo))
-    status = spark.createDataFrame(results, STATUS_SCHEMA)
-    if any(r[1] == "ok" for r in results):
-        rows = spark.read.schema(ROWS_SCHEMA).parquet(out)
+        list(pool.map(run_batch, enumerate(batches)))
+    results = [(sid, st, err) for sid, (st, err) in status.items()]
+    status_df = spark.createDataFrame(results, STATUS_SCHEMA)
+    if any(st == "ok" for _, st, _ in results):
+        rows = spark.read.schema(ROWS_SCHEMA).option("basePath", out).parquet(f"{out}/batch=*")
+        ok_ids = status_df.filter(F.col("status") == "ok").select("stmt_id")
+        rows = rows.join(ok_ids, "stmt_id", "left_semi")
     else:
         rows = spark.createDataFrame([], ROWS_SCHEMA)
-    return status, rows.select("stmt_id", "row")
+    return status_df, rows.select("stmt_id", "row")
 
 
 def score_pairs(spark: SparkSession, pairs: DataFrame, key: str = "pair_id", gold_col: str = "gold_sql",

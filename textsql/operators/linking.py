@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from ..functions.text import col_
 
 # --- fixed values -----------------------------------------------------------------------------
 TOKEN_RE = "[A-Za-z][A-Za-z0-9_]*"
+SNAKE_RE = "[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]*"
 BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_MIN_DENOM = 1e-9
@@ -28,19 +29,34 @@ SCHEMA_BUDGET_CHARS = 5000  # int(1500 tokens / 0.30 tokens per char)
 
 def tokenize(text: Column | str) -> Column:
     """Lower-case words ``[A-Za-z][A-Za-z0-9_]*``; each word's non-empty ``_`` pieces, then
-    the whole word again when it contains ``_``. Multiplicity is kept."""
+    the whole word again when it contains ``_``. Multiplicity and order are kept."""
     words = F.regexp_extract_all(F.lower(col_(text)), F.lit(TOKEN_RE), 0)
     return F.flatten(
         F.transform(
             words,
-            lambda w: F.concat(
-                F.filter(F.split(w, "_"), lambda p: p != ""),
-                F.when(w.contains("_"), F.array(w)).otherwise(F.array().cast("array<string>")),
-            ),
+            lambda w: F.when(
+                w.contains("_"),
+                F.concat(F.filter(F.split(w, "_"), lambda p: p != ""), F.array(w)),
+            ).otherwise(F.array(w)),
         )
     )
 
 
+def term_bag(text: Column | str) -> Column:
+    """P6 as a multiset (order not kept), with regexes only -- no per-word lambdas.
+
+    Every word is a token once (a word without ``_`` is its own single piece; a word with ``_``
+    is added whole), and the pieces of the ``_`` words are the alphanumeric runs of those words.
+    A match of ``SNAKE_RE`` is exactly a word containing ``_``: it must start at a word's first
+    letter, because a word without ``_`` offers no ``_`` to any later start inside it.
+    """
+    low = F.lower(col_(text))
+    words = F.regexp_extract_all(low, F.lit(TOKEN_RE), 0)
+    snake = F.regexp_extract_all(low, F.lit(SNAKE_RE), 0)
+    pieces = F.regexp_extract_all(F.array_join(snake, " "), F.lit("[A-Za-z0-9]+"), 0)
+    return F.concat(words, pieces)
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when a count proves it small; otherwise leave the shuffle join
     (AQE still splits skewed partitions). ``df`` should be cheap to recompute or cached."""
@@ -64,35 +80,43 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = BM25_K1, b:
 
     corpus: (db_id, table_index, text); questions: (question_id, db_id, question).
     Output: (question_id, db_id, table_index, score).
+
+    Plan: the corpus is read and tokenised once. Each token is marked against the query
+    vocabulary (broadcast when a count proves it small), and one aggregation keyed by
+    (db, table, vocabulary-term-or-NULL) yields both the postings and, summed per table, the
+    document length. That table is checkpointed once and read by every branch. Only vocabulary
+    terms and one row per document leave the map side.
     """
     qt = query_terms(questions)
-    vocab = qt.select("db_id", "term").distinct()
+    vocab = qt.select("db_id", "term").distinct().withColumn("__hit", F.lit(True))
     vocab = maybe_broadcast(vocab, broadcast_rows)
 
-    docs = corpus.select("db_id", "table_index", tokenize("text").alias("toks"))
-    docs = docs.select("db_id", "table_index", F.size("toks").alias("dl"), "toks")
+    toks = spread(corpus.select("db_id", "table_index", "text")).select(
+        "db_id", "table_index", F.explode_outer(term_bag("text")).alias("term"))
+    marked = toks.join(vocab, on=["db_id", "term"], how="left").select(
+        "db_id", "table_index", "term", F.when(F.col("__hit"), F.col("term")).alias("mterm"))
+    agg = marked.groupBy("db_id", "table_index", "mterm").agg(F.count("term").alias("tf"))
+    # Small (one row per document plus its vocabulary hits) and read by three branches whose
+    # pushed-down filters differ, so Spark cannot reuse the shuffle: materialise it once in the
+    # shared checkpoint folder -- the text is read and tokenised exactly once.
+    agg = cut_lineage(agg)
+    dl = agg.groupBy("db_id", "table_index").agg(F.sum("tf").alias("dl"))
     # Per-database statistics include documents with zero tokens.
-    stats = docs.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # Postings only for query vocabulary: the semi-join runs before the (doc, term) aggregation,
-    # so the shuffle never carries terms no question asks for.
-    postings = (
-        docs.select("db_id", "table_index", "dl", F.explode("toks").alias("term"))
-        .join(vocab, on=["db_id", "term"], how="left_semi")
-        .groupBy("db_id", "table_index", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
+    stats = dl.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    postings = agg.filter(F.col("mterm").isNotNull()).select("db_id", "table_index",
+                                                             F.col("mterm").alias("term"), "tf")
     dfs = postings.groupBy("db_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfs.join(stats, on="db_id").select(
         "db_id", "term", "avgdl",
         F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
     )
     weighted = qt.join(idf, on=["db_id", "term"])
-    weighted = maybe_broadcast(weighted, broadcast_rows)
     norm = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
     denom = F.greatest(F.col("tf") + k1 * (1 - b + b * norm), F.lit(BM25_MIN_DENOM))
     contrib = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1)) / denom
     return (
-        postings.join(weighted, on=["db_id", "term"])
+        postings.join(dl, on=["db_id", "table_index"])
+        .join(weighted, on=["db_id", "term"])
         .groupBy("question_id", "db_id", "table_index")
         .agg(F.sum(contrib).alias("score"))
     )

@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import classify_failure
+from ..session import spread
+
+
+# Tables large enough that a scan with fewer splits than cores should be spread (see ``spread``).
+_SPREAD = {"orders", "lineitem", "documents", "pages", "conversations", "events", "customer", "part"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in _SPREAD else df
 
 
 def _s(c: Column | str) -> Column:

@@ -62,3 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Use every core for CPU-heavy per-row work on inputs with few splits.
+
+    Only when the scan yields fewer partitions than the cluster's default parallelism (small
+    files, few row groups) is the input round-robin repartitioned; at scale the scan already
+    has far more splits than cores and the plan is left untouched (no shuffle of the text).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target * factor)
+    return df

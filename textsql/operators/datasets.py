@@ -8,6 +8,7 @@ window over the data.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -65,6 +66,17 @@ def length_filter(records: DataFrame, text: Column, max_tokens: int = MAX_TRAIN_
     return records.withColumn("n_tokens", n).withColumn("keep", F.col("n_tokens") <= max_tokens)
 
 
+def tokenizer_counter(count_fn):
+    """U2 hook: wrap ``count_fn(list[str]) -> list[int]`` (e.g. a sub-word tokenizer's batch
+    encode) as an Arrow-batched ``pandas_udf`` token counter for ``length_filter(tokens=...)``.
+    The tokenizer runs on the executors, one Arrow batch at a time."""
+    @F.pandas_udf("long")
+    def _count(texts: pd.Series) -> pd.Series:
+        return pd.Series(count_fn(texts.fillna("").tolist()), dtype="int64")
+
+    return _count
+
+
 def direct_only(traces: DataFrame, blank_reasoning: bool = False) -> DataFrame:
     """drop reasoning-mode rows, or (variant) keep them and blank the reasoning."""
     if blank_reasoning:

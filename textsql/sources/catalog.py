@@ -122,3 +122,8 @@ __all__ = [
     "RAW_CATALOG_SCHEMA", "read_raw_catalog", "catalog_columns", "catalog_fks", "read_examples",
     "sample_rows", "corpus_check", "IntegerType",
 ]
+
+
+def first_examples(examples: DataFrame, n: int | None = None, order_col: str = "question_id") -> DataFrame:
+    """All examples, or the first ``n`` by id (a limit is the feature here)."""
+    return examples if n is None else examples.orderBy(order_col).limit(n)

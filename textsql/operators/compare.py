@@ -66,7 +66,7 @@ def case_examples(cases: DataFrame, n_examples: int = 12) -> DataFrame:
                           "pred_a_failure", "pred_b_sql"), F.col("question_id")).alias("ex"),
     )
     w = Window.orderBy(F.col("n").desc(), F.col("ex.question_id"))
-    ranked = per.withColumn("shown", F.row_number().over(w)).filter(F.col("shown") <= n_examples)
+    ranked = per.withColumn("shown", F.row_number().over(w).cast("bigint")).filter(F.col("shown") <= n_examples)
     return ranked.select("shown", "category", "n", "ex.*")
 
 

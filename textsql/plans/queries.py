@@ -378,7 +378,7 @@ def q_bm25_topk(spark, sf):
     c, q = V.corpus(spark, sf), V.questions(spark, sf)
     t = top_tables(bm25_scores(c, q), c, q, k=2)
     return t.select("question_id", "db_id", "table_index", F.round("score", 6).alias("score"),
-                    F.col("rank").cast("int").alias("rank"))
+                    F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("schema_prune", with_views(["v_corpus", "v_questions", "v_fk_edges"], _bm25_sql_ctes() + _topk_sql(2) + """

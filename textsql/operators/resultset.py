@@ -5,13 +5,16 @@ Input shape: one row per *result row*, keyed by the comparison key (e.g. ``quest
 
 Plan at scale
 -------------
-1. Each side is pre-aggregated to ``(key, row) -> count`` (map-side partial aggregation, so a
-   statement returning the same row a billion times ships one row per task).
-2. The two count tables are FULL OUTER joined on ``(key, row)``. The shuffle is hashed on the
-   row *and* the key, so one question with a huge result is spread over all partitions (the
-   hot-key case); AQE skew-join splitting covers the rest.
+1. Both sides are tagged (gold +1 / prediction +1 in separate counters) and unioned -- no join.
+2. One aggregation keyed by ``(key, row)`` counts each side (map-side partial aggregation, so a
+   statement returning the same row a billion times ships one row per task). The shuffle is
+   hashed on the row *and* the key, so one question with a huge result is spread over all
+   partitions (the hot-key case).
 3. ``bool_and(count_gold == count_pred)`` grouped by key -- again a partial aggregate.
 
+Two shuffles in total, both pre-combined; a full outer join of two count tables would add a
+third and a sort-merge on array keys.
+
 Row order never matters, duplicates do, NULL equals ``''`` (P14). Keys present on only one side
 are compared against an empty multiset. Keys that should be compared but have no rows at all
 on either side (empty = empty) are supplied through ``keys`` and come out ``True``; a side whose
@@ -38,14 +41,6 @@ def normalize_row_array(row: Column | str) -> Column:
     return F.transform(r, lambda x: F.coalesce(x, F.lit("")))
 
 
-def _counts(rows: DataFrame, key: Sequence[str], row_col: str, name: str) -> DataFrame:
-    return (
-        rows.select(*key, normalize_row_array(row_col).alias("__row"))
-        .groupBy(*key, "__row")
-        .agg(F.count(F.lit(1)).alias(name))
-    )
-
-
 def multiset_equal(
     gold_rows: DataFrame,
     pred_rows: DataFrame,
@@ -56,12 +51,10 @@ def multiset_equal(
 ) -> DataFrame:
     """One row per key with ``out_col`` = the two row multisets are equal."""
     key = [key] if isinstance(key, str) else list(key)
-    g = _counts(gold_rows, key, row_col, "__ng")
-    p = _counts(pred_rows, key, row_col, "__np")
-    joined = g.join(p, on=[*key, "__row"], how="full_outer")
-    verdict = joined.groupBy(*key).agg(
-        F.bool_and(F.coalesce(F.col("__ng"), F.lit(0)) == F.coalesce(F.col("__np"), F.lit(0))).alias(out_col)
-    )
+    g = gold_rows.select(*key, normalize_row_array(row_col).alias("__row"), F.lit(1).alias("__g"), F.lit(0).alias("__p"))
+    p = pred_rows.select(*key, normalize_row_array(row_col).alias("__row"), F.lit(0).alias("__g"), F.lit(1).alias("__p"))
+    counts = g.unionByName(p).groupBy(*key, "__row").agg(F.sum("__g").alias("__ng"), F.sum("__p").alias("__np"))
+    verdict = counts.groupBy(*key).agg(F.bool_and(F.col("__ng") == F.col("__np")).alias(out_col))
     if keys is None:
         return verdict
     # Keys with no rows on either side: empty == empty.

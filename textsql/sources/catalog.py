@@ -103,19 +103,22 @@ def sample_rows(table: DataFrame, order_cols, n: int = 3, cell_truncate: int = 4
 
 def corpus_check(examples: DataFrame, schemas: DataFrame, data_dbs: DataFrame) -> DataFrame:
     """A16 + G14 + J7 + J8: example count, distinct databases, databases without a schema or
-    without data, examples whose database has a schema. One row."""
-    ex_dbs = examples.select("db_id").distinct()
-    no_schema = ex_dbs.join(schemas.select("db_id"), on="db_id", how="left_anti")
-    no_data = ex_dbs.join(data_dbs.select("db_id"), on="db_id", how="left_anti")
-    with_schema = examples.join(schemas.select("db_id").distinct(), on="db_id", how="left_semi")
-    a = examples.agg(F.count(F.lit(1)).alias("n_examples"), F.countDistinct("db_id").alias("n_dbs"))
-    b = no_schema.agg(F.count(F.lit(1)).alias("n_dbs_without_schema"))
-    c = no_data.agg(F.count(F.lit(1)).alias("n_dbs_without_data"))
-    d = with_schema.agg(F.count(F.lit(1)).alias("n_examples_with_schema"))
-    # Four one-row aggregates, paired on a constant key.
-    k = F.lit(1).alias("__k")
-    return (a.select("*", k).join(b.select("*", k), "__k").join(c.select("*", k), "__k")
-            .join(d.select("*", k), "__k").drop("__k"))
+    without data, examples whose database has a schema. One row.
+
+    Examples are first counted per database (partial aggregate); the schema and data flags are
+    semi-join style left joins at database granularity; one global aggregate finishes."""
+    per_db = examples.groupBy("db_id").agg(F.count(F.lit(1)).alias("__n"))
+    flags = (per_db
+             .join(schemas.select("db_id").distinct().withColumn("__s", F.lit(True)), "db_id", "left")
+             .join(data_dbs.select("db_id").distinct().withColumn("__d", F.lit(True)), "db_id", "left"))
+    has_s, has_d = F.coalesce(F.col("__s"), F.lit(False)), F.coalesce(F.col("__d"), F.lit(False))
+    return flags.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n_examples"),
+        F.count(F.lit(1)).alias("n_dbs"),
+        F.count_if(~has_s).alias("n_dbs_without_schema"),
+        F.count_if(~has_d).alias("n_dbs_without_data"),
+        F.coalesce(F.sum(F.when(has_s, F.col("__n"))), F.lit(0)).cast("bigint").alias("n_examples_with_schema"),
+    )
 
 
 __all__ = [

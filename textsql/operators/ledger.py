@@ -2,16 +2,17 @@
 
 The response store is a table keyed by request hash, partitioned by the key's first two hex
 characters (A9); a replay is a left join of requests to it (J9), misses are the anti join.
-Spend is an append-only ledger; running spend per ledger is a two-level prefix sum (per time
-bucket, then across buckets) so one busy ledger never becomes one task.
+Spend is an append-only ledger; running spend per ledger is a range-partitioned two-level
+prefix sum, so one busy ledger never becomes one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
+from .ranking import running_sum
 
 # --- fixed values -----------------------------------------------------------------------------
 PRICE_INPUT_PER_M = 0.15
@@ -71,22 +72,12 @@ def replay_counts(replayed: DataFrame) -> DataFrame:
 
 
 def running_spend(calls: DataFrame, cost: Column, ledger_col: str = "ledger", ts_col: str = "ts",
-                  id_col: str = "event_id", bucket_unit: str = "hour") -> DataFrame:
-    """Spend of all earlier calls of the same ledger (order ts, id), as ``spend_before``.
-
-    Level 1 sums inside (ledger, time bucket); level 2 prefix-sums the bucket totals (one row per
-    bucket) and is joined back, so the largest window partition is one bucket of one ledger.
-    """
-    # Truncation is monotone in the order column (plain or zone-less timestamps alike).
-    b = F.date_trunc(bucket_unit, F.col(ts_col))
-    c = calls.withColumn("__cost", cost).withColumn("__b", b)
-    w_in = Window.partitionBy(ledger_col, "__b").orderBy(ts_col, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("__in", F.coalesce(F.sum("__cost").over(w_in), F.lit(0.0)))
-    totals = c.groupBy(ledger_col, "__b").agg(F.sum("__cost").alias("__t"))
-    w_b = Window.partitionBy(ledger_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(ledger_col, "__b", F.coalesce(F.sum("__t").over(w_b), F.lit(0.0)).alias("__off"))
-    return c.join(offs, on=[ledger_col, "__b"]).withColumn("spend_before", F.col("__off") + F.col("__in")).drop(
-        "__b", "__in", "__off").withColumnRenamed("__cost", "cost")
+                  id_col: str = "event_id") -> DataFrame:
+    """Spend of all earlier calls of the same ledger (order ts, id), as ``spend_before``;
+    adds ``cost``. A skew-proof exclusive prefix sum (``ranking.running_sum``): one busy ledger
+    is cut into ranges, never one window partition."""
+    c = calls.withColumn("cost", cost)
+    return running_sum(c, [ledger_col], [ts_col, id_col], F.col("cost"), out_col="spend_before")
 
 
 def budget_gate(spent: DataFrame, estimate: Column, cap_usd: float) -> DataFrame:

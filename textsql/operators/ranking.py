@@ -34,3 +34,27 @@ def exact_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank")
 def seeded_order(id_col: str, seed: int) -> list[Column]:
     """A reproducible pseudo-random order: md5 of ``seed:id``, ties by id."""
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col)]
+
+
+def running_sum(df: DataFrame, part_cols: list[str], order_cols: list[str], value: Column,
+                out_col: str = "running_before", n_ranges: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` per ``part_cols`` in ``order_cols`` order (a total order).
+
+    Skew-proof prefix sum: a range partitioning on (part, order) splits even a partition key
+    holding a third of all rows into many ranges; each (key, range) piece is summed locally by a
+    window whose partition is at most one range, and the per-piece totals -- one row per
+    (key, range), bounded by the range count -- are prefix-summed and joined back.
+    """
+    spark = df.sparkSession
+    n = n_ranges or max(2 * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    tagged = (df.withColumn("__v", value).repartitionByRange(n, *part_cols, *order_cols)
+              .select("*", F.spark_partition_id().alias("__pid")))
+    tagged = cut_lineage(tagged)
+    w_in = Window.partitionBy(*part_cols, "__pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("__in", F.coalesce(F.sum("__v").over(w_in), F.lit(0.0)))
+    totals = tagged.groupBy(*part_cols, "__pid").agg(F.sum("__v").alias("__t"))
+    w_off = Window.partitionBy(*part_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*part_cols, "__pid", F.coalesce(F.sum("__t").over(w_off), F.lit(0.0)).alias("__off"))
+    return (local.join(offs, on=[*part_cols, "__pid"])
+            .withColumn(out_col, F.col("__off") + F.col("__in"))
+            .drop("__pid", "__in", "__off", "__v"))

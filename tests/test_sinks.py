@@ -91,3 +91,23 @@ def test_read_jsonl_skips_blank_lines(spark, tmp_path):
                  '{"question_id": 2, "db_id": "zoo", "predicted_sql": null}\n')
     df = read_jsonl(spark, str(p), SC.PREDICTION)
     assert df.count() == 2
+
+
+def test_ledger_append_and_reload(spark, tmp_path):
+    from textsql.operators.ledger import append_ledger, call_cost, load_spend
+
+    df = spark.createDataFrame([(1, 1000, 100), (1, 2000, 0)], "ledger long, in_tokens long, out_tokens long")
+    append_ledger(df, call_cost("in_tokens", "out_tokens"), str(tmp_path / "led"), "run1")
+    append_ledger(df, call_cost("in_tokens", "out_tokens"), str(tmp_path / "led"), "run2")
+    r = load_spend(spark, str(tmp_path / "led"), cap_usd=0.001).first()
+    assert abs(r.spend_usd - 2 * (3000 * 0.15e-6 + 100 * 0.6e-6)) < 1e-9
+    assert r.remaining_usd == max(0.0, 0.001 - r.spend_usd)
+
+
+def test_overlay_all_buckets(spark):
+    o = spark.createDataFrame([("a", 1, "easy", True, False)],
+                              "run string, question_id long, difficulty string, exec_match boolean, exact_set_match boolean")
+    s = ev.summarize(o)
+    off = spark.createDataFrame([("a", "execution", "hard", 0.5)], "run string, metric string, bucket string, value double")
+    got = {r.difficulty: (r.n, r.exec_overlay) for r in ev.overlay_metrics(s, off, all_buckets=True).collect()}
+    assert got["easy"] == (1, 1.0) and got["hard"] == (0, 0.5) and got["extra"] == (0, None) and "all" in got

@@ -280,16 +280,26 @@ def parse_evaluator_printout(lines: DataFrame, run_col: str = "run", text_col: s
     return long.join(check, on=run_col).filter(ok.isNull() | ok).drop("ne", "nm")
 
 
-def overlay_metrics(summary: DataFrame, official: DataFrame, run_col: str = "run") -> DataFrame:
+def overlay_metrics(summary: DataFrame, official: DataFrame, run_col: str = "run",
+                    all_buckets: bool = False) -> DataFrame:
     """External accuracy overlaid on the in-process summary (both kept, T5).
 
     ``summary``: run, difficulty, n, exec_accuracy, ...; ``official``: run, metric, bucket, value.
     The overlay takes the external execution number where present, the local one otherwise.
+    ``all_buckets=True`` is the other variant: every run gets all four buckets plus 'all',
+    with ``n`` 0 where the run has no question of that bucket.
     """
     off = official.filter(F.col("metric") == "execution").select(
         run_col, F.col("bucket").alias("difficulty"), F.col("value").alias("official_exec")
     )
-    return summary.join(off, on=[run_col, "difficulty"], how="left").withColumn(
+    base = summary
+    if all_buckets:
+        # runs x 5 buckets: an explode of a 5-element literal, not a join with a data table.
+        grid = summary.select(run_col).distinct().select(
+            run_col, F.explode(F.array(*[F.lit(b) for b in EVAL_BUCKETS])).alias("difficulty"))
+        base = grid.join(summary, on=[run_col, "difficulty"], how="left").withColumn(
+            "n", F.coalesce(F.col("n"), F.lit(0).cast("bigint")))
+    return base.join(off, on=[run_col, "difficulty"], how="left").withColumn(
         "exec_overlay", F.coalesce(F.col("official_exec"), F.col("exec_accuracy"))
     )
 

@@ -154,6 +154,11 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, key: str = "pair_id", gol
     st_p = status.select(F.col("stmt_id").alias("pred_id"), F.col("status").alias("pred_status"))
     c = combos.join(st_g, "gold_id").join(st_p, "pred_id")
     both_ok = c.filter((F.col("gold_status") == "ok") & (F.col("pred_status") == "ok")).select("gold_id", "pred_id")
+    # The statement pairs to compare: broadcast only after a count proves the list small, so a
+    # statement with a huge result is matched in place instead of shuffled on its id.
+    from .linking import maybe_broadcast
+
+    both_ok = maybe_broadcast(both_ok, 1_000_000)
     g_rows = both_ok.join(rows.withColumnRenamed("stmt_id", "gold_id"), "gold_id")
     p_rows = both_ok.join(rows.withColumnRenamed("stmt_id", "pred_id"), "pred_id")
     eq = multiset_equal(g_rows, p_rows, key=["gold_id", "pred_id"], keys=both_ok)

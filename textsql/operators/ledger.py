@@ -130,3 +130,16 @@ def estimate_range(requests: DataFrame, in_col: str, max_out_col: str) -> DataFr
     ub = requests.agg(F.sum(call_cost(in_col, max_out_col)).alias("estimate_usd"))
     return ub.select("estimate_usd", (F.col("estimate_usd") * ESTIMATE_LOW).alias("low_usd"),
                      (F.col("estimate_usd") * ESTIMATE_HIGH).alias("high_usd"))
+
+
+def append_ledger(calls: DataFrame, cost: Column, path: str, run_id: str) -> None:
+    """A10 write side: append this run's priced calls (cost at 6 dp) to the shared ledger table,
+    partitioned by run so a retried run can overwrite only itself."""
+    (calls.withColumn("cost_usd", F.round(cost, 6)).withColumn("run_id", F.lit(run_id))
+     .write.mode("append").partitionBy("run_id").parquet(path))
+
+
+def load_spend(spark, path: str, cap_usd: float, ledger_col: str = "ledger") -> DataFrame:
+    """A10 read side: cumulative spend over all recorded runs and what remains under the cap."""
+    led = spark.read.parquet(path)
+    return spend_summary(led, F.col("cost_usd"), cap_usd, ledger_col)

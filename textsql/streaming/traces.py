@@ -26,7 +26,7 @@ LANDING_SCHEMA = StructType([
 ])
 
 
-def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, watermark: str = "1 hour") -> DataFrame:
+def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 2, watermark: str = "1 hour") -> DataFrame:
     return (spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
             .withWatermark("saved_at", watermark).dropDuplicatesWithinWatermark(["key"]))
 
@@ -42,7 +42,7 @@ def trace_rows(responses: DataFrame, requests: DataFrame | None = None) -> DataF
 
 
 def build_traces_stream(spark: SparkSession, landing: str, sink: str, requests: DataFrame | None = None,
-                        checkpoint: str | None = None, files_per_trigger: int = 1) -> DataFrame:
+                        checkpoint: str | None = None, files_per_trigger: int = 2) -> DataFrame:
     """Run the stream to completion over what has landed (``availableNow``) and return the
     sink as a batch DataFrame (last version per key)."""
     ckpt = checkpoint or scratch_path(spark, "r1-ckpt")
@@ -58,7 +58,7 @@ def build_traces_stream(spark: SparkSession, landing: str, sink: str, requests:
 
 
 def counters_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str | None = None,
-                    files_per_trigger: int = 1) -> DataFrame:
+                    files_per_trigger: int = 2) -> DataFrame:
     """R2: live kept / dropped counters (a response is kept when SQL can be extracted) and
     token totals, updated per micro-batch; the sink holds the latest complete table."""
     ckpt = checkpoint or scratch_path(spark, "r2-ckpt")

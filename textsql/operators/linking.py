@@ -162,31 +162,29 @@ def fk_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
     both = edges.select("db_id", "pos", F.col("from_table").alias("a"), F.col("to_table").alias("b")).unionByName(
         edges.select("db_id", "pos", F.col("to_table").alias("a"), F.col("from_table").alias("b"))
     )
-    act = seeds.select("question_id", "db_id", "table_index", F.lit(-1).cast("bigint").alias("act")).distinct()
-    act = cut_lineage(act)
+    key = ["question_id", "db_id", "table_index"]
+    act = cut_lineage(seeds.select(*key, F.lit(-1).cast("bigint").alias("act")).distinct())
     delta = act
     for _ in range(max_rounds):
         reach = (
             delta.join(both, (delta.db_id == both.db_id) & (delta.table_index == both.a))
             .filter(F.col("act") < F.col("pos"))
             .select("question_id", delta.db_id, F.col("b").alias("table_index"), F.col("pos").cast("bigint").alias("new"))
-            .groupBy("question_id", "db_id", "table_index").agg(F.min("new").alias("new"))
+            .groupBy(*key).agg(F.min("new").alias("new"))
         )
-        improved = (
-            reach.join(act, on=["question_id", "db_id", "table_index"], how="left")
-            .filter(F.col("act").isNull() | (F.col("new") < F.col("act")))
-            .select("question_id", "db_id", "table_index", F.col("new").alias("act"))
+        # One job per round: merge the relaxations into the activation table and mark what
+        # improved; the next delta is read back from the checkpoint.
+        merged = act.join(reach, on=key, how="full_outer").select(
+            *key,
+            F.least(F.col("act"), F.col("new")).alias("act"),
+            (F.col("new").isNotNull() & (F.col("act").isNull() | (F.col("new") < F.col("act")))).alias("__chg"),
         )
-        improved = cut_lineage(improved)
-        if improved.isEmpty():
+        merged = cut_lineage(merged)
+        delta = merged.filter("__chg").drop("__chg")
+        act = merged.drop("__chg")
+        if delta.isEmpty():
             break
-        act = cut_lineage(
-            act.join(improved.withColumnRenamed("act", "upd"), on=["question_id", "db_id", "table_index"],
-                     how="full_outer")
-            .select("question_id", "db_id", "table_index", F.coalesce("upd", "act").alias("act"))
-        )
-        delta = improved
-    return act.select("question_id", "db_id", "table_index")
+    return act.select(*key)
 
 
 def sized_length(corpus: DataFrame, length_col: Column | None = None) -> DataFrame:

@@ -94,3 +94,13 @@ def test_evaluator_lines(spark, zoo_examples):
     assert got == {0: "SELECT 1", 1: "SELECT 1"}
     gold = {r.question_id: r.line for r in ev.evaluator_gold_lines(zoo_examples).collect()}
     assert gold[0] == "SELECT COUNT(*) FROM animal\tzoo"
+
+
+def test_predict_with_python_hook(spark, zoo_examples):
+    def fn(pdf):
+        return "SELECT COUNT(*) FROM animal WHERE id < " + pdf["question_id"].astype(str)
+
+    out = {r.question_id: r.predicted_sql for r in ev.predict_with(zoo_examples, fn).collect()}
+    assert out[2] == "SELECT COUNT(*) FROM animal WHERE id < 2"
+    assert ev.predict_empty(zoo_examples).filter("predicted_sql <> ''").count() == 0
+    assert {r.predicted_sql for r in ev.predict_gold(zoo_examples).collect()} == {r.query for r in zoo_examples.collect()}

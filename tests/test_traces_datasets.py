@@ -90,3 +90,15 @@ def test_length_batches(spark):
     assert [r.position for r in b] == list(range(1, 11))
     assert [r.batch_id for r in b] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
     assert [r.n for r in b] == sorted(r.n for r in b)
+
+
+def test_api_error_reason_and_funnel(spark):
+    qs = spark.createDataFrame([(1, "zoo", True, True, None), (2, "zoo", True, True, "RateLimitError")],
+                               "question_id long, db_id string, gold_ok boolean, has_schema boolean, api_error string")
+    c = spark.createDataFrame([(1, 0, "SELECT 1 FROM animal", True, True, True),
+                               (2, 0, "SELECT 1 FROM animal", True, True, True)], CAND_SCHEMA)
+    sel = select_candidates(qs, c)
+    reasons = {r.drop_reason: r.n for r in drop_reasons(sel).collect()}
+    assert reasons == {"api-RateLimitError": 1}
+    f = candidate_funnel(sel, c).first()
+    assert (f.examples_kept, f.candidates_total) == (1, 1)

@@ -41,7 +41,7 @@ def select_candidates(
     """W1 + F6: one row per question: ``kept``, ``drop_reason`` (NULL when kept) and the chosen
     candidate's fields.
 
-    questions: (question_id, db_id, gold_ok, has_schema); candidates: (question_id, <order_cols>,
+    questions: (question_id, db_id, gold_ok, has_schema[, api_error]); candidates: (question_id, <order_cols>,
     sql, parses_ok, executes_ok, matches_gold); schema_tables: (db_id, tables array<string>).
     Candidates are ordered by ``order_cols`` (sample index first, then any total tie-break).
     """
@@ -68,8 +68,11 @@ def select_candidates(
     ground_ok = grounded(refs, F.coalesce(F.col("__tables"), F.array().cast("array<string>"))) \
         if schema_tables is not None else F.lit(True)
     reason = F.when(require_matches_gold & ~F.coalesce(F.col("gold_ok"), F.lit(False)), "gold-failed") \
-        .when(~F.coalesce(F.col("has_schema"), F.lit(False)), "missing-schema") \
-        .when(F.coalesce(F.col("n_candidates"), F.lit(0)) == 0, "no-candidates")
+        .when(~F.coalesce(F.col("has_schema"), F.lit(False)), "missing-schema")
+    if "api_error" in questions.columns:
+        # Sampling failed after retries: the reason names the error class (``api-<Error>``).
+        reason = reason.when(F.col("api_error").isNotNull(), F.concat(F.lit("api-"), F.col("api_error")))
+    reason = reason.when(F.coalesce(F.col("n_candidates"), F.lit(0)) == 0, "no-candidates")
     if require_matches_gold:
         reason = reason.when(~has_match & F.lit(not fallback_executes_only), "no-match") \
             .when(~has_match & F.col("first_exec").isNull(), "no-executable")
@@ -81,8 +84,8 @@ def select_candidates(
     if require_table_grounded:
         reason = reason.when(~ground_ok, "ungrounded")
     out = q.withColumn("drop_reason", reason)
-    # Questions dropped before sampling (F6) generated no candidates.
-    pre_drop = F.col("drop_reason").isin("gold-failed", "missing-schema")
+    # Questions dropped before sampling (F6) or whose sampling failed contribute no candidates.
+    pre_drop = F.col("drop_reason").isin("gold-failed", "missing-schema") | F.col("drop_reason").startswith("api-")
     return out.select(
         "question_id", "db_id",
         F.col("drop_reason").isNull().alias("kept"),
@@ -104,7 +107,8 @@ def candidate_funnel(selection: DataFrame, candidates: DataFrame) -> DataFrame:
         F.count_if("executes_ok").alias("c_exec"),
         F.count_if("matches_gold").alias("c_match"),
     )
-    sampled = ~F.coalesce(F.col("drop_reason"), F.lit("")).isin("gold-failed", "missing-schema")
+    dr = F.coalesce(F.col("drop_reason"), F.lit(""))
+    sampled = ~(dr.isin("gold-failed", "missing-schema") | dr.startswith("api-"))
     j = selection.join(per_q, on="question_id", how="left")
 
     def csum(c: str) -> Column:

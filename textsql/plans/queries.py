@@ -1212,16 +1212,20 @@ def _landing(spark, sf):
 
 
 @register("stream_trace_build", with_views(["v_completions"], f"""
-SELECT 'doc' || CAST(doc_id AS VARCHAR) AS key, coalesce({_extract_sql_sql('text')}, '') AS sql,
-       {_extract_sql_sql('text')} IS NULL AS sql_missing, {_split_reasoning_sql('text')} IS NULL AS reasoning_missing
-FROM v_completions"""))
+SELECT 'doc' || CAST(c.doc_id AS VARCHAR) AS key, c.doc_id AS question_id, d.source AS db_id,
+       coalesce({_extract_sql_sql('c.text')}, '') AS sql,
+       {_extract_sql_sql('c.text')} IS NULL AS sql_missing, {_split_reasoning_sql('c.text')} IS NULL AS reasoning_missing
+FROM v_completions c JOIN documents d ON d.doc_id = c.doc_id"""))
 def q_stream_trace_build(spark, sf):
     from ..session import scratch_path
     from ..streaming.traces import build_traces_stream
 
-    t = build_traces_stream(spark, _landing(spark, sf), scratch_path(spark, "r1-sink"))
-    return t.select("key", F.coalesce("sql", F.lit("")).alias("sql"), F.col("sql").isNull().alias("sql_missing"),
-                    F.col("reasoning").isNull().alias("reasoning_missing"))
+    # Stream-static join: each landed response finds its request (question and database).
+    requests = _docs(spark, sf).select(F.concat(F.lit("doc"), _s("doc_id")).alias("key"),
+                                       F.col("doc_id").alias("question_id"), F.col("source").alias("db_id"))
+    t = build_traces_stream(spark, _landing(spark, sf), scratch_path(spark, "r1-sink"), requests=requests)
+    return t.select("key", "question_id", "db_id", F.coalesce("sql", F.lit("")).alias("sql"),
+                    F.col("sql").isNull().alias("sql_missing"), F.col("reasoning").isNull().alias("reasoning_missing"))
 
 
 @register("stream_counters", with_views(["v_completions"], f"""

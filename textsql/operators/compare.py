@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import error_category
+from ..session import maybe_broadcast
 from .evaluate import last_wins
 
 
@@ -97,9 +98,9 @@ def merge_runs(existing: DataFrame, new: DataFrame, key: str | Sequence[str] = "
 def scaling_axis(axis: DataFrame, summary: DataFrame, run_col: str = "run") -> DataFrame:
     """J12 + P24: (label, run, size) left-joined to run-level accuracy; 'NaN' for a missing run.
 
-    The axis is a hand-written list of a few points (bounded), so it is broadcast."""
+    The axis is a hand-written list of a few points; it is broadcast after a count confirms it."""
     overall = summary.filter(F.col("difficulty") == "all").select(run_col, "exec_accuracy")
-    j = F.broadcast(axis).join(overall, on=run_col, how="left")
+    j = maybe_broadcast(axis, max_rows=10_000).join(overall, on=run_col, how="left")
     return j.withColumn("exec_pct", percent_text(F.col("exec_accuracy")))
 
 

@@ -98,8 +98,10 @@ def leaderboard(outcomes: DataFrame, run_col: str = "run", labels: DataFrame | N
         aggs.append(F.round(_ratio(hit.cast("double"), tot), ndigits).alias(b))
     board = outcomes.groupBy(run_col).agg(*aggs)
     if labels is not None:
-        # Display labels are a hand-written list (tens of rows): a broadcast is size-safe here.
-        board = board.join(F.broadcast(labels), on=run_col, how="left")
+        # Display labels are a hand-written list (tens of rows); broadcast once a count confirms.
+        from ..session import maybe_broadcast
+
+        board = board.join(maybe_broadcast(labels, max_rows=10_000), on=run_col, how="left")
         board = board.withColumn("label", F.coalesce(F.col("label"), F.col(run_col)))
     else:
         board = board.withColumn("label", F.col(run_col))

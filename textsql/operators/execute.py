@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import clean_sql
-from ..session import scratch_path
+from ..session import maybe_broadcast, scratch_path
 from .resultset import multiset_equal
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -156,9 +156,8 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, key: str = "pair_id", gol
     both_ok = c.filter((F.col("gold_status") == "ok") & (F.col("pred_status") == "ok")).select("gold_id", "pred_id")
     # The statement pairs to compare: broadcast only after a count proves the list small, so a
     # statement with a huge result is matched in place instead of shuffled on its id.
-    from .linking import maybe_broadcast
-
-    both_ok = maybe_broadcast(both_ok, 1_000_000)
+    # Two sha256 hex ids per row (~140 bytes): 100k pairs is ~14 MB.
+    both_ok = maybe_broadcast(both_ok, max_rows=100_000, row_bytes=160)
     g_rows = both_ok.join(rows.withColumnRenamed("stmt_id", "gold_id"), "gold_id")
     p_rows = both_ok.join(rows.withColumnRenamed("stmt_id", "pred_id"), "pred_id")
     eq = multiset_equal(g_rows, p_rows, key=["gold_id", "pred_id"], keys=both_ok)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, maybe_broadcast, spread
 from ..functions.text import col_
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -57,13 +57,6 @@ def term_bag(text: Column | str) -> Column:
     return F.concat(words, pieces)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise leave the shuffle join
-    (AQE still splits skewed partitions). ``df`` should be cheap to recompute or cached."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def query_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:
     """(question_id, db_id, term, qtf): query tokens with multiplicity."""
     return (
@@ -89,7 +82,7 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = BM25_K1, b:
     """
     qt = query_terms(questions)
     vocab = qt.select("db_id", "term").distinct().withColumn("__hit", F.lit(True))
-    vocab = maybe_broadcast(vocab, broadcast_rows)
+    vocab = maybe_broadcast(vocab, max_rows=broadcast_rows, row_bytes=48)
 
     toks = spread(corpus.select("db_id", "table_index", "text")).select(
         "db_id", "table_index", F.explode_outer(term_bag("text")).alias("term"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job in this package is written for. AQE re-plans joins at runtime (broadcast
 # when a side turns out small, splits skewed shuffle partitions); coalescing keeps small stages cheap.
@@ -75,3 +76,13 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target * factor)
     return df
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = 100_000, row_bytes: int = 64,
+                    max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Broadcast ``df`` only after a count proves it small (rows, and rows x estimated width
+    under ``max_bytes``); otherwise leave the shuffle join, where AQE still splits skewed
+    partitions. Meant for sides that are cheap to count (derived from questions, statement
+    lists, hand-written tables), never for a data-sized side."""
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows and n * row_bytes <= max_bytes else df

@@ -111,3 +111,22 @@ def test_overlay_all_buckets(spark):
     off = spark.createDataFrame([("a", "execution", "hard", 0.5)], "run string, metric string, bucket string, value double")
     got = {r.difficulty: (r.n, r.exec_overlay) for r in ev.overlay_metrics(s, off, all_buckets=True).collect()}
     assert got["easy"] == (1, 1.0) and got["hard"] == (0, 0.5) and got["extra"] == (0, None) and "all" in got
+
+
+def test_completion_hook_only_misses(spark, tmp_path):
+    import pandas as pd
+
+    from textsql.operators.ledger import complete_with
+
+    store = spark.createDataFrame([("k1", "```sql\nSELECT 1\n```", 1, 1)],
+                                  "key string, text string, prompt_tokens long, completion_tokens long")
+    req = spark.createDataFrame([("k1", "q one"), ("k2", "q two")], "key string, messages_text string")
+
+    def client(pdf):
+        return pd.DataFrame({"text": "```sql\nSELECT 2\n```", "prompt_tokens": pdf["messages_text"].str.len(),
+                             "completion_tokens": 3})
+
+    new = complete_with(misses(req, store), client)
+    write_store(store.unionByName(new), str(tmp_path / "s"))
+    back = {r.key: r.text for r in spark.read.parquet(str(tmp_path / "s")).collect()}
+    assert back == {"k1": "```sql\nSELECT 1\n```", "k2": "```sql\nSELECT 2\n```"}

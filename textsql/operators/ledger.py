@@ -143,3 +143,20 @@ def load_spend(spark, path: str, cap_usd: float, ledger_col: str = "ledger") ->
     """A10 read side: cumulative spend over all recorded runs and what remains under the cap."""
     led = spark.read.parquet(path)
     return spend_summary(led, F.col("cost_usd"), cap_usd, ledger_col)
+
+
+def complete_with(requests: DataFrame, fn, key: str = "key", text_col: str = "messages_text") -> DataFrame:
+    """U2 completion hook: ``fn(pandas.DataFrame) -> pandas.DataFrame`` with columns ``text``,
+    ``prompt_tokens``, ``completion_tokens`` (one row per request, same order), run per Arrow
+    batch on the executors via ``mapInPandas``. Typical use: ``complete_with(misses(req, store),
+    client)`` and then ``write_store`` -- only cache misses ever reach the model."""
+
+    def _run(batches):
+        for pdf in batches:
+            out = fn(pdf[[key, text_col]])
+            yield pdf[[key]].assign(text=out["text"].astype(str).values,
+                                    prompt_tokens=out["prompt_tokens"].astype("int64").values,
+                                    completion_tokens=out["completion_tokens"].astype("int64").values)
+
+    return requests.select(key, text_col).mapInPandas(
+        _run, "key string, text string, prompt_tokens long, completion_tokens long")

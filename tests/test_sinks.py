@@ -130,3 +130,14 @@ def test_completion_hook_only_misses(spark, tmp_path):
     write_store(store.unionByName(new), str(tmp_path / "s"))
     back = {r.key: r.text for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert back == {"k1": "```sql\nSELECT 1\n```", "k2": "```sql\nSELECT 2\n```"}
+
+
+def test_offline_prediction_values(spark, tmp_path):
+    from textsql.sources.files import read_predictions_jsonl
+
+    p = tmp_path / "pred.jsonl"
+    p.write_text('{"question_id": 1, "db_id": "zoo", "predicted_sql": "SELECT 1"}\n\n'
+                 '{"question_id": 2, "db_id": "zoo", "predicted_sql": null}\n'
+                 '{"question_id": 3, "db_id": "zoo"}\n')
+    got = {r.question_id: r.predicted_sql for r in read_predictions_jsonl(spark, str(p)).collect()}
+    assert got == {1: "SELECT 1", 2: "None", 3: ""}

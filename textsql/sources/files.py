@@ -30,3 +30,22 @@ def read_outcomes(spark: SparkSession, path: str, runs: list[str] | None = None)
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """A4 for traces (malformed lines quarantined in ``_corrupt_record``)."""
     return read_jsonl(spark, path, TRACE)
+
+
+def read_predictions_jsonl(spark: SparkSession, path: str, none_as_text: bool = True) -> DataFrame:
+    """A4 for an offline prediction file, with the offline scorer's value rules (T14): a present
+    but null ``predicted_sql`` reads as the text ``'None'`` (``none_as_text``), a missing key as
+    ``''``; blank lines are skipped; ``question_id`` and ``db_id`` are required."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    keys = F.json_object_keys("value")
+    sql = F.get_json_object("value", "$.predicted_sql")
+    present = F.coalesce(F.array_contains(keys, "predicted_sql"), F.lit(False))
+    qid = F.get_json_object("value", "$.question_id").cast("bigint")
+    out = lines.select(
+        F.when(qid.isNull(), F.raise_error(F.lit("prediction line without question_id"))).otherwise(qid)
+        .alias("question_id"),
+        F.get_json_object("value", "$.db_id").alias("db_id"),
+        F.when(sql.isNotNull(), sql).when(present & F.lit(none_as_text), F.lit("None")).otherwise(F.lit(""))
+        .alias("predicted_sql"),
+    )
+    return out

@@ -65,3 +65,18 @@ def test_stream_equals_batch(spark):
                                                   F.coalesce(extract_sql("text"), F.lit("")).alias("sql"))
     assert stream.select("key", "sql").exceptAll(batch).count() == 0
     assert batch.exceptAll(stream.select("key", "sql")).count() == 0
+
+
+def test_statements_run_against_their_own_database(spark):
+    """Two databases with a table of the same name: each pair runs in its own database."""
+    data = {"a": [(1,), (2,)], "b": [(1,), (2,), (3,)]}
+
+    def tables_for(sess, db):
+        return {"animal": sess.createDataFrame(data[db], "id long")}
+
+    pairs = spark.createDataFrame(
+        [(1, "a", "SELECT count(*) FROM animal", "SELECT 2"), (2, "b", "SELECT count(*) FROM animal", "SELECT 2"),
+         (3, "b", "SELECT max(id) FROM animal", "SELECT count(*) FROM animal")],
+        "pair_id long, db_id string, gold_sql string, pred_sql string")
+    out = {r.pair_id: r.exec_match for r in score_pairs(spark, pairs, db_col="db_id", tables_for=tables_for).collect()}
+    assert out == {1: True, 2: False, 3: True}

@@ -41,8 +41,12 @@ ROWS_SCHEMA = StructType([
 ])
 
 
-def statement_id(sql_col) -> F.Column:
-    return F.sha2(F.coalesce(clean_sql(sql_col), F.lit("")), 256)
+def statement_id(sql_col, db_col=None) -> F.Column:
+    """sha256 of the cleaned text, or of ``db_id <US> text`` when statements are per database."""
+    text = F.coalesce(clean_sql(sql_col), F.lit(""))
+    if db_col is not None:
+        text = F.concat_ws("\x1f", F.coalesce(F.col(db_col) if isinstance(db_col, str) else db_col, F.lit("")), text)
+    return F.sha2(text, 256)
 
 
 def _is_query(text: str) -> bool:
@@ -68,31 +72,62 @@ def _analyze(spark: SparkSession, sid: str, text: str):
         return sid, "execution", getattr(e, "getCondition", lambda: None)() or type(e).__name__, None
 
 
+def _db_session(spark: SparkSession, db: str | None, tables_for, cache: dict, lock: threading.Lock):
+    """The session a database's statements run in: a child session (same SparkContext, its own
+    temp views and current database) with that database's tables registered by
+    ``tables_for(session, db_id) -> {name: DataFrame}``, or the catalog database ``db_id``."""
+    if db is None:
+        return spark
+    with lock:
+        if db not in cache:
+            sess = spark.newSession()
+            if tables_for is not None:
+                for name, df in tables_for(sess, db).items():
+                    df.createOrReplaceTempView(name)
+            else:
+                sess.catalog.setCurrentDatabase(db)
+            cache[db] = sess
+        return cache[db]
+
+
 def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
                    max_workers: int = 8, timeout_s: float | None = 300.0,
-                   out_path: str | None = None, batch_size: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Run every distinct cleaned statement once.
+                   out_path: str | None = None, batch_size: int = 32,
+                   db_col: str | None = None, tables_for=None) -> tuple[DataFrame, DataFrame]:
+    """Run every distinct cleaned statement (per database when ``db_col`` is given) once.
 
     Statements are parsed and analysed on the driver (no data moves), then the runnable ones
-    are executed in batches: one Spark job writes the union of a batch's result rows,
-    partitioned by statement id. A batch that fails at run time is re-run one statement per
-    job so the failure is pinned to its statement. Batches run concurrently from a bounded
-    pool; each job group is cancelled after ``timeout_s``.
+    are executed in batches of one database: one Spark job writes the union of a batch's result
+    rows, partitioned by statement id. A batch that fails at run time is re-run one statement
+    per job so the failure is pinned to its statement. Batches run concurrently from a bounded
+    pool; each job group is cancelled after ``timeout_s``. Per-database statements run in a
+    child session holding that database's tables (``tables_for``) or catalog database.
 
     Returns ``(status, rows)``: status (stmt_id, status, error) and rows (stmt_id, row
-    array<string>) with NULL cells as ''. ``stmt_id`` = sha256 of the cleaned text.
+    array<string>) with NULL cells as ''. ``stmt_id`` = ``statement_id(sql, db)``.
     """
-    distinct = statements.select(statement_id(sql_col).alias("stmt_id"),
+    db_expr = F.col(db_col) if db_col else F.lit(None).cast("string")
+    distinct = statements.select(statement_id(sql_col, db_col).alias("stmt_id"), db_expr.alias("db"),
                                  F.coalesce(clean_sql(sql_col), F.lit("")).alias("text")).distinct()
-    todo = [(r["stmt_id"], r["text"]) for r in distinct.collect()]  # control plane: texts only
+    todo = [(r["stmt_id"], r["db"], r["text"]) for r in distinct.collect()]  # control plane: texts only
     out = out_path or scratch_path(spark, "stmt-rows")
     sc = spark.sparkContext
+    sessions: dict = {}
+    lock = threading.Lock()
+
+    def analyze(item):
+        sid, db, text = item
+        sess = _db_session(spark, db, tables_for, sessions, lock)
+        return (*_analyze(sess, sid, text), db)
 
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        analyzed = list(pool.map(lambda it: _analyze(spark, *it), todo))
-    status = {sid: (st, err) for sid, st, err, _ in analyzed}
-    runnable = [(sid, df) for sid, st, _, df in analyzed if st == "ok"]
-    batches = [runnable[i:i + batch_size] for i in range(0, len(runnable), batch_size)]
+        analyzed = list(pool.map(analyze, todo))
+    status = {sid: (st, err) for sid, st, err, _, _ in analyzed}
+    by_db: dict = {}
+    for sid, st, _, df, db in analyzed:
+        if st == "ok":
+            by_db.setdefault(db, []).append((sid, df))
+    batches = [items[i:i + batch_size] for items in by_db.values() for i in range(0, len(items), batch_size)]
 
     def write(items, tag):
         group = f"textsql-{uuid.uuid4().hex[:8]}"
@@ -137,18 +172,21 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
 
 
 def score_pairs(spark: SparkSession, pairs: DataFrame, key: str = "pair_id", gold_col: str = "gold_sql",
-                pred_col: str = "pred_sql", **run_kw) -> DataFrame:
-    """Execute gold and prediction once per distinct statement, compare every distinct
-    (gold, prediction) statement pair as row multisets, and attach status and failure mode.
+                pred_col: str = "pred_sql", db_col: str | None = None, **run_kw) -> DataFrame:
+    """Execute gold and prediction once per distinct (database, statement), compare every
+    distinct (gold, prediction) statement pair as row multisets, and attach status and failure
+    mode. With ``db_col`` both statements of a pair run against that pair's database.
 
     Output: key, gold_status, pred_status, exec_match, failure_mode.
     """
     from ..functions.sqltext import classify_failure
 
-    p = pairs.select(key, statement_id(gold_col).alias("gold_id"), statement_id(pred_col).alias("pred_id"),
-                     F.col(pred_col).alias("__pred_text"))
-    stmts = pairs.select(F.col(gold_col).alias("sql")).unionByName(pairs.select(F.col(pred_col).alias("sql")))
-    status, rows = run_statements(spark, stmts, "sql", **run_kw)
+    p = pairs.select(key, statement_id(gold_col, db_col).alias("gold_id"),
+                     statement_id(pred_col, db_col).alias("pred_id"), F.col(pred_col).alias("__pred_text"))
+    dbs = [db_col] if db_col else []
+    stmts = pairs.select(*dbs, F.col(gold_col).alias("sql")).unionByName(
+        pairs.select(*dbs, F.col(pred_col).alias("sql")))
+    status, rows = run_statements(spark, stmts, "sql", db_col=db_col, **run_kw)
     combos = p.select("gold_id", "pred_id").distinct()
     st_g = status.select(F.col("stmt_id").alias("gold_id"), F.col("status").alias("gold_status"))
     st_p = status.select(F.col("stmt_id").alias("pred_id"), F.col("status").alias("pred_status"))

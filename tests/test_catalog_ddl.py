@@ -85,3 +85,17 @@ def test_cell_text(spark):
     df = spark.createDataFrame([(None,), ("a\tb\nc",), ("x" * 50,)], "v string")
     got = [r[0] for r in df.select(D.cell_text("v", 40)).collect()]
     assert got == ["NULL", "a b c", "x" * 39 + "…"]
+
+
+def test_table_documents_and_schema_block(spark, zoo_raw):
+    from textsql.operators.linking import render_schema_blocks, table_documents
+
+    cols = C.catalog_columns(zoo_raw)
+    docs = {r.table_index: r.text for r in table_documents(cols).collect()}
+    assert docs == {0: "animal id species weight_kg keeper_id", 1: "zookeeper id name"}
+    blocks = spark.createDataFrame([("zoo", 0, "CREATE TABLE animal (...);", ""),
+                                    ("zoo", 1, "CREATE TABLE zookeeper (...);", "/* sample rows:\n  id\n  1 \n*/")],
+                                   "db_id string, table_index long, ddl string, sample_block string")
+    kept = spark.createDataFrame([(7, "zoo", 1), (7, "zoo", 0)], "question_id long, db_id string, table_index long")
+    got = render_schema_blocks(kept, blocks).first().schema_block
+    assert got == ("CREATE TABLE animal (...);\n\nCREATE TABLE zookeeper (...);\n\n/* sample rows:\n  id\n  1 \n*/")

@@ -187,14 +187,18 @@ def sized_length(corpus: DataFrame, length_col: Column | None = None) -> DataFra
 
 
 def prune_schema(corpus: DataFrame, questions: DataFrame, edges: DataFrame,
-                 budget_chars: int = SCHEMA_BUDGET_CHARS, min_tables: int = MIN_TABLES_KEPT) -> DataFrame:
+                 budget_chars: int = SCHEMA_BUDGET_CHARS, min_tables: int = MIN_TABLES_KEPT,
+                 size_col: str | None = None) -> DataFrame:
     """W3 (pipeline rule): a database whose full rendering fits the budget keeps every table;
     otherwise the answer is the FK closure of the top ``min_tables`` BM25 tables (growing k
     cannot shrink a closure, so the first k tried is the answer whether it fits or not).
 
+    ``size_col`` names a per-table column with the table's sized length (its CREATE block plus
+    raw sample cells); by default the document text's length is used.
+
     Output: (question_id, db_id, table_index) kept, in table order when sorted.
     """
-    size = sized_length(corpus)
+    size = sized_length(corpus, F.col(size_col) if size_col else None)
     q = questions.join(size, on="db_id", how="left")
     fits = q.filter(F.col("full_chars") <= budget_chars).select("question_id", "db_id")
     over = q.filter(~(F.col("full_chars") <= budget_chars)).select("question_id", "db_id", "question")
@@ -203,3 +207,35 @@ def prune_schema(corpus: DataFrame, questions: DataFrame, edges: DataFrame,
     seeds = top_tables(scores, corpus, over, k=max(min_tables, 1)).select("question_id", "db_id", "table_index")
     closed = fk_closure(seeds, edges)
     return keep_all.select("question_id", "db_id", "table_index").unionByName(closed)
+
+
+def table_documents(columns: DataFrame, sample_text: DataFrame | None = None) -> DataFrame:
+    """BM25 documents of a catalog: per table, its name, its column names in order
+    and (if any) its sample cells, joined by spaces.
+
+    columns: A1 output (db_id, table_index, table_name, flat_index, column_name); sample_text:
+    (db_id, table_index, sample_text). A table's column list is bounded by the catalog.
+    """
+    per = columns.groupBy("db_id", "table_index").agg(
+        F.first("table_name").alias("table_name"),
+        F.array_sort(F.collect_list(F.struct("flat_index", "column_name"))).alias("__cols"))
+    text = F.concat_ws(" ", F.col("table_name"), F.array_join(F.transform("__cols", lambda c: c["column_name"]), " "))
+    if sample_text is not None:
+        per = per.join(sample_text, ["db_id", "table_index"], "left")
+        text = F.when(F.col("sample_text").isNotNull(), F.concat_ws(" ", text, F.col("sample_text"))).otherwise(text)
+    return per.select("db_id", "table_index", text.alias("text"))
+
+
+def render_schema_blocks(kept: DataFrame, table_blocks: DataFrame) -> DataFrame:
+    """The prompt's schema block per question: the kept tables' blocks (CREATE TABLE, then the
+    sample-row block when non-empty) in table order, joined by blank lines; no tables -> ''.
+
+    kept: (question_id, db_id, table_index); table_blocks: (db_id, table_index, ddl,
+    sample_block). The kept set is the pruned schema, so the per-question list is bounded.
+    """
+    parts = F.when(F.coalesce(F.col("sample_block"), F.lit("")) != "",
+                   F.concat_ws("\n\n", F.col("ddl"), F.col("sample_block"))).otherwise(F.col("ddl"))
+    j = kept.join(table_blocks, ["db_id", "table_index"]).select("question_id", "table_index", parts.alias("part"))
+    return j.groupBy("question_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_index", "part"))),
+                                 lambda x: x["part"]), "\n\n").alias("schema_block"))

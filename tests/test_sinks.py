@@ -66,8 +66,8 @@ def test_results_document_and_merge(spark):
     new = s.filter("run = 'b'").withColumn("n", F.lit(99).cast("bigint"))
     merged = {(r.run, r.difficulty): r.n for r in merge_runs(s, new).collect()}
     assert merged[("b", "all")] == 99 and merged[("a", "all")] == 1
-    runs = spark.createDataFrame([("distilled_primary",), ("teacher_ref",), ("distilled_x",)], "run string")
-    assert anchor_run(runs, "^distilled_.*primary").first().run == "distilled_primary"
+    runs = spark.createDataFrame([("student_primary",), ("teacher_ref",), ("student_x",)], "run string")
+    assert anchor_run(runs, "^student_.*primary").first().run == "student_primary"
     assert anchor_run(runs, "^nothing").count() == 0
 
 

@@ -92,7 +92,7 @@ def _leaderboard_sql() -> str:
         f"count_if(difficulty = '{b}' AND exec_match) / count_if(difficulty = '{b}') ELSE 0.0 END, 6) AS {b}"
         for b in st.DIFFICULTY_BUCKETS)
     return with_views(["v_outcomes"], f"""
-, labels(run, label) AS (VALUES ('base', 'Base model'), ('student', 'Distilled student'))
+, labels(run, label) AS (VALUES ('base', 'Base model'), ('student', 'Student model'))
 SELECT o.run, count(*) AS n, round(avg(CAST(exec_match AS DOUBLE)), 6) AS exec_accuracy,
        round(avg(CAST(exact_set_match AS DOUBLE)), 6) AS exact_match_accuracy, {buckets},
        coalesce(any_value(l.label), o.run) AS label
@@ -101,7 +101,7 @@ FROM v_outcomes o LEFT JOIN labels l ON l.run = o.run GROUP BY o.run""")
 
 @register("leaderboard", _leaderboard_sql())
 def q_leaderboard(spark, sf):
-    labels = spark.createDataFrame([("base", "Base model"), ("student", "Distilled student")], "run string, label string")
+    labels = spark.createDataFrame([("base", "Base model"), ("student", "Student model")], "run string, label string")
     return ev.leaderboard(V.outcomes(spark, sf), labels=labels)
 
 

@@ -1,10 +1,8 @@
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from textsql.operators import evaluate as ev
 from textsql.operators.execute import score_pairs
 
 

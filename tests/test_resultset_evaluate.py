@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from textsql.operators import evaluate as ev
 from textsql.operators.resultset import multiset_equal, normalize_row

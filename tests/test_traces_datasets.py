@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from textsql.operators import datasets as DS
 from textsql.operators.traces import candidate_funnel, drop_reasons, select_candidates

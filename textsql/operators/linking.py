@@ -29,9 +29,14 @@ SCHEMA_BUDGET_CHARS = 5000  # int(1500 tokens / 0.30 tokens per char)
 
 def tokenize(text: Column | str) -> Column:
     """Lower-case words ``[A-Za-z][A-Za-z0-9_]*``; each word's non-empty ``_`` pieces, then
-    the whole word again when it contains ``_``. Multiplicity and order are kept."""
-    words = F.regexp_extract_all(F.lower(col_(text)), F.lit(TOKEN_RE), 0)
-    return F.flatten(
+    the whole word again when it contains ``_``. Multiplicity and order are kept.
+
+    A text without ``_`` (almost all prose) is just its word list -- one regex scan; only texts
+    with ``_`` pay for the per-word split (a JVM higher-order function, no Python).
+    """
+    t = col_(text)
+    words = F.regexp_extract_all(F.lower(t), F.lit(TOKEN_RE), 0)
+    split_words = F.flatten(
         F.transform(
             words,
             lambda w: F.when(
@@ -40,6 +45,7 @@ def tokenize(text: Column | str) -> Column:
             ).otherwise(F.array(w)),
         )
     )
+    return F.when(F.instr(t, "_") == 0, words).otherwise(split_words)
 
 
 def term_bag(text: Column | str) -> Column:
@@ -50,11 +56,12 @@ def term_bag(text: Column | str) -> Column:
     A match of ``SNAKE_RE`` is exactly a word containing ``_``: it must start at a word's first
     letter, because a word without ``_`` offers no ``_`` to any later start inside it.
     """
-    low = F.lower(col_(text))
+    t = col_(text)
+    low = F.lower(t)
     words = F.regexp_extract_all(low, F.lit(TOKEN_RE), 0)
     snake = F.regexp_extract_all(low, F.lit(SNAKE_RE), 0)
     pieces = F.regexp_extract_all(F.array_join(snake, " "), F.lit("[A-Za-z0-9]+"), 0)
-    return F.concat(words, pieces)
+    return F.when(F.instr(t, "_") == 0, words).otherwise(F.concat(words, pieces))
 
 
 def query_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:

@@ -78,3 +78,11 @@ def test_statements_run_against_their_own_database(spark):
         "pair_id long, db_id string, gold_sql string, pred_sql string")
     out = {r.pair_id: r.exec_match for r in score_pairs(spark, pairs, db_col="db_id", tables_for=tables_for).collect()}
     assert out == {1: True, 2: False, 3: True}
+
+
+def test_fixed_pairs_match_their_expected_verdicts(spark):
+    from textsql.plans import queries as Q
+    from textsql.plans.sql_pairs import PAIRS
+
+    got = {r.pair_id: r.exec_match for r in Q.q_score_sql_pairs(spark, SF_SMALL).collect()}
+    assert got == {p[0]: p[4] for p in PAIRS}

@@ -50,6 +50,22 @@ PAIRS = (
          "GROUP BY l_returnflag, l_linestatus",
          "select L_RETURNFLAG, L_LINESTATUS, COUNT(*), SUM(L_LINENUMBER) from LINEITEM "
          "group by L_LINESTATUS, L_RETURNFLAG order by 1", "cmp", True),
+    (21, "SELECT count(*) FROM part WHERE p_size > (SELECT avg(p_size) FROM part)",
+         "SELECT count(*) FROM part WHERE p_size > (SELECT sum(p_size) / count(*) FROM part)", "cmp", True),
+    (22, "SELECT p_partkey FROM part WHERE p_size = (SELECT max(p_size) FROM part)",
+         "SELECT p_partkey FROM part WHERE p_size >= (SELECT max(p_size) FROM part)", "cmp", True),
+    (23, "SELECT n.n_name, c.cnt FROM nation n JOIN (SELECT c_nationkey, count(*) AS cnt FROM customer "
+         "GROUP BY c_nationkey) c ON c.c_nationkey = n.n_nationkey",
+         "SELECT n_name, count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name",
+         "cmp", True),
+    # LIKE is case-sensitive in Spark (and DuckDB), unlike SQLite: a documented dialect gap.
+    (24, "SELECT count(*) FROM part WHERE p_type LIKE 'ECO%'",
+         "SELECT count(*) FROM part WHERE p_type LIKE 'eco%'", "cmp", False),
+    (25, "SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+         "SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)",
+         "cmp", True),
+    (26, "SELECT count(*) FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus = 'O'",
+         "SELECT count(*) FROM orders WHERE o_orderstatus IN ('F', 'O')", "cmp", True),
 )
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 # ----------------------------------------------------------------------------------------------

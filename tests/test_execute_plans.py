@@ -86,3 +86,15 @@ def test_fixed_pairs_match_their_expected_verdicts(spark):
 
     got = {r.pair_id: r.exec_match for r in Q.q_score_sql_pairs(spark, SF_SMALL).collect()}
     assert got == {p[0]: p[4] for p in PAIRS}
+
+
+def test_runtime_failure_is_pinned_to_its_statement(spark):
+    from textsql.operators.execute import run_statements
+
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    stmts = spark.createDataFrame([("SELECT 1 / 0",), ("SELECT 41 + 1",), ("SELECT 'x' AS a",)], "sql string")
+    status, rows = run_statements(spark, stmts)
+    st = {r.stmt_id: r.status for r in status.collect()}
+    assert sorted(st.values()) == ["execution", "ok", "ok"]
+    got = sorted(tuple(r.row) for r in rows.collect())
+    assert got == [("42",), ("x",)]  # each surviving statement's rows exactly once

@@ -149,21 +149,27 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
                 timer.cancel()
 
     def run_batch(k_items):
+        """Returns the tags of the directories that committed (only those are read back)."""
         k, items = k_items
         err = write(items, str(k))
         if err is None:
-            return
+            return [str(k)]
+        done = []
         for j, (sid, df) in enumerate(items):
             e = write([(sid, df)], f"{k}-{j}")
-            if e is not None:
+            if e is None:
+                done.append(f"{k}-{j}")
+            else:
                 status[sid] = ("execution", e)
+        return done
 
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        list(pool.map(run_batch, enumerate(batches)))
+        committed = [tag for tags in pool.map(run_batch, enumerate(batches)) for tag in tags]
     results = [(sid, st, err) for sid, (st, err) in status.items()]
     status_df = spark.createDataFrame(results, STATUS_SCHEMA)
-    if any(st == "ok" for _, st, _ in results):
-        rows = spark.read.schema(ROWS_SCHEMA).option("basePath", out).parquet(f"{out}/batch=*")
+    if committed:
+        rows = spark.read.schema(ROWS_SCHEMA).option("basePath", out).parquet(
+            *[f"{out}/batch={tag}" for tag in committed])
         ok_ids = status_df.filter(F.col("status") == "ok").select("stmt_id")
         rows = rows.join(ok_ids, "stmt_id", "left_semi")
     else:

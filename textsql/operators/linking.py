@@ -23,10 +23,19 @@ BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_MIN_DENOM = 1e-9
 MIN_TABLES_KEPT = 2
-SCHEMA_BUDGET_CHARS = 5000  # int(1500 tokens / 0.30 tokens per char)
+SCHEMA_MAX_TOKENS = 1500
+TOKENS_PER_CHAR = 0.30
 # ----------------------------------------------------------------------------------------------
 
 
+def schema_budget_chars(max_tokens: int = SCHEMA_MAX_TOKENS, tokens_per_char: float = TOKENS_PER_CHAR) -> int:
+    """The schema block's character budget, ``int(max_tokens / max(ratio, 1e-3))``."""
+    return int(max_tokens / max(tokens_per_char, 1e-3))
+
+
+SCHEMA_BUDGET_CHARS = schema_budget_chars()
+
+
 def tokenize(text: Column | str) -> Column:
     """Lower-case words ``[A-Za-z][A-Za-z0-9_]*``; each word's non-empty ``_`` pieces, then
     the whole word again when it contains ``_``. Multiplicity and order are kept.

@@ -57,3 +57,14 @@ def test_exact_rank_with_hot_key(spark):
     got = {r.id: r.rank for r in exact_rank(df, [F.col("v"), F.col("id")]).collect()}
     want = {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     assert got == want
+
+
+def test_request_key_stable_and_field_sensitive(spark):
+    df = spark.createDataFrame([("m", "sys\nq", 256, 0)], "model string, msg string, mt long, si long")
+    k = lambda **kw: df.select(LG.request_key(kw.get("model", "model"), "msg", kw.get("t", 0.3),
+                                              kw.get("mt", "mt"), kw.get("si", "si"))).first()[0]
+    base = k()
+    assert base == k() and len(base) == 64
+    assert k(t=0.30001) == base          # temperature is keyed at 4 decimals
+    assert k(t=0.31) != base
+    assert k(si=F.lit(1)) != base and k(mt=F.lit(512)) != base and k(model=F.lit("other")) != base

@@ -98,3 +98,17 @@ def test_runtime_failure_is_pinned_to_its_statement(spark):
     assert sorted(st.values()) == ["execution", "ok", "ok"]
     got = sorted(tuple(r.row) for r in rows.collect())
     assert got == [("42",), ("x",)]  # each surviving statement's rows exactly once
+
+
+def test_no_unpartitioned_window_over_data(spark):
+    """A window without PARTITION BY runs in one task. The only ones allowed are the bounded
+    tables: exact_rank's per-partition offsets (``__pid``) and case_examples' category ranking
+    (at most 12 rows)."""
+    import __spark_entry__ as entry
+
+    for name, fn in entry.queries().items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            node = line.strip().lstrip("+-: ")
+            if node.startswith("Window [") and node.count("], [") == 1:
+                assert "__pid" in node or name == "case_examples", (name, node[:160])

@@ -658,6 +658,11 @@ def _requests_sql() -> str:
   FROM req r LEFT JOIN store s ON s.key = r.key)"""
 
 
+def _requests_with() -> str:
+    """``WITH req, store, replayed`` (the CTE list above without its leading comma)."""
+    return "WITH " + _requests_sql().lstrip().lstrip(",").lstrip()
+
+
 def _store(spark, sf, req):
     """Responses already stored: the assistant reply to sample 0 of each user turn."""
     c = V.read(spark, sf, "conversations").filter(F.col("role") == "assistant")
@@ -668,14 +673,14 @@ def _store(spark, sf, req):
         F.floor(F.length("text") / 4).cast("bigint").alias("completion_tokens"))
 
 
-@register("request_keys", "WITH dummy AS (SELECT 1)" + _requests_sql() + """
+@register("request_keys", _requests_with() + """
 SELECT conv_id, turn, sample_index, key FROM req""")
 def q_request_keys(spark, sf):
     return _requests(spark, sf).select("conv_id", "turn", F.col("sample_index").cast("bigint").alias("sample_index"),
                                        "key")
 
 
-@register("cache_replay", "WITH dummy AS (SELECT 1)" + _requests_sql() + """
+@register("cache_replay", _requests_with() + """
 SELECT count(*) AS calls, CAST(count_if(cached) AS BIGINT) AS hits, CAST(count_if(NOT cached) AS BIGINT) AS misses
 FROM replayed""")
 def q_cache_replay(spark, sf):
@@ -685,7 +690,7 @@ def q_cache_replay(spark, sf):
     return replay_counts(replay(req, _store(spark, sf, req)))
 
 
-@register("token_cost_per_1k", "WITH dummy AS (SELECT 1)" + _requests_sql() + f"""
+@register("token_cost_per_1k", _requests_with() + f"""
 SELECT '{_TEACHER_MODEL}' AS model, count(*) AS hits, round(avg(prompt_tokens), 6) AS avg_in_tokens,
        round(avg(completion_tokens), 6) AS avg_out_tokens,
        round(1000 * (avg(prompt_tokens) * 0.15 / 1000000 + avg(completion_tokens) * 0.60 / 1000000), 9) AS usd_per_1k

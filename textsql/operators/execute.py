@@ -93,7 +93,8 @@ def _db_session(spark: SparkSession, db: str | None, tables_for, cache: dict, lo
 def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
                    max_workers: int = 8, timeout_s: float | None = 300.0,
                    out_path: str | None = None, batch_size: int = 32,
-                   db_col: str | None = None, tables_for=None) -> tuple[DataFrame, DataFrame]:
+                   db_col: str | None = None, tables_for=None,
+                   scheduler_pool: str = "textsql-statements") -> tuple[DataFrame, DataFrame]:
     """Run every distinct cleaned statement (per database when ``db_col`` is given) once.
 
     Statements are parsed and analysed on the driver (no data moves), then the runnable ones
@@ -134,6 +135,8 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
         timer = None
         try:
             sc.setJobGroup(group, f"statements {tag}", interruptOnCancel=True)
+            # Concurrent batches share executors fairly when the cluster runs the FAIR scheduler.
+            sc.setLocalProperty("spark.scheduler.pool", scheduler_pool)
             if timeout_s:
                 timer = threading.Timer(timeout_s, lambda: sc.cancelJobGroup(group))
                 timer.start()

@@ -103,3 +103,11 @@ def test_predict_with_python_hook(spark, zoo_examples):
     assert out[2] == "SELECT COUNT(*) FROM animal WHERE id < 2"
     assert ev.predict_empty(zoo_examples).filter("predicted_sql <> ''").count() == 0
     assert {r.predicted_sql for r in ev.predict_gold(zoo_examples).collect()} == {r.query for r in zoo_examples.collect()}
+
+
+def test_summary_empty_run_gives_zeros(spark):
+    runs = spark.createDataFrame([("r",), ("never_ran",)], "run string")
+    s = {(r.run, r.difficulty): r for r in ev.summarize(outcomes(spark), runs=runs).collect()}
+    z = s[("never_ran", "all")]
+    assert (z.n, z.exec_accuracy, z.exact_match_accuracy) == (0, 0.0, 0.0)
+    assert s[("r", "all")].n == 4

@@ -45,12 +45,13 @@ def with_outcome(df: DataFrame, gold_col: str = "gold_sql", pred_col: str = "pre
 # Roll-ups
 # ----------------------------------------------------------------------------------------------
 
-def summarize(outcomes: DataFrame, run_col: str = "run", ndigits: int = 6) -> DataFrame:
+def summarize(outcomes: DataFrame, run_col: str = "run", ndigits: int = 6,
+              runs: DataFrame | None = None) -> DataFrame:
     """G1 + G2 in one pass: ``GROUPING SETS ((run), (run, difficulty))``.
 
     Output: run, difficulty (``'all'`` on the per-run row), n, exec_accuracy,
-    exact_match_accuracy. An empty input yields no rows (the per-run zeros of the pipeline
-    are produced by ``leaderboard`` when a run list is given).
+    exact_match_accuracy. With ``runs`` (a list of run names), a run without any outcome still
+    gets its ``'all'`` row with n = 0 and accuracies 0.0 (empty input gives zeros, not NULL).
     """
     n = F.count(F.lit(1))
     g = outcomes.groupingSets([[run_col], [run_col, "difficulty"]], run_col, "difficulty").agg(
@@ -59,13 +60,19 @@ def summarize(outcomes: DataFrame, run_col: str = "run", ndigits: int = 6) -> Da
         F.sum(F.col("exact_set_match").cast("int")).alias("_nx"),
         F.grouping("difficulty").alias("_gd"),
     )
-    return g.select(
+    out = g.select(
         run_col,
         F.when(F.col("_gd") == 1, F.lit("all")).otherwise(F.col("difficulty")).alias("difficulty"),
         F.col("n").cast("bigint").alias("n"),
         F.round(_ratio(F.col("_ne"), F.col("n")), ndigits).alias("exec_accuracy"),
         F.round(_ratio(F.col("_nx"), F.col("n")), ndigits).alias("exact_match_accuracy"),
     )
+    if runs is None:
+        return out
+    empty = runs.select(run_col).distinct().join(out.select(run_col).distinct(), run_col, "left_anti").select(
+        run_col, F.lit("all").alias("difficulty"), F.lit(0).cast("bigint").alias("n"),
+        F.lit(0.0).alias("exec_accuracy"), F.lit(0.0).alias("exact_match_accuracy"))
+    return out.unionByName(empty)
 
 
 def failure_breakdown(outcomes: DataFrame, run_col: str = "run", ndigits: int = 4) -> DataFrame:

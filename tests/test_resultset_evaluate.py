@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from textsql.operators import evaluate as ev
 from textsql.operators.resultset import multiset_equal, normalize_row
 
@@ -111,3 +113,14 @@ def test_summary_empty_run_gives_zeros(spark):
     z = s[("never_ran", "all")]
     assert (z.n, z.exec_accuracy, z.exact_match_accuracy) == (0, 0.0, 0.0)
     assert s[("r", "all")].n == 4
+
+
+def test_missing_runs_flagged(spark):
+    from textsql.operators.compare import fixed_regressed
+
+    runs = spark.createDataFrame([("r",), ("gone",)], "run string")
+    fb = {r.run: r for r in ev.failure_breakdown(outcomes(spark), runs=runs).collect()}
+    assert fb["gone"].missing and fb["gone"].total == 0 and not fb["r"].missing
+    o = outcomes(spark).unionByName(outcomes(spark).withColumn("run", F.lit("base")))
+    fr = {r.treatment: r for r in fixed_regressed(o, "base", treatments=["r", "gone"]).collect()}
+    assert fr["gone"].missing and not fr["r"].missing and fr["r"].fixed == 0

@@ -83,10 +83,16 @@ def fixed_regressed(outcomes: DataFrame, baseline: str, treatments: Sequence[str
     if order_col:
         t = last_wins(t, ["run", "question_id"], order_col)
     j = t.join(base, on="question_id").withColumn("t_ok", F.coalesce(F.col("exec_match"), F.lit(False)))
-    return j.groupBy(F.col("run").alias("treatment")).agg(
+    out = j.groupBy(F.col("run").alias("treatment")).agg(
         F.count_if(~F.col("base_ok") & F.col("t_ok")).alias("fixed"),
         F.count_if(F.col("base_ok") & ~F.col("t_ok")).alias("regressed"),
     ).withColumn("net", F.col("fixed") - F.col("regressed"))
+    if treatments is None:
+        return out
+    # Listed treatments without outcomes (or a missing baseline) are flagged, not dropped.
+    names = out.sparkSession.createDataFrame([(t,) for t in treatments], "treatment string")
+    return names.join(out.withColumn("missing", F.lit(False)), "treatment", "left").withColumn(
+        "missing", F.coalesce(F.col("missing"), F.lit(True)))
 
 
 def merge_runs(existing: DataFrame, new: DataFrame, key: str | Sequence[str] = "run") -> DataFrame:

@@ -75,8 +75,10 @@ def summarize(outcomes: DataFrame, run_col: str = "run", ndigits: int = 6,
     return out.unionByName(empty)
 
 
-def failure_breakdown(outcomes: DataFrame, run_col: str = "run", ndigits: int = 4) -> DataFrame:
-    """Counts of the five failure modes per run (0 when absent) plus their shares."""
+def failure_breakdown(outcomes: DataFrame, run_col: str = "run", ndigits: int = 4,
+                      runs: DataFrame | None = None) -> DataFrame:
+    """Counts of the five failure modes per run (0 when absent) plus their shares. With
+    ``runs`` every listed run appears; one without outcomes is flagged ``missing``."""
     aggs = [F.count_if(F.col("failure_mode") == m).alias(m.replace("-", "_")) for m in FAILURE_MODES]
     counted = outcomes.groupBy(run_col).agg(F.count(F.lit(1)).alias("total"), *aggs)
     shares = [
@@ -84,7 +86,14 @@ def failure_breakdown(outcomes: DataFrame, run_col: str = "run", ndigits: int =
             "pct_" + m.replace("-", "_"))
         for m in FAILURE_MODES
     ]
-    return counted.select("*", *shares)
+    out = counted.select("*", *shares)
+    if runs is None:
+        return out
+    full = runs.select(run_col).distinct().join(out.withColumn("missing", F.lit(False)), run_col, "left")
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ["total", *[m.replace("-", "_") for m in FAILURE_MODES]]}
+    zero.update({f"pct_{m.replace('-', '_')}": F.coalesce(F.col(f"pct_{m.replace('-', '_')}"), F.lit(0.0))
+                 for m in FAILURE_MODES})
+    return full.withColumns(zero).withColumn("missing", F.coalesce(F.col("missing"), F.lit(True)))
 
 
 def leaderboard(outcomes: DataFrame, run_col: str = "run", labels: DataFrame | None = None,

@@ -1244,3 +1244,17 @@ def q_stream_counters(spark, sf):
     from ..streaming.traces import counters_stream
 
     return counters_stream(spark, _landing(spark, sf), scratch_path(spark, "r2-sink"))
+
+
+@register("cost_estimate", _requests_with() + """
+, e AS (SELECT sum(floor(length(messages_text) / 4) * (0.15 / 1000000) + 256 * (0.60 / 1000000)) AS est FROM req)
+SELECT round(est, 9) AS estimate_usd, round(est * 0.7, 9) AS low_usd, round(est * 1.4, 9) AS high_usd FROM e""")
+def q_cost_estimate(spark, sf):
+    """P22 pre-run estimate: every request at its full completion ceiling, and the (0.7x, 1.4x)
+    range around it."""
+    from ..operators.ledger import estimate_range
+
+    req = _requests(spark, sf).withColumn("in_tokens", F.floor(F.length("messages_text") / 4)).withColumn(
+        "max_out", F.lit(256))
+    r = estimate_range(req, "in_tokens", "max_out")
+    return r.select(*[F.round(c, 9).alias(c) for c in ("estimate_usd", "low_usd", "high_usd")])

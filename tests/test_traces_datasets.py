@@ -101,3 +101,13 @@ def test_api_error_reason_and_funnel(spark):
     assert reasons == {"api-RateLimitError": 1}
     f = candidate_funnel(sel, c).first()
     assert (f.examples_kept, f.candidates_total) == (1, 1)
+
+
+def test_length_filter_counts(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a" * 40,), ("b" * 4,), ("",)], "text string")
+    f = DS.length_filter(df, F.col("text"), max_tokens=2)
+    assert [r.n_tokens for r in f.collect()] == [10, 1, 0]
+    r = DS.length_filter_counts(f).first()
+    assert (r.kept, r.dropped) == (2, 1)

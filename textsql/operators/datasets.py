@@ -66,6 +66,11 @@ def length_filter(records: DataFrame, text: Column, max_tokens: int = MAX_TRAIN_
     return records.withColumn("n_tokens", n).withColumn("keep", F.col("n_tokens") <= max_tokens)
 
 
+def length_filter_counts(filtered: DataFrame) -> DataFrame:
+    """F4 report: how many records the length filter kept and dropped (one row)."""
+    return filtered.agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"))
+
+
 def tokenizer_counter(count_fn):
     """U2 hook: wrap ``count_fn(list[str]) -> list[int]`` (e.g. a sub-word tokenizer's batch
     encode) as an Arrow-batched ``pandas_udf`` token counter for ``length_filter(tokens=...)``.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, packing, quality, substrings
+from . import licenses, minhash, mixing, packing, pii, quality, substrings
 from .common import table
 
 
@@ -24,9 +24,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_superminhash, op5_quality_rules, op6_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_superminhash, op5_quality_rules, op6_line_dedup, op8_pii_boosting,
+                                   op9_soft_mixing, op10_packing)}
 ORACLE = {"op2_superminhash": minhash.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_line_dedup": substrings.ORACLE}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, mixing, packing, pii, quality, substrings
+from textsql.session import scratch_path
+
+from . import chat, embeddings, licenses, minhash, mixing, packing, pii, quality, substrings, warc
 from .common import table
 
 
@@ -16,6 +18,16 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder).drop("url", "payload")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
 
@@ -24,6 +36,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
 def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -36,6 +55,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_superminhash, op5_quality_rules, op6_line_dedup, op8_pii_boosting,
-                                   op9_soft_mixing, op10_packing)}
-ORACLE = {"op2_superminhash": minhash.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_line_dedup": substrings.ORACLE}
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_superminhash, op3_multi_index, op4_warc, op5_quality_rules, op6_line_dedup, op7_chat_format,
+    op8_pii_boosting, op9_soft_mixing, op10_packing)}
+ORACLE = {"op2_superminhash": minhash.ORACLE, "op3_multi_index": embeddings.ORACLE, "op4_warc": warc.ORACLE,
+          "op5_quality_rules": quality.ORACLE, "op6_line_dedup": substrings.ORACLE}

@@ -6,7 +6,7 @@ All shingles of a block of documents take a step together in numpy. Bands of ``R
 buckets; with 40 bands of 6 a pair at similarity 0.8 shares a bucket with probability 1 - 6e-6.
 
 Documents with equal shingle sets form one class first; only class representatives are banded.
-In a bucket each member is checked against a leader (four independent leaders over the bands), then
+In a bucket each member is checked against a leader (twelve independent leaders over the bands), then
 members of buckets that still span several components are checked across components, so no link
 that could join two components is skipped while no group is expanded into all its pairs. Links are
 confirmed on full shingle sets (64-bit hashes); groups come from distributed star contraction.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, salted_lookup
 
-SHINGLE, THRESHOLD_PCT, ROWS, BANDS, LEADERS = 5, 80, 6, 40, 4
+SHINGLE, THRESHOLD_PCT, ROWS, BANDS, LEADERS = 5, 80, 6, 40, 12
 BLOCK = 200_000  # shingles that step together
 PAIRS_PER_SALT = 500
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")

@@ -55,7 +55,10 @@ def _shingles(df: DataFrame, *keys: str) -> DataFrame:
 
 def _banded(windows: DataFrame, n_bands: int, *keys: str) -> DataFrame:
     """One row per (window, band): the minimum of the band's hash over the window's shingles."""
-    mins = [F.array_min(F.transform("_win", lambda s, b=b: F.xxhash64(s, F.lit(b)))) for b in range(n_bands)]
+    def minimum(band: int):
+        return F.array_min(F.transform("_win", lambda s: F.xxhash64(s, F.lit(band))))
+
+    mins = [minimum(b) for b in range(n_bands)]
     return windows.select(*keys, "_win", F.posexplode(F.array(*mins)).alias("_band", "_min"))
 
 

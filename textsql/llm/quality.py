@@ -50,7 +50,11 @@ def _repeat_words(words: Column) -> Column:
             (a["n"] + F.least(F.lit(WINDOW), p + WINDOW - a["end"])).alias("n"), (p + WINDOW).alias("end")),
             lambda a: a["n"])
 
-    return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(pairs, covered))
+    # equal windows have equal hashes: without a repeated hash nothing repeats, and no text is sorted
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW),
+                         lambda i: F.xxhash64(*[words[i + k] for k in range(WINDOW)]))
+    return F.when(F.size(words) <= WINDOW, F.lit(0)).when(
+        let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), F.lit(0)).otherwise(let(pairs, covered))
 
 
 def score(docs: DataFrame) -> DataFrame:

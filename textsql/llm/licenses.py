@@ -54,12 +54,16 @@ def _shingles(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _banded(windows: DataFrame, n_bands: int, *keys: str) -> DataFrame:
-    """One row per (window, band): the minimum of the band's hash over the window's shingles."""
+    """One row per (window, band): the minimum of the band's hash over the window's shingles. Bands
+    have seeds of their own, so the minimum alone is the key; plain expressions, no lambdas."""
+    hashed = windows.select(*keys, "_win", *[
+        F.when(F.get("_win", F.lit(k)).isNotNull(), F.xxhash64(F.get("_win", F.lit(k)))).alias(f"_h{k}")
+        for k in range(WINDOW)])
+
     def minimum(band: int):
-        return F.array_min(F.transform("_win", lambda s: F.xxhash64(s, F.lit(band))))
+        return F.least(*[F.when(F.col(f"_h{k}").isNotNull(), F.xxhash64(f"_h{k}", F.lit(band))) for k in range(WINDOW)])
 
-    mins = [minimum(b) for b in range(n_bands)]
-    return windows.select(*keys, "_win", F.posexplode(F.array(*mins)).alias("_band", "_min"))
+    return hashed.select(*keys, "_win", F.explode(F.array(*[minimum(b) for b in range(n_bands)])).alias("_min"))
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, min_containment: float = MIN_CONTAINMENT,
@@ -70,12 +74,12 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, min_containment: float
     t_win = ts.select("license", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.slice("_s", i + 1, WINDOW))).alias("_win"))
     t_one = ts.select("license", F.explode(F.transform("_s", lambda s: F.array(s))).alias("_win"))
-    t_bands = _banded(t_win.unionByName(t_one), n_bands, "license").select("license", "_band", "_min").distinct()
+    t_bands = _banded(t_win.unionByName(t_one), n_bands, "license").select("license", "_min").distinct()
     sizes = ts.groupBy("license").agg(F.collect_set(F.struct("_s")).alias("_all")).select(
         "license", F.array_distinct(F.flatten(F.transform("_all", lambda x: x["_s"]))).alias("_t"))
     d_win = _shingles(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.slice("_s", i + 1, WINDOW))).alias("_win"))
-    found = _banded(d_win, n_bands, "doc_id").join(maybe_broadcast(t_bands), ["_band", "_min"]).select(
+    found = _banded(d_win, n_bands, "doc_id").join(maybe_broadcast(t_bands), "_min").select(
         "doc_id", "license", F.explode("_win").alias("_x"))
     t_sh = sizes.select("license", F.size("_t").cast("long").alias("n_template"), F.explode("_t").alias("_x"))
     exact = found.join(maybe_broadcast(t_sh, row_bytes=256), ["license", "_x"]).groupBy(

@@ -64,7 +64,14 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences) covering the histogram exactly."""
+    """(lengths of a sequence, number of such sequences) covering the histogram exactly. Exact triples
+    can use up short lengths that best fit needs later, so the plan is made with sums of up to one,
+    two and three lengths and the one with the fewest sequences is taken."""
+    plans = [_plan(histogram, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -97,10 +104,10 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
             ok = (avail[b] > 0) & ((a != b) | (avail[a] > 1))
             return (int(a[ok][-1]), int(b[ok][-1])) if ok.any() else None
 
-        found = pair(gap, free)
+        found = pair(gap, free) if most > 1 else None
         if found:
             return found
-        for a in have:
+        for a in have if most > 2 else ():
             free[a] -= 1
             found = pair(gap - int(a), free) if gap > a else None
             free[a] += 1

@@ -91,7 +91,7 @@ def _db_session(spark: SparkSession, db: str | None, tables_for, cache: dict, lo
 
 
 def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
-                   max_workers: int = 8, timeout_s: float | None = 300.0,
+                   max_workers: int = 8, timeout_s: float | None = None,
                    out_path: str | None = None, batch_size: int = 32,
                    db_col: str | None = None, tables_for=None,
                    scheduler_pool: str = "textsql-statements") -> tuple[DataFrame, DataFrame]:
@@ -101,7 +101,7 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
     are executed in batches of one database: one Spark job writes the union of a batch's result
     rows, partitioned by statement id. A batch that fails at run time is re-run one statement
     per job so the failure is pinned to its statement. Batches run concurrently from a bounded
-    pool; each job group is cancelled after ``timeout_s``. Per-database statements run in a
+    pool; each job group is cancelled after ``timeout_s`` (off by default). Per-database statements run in a
     child session holding that database's tables (``tables_for``) or catalog database.
 
     Returns ``(status, rows)``: status (stmt_id, status, error) and rows (stmt_id, row

@@ -133,10 +133,10 @@ def estimate_range(requests: DataFrame, in_col: str, max_out_col: str) -> DataFr
 
 
 def append_ledger(calls: DataFrame, cost: Column, path: str, run_id: str) -> None:
-    """A10 write side: append this run's priced calls (cost at 6 dp) to the shared ledger table,
-    partitioned by run so a retried run can overwrite only itself."""
+    """A10 write side: store this run's priced calls (cost at 6 dp) to the shared ledger table,
+    partitioned by run so a retried run replaces only itself."""
     (calls.withColumn("cost_usd", F.round(cost, 6)).withColumn("run_id", F.lit(run_id))
-     .write.mode("append").partitionBy("run_id").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
 
 
 def load_spend(spark, path: str, cap_usd: float, ledger_col: str = "ledger") -> DataFrame:

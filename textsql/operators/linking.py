@@ -156,7 +156,7 @@ def top_tables(scores: DataFrame, corpus: DataFrame, questions: DataFrame, k: in
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def fk_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def fk_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """The pipeline's one ordered pass over the FK list, computed without collecting it.
 
     Pass semantics: walking FKs in ``pos`` order, an FK whose endpoint is already kept adds both
@@ -174,7 +174,7 @@ def fk_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
     key = ["question_id", "db_id", "table_index"]
     act = cut_lineage(seeds.select(*key, F.lit(-1).cast("bigint").alias("act")).distinct())
     delta = act
-    for _ in range(max_rounds):
+    while True:  # ends: activation times only sink, and there are finitely many
         reach = (
             delta.join(both, (delta.db_id == both.db_id) & (delta.table_index == both.a))
             .filter(F.col("act") < F.col("pos"))

@@ -8,7 +8,8 @@ buckets; with 40 bands of 6 a pair at similarity 0.8 shares a bucket with probab
 Documents with equal shingle sets form one class first; only class representatives are banded.
 In a bucket each member is checked against a leader (twelve independent leaders over the bands), then
 members of buckets that still span several components are checked across components, so no link
-that could join two components is skipped while no group is expanded into all its pairs. Links are
+that could join two components is skipped while no group is expanded into all its pairs. A pair
+is dropped unconfirmed only where a bitmap of its sets proves it too far apart. Links are
 confirmed on full shingle sets (64-bit hashes); groups come from distributed star contraction.
 
 Defined cases: null or empty texts have an empty set and link with nothing; a text of fewer words
@@ -18,6 +19,7 @@ an empty table gives no rows; extra columns are never read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ from .common import connected_components, materialise, salted_lookup
 SHINGLE, THRESHOLD_PCT, ROWS, BANDS, LEADERS = 5, 80, 6, 40, 12
 BLOCK = 200_000  # shingles that step together
 PAIRS_PER_SALT = 500
+BITMAP_WORDS = 16  # 64-bit words of the bitmap over the top bits of a set's hashes
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -90,6 +93,23 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which of 64 * BITMAP_WORDS equal ranges of hashes the set meets, as 64-bit words."""
+    met = np.zeros(64 * BITMAP_WORDS, dtype=bool)
+    met[(hashes >> _U(64 - met.size.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(met).view(np.int64)
+
+
+def most_shared(n_a: str, n_b: str, bits_a: str, bits_b: str):
+    """Upper bound of an intersection's size: each range that only one set meets holds at least one
+    element outside the other set."""
+    def alone(x: str, y: str):
+        words = [F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITMAP_WORDS)]
+        return functools.reduce(lambda p, q: p + q, words)
+
+    return F.least(F.col(n_a) - alone(bits_a, bits_b), F.col(n_b) - alone(bits_b, bits_a))
+
+
 def _signatures(shingle: int, rows: int, bands: int):
     m = rows * bands
 
@@ -126,7 +146,8 @@ def _signatures(shingle: int, rows: int, bands: int):
                         "doc_id": ids.iloc[start:i + 1].astype("Int64").values,
                         "n_shingles": [len(x) for x in sets],
                         "set_id": [hashlib.sha256(x.tobytes()).digest()[:16] if len(x) else None for x in sets],
-                        "keys": flush(sets)})
+                        "keys": flush(sets),
+                        "bits": [bitmap(x) for x in sets]})
                     sets, size, start = [], 0, i + 1
 
     return run
@@ -162,7 +183,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
                     rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     signed = materialise(docs.select("doc_id", "text").mapInPandas(
-        _signatures(shingle, rows, bands), "doc_id long, n_shingles long, set_id binary, keys array<long>"), "signed")
+        _signatures(shingle, rows, bands), "doc_id long, n_shingles long, set_id binary, keys array<long>, bits array<long>"), "signed")
     classes = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     member = materialise(salted_lookup(signed.select("doc_id", "n_shingles", "set_id"), classes, "set_id", "doc_id"), "member")
     reps = signed.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -185,9 +206,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
     per_comp = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = per_comp.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     placed = materialise(salted_lookup(placed, main, "key", "doc_id", "inner"), "placed")
-    out = placed.where("c <> main").select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"))
-    every = placed.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
-    cross = out.join(every, "key").where("ca <> cb").where(similar_size("na", "nb")).select("a", "b").distinct()
+    bits = signed.select("doc_id", "bits").join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    placed = materialise(placed.join(bits, "doc_id"), "placed")
+    out = placed.where("c <> main").select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"),
+                                           F.col("c").alias("ca"), F.col("bits").alias("xa"))
+    every = placed.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"),
+                          F.col("bits").alias("xb"))
+    shared_most = most_shared("na", "nb", "xa", "xb")
+    cross = out.join(every, "key").where("ca <> cb").where(similar_size("na", "nb")).where(
+        100 * shared_most >= threshold_pct * (F.col("na") + F.col("nb") - shared_most)).select("a", "b").distinct()
     cross = cross.join(star, ["a", "b"], "left_anti")
     more = materialise(_confirm(cross, docs, shingle, threshold_pct), "links")
     final = connected_components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -100,6 +100,32 @@ def test_runtime_failure_is_pinned_to_its_statement(spark):
     assert got == [("42",), ("x",)]  # each surviving statement's rows exactly once
 
 
+def test_statements_are_parsed_first_and_never_write(spark):
+    from textsql.operators.execute import run_statements, statement_id
+
+    want = {"SELCT 1": "parse", "plain prose, no statement": "parse", "SELECT 'a;b'": "ok", "-- note\nSELECT 2": "ok",
+            "WITH x AS (SELECT 5 AS a) INSERT INTO kept_table SELECT a FROM x": "execution",
+            "DROP TABLE kept_table": "execution", "SELECT nothing FROM absent_relation": "execution"}
+    spark.sql("CREATE TABLE IF NOT EXISTS kept_table (a INT) USING parquet")
+    try:
+        status, _ = run_statements(spark, spark.createDataFrame([(s,) for s in want], "sql string"))
+        ids = spark.createDataFrame([(s,) for s in want], "sql string").select("sql", statement_id("sql").alias("stmt_id"))
+        assert {r.sql: r.status for r in ids.join(status, "stmt_id").collect()} == want
+        assert spark.table("kept_table").count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_table")
+
+
+def test_stream_keeps_late_rows(spark, tmp_path):
+    from textsql.streaming.traces import counters_stream, write_landing
+
+    resp = spark.range(400).selectExpr("concat('k', id) AS key", "'```sql\nSELECT 1\n```' AS text", "1L AS prompt_tokens",
+                                       "2L AS completion_tokens", "timestamp_seconds(1700000000 + (id * 7919) % 400 * 3600) AS saved_at")
+    write_landing(resp.unionByName(resp.where("key LIKE '%7'")), str(tmp_path / "in"), n_files=8)
+    got = counters_stream(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert [(r.outcome, r.n, r.prompt_tokens, r.completion_tokens) for r in got] == [("kept", 400, 400, 800)]
+
+
 def test_no_unpartitioned_window_over_data(spark):
     """A window without PARTITION BY runs in one task. The only ones allowed are the bounded
     tables: exact_rank's per-partition offsets (``__pid``) and case_examples' category ranking

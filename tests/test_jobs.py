@@ -19,7 +19,7 @@ def test_evaluate_runs_gold_empty_and_modes(spark, zoo_examples):
     ex = zoo_examples.collect()
     preds = spark.createDataFrame(
         [("gold", r.question_id, r.query) for r in ex] + [("empty", r.question_id, "") for r in ex]
-        + [("bad", 0, "SELECT *** FROM ###"), ("bad", 1, "SELECT * FROM no_such_table"), ("bad", 2, "SELECT 'wrong'")],
+        + [("bad", 0, "SELEC name animal"), ("bad", 1, "SELECT a FROM absent_relation"), ("bad", 2, "SELECT 'wrong'")],
         "run string, question_id long, predicted_sql string")
     outcomes, summary = evaluate_runs(spark, zoo_examples, preds, tables_for=zoo_tables)
     s = {(r.run, r.difficulty): r for r in summary.collect()}
@@ -43,7 +43,7 @@ def test_generate_traces_self_consistency_and_garbage(spark, zoo_examples):
     t = {r.question_id: r for r in traces.collect()}
     assert set(t) == {0, 1, 2} and all(r.n_candidates == 2 and r.matched_gold for r in t.values())
     assert t[0].reasoning == "Plan it." and t[1].reasoning is None
-    assert t[0].sql == "select count ( * ) from animal"
+    assert {i: r.sql for i, r in t.items()} == {r.question_id: r.query for r in ex}
     f = funnel.first()
     assert (f.examples_kept, f.candidates_total, f.candidates_match_gold) == (3, 6, 3)
 

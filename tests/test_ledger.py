@@ -34,8 +34,16 @@ def test_budget_gate_and_spend(spark):
     rows, df = calls(spark, n=50)
     cost = LG.call_cost("in_tokens", "out_tokens")
     gate = LG.budget_gate(LG.running_spend(df, cost), LG.call_cost("in_tokens", F.lit(256)), 0.001)
-    for r in gate.collect():
-        assert r.allowed == (r.spend_before + r.in_tokens * 0.15 / 1e6 + 256 * 0.6 / 1e6 <= 0.001)
+    got = {r.event_id: r for r in gate.collect()}
+    spent, stopped = {}, set()
+    for i, ts, led, a, b in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+        if spent.get(led, 0.0) + a * 0.15 / 1e6 + 256 * 0.6 / 1e6 > 0.001:
+            stopped.add(led)
+        assert got[i].allowed == (led not in stopped)
+        assert abs(got[i].spend_before - spent.get(led, 0.0)) < 1e-12
+        if led not in stopped:  # a refused call charges nothing
+            spent[led] = spent.get(led, 0.0) + a * 0.15 / 1e6 + b * 0.60 / 1e6
+    assert len(got) == len(rows) and stopped
     s = {r.ledger: r for r in LG.spend_summary(df, cost, 0.001).collect()}
     for led, r in s.items():
         assert r.remaining_usd == max(0.0, 0.001 - r.spend_usd)

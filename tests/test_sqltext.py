@@ -86,6 +86,9 @@ def test_exact_match_cleans_and_ignores_case(spark):
     ("SELECT * FROM t1 WHERE x IN (SELECT y FROM t2)", ["t1", "t2"]),
     ("SELECT a FROM t1 UNION SELECT a FROM t2", ["t1", "t2"]),
     ("SELECT * FROM a AS x, b y, \"C D\" WHERE x.id = y.id", ["a", "b", "c d"]),
+    ("SELECT 1 FROM main.owls JOIN lib.sub.\"Nest Box\" n ON true", ["nest box", "owls"]),
+    ("WITH t(a) AS (SELECT 1 FROM roots), u AS MATERIALIZED (SELECT 2) SELECT * FROM t, u", ["roots"]),
+    ("SELECT 'rows from nowhere' FROM here -- from gone\n JOIN there ON true /* from away */", ["here", "there"]),
 ])
 def test_referenced_tables(spark, sql, want):
     df = spark.createDataFrame([(sql,)], "s string")

@@ -109,7 +109,8 @@ def error_category(gold_sql: Column | str, pred_sql: Column | str, failure: Colu
 
 # --- statement fingerprint (P12) ---------------------------------------------------------------
 # Token grammar: single-quoted string | double-quoted identifier | back-quoted identifier |
-# bracketed identifier | word | number | any other single non-space character.
+# bracketed identifier | word | number | operator of two characters | any other single non-space
+# character.
 _NON_SPACE = r"[^ \t\n\x0B\f\r]"
 TOKEN_RE = (
     r"'(?:[^']|'')*'"
@@ -118,6 +119,7 @@ TOKEN_RE = (
     r"|\[[^\]]*\]"
     r"|[A-Za-z_][A-Za-z0-9_$]*"
     r"|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+    r"|<=>|<=|>=|<>|!=|==|\|\||<<|>>|->>|->|::"
     r"|" + _NON_SPACE
 )
 QUOTED_TOKEN_RE = r"^['\"`\[]"
@@ -142,36 +144,46 @@ def fingerprint_hash(sql: Column | str) -> Column:
 
 
 def stored_sql(sql: Column | str) -> Column:
-    """The fingerprint, or the trimmed raw text when the fingerprint is empty."""
-    fp = fingerprint(sql)
+    """The cleaned statement itself, which parses wherever the candidate did, or the trimmed
+    raw text when cleaning leaves nothing. The fingerprint is for hashing only."""
+    text = F.coalesce(clean_sql(sql), F.lit(""))
     raw = F.rtrim(py_strip(F.coalesce(col_(sql), F.lit(""))), F.lit(";"))
-    return F.when(fp != "", fp).otherwise(raw)
+    return F.when(text != "", text).otherwise(raw)
 
 
 # --- referenced tables (P13) -------------------------------------------------------------------
 _IDENT = r'(?:[A-Za-z_][A-Za-z0-9_$]*|"[^"]+"|`[^`]+`|\[[^\]]+\])'
+_NAME = r"(?:" + _IDENT + r"\.)*" + _IDENT
 _WS = PY_WS_CLASS
+# String literals and comments are blanked before names are looked for.
+LITERAL_RE = r"'(?:[^']|'')*'|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
 # FROM a [AS x] [, b [AS y]]... -- the whole comma list is captured, split below.
 FROM_LIST_RE = (
-    r"(?i)\bfrom" + _WS + r"+(" + _IDENT + r"(?:" + _WS + r"+(?:as" + _WS + r"+)?" + _IDENT + r")?"
-    r"(?:" + _WS + r"*," + _WS + r"*" + _IDENT + r"(?:" + _WS + r"+(?:as" + _WS + r"+)?" + _IDENT + r")?)*)"
+    r"(?i)\bfrom" + _WS + r"+(" + _NAME + r"(?:" + _WS + r"+(?:as" + _WS + r"+)?" + _IDENT + r")?"
+    r"(?:" + _WS + r"*," + _WS + r"*" + _NAME + r"(?:" + _WS + r"+(?:as" + _WS + r"+)?" + _IDENT + r")?)*)"
 )
-JOIN_TARGET_RE = r"(?i)\bjoin" + _WS + r"+(" + _IDENT + r")"
-CTE_NAME_RE = r"(?i)(?:\bwith(?:" + _WS + r"+recursive)?|,)" + _WS + r"*(" + _IDENT + r")" + _WS + r"+as" + _WS + r"*\("
-LEADING_IDENT_RE = r"^" + _WS + r"*(" + _IDENT + r")"
+JOIN_TARGET_RE = r"(?i)\bjoin" + _WS + r"+(" + _NAME + r")"
+CTE_NAME_RE = (
+    r"(?i)(?:\bwith(?:" + _WS + r"+recursive)?|,)" + _WS + r"*(" + _IDENT + r")"
+    r"(?:" + _WS + r"*\([^()]*\)" + _WS + r"*|" + _WS + r"+)as"
+    r"(?:" + _WS + r"+(?:not" + _WS + r"+)?materialized)?" + _WS + r"*\("
+)
+LEADING_IDENT_RE = r"^" + _WS + r"*(" + _NAME + r")"
+LAST_PART_RE = r"(" + _IDENT + r")$"
 
 
 def _unquote_lower(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r'^["`\[]|["`\]]$', ""))
+    return F.lower(F.regexp_replace(F.regexp_extract(name, LAST_PART_RE, 1), r'^["`\[]|["`\]]$', ""))
 
 
 def referenced_tables(sql: Column | str) -> Column:
     """Sorted distinct lower-case base-table names after FROM / JOIN, minus CTE names.
 
-    Text-level: names inside string literals or ``EXTRACT(x FROM y)`` are also picked up; a
-    derived table ``FROM (SELECT ...)`` contributes its inner FROM names.
+    Text-level: literals and comments are blanked first, a qualified name counts by its last part;
+    ``EXTRACT(x FROM y)`` is also picked up. A derived table ``FROM (SELECT ...)`` contributes its
+    inner FROM names.
     """
-    s = F.coalesce(col_(sql), F.lit(""))
+    s = F.regexp_replace(F.coalesce(col_(sql), F.lit("")), LITERAL_RE, " ")
     lists = F.regexp_extract_all(s, F.lit(FROM_LIST_RE), 1)
     from_names = F.flatten(
         F.transform(

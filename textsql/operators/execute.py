@@ -17,6 +17,7 @@ import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ from ..session import maybe_broadcast, scratch_path
 from .resultset import multiset_equal
 
 # --- fixed values -----------------------------------------------------------------------------
-QUERY_PREFIX_RE = r"(?is)^\s*(select|with|values|\()"
+WRITE_NODES = ("org.apache.spark.sql.catalyst.plans.logical.Command",
+               "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
 # ----------------------------------------------------------------------------------------------
 
 STATUS_SCHEMA = StructType([
@@ -49,19 +51,27 @@ def statement_id(sql_col, db_col=None) -> F.Column:
     return F.sha2(text, 256)
 
 
-def _is_query(text: str) -> bool:
-    import re
-
-    return bool(re.match(QUERY_PREFIX_RE.replace("(?is)", ""), text, re.I | re.S)) and ";" not in text
+def _is_query(spark: SparkSession, text: str) -> bool:
+    """Parse only (nothing is analysed or run) and accept plans without any command or write node,
+    wherever it stands: ``WITH ... INSERT`` holds its insert below the WITH node."""
+    plans = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    gateway = spark.sparkContext._gateway
+    while plans:
+        node = plans.pop()
+        if any(is_instance_of(gateway, node, kind) for kind in WRITE_NODES):
+            return False
+        children = node.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 def _analyze(spark: SparkSession, sid: str, text: str):
     """Driver-side parse + analysis of one statement (no job runs)."""
     if not text:
         return sid, "empty", None, None
-    if not _is_query(text):
-        return sid, "execution", "refused: not a read-only query", None
     try:
+        if not _is_query(spark, text):
+            return sid, "execution", "refused: not a read-only query", None
         df = spark.sql(text)
         df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
         cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]

@@ -42,8 +42,11 @@ def call_cost(in_tokens: Column | str, out_tokens: Column | str,
 
 def replay(requests: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
     """Every request with its stored response; ``cached`` marks a hit, a miss has an empty
-    response text and zero tokens."""
-    s = store.select(key, "text", "prompt_tokens", "completion_tokens", F.lit(True).alias("cached"))
+    response text and zero tokens. A key that was stored again counts once: its last row by
+    ``saved_at`` where the store has it, else its greatest row."""
+    row = F.struct(*(["saved_at"] if "saved_at" in store.columns else []), "text", "prompt_tokens", "completion_tokens")
+    s = store.groupBy(key).agg(F.max(row).alias("__r")).select(
+        key, "__r.text", "__r.prompt_tokens", "__r.completion_tokens", F.lit(True).alias("cached"))
     return requests.join(s, on=key, how="left").select(
         "*",
     ).withColumns({
@@ -80,9 +83,20 @@ def running_spend(calls: DataFrame, cost: Column, ledger_col: str = "ledger", ts
     return running_sum(c, [ledger_col], [ts_col, id_col], F.col("cost"), out_col="spend_before")
 
 
-def budget_gate(spent: DataFrame, estimate: Column, cap_usd: float) -> DataFrame:
-    """F8: a call is refused when spend so far plus its upper-bound estimate exceeds the cap."""
-    return spent.withColumn("allowed", F.col("spend_before") + estimate <= F.lit(cap_usd))
+def budget_gate(spent: DataFrame, estimate: Column, cap_usd: float, ledger_col: str = "ledger", ts_col: str = "ts",
+                id_col: str = "event_id") -> DataFrame:
+    """F8: a ledger stops at its first call whose upper-bound estimate on top of the spend so far
+    exceeds the cap. That call and all later ones are refused and charge nothing, so
+    ``spend_before`` stays at what the admitted calls have spent. The stop is one pre-aggregated
+    row per ledger."""
+    at = F.struct(F.col(ts_col), F.col(id_col))
+    stop = spent.where(F.col("spend_before") + estimate > F.lit(cap_usd)).groupBy(F.col(ledger_col).alias("__ledger")).agg(
+        F.min(at).alias("__stop"), F.min_by("spend_before", at).alias("__spent"))
+    out = spent.join(stop, F.col(ledger_col).eqNullSafe(F.col("__ledger")), "left")
+    allowed = F.col("__stop").isNull() | (at < F.col("__stop"))
+    return out.withColumn("allowed", allowed).withColumn(
+        "spend_before", F.when(F.col("allowed"), F.col("spend_before")).otherwise(F.col("__spent"))).drop(
+        "__ledger", "__stop", "__spent")
 
 
 def spend_summary(calls: DataFrame, cost: Column, cap_usd: float, ledger_col: str = "ledger") -> DataFrame:

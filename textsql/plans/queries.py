@@ -192,8 +192,9 @@ def q_statement_fingerprint(spark, sf):
 
 
 def _refs_sql(x: str) -> str:
-    s = f"coalesce({x}, '')"
-    unq = "lower(regexp_replace({v}, '^[\"`\\[]|[\"`\\]]$', '', 'g'))"
+    blank = st.LITERAL_RE.replace("'", "''")
+    s = f"regexp_replace(coalesce({x}, ''), '{blank}', ' ', 'g')"
+    unq = f"lower(regexp_replace(regexp_extract({{v}}, '{st.LAST_PART_RE}', 1), '^[\"`\\[]|[\"`\\]]$', '', 'g'))"
     from_lists = f"regexp_extract_all({s}, '{st.FROM_LIST_RE}', 1)"
     from_names = (f"flatten(list_transform({from_lists}, lambda lst: list_transform(string_split(lst, ','), "
                   f"lambda item: regexp_extract(item, '{st.LEADING_IDENT_RE}', 1))))")
@@ -724,8 +725,12 @@ def q_call_cost(spark, sf):
                coalesce(sum(cost) OVER (PARTITION BY ledger ORDER BY ts, event_id
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spend_before,
                in_tokens * (0.15 / 1000000) + 256 * (0.60 / 1000000) AS estimate
-        FROM c)
-SELECT event_id, ledger, round(spend_before, 9) AS spend_before, spend_before + estimate <= {_CAP_USD} AS allowed FROM s"""))
+        , ts FROM c)
+, g AS (SELECT *, max(spend_before + estimate > {_CAP_USD}) OVER (PARTITION BY ledger ORDER BY ts, event_id
+                                                                  ROWS UNBOUNDED PRECEDING) AS stopped FROM s)
+SELECT event_id, ledger, NOT stopped AS allowed,
+       round(CASE WHEN stopped THEN min(CASE WHEN stopped THEN spend_before END) OVER (PARTITION BY ledger)
+                  ELSE spend_before END, 9) AS spend_before FROM g"""))
 def q_budget_gate(spark, sf):
     from ..operators.ledger import budget_gate, call_cost, running_spend
 
@@ -1213,7 +1218,7 @@ def _landing(spark, sf):
                     F.col("doc_id"))
     resp = resp.unionByName(resp.filter(F.col("doc_id") % 10 == 0)).drop("doc_id")
     path = scratch_path(spark, "landing")
-    write_landing(resp, path, n_files=4)
+    write_landing(resp, path, n_files=8)
     return path
 
 

@@ -1,10 +1,10 @@
 """Structured Streaming variants (R1, R2): traces and counters from responses still landing.
 
 Landing files are JSON lines ``(key, text, prompt_tokens, completion_tokens, saved_at)``.
-Duplicate deliveries of a key are dropped with ``dropDuplicatesWithinWatermark`` (state is
-bounded by the watermark, not by the history). The trace sink is ``foreachBatch`` writing one
-parquet partition per epoch with overwrite, so a replayed epoch rewrites itself (idempotent);
-readers take the last version per key. Checkpoints live in the shared checkpoint folder.
+Files land in any order, so no watermark applies and no row is too late. Each micro-batch is
+de-duplicated by key and anti-joined against the keys that earlier epochs wrote to the sink; the
+rest is written as one parquet partition per epoch with overwrite, so a replayed epoch rewrites
+itself (idempotent). Checkpoints live in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from ..functions.prompts import extract_sql, split_reasoning
-from ..operators.evaluate import last_wins
 from ..session import scratch_path
 
 LANDING_SCHEMA = StructType([
@@ -26,9 +25,20 @@ LANDING_SCHEMA = StructType([
 ])
 
 
-def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 2, watermark: str = "1 hour") -> DataFrame:
-    return (spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
-            .withWatermark("saved_at", watermark).dropDuplicatesWithinWatermark(["key"]))
+def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 2) -> DataFrame:
+    return spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
+def _open_sink(rows: DataFrame, sink: str) -> None:
+    """An empty epoch gives the sink its schema before the first micro-batch reads it."""
+    rows.sparkSession.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{sink}/epoch=-1")
+
+
+def _write_new(batch: DataFrame, sink: str, epoch: int) -> None:
+    """Write the batch's keys that no earlier epoch holds; the key column is all that is read back."""
+    seen = batch.sparkSession.read.parquet(sink).where((F.col("epoch") < epoch) & F.col("key").isNotNull()).select("key")
+    fresh = batch.dropDuplicates(["key"]).join(seen, "key", "left_anti").select(*batch.columns)
+    fresh.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
 
 def trace_rows(responses: DataFrame, requests: DataFrame | None = None) -> DataFrame:
@@ -44,38 +54,33 @@ def trace_rows(responses: DataFrame, requests: DataFrame | None = None) -> DataF
 def build_traces_stream(spark: SparkSession, landing: str, sink: str, requests: DataFrame | None = None,
                         checkpoint: str | None = None, files_per_trigger: int = 2) -> DataFrame:
     """Run the stream to completion over what has landed (``availableNow``) and return the
-    sink as a batch DataFrame (last version per key)."""
+    sink as a batch DataFrame (one row per key)."""
     ckpt = checkpoint or scratch_path(spark, "r1-ckpt")
     rows = trace_rows(landing_stream(spark, landing, files_per_trigger), requests)
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        (batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-         .parquet(f"{sink}/epoch={epoch}"))
-
-    q = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    _open_sink(rows, sink)
+    q = (rows.writeStream.foreachBatch(lambda batch, epoch: _write_new(batch, sink, epoch))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return last_wins(spark.read.parquet(sink), "key", "epoch")
+    return spark.read.parquet(sink)
 
 
 def counters_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str | None = None,
                     files_per_trigger: int = 2) -> DataFrame:
     """R2: live kept / dropped counters (a response is kept when SQL can be extracted) and
-    token totals, updated per micro-batch; the sink holds the latest complete table."""
+    token totals. The sink gains the new keys of each micro-batch, narrow rows without texts, and
+    the counters are its aggregate."""
     ckpt = checkpoint or scratch_path(spark, "r2-ckpt")
-    s = landing_stream(spark, landing, files_per_trigger)
-    counts = s.select(F.when(extract_sql("text").isNull(), "dropped").otherwise("kept").alias("outcome"),
-                      "prompt_tokens", "completion_tokens").groupBy("outcome").agg(
+    rows = landing_stream(spark, landing, files_per_trigger).select(
+        "key", F.when(extract_sql("text").isNull(), "dropped").otherwise("kept").alias("outcome"),
+        "prompt_tokens", "completion_tokens")
+    _open_sink(rows, sink)
+    q = (rows.writeStream.foreachBatch(lambda batch, epoch: _write_new(batch, sink, epoch))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink).groupBy("outcome").agg(
         F.count(F.lit(1)).alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"))
 
-    def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
-
-    q = (counts.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(sink)
-
 
 def write_landing(responses: DataFrame, path: str, n_files: int = 4) -> None:
     """Test/bench helper: drop responses into the landing folder as ``n_files`` JSON files."""

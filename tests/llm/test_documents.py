@@ -174,6 +174,36 @@ def test_mixing_meets_targets_and_learns(spark):
     assert np.allclose(share, mixing.GROWTH * np.array(mixing.TARGETS), atol=0.01) and (rows.rate >= 0).all()
 
 
+@pytest.mark.parametrize("rare", [0.01, 0.0003])
+@pytest.mark.parametrize("sure", [1.0, 0.95])
+def test_mixing_meets_targets_of_a_rare_domain(spark, rare, sure):
+    rng = np.random.default_rng(7)
+    kind = rng.permutation(np.repeat([0, 1, 2], [int(20000 * (0.88 - rare)), int(20000 * rare), 2400]))
+    p = np.full((len(kind), 3), (1 - sure) / 2)
+    p[np.arange(len(kind)), kind] = sure
+    # the soft rest of every other document weighs more than a rare domain: it goes below its goal of low and toxic
+    p[kind == 0] = p[kind == 0] * (0.02 if sure < 1 else 1)
+    p[kind == 0, 0] = 1 - p[kind == 0, 1:].sum(1)
+    rows = [(i, 100, *map(float, x)) for i, x in enumerate(p)]
+    soft = spark.createDataFrame(rows, "doc_id long, tokens long, p_clean double, p_low double, p_toxic double")
+    got = soft.withColumn("rate", mixing._rate(mixing.solve_rates(soft))).toPandas()
+    share = (got.rate.to_numpy()[:, None] * p).mean(0)
+    assert np.abs(share - mixing.GROWTH * np.array(mixing.TARGETS)).max() < 1e-4 and (got.rate >= 0).all()
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    rows = [(i, 100, 0.9, 0.01, 0.09) for i in range(50)] + [(i, 100, 0.5, 0.02, 0.48) for i in range(50, 99)]
+    soft = spark.createDataFrame(rows, "doc_id long, tokens long, p_clean double, p_low double, p_toxic double")
+    with pytest.warns(mixing.TargetsMissed, match="low -0.07"):
+        dual = mixing.solve_rates(soft)
+    got = soft.withColumn("rate", mixing._rate(dual)).toPandas()
+    p = got[["p_clean", "p_low", "p_toxic"]].to_numpy()
+    goal = mixing.GROWTH * np.array(mixing.TARGETS)
+    gap = (got.rate.to_numpy()[:, None] * p).mean(0) - goal
+    best = p[0] * max(0, p[0] @ goal) / (p[0] @ p[0]) - goal  # only the first kind of document is of use here
+    assert np.allclose(gap, best, atol=1e-4)
+
+
 def test_empty_tables(spark, awkward):
     none = awkward.limit(0)
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -2,10 +2,12 @@
 
 A softmax classifier over hashed words, fitted on a bounded sample of the labelled rows
 (``SAMPLE`` documents by smallest id hash, the documented bound), gives every document its domain
-posteriors. Nonnegative document rates r then minimise |sum_i r_i t_i p_i - target|^2 by projected
-gradient, starting from 1: the gradient needs only the domain totals, so each step is one
-aggregation, and a document recomputes its rate from the short list of past steps. Copies are
-floor(rate + u) with u uniform from the id's hash, so expected totals match the targets.
+posteriors. Nonnegative document rates r then bring sum_i r_i t_i p_i to the targets as close to 1 as
+possible: r_i = max(0, 1 + dual . p_i) with one dual number per domain, found by Newton steps that are
+one aggregation each and end at the tolerance. Rates have no upper bound, so a rare domain is repeated as
+often as its target asks. Targets that no rates can meet (a domain of which no document is sure enough) are
+met as nearly as possible and the gap left is warned of. Copies are floor(rate + u) with u uniform from the
+id's hash, so expected totals match the targets.
 
 Domains from the labels table: clean (quality 1, not toxic), low (quality 0, not toxic), toxic.
 Defined cases: null or empty text has no tokens, its prior as posterior and rate as others; rows
@@ -17,8 +19,9 @@ are never read by the fit and pass through ``mix``.
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,12 +32,17 @@ from .common import materialise
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = (0.90, 0.08, 0.02)
-SAMPLE, BUCKETS, STEPS, GROWTH = 4000, 4096, 60, 1.05
+SAMPLE, BUCKETS, GROWTH = 4000, 4096, 1.05
+RIDGES, NEWTON = tuple(10.0**-i for i in range(2, 11, 2)), 60
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STRIP = ".,;:!?()[]\"'"
 _N_SHAPE = 4
 
 
+class TargetsMissed(UserWarning):
+    """No rates bring the domains to their targets within the tolerance."""
+
+
 def featurise(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """(sorted distinct hashed word features, shape ratios, number of words)."""
     words = _WORD.findall(text or "")
@@ -108,48 +116,72 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(score, schema)
 
 
-def _rate(steps: list[list[float]]):
-    """Rate after the given gradient steps: r <- max(0, r - step . p), from 1."""
-    if not steps:
-        return F.lit(1.0)
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    table = F.array(*[F.struct(*[F.lit(float(v)).alias(f"s{k}") for k, v in enumerate(s)]) for s in steps])
-    return F.aggregate(table, F.lit(1.0), lambda r, s: F.greatest(
-        F.lit(0.0), r - sum((s[f"s{k}"] * p[k] for k in range(1, len(p))), s["s0"] * p[0])))
+def _rate(dual: Sequence[float]):
+    """Rate max(0, 1 + dual . p): of all rates with the same domain totals, the closest to 1."""
+    return F.greatest(F.lit(0.0), sum((F.lit(float(v)) * F.col(f"p_{d}") for v, d in zip(dual, DOMAINS)), F.lit(1.0)))
 
 
-def solve_rates(soft: DataFrame, targets=TARGETS, growth: float = GROWTH, steps: int = STEPS, tolerance: float = 1e-4):
-    """Steps of the projected gradient (a list bounded by ``steps``); ``soft`` must be a written table."""
+def solve_rates(soft: DataFrame, targets=TARGETS, growth: float = GROWTH, tolerance: float = 1e-4) -> list[float]:
+    """The dual vector of the rates (one number per domain); ``soft`` must be a written table.
+
+    Minimises sum_i t_i r_i^2 / 2T - dual . goal + ridge |dual|^2 / 2, r_i = max(0, 1 + dual . p_i), by Newton
+    steps with backtracking, one aggregation each. The gradient is the gap to the goal plus ridge . dual, so
+    the gap vanishes with the ridge where rates can meet the goal at all, and otherwise ends at the smallest
+    gap that rates can reach; that one is warned of (``TargetsMissed``)."""
     k = len(DOMAINS)
-    moments = [F.sum(F.col("tokens") * F.col(f"p_{DOMAINS[i]}") * F.col(f"p_{DOMAINS[j]}")).alias(f"m{i}{j}")
-               for i in range(k) for j in range(k)]
-    row = soft.agg(F.sum("tokens").alias("t"), *moments).first()
-    total = float(row["t"] or 0)
-    if not total:
-        return []
-    gram = np.array([[row[f"m{i}{j}"] for j in range(k)] for i in range(k)]) / total
-    eta = 1.0 / np.linalg.eigvalsh(gram)[-1]
-    goal = growth * np.array(targets)
-    done: list[list[float]] = []
-    velocity = np.zeros(k)
-    for _ in range(steps):
-        sums = soft.withColumn("r", _rate(done)).agg(
-            *[F.sum(F.col("r") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-        gap = np.array([sums[d] for d in DOMAINS]) / total - goal
-        if np.abs(gap).max() < tolerance:
-            break
-        velocity = 0.6 * velocity + eta * gap  # heavy-ball step, each followed by the projection
-        done.append([float(v) for v in velocity])
-    return done
+    goal = growth * np.array(targets, dtype=float)
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+
+    def look(dual):
+        """Sum of t, of t r^2, of t r p, and of t p p' where r > 0, the last three by token."""
+        r, t = F.col("_r"), F.col("tokens")
+        row = soft.withColumn("_r", _rate(dual)).agg(
+            F.sum(t), F.sum(t * r * r), *[F.sum(t * r * p[i]) for i in range(k)],
+            *[F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]).first()
+        total = float(row[0] or 0)
+        if not total:
+            return None
+        v = np.array(row[1:], dtype=float) / total
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = v[1 + k:]
+        return v[0], v[1:1 + k] - goal, gram + np.triu(gram, 1).T
+
+    dual = np.zeros(k)
+    seen = look(dual)
+    if seen is None:
+        return dual.tolist()
+    for ridge in RIDGES:
+        for _ in range(NEWTON):
+            square, gap, gram = seen
+            slope = gap + ridge * dual
+            if np.abs(gap).max() < tolerance or np.abs(slope).max() < tolerance / 100:
+                break
+            value = square / 2 - dual @ goal + ridge * dual @ dual / 2
+            step = -np.linalg.solve(gram + ridge * np.eye(k), slope)
+            size = 1.0
+            while size > 1e-6:
+                trial = dual + size * step
+                at = look(trial)
+                if at[0] / 2 - trial @ goal + ridge * trial @ trial / 2 <= value + 1e-4 * size * (slope @ step):
+                    break
+                size /= 2
+            else:
+                break
+            dual, seen = trial, at
+        if np.abs(seen[1]).max() < tolerance:
+            return dual.tolist()
+    warnings.warn(TargetsMissed("token shares by document token that rates leave over (+) or short (-) of the goal: " + ", ".join(
+        f"{d} {g:+.6f} of {x:.6f}" for d, g, x in zip(DOMAINS, seen[1], goal))), stacklevel=2)
+    return dual.tolist()
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, tokens, posteriors, rate, n_copies."""
     model = Softmax(*labelled_sample(docs, labels, sample))
     soft = materialise(posteriors(docs, model), "soft")
-    steps = solve_rates(soft, targets)
+    dual = solve_rates(soft, targets)
     u = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return soft.withColumn("rate", _rate(steps)).withColumn("n_copies", F.floor(F.col("rate") + u).cast("long"))
+    return soft.withColumn("rate", _rate(dual)).withColumn("n_copies", F.floor(F.col("rate") + u).cast("long"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE) -> DataFrame:

@@ -80,6 +80,41 @@ def test_line_dedup_keeps_first_and_offsets(spark):
         1: docs[0][1], 2: "more", 3: "", 4: None, 5: ""}
 
 
+def test_passage_dedup_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return list(rng.choice([f"w{i}" for i in range(5000)], n))
+
+    said, other, short = words(70), words(55), words(49)
+    wrapped = "\n".join(" ".join(said[i:i + 6]) for i in range(0, 70, 6))
+    line = " ".join(words(12))
+    texts = [" ".join(words(9) + said + words(30)), "İ é😀 " + " ".join(words(20) + said + words(11)).upper(), " ".join(words(3)) + "\n" + wrapped + "\nend",
+             " ".join(words(5) + short + words(5)), " ".join(words(5) + short + words(5)), f"a\n{line}\nb", f"{line}\nc " + "  ".join(other),
+             " ".join(words(300) + other + said), None, "", " ".join(words(10) * 9)]
+    docs = list(enumerate(texts)) + [(None, " ".join(words(4) + other))]
+    seen, want = set(), {}
+    for doc_id, text in sorted(docs, key=lambda d: -1 if d[0] is None else d[0]):
+        hit = set()
+        at = [(m.start(), m.end(), m.group().lower()) for m in W.finditer(text or "")]
+        for i in range(len(at) - 49):
+            run = tuple(w for _, _, w in at[i:i + 50])
+            if run in seen:
+                hit |= set(range(at[i][0], at[i + 49][1]))
+            seen.add(run)
+        for m in re.finditer("[^\n]+", text or ""):
+            if len(m.group().split()) >= 10:
+                if (m.group().lower(),) in seen:
+                    hit |= set(range(*m.span()))
+                seen.add((m.group().lower(),))
+        want[doc_id] = hit
+    got = {r["doc_id"]: r for r in substrings.removed_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    spans = {d: [tuple(map(int, x.split(":"))) for x in r["spans"].split(",") if x] for d, r in got.items()}
+    assert {d: {c for a, b in s for c in range(a, b)} for d, s in spans.items()} == want
+    assert all(r["removed_chars"] == len(want[d]) and r["n_removed"] == len(spans[d]) for d, r in got.items())
+    assert all(want[d] for d in (1, 2, 6, 7, 10)) and not any(want[d] for d in (None, 0, 3, 4, 5, 8, 9))
+
+
 def test_license_scan(spark):
     t = dict(licenses.TEMPLATES)
     docs = [(1, "Some words here. " + t["MIT"] + " more words"), (2, None), (3, "licensed under nothing at all today"),

@@ -8,6 +8,13 @@ text. Digests are 128 bits of SHA-256.
 Defined cases: null or empty texts have no units and lose nothing; a document keeps the first of
 its own repeated lines; rows with equal doc_id and start share a rank and all stay; a null doc_id
 ranks first; an empty table gives no rows; extra columns are never read.
+
+``removed_passages`` adds what whole lines miss: every run of ``PASSAGE_WORDS`` words (lower case, split at
+white space, so line breaks and line lengths do not matter) that occurs at an earlier rank goes too, wherever
+in a line it stands. Two passes: each run selects the smallest hash of its half runs (by its own words alone, so
+equal runs select equal hashes) and only runs whose selected hash repeats are then digested, 128 bits each, and
+grouped, so the result is that of digesting every run. Every removed word stands at an earlier
+rank in the same run or line; a text that repeats with a period keeps its first period.
 """
 
 from __future__ import annotations
@@ -16,13 +23,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, salted_lookup
 
-MIN_WORDS = 10
+MIN_WORDS, PASSAGE_WORDS = 10, 50
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -87,6 +95,133 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.withColumn("text", cut("text", "removed_spans"))
 
 
+def word_hashes(text: str | None, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, 64-bit hash) of every lower-cased word; offsets are code points of ``text``."""
+    text = text or ""
+    low = text.lower()
+    if len(low) != len(text):  # a few letters are longer in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = np.concatenate([[False], ~((code == 32) | ((code >= 9) & (code <= 13))), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return start, end, np.empty(0, np.uint64)
+    letters = _mix(code[inside[1:-1]].astype(np.uint64) + np.uint64((seed + 1) << 32))
+    size = end - start
+    first = np.cumsum(size) - size
+    at = np.arange(len(letters)) - np.repeat(first, size)
+    return start, end, _mix(np.add.reduceat(letters * _powers(int(size.max()), _BASE[seed])[at], first))
+
+
+_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def run_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """64-bit hash of every ``length`` consecutive words."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(len(words), _BASE[seed]), dtype=np.uint64)])
+    return _mix((sums[length:] - sums[:n]) * _powers(n, pow(_BASE[seed], -1, 1 << 64)))
+
+
+def _winners(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every run of ``length`` words, the position of its smallest half-run hash; the half-run hashes."""
+    part = (length + 1) // 2
+    h = run_hashes(words, part)
+    wide, n = length - part + 1, len(words) - length + 1
+    if n <= 0:
+        return np.empty(0, np.int64), h
+    return np.concatenate([np.arange(i, min(i + 100_000, n)) + np.lib.stride_tricks.sliding_window_view(
+        h[i:i + 100_000 + wide - 1], wide).argmin(1) for i in range(0, n, 100_000)]), h
+
+
+def _selected(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the winnowed half runs."""
+    won, h = _winners(words, length)
+    at = np.unique(won)
+    return at, h[at]
+
+
+def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame:
+    """(doc_id, start, end) of every run of ``length`` words that occurs at an earlier rank."""
+    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [_selected(word_hashes(t)[2], length) for t in pdf["text"]]
+            size = [len(g[0]) for g in got]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").repeat(size).values,
+                                "at": np.concatenate([g[0] for g in got] or [[]]).astype("int32"),
+                                "h": np.concatenate([g[1] for g in got] or [[]]).astype("uint64").view("int64")})
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, text, places in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["places"]):
+                start, end, words = word_hashes(text)
+                run = np.flatnonzero(np.isin(_winners(words, length)[0], places))
+                if not len(run):
+                    continue
+                yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(run), dtype="Int64"),
+                                    "start": start[run], "end": end[run + length - 1],
+                                    "d1": run_hashes(words, length)[run].view("int64"),
+                                    "d2": run_hashes(word_hashes(text, 1)[2], length, 1)[run].view("int64")})
+
+    texts = docs.select("doc_id", "text")
+    marks = materialise(texts.mapInPandas(select, "doc_id long, at int, h long"), "marks")
+    # both joins shuffle both sides by the hash alone, so that a hot one is split among tasks when they run
+    often = materialise(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+    places = marks.join(often, "h").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    places = places.withColumnRenamed("doc_id", "_d")
+    runs = materialise(texts.join(places, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "places").mapInPandas(
+        digest, "doc_id long, start long, end long, d1 long, d2 long"), "runs")
+    rank = F.struct("doc_id", "start")
+    first = runs.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = runs.join(first.select("d1", F.col("d2").alias("_d2"), "first"), "d1").where("d2 = _d2")
+    return again.where(~rank.eqNullSafe(F.col("first"))).select("doc_id", "start", "end")
+
+
+def removed_passages(docs: DataFrame, min_words: int = MIN_WORDS, length: int = PASSAGE_WORDS) -> DataFrame:
+    """As ``removed_spans``, of repeated lines and repeated runs of words; spans that meet are merged."""
+    both = repeated_units(docs, min_words).unionByName(repeated_passages(docs, length))
+    # one span for each start, then each document's spans in order are merged
+    spans = both.groupBy("doc_id", "start").agg(F.max("end").alias("end")).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, s in zip(pdf["doc_id"].astype("Int64"), pdf["_s"]):
+                out: list[list[int]] = []
+                for x in s:
+                    if out and x["start"] <= out[-1][1]:
+                        out[-1][1] = max(out[-1][1], x["end"])
+                    else:
+                        out.append([x["start"], x["end"]])
+                rows.append((doc_id, len(out), sum(b - a for a, b in out), ",".join(f"{a}:{b}" for a, b in out)))
+            yield pd.DataFrame(rows, columns=["_d", "n_removed", "removed_chars", "spans"]).astype({"_d": "Int64"})
+
+    found = spans.mapInPandas(merged, "_d long, n_removed long, removed_chars long, spans string")
+    ids = docs.select("doc_id").distinct()
+    zero = F.lit(0).cast("long")
+    return ids.join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(
+        "doc_id", F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("removed_chars", zero).alias("removed_chars"), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM d),

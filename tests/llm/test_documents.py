@@ -124,6 +124,29 @@ def test_license_scan(spark):
     assert got == {(1, "MIT"), (4, "GPL-3.0")} | {(5, name) for name in t}
 
 
+def test_license_wordings(spark):
+    gnu = ("This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by "
+           "the Free Software Foundation, either version {2} of the License, or (at your option) any later version.")
+    docs = [(1, gnu.format("program", "General Public License", 3), "GPL-3.0"), (2, gnu.format("program", "General Public License", 2), "GPL-2.0"),
+            (3, gnu.format("library", "Lesser General Public License", 2.1), "LGPL-2.1"),
+            (4, gnu.format("program", "Affero General Public License", 3), "AGPL-3.0"),
+            (5, "# SPDX-License-Identifier: LGPL-3.0-only", "LGPL-3.0-only"), (6, "(c) 2020 Somebody. All rights reserved.", "All-rights-reserved"),
+            (7, "This page is under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+            (8, "This is free and unencumbered software released into the public domain.", "Unlicense"),
+            (9, "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", "LGPL-3.0"), (10, "see creativecommons.org/licenses/by/4.0/", "CC-BY-4.0"),
+            (11, "all rights that were reserved", None), (12, "rights reserved", None)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(df, licenses.template_table(spark)).collect()}
+    assert got == {(i, name) for i, _, name in docs if name}
+
+
+def test_license_shingle_in_running_text_is_retrieved(spark):
+    said = [f"released under the licence{i} terms" for i in range(12000)]
+    df = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} {x} e{i} f{i} g{i} h{i}") for i, x in enumerate(said)], "doc_id long, text string")
+    found = licenses.scan_licenses(df, licenses.template_table(spark, [(f"L{i}", x) for i, x in enumerate(said)]))
+    assert found.where("license = concat('L', doc_id)").count() == found.count() == 12000
+
+
 BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ZOO_CATALOG
+from tests.named import ZOO_CATALOG
 from textsql.functions import ddl as D
 from textsql.sources import catalog as C
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.named import SF_SMALL
 from textsql.operators.execute import score_pairs
 
 

@@ -1,12 +1,13 @@
-"""Queries and SQL of the ten operators and the pipeline (registered by ``__spark_entry__.py``)."""
+"""Queries and SQL of the thirteen operators (registered by ``__spark_entry__.py``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textsql.session import scratch_path
 
-from . import chat, embeddings, licenses, minhash, mixing, packing, pii, quality, substrings, warc
+from . import chat, embeddings, licenses, minhash, mixing, negatives, packing, pii, quality, runs, substrings, toxicity, warc
 from .common import table
 
 
@@ -59,8 +60,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentences")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved).drop("positive_rank")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.fold_texts(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_superminhash, op3_multi_index, op4_warc, op5_quality_rules, op6_line_dedup, op6_passage_dedup, op7_chat_format,
-    op8_pii_boosting, op9_soft_mixing, op10_packing)}
+    op8_pii_boosting, op9_soft_mixing, op10_packing, op11_toxicity_mil, op12_hard_negatives, op13_periodic_runs)}
 ORACLE = {"op2_superminhash": minhash.ORACLE, "op3_multi_index": embeddings.ORACLE, "op4_warc": warc.ORACLE,
-          "op5_quality_rules": quality.ORACLE, "op6_line_dedup": substrings.ORACLE}
+          "op5_quality_rules": quality.ORACLE, "op6_line_dedup": substrings.ORACLE, "op12_hard_negatives": negatives.ORACLE}

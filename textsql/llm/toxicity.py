@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 SAMPLE, MIN_DF, STEPS, RATE, L1 = 8000, 5, 200, 0.3, 1e-4
 OFFENDING, STEM = 0.5, 5
+SLICE = 1 << 19  # words that a gradient step holds at once
 SCORES = "doc_id long, score double, sentences array<struct<start: int, end: int, score: double>>"
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -107,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
                                 "words": [[w for s in b for w in s] for b in out]})
 
     rows = bags.mapInPandas(encode, "h long, toxic int, n array<int>, words array<int>").orderBy("h").toPandas()
-    bias, leak, w = fit_bags(rows["toxic"].to_numpy(), list(rows["n"]), list(rows["words"]), len(vocab))
+    toxic, n, numbers = rows["toxic"].to_numpy(), list(rows["n"]), list(rows["words"])
+    del rows
+    bias, leak, w = fit_bags(toxic, n, numbers, len(vocab))
     return Model(bias, leak, {vocab[i]: float(w[i]) for i in np.flatnonzero(w)})
 
 
@@ -120,21 +123,32 @@ def fit_bags(toxic: np.ndarray, n: list, words: list, n_words: int, steps: int =
     if not len(y) or y.all() or not y.any():
         return -1000.0, float(y.mean()) if len(y) else 0.0, np.zeros(n_words)  # the leak alone
     bag = np.repeat(np.arange(len(y)), [len(x) for x in n])
-    size = np.concatenate([np.asarray(x, np.int64) for x in n] or [np.zeros(0, np.int64)])
-    word = np.concatenate([np.asarray(x, np.int64) for x in words] or [np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(size)), size)
+    size = np.concatenate([np.asarray(x, np.int64) for x in n])
+    word = np.concatenate([np.asarray(x, np.int32) for x in words])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    parts = []  # (first sentence, end, first word, end): at most SLICE words, or one sentence, at a time
+    while not parts or parts[-1][1] < len(size):
+        a = parts[-1][1] if parts else 0
+        b = max(min(a + 1, len(size)), int(np.searchsorted(ends, ends[a] + SLICE, side="right")) - 1)
+        parts.append((a, b, ends[a], ends[b]))
     theta = np.zeros(n_words + 2)  # weights, bias, logit of the leak
     theta[-2], theta[-1] = -5.0, math.log(0.02 / 0.98)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = theta[-2] + np.bincount(row, theta[word], len(size))
+        z = np.full(len(size), theta[-2])
+        for a, b, i, j in parts:
+            z[a:b] += np.bincount(np.repeat(np.arange(b - a), size[a:b]), theta[word[i:j]], b - a)
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -500, 500))), 1e-15, 1 - 1e-12)
         leak = 1 / (1 + math.exp(-theta[-1]))
         clean = np.bincount(bag, np.log1p(-p), len(y)) + math.log1p(-leak)
         # d log-likelihood / d z of a sentence is p times this factor of its bag
         pull = np.where(y, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-12), -1.0)
         dz = p * pull[bag]
-        g = np.concatenate([np.bincount(word, dz[row], n_words), [dz.sum(), leak * pull.sum()]]) / len(y)
+        g = np.zeros_like(theta)
+        g[-2:] = dz.sum(), leak * pull.sum()
+        for a, b, i, j in parts:
+            g[:-2] += np.bincount(word[i:j], np.repeat(dz[a:b], size[a:b]), n_words)
+        g /= len(y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         rate = RATE * min(1, 2 * (1 - t / (steps + 1)))
         scale = rate / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-4)

@@ -25,7 +25,7 @@ def test_blank_predictions_score_zero(spark, zoo_tables, zoo_examples):
 
 
 def test_one_bad_prediction_per_mode(spark, zoo_tables, zoo_examples):
-    out = scored(spark, zoo_examples, [(0, "SELECT *** FROM ###"), (1, "SELECT * FROM no_such_table"),
+    out = scored(spark, zoo_examples, [(0, "SELECT (p_name FROM part"), (1, "SELECT * FROM missing_part_list"),
                                        (2, "SELECT 'wrong'")])
     assert [out[i].failure_mode for i in range(3)] == ["parse", "execution", "wrong-result"]
 

@@ -1,46 +1,64 @@
 """Statement execution (X1, F2, F3) and end-to-end scoring of SQL pairs.
 
-SQL here is *data*: each distinct statement is run once with ``spark.sql`` against the
-session's registered tables. The driver only holds the list of distinct statement texts (the
-control plane: one string per statement); every statement's rows are produced and written by
-the executors into one parquet table under the shared checkpoint folder, partitioned by
-statement id, and read back as a DataFrame. Statements run concurrently from a bounded thread
-pool (Spark schedules their jobs side by side); a per-statement timeout cancels its job group.
-
-Status: ``ok``; ``parse`` (ParseException); ``execution`` (analysis or runtime error, refused
-non-query, timeout); ``empty`` for a blank statement.
+SQL here is *data*: a list of statements as large as any table. The distinct statements are written
+once, numbered in batches, as a work table in the shared folder. The driver takes a bounded window of
+batches at a time, analyses each statement (no job runs) and lets the executors write a batch's rows;
+the batch's status file, written last and in one piece, is its commit. A run that is called again
+with the same work folder goes on after the committed batches, so neither the number of statements
+nor a lost driver matters. Rows of attempts that were cut off are never read: a status names the
+directory that holds its rows.
+
+Statements run in child sessions that can only read: a text counts as a query only where Spark's
+parser takes it as the body of a view, paths don't resolve as tables, and the functions that call into the
+JVM are replaced. Status: ``ok``; ``parse`` (no statement at all); ``execution`` (analysis or runtime error,
+refused non-query or function, timeout); ``empty`` for a blank statement.
 """
 
 from __future__ import annotations
 
 import threading
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.text import clean_sql
 from ..session import maybe_broadcast, scratch_path
-from .resultset import multiset_equal
+from .ranking import exact_rank
+from .resultset import multiset_classes, multiset_equal
 
 # --- fixed values -----------------------------------------------------------------------------
-WRITE_NODES = ("org.apache.spark.sql.catalyst.plans.logical.Command",
-               "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+# functions that run arbitrary JVM methods
+REFUSED_FUNCTIONS = ("java_method", "reflect", "try_reflect")
 # ----------------------------------------------------------------------------------------------
+BATCH_SIZE = 32  # statements of a batch: one job a database
+WINDOW = 64  # batches whose texts the driver holds at once
+SESSIONS = 64  # child sessions kept open
 
 STATUS_SCHEMA = StructType([
     StructField("stmt_id", StringType(), False),
     StructField("status", StringType(), False),
     StructField("error", StringType(), True),
+    StructField("tag", StringType(), True),
 ])
 ROWS_SCHEMA = StructType([
     StructField("row", ArrayType(StringType()), True),
     StructField("stmt_id", StringType(), True),
+    StructField("tag", StringType(), True),
+])
+TODO_SCHEMA = StructType([
+    StructField("stmt_id", StringType(), False),
+    StructField("db", StringType(), True),
+    StructField("text", StringType(), False),
+    StructField("batch", LongType(), False),
+    StructField("window", LongType(), False),
 ])
+PLAN_SCHEMA = StructType([StructField("todo", StringType(), False), StructField("batches", LongType(), False)])
 
 
 def statement_id(sql_col, db_col=None) -> F.Column:
@@ -51,96 +69,163 @@ def statement_id(sql_col, db_col=None) -> F.Column:
     return F.sha2(text, 256)
 
 
-def _is_query(spark: SparkSession, text: str) -> bool:
-    """Parse only (nothing is analysed or run) and accept plans without any command or write node,
-    wherever it stands: ``WITH ... INSERT`` holds its insert below the WITH node."""
-    plans = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
-    gateway = spark.sparkContext._gateway
-    while plans:
-        node = plans.pop()
-        if any(is_instance_of(gateway, node, kind) for kind in WRITE_NODES):
-            return False
-        children = node.children()
-        plans += [children.apply(i) for i in range(children.size())]
-    return True
+def read_only_session(spark: SparkSession) -> SparkSession:
+    """A child session (same cluster, own views) with the caller's SQL settings, in which a path is no table
+    and the functions that call JVM methods fail."""
+    child = spark.newSession()
+    for r in spark.sql("SET").collect():
+        if r["key"].startswith("spark.sql.") and child.conf.isModifiable(r["key"]):
+            child.conf.set(r["key"], r["value"])
+    child.conf.set("spark.sql.runSQLOnFiles", "false")
+    for name in REFUSED_FUNCTIONS:
+        child.udf.register(name, _refuse, "string")
+    return child
+
+
+def _refuse(*_) -> str:
+    """Stands for a refused function: a statement that calls one fails when it runs."""
+    raise ValueError("refused: this function is not available to statements")
+
+
+def _shared_views(spark: SparkSession, child: SparkSession) -> list[str]:
+    """Give the caller's temporary views to a child session; returns the global views that carry them."""
+    shared = []
+    child.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    for t in spark.catalog.listTables():
+        if t.isTemporary:
+            via = f"textsql_{uuid.uuid4().hex[:12]}"
+            spark.table(f"`{t.name}`").createGlobalTempView(via)
+            child.table(f"global_temp.{via}").createOrReplaceTempView(t.name)
+            shared.append(via)
+    return shared
+
+
+class _Sessions:
+    """The read-only session of each database; at most ``SESSIONS`` are kept."""
+
+    def __init__(self, spark: SparkSession, tables_for: Callable | None):
+        self.spark, self.tables_for, self.open, self.lock, self.shared = spark, tables_for, OrderedDict(), threading.Lock(), []
+
+    def get(self, db: str | None) -> SparkSession:
+        with self.lock:
+            if db not in self.open:
+                child = read_only_session(self.spark)
+                if db is None:
+                    self.shared += _shared_views(self.spark, child)
+                elif self.tables_for is not None:
+                    for name, df in self.tables_for(child, db).items():
+                        df.createOrReplaceTempView(name)
+                else:
+                    child.catalog.setCurrentDatabase(db)
+                self.open[db] = child
+                while len(self.open) > SESSIONS:
+                    self.open.popitem(last=False)
+            self.open.move_to_end(db)
+            return self.open[db]
+
+    def close(self) -> None:
+        for view in self.shared:
+            self.spark.catalog.dropGlobalTempView(view)
+
+
+def _parses(sess: SparkSession, text: str) -> bool:
+    """Spark's own parser decides; EXPLAIN runs nothing."""
+    try:
+        sess.sql(f"EXPLAIN {text}")
+        return True
+    except ParseException:
+        return False
+    except AnalysisException:
+        return True
+
+
+def _is_query(sess: SparkSession, text: str) -> bool:
+    """Only a query can be the body of a view: no command, and no write below a WITH."""
+    probe = f"textsql_probe_{uuid.uuid4().hex[:12]}"
+    try:
+        sess.sql(f"CREATE TEMPORARY VIEW {probe} AS\n{text}")
+        sess.catalog.dropTempView(probe)
+        return True
+    except ParseException:
+        return False
+    except AnalysisException:
+        return True  # a query that doesn't resolve, or one with equal column names
 
 
-def _analyze(spark: SparkSession, sid: str, text: str):
-    """Driver-side parse + analysis of one statement (no job runs)."""
+def _analyze(sess: SparkSession, sid: str, text: str):
+    """(status, error, rows) of one statement; no job runs."""
     if not text:
-        return sid, "empty", None, None
+        return "empty", None, None
     try:
-        if not _is_query(spark, text):
-            return sid, "execution", "refused: not a read-only query", None
-        df = spark.sql(text)
+        if not _is_query(sess, text):
+            return ("execution", "refused: not a read-only query", None) if _parses(sess, text) else (
+                "parse", "ParseException", None)
+        df = sess.sql(text)
         df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
         cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-        return sid, "ok", None, df.select(F.array(*cells).alias("row"), F.lit(sid).alias("stmt_id"))
+        return "ok", None, df.select(F.array(*cells).alias("row"), F.lit(sid).alias("stmt_id"))
     except ParseException as e:
-        return sid, "parse", type(e).__name__, None
+        return "parse", type(e).__name__, None
     except AnalysisException as e:
-        return sid, "execution", getattr(e, "getCondition", lambda: None)() or type(e).__name__, None
-
-
-def _db_session(spark: SparkSession, db: str | None, tables_for, cache: dict, lock: threading.Lock):
-    """The session a database's statements run in: a child session (same SparkContext, its own
-    temp views and current database) with that database's tables registered by
-    ``tables_for(session, db_id) -> {name: DataFrame}``, or the catalog database ``db_id``."""
-    if db is None:
-        return spark
-    with lock:
-        if db not in cache:
-            sess = spark.newSession()
-            if tables_for is not None:
-                for name, df in tables_for(sess, db).items():
-                    df.createOrReplaceTempView(name)
-            else:
-                sess.catalog.setCurrentDatabase(db)
-            cache[db] = sess
-        return cache[db]
+        return "execution", getattr(e, "getCondition", lambda: None)() or type(e).__name__, None
+
+
+def plan_statements(spark: SparkSession, statements: DataFrame, work: str, sql_col: str = "sql",
+                    db_col: str | None = None, batch_size: int = BATCH_SIZE) -> tuple[str, int]:
+    """(work table, number of batches). Written once for a work folder; its one-row plan commits it."""
+    plan = f"{work}/plan"
+    try:
+        row = spark.read.schema(PLAN_SCHEMA).parquet(plan).first()
+        if row is not None:
+            return row["todo"], row["batches"]
+    except AnalysisException:
+        pass  # no such folder yet
+    db = F.col(db_col) if db_col else F.lit(None).cast("string")
+    distinct = statements.select(statement_id(sql_col, db_col).alias("stmt_id"), db.alias("db"),
+                                 F.coalesce(clean_sql(sql_col), F.lit("")).alias("text")).dropDuplicates(["stmt_id"])
+    # batches run along the databases, so that a batch needs few sessions
+    ranked = exact_rank(distinct, [F.col("db").asc_nulls_first(), F.col("stmt_id")], "place")
+    batch = F.floor((F.col("place") - 1) / batch_size)
+    todo = f"{work}/todo-{uuid.uuid4().hex[:8]}"
+    ranked.select("stmt_id", "db", "text", batch.alias("batch"), F.floor(batch / WINDOW).alias("window")).repartitionByRange(
+        "window").write.partitionBy("window").parquet(todo)
+    last = spark.read.schema(TODO_SCHEMA).parquet(todo).agg(F.max("batch")).first()[0]
+    batches = 0 if last is None else last + 1
+    spark.createDataFrame([], ROWS_SCHEMA).write.mode("overwrite").partitionBy("tag").parquet(f"{work}/rows")
+    spark.createDataFrame([], STATUS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{work}/status/batch=-1")
+    spark.createDataFrame([(todo, batches)], PLAN_SCHEMA).coalesce(1).write.mode("overwrite").parquet(plan)
+    return todo, batches
+
+
+def _statuses(spark: SparkSession, work: str) -> DataFrame:
+    return spark.read.schema(StructType([*STATUS_SCHEMA.fields, StructField("batch", LongType())])).parquet(
+        f"{work}/status").where("batch >= 0")
 
 
 def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
                    max_workers: int = 8, timeout_s: float | None = None,
-                   out_path: str | None = None, batch_size: int = 32,
+                   work: str | None = None, batch_size: int = BATCH_SIZE,
                    db_col: str | None = None, tables_for=None,
-                   scheduler_pool: str = "textsql-statements") -> tuple[DataFrame, DataFrame]:
+                   scheduler_pool: str = "textsql-statements",
+                   max_batches: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Run every distinct cleaned statement (per database when ``db_col`` is given) once.
 
-    Statements are parsed and analysed on the driver (no data moves), then the runnable ones
-    are executed in batches of one database: one Spark job writes the union of a batch's result
-    rows, partitioned by statement id. A batch that fails at run time is re-run one statement
-    per job so the failure is pinned to its statement. Batches run concurrently from a bounded
-    pool; each job group is cancelled after ``timeout_s`` (off by default). Per-database statements run in a
-    child session holding that database's tables (``tables_for``) or catalog database.
+    Each batch's runnable statements go out as one Spark job a database; a job that fails is run again one
+    statement a job, so that the failure is pinned to its statement. Batches run concurrently from a
+    bounded pool; each job group is cancelled after ``timeout_s`` (off by default). Statements see the
+    caller's views, or with ``db_col`` that database's tables (``tables_for(session, db_id) -> {name:
+    DataFrame}``) or catalog database. ``work`` names a folder to go on in; ``max_batches`` ends the call
+    after so many batches, for a later call with the same folder.
 
-    Returns ``(status, rows)``: status (stmt_id, status, error) and rows (stmt_id, row
-    array<string>) with NULL cells as ''. ``stmt_id`` = ``statement_id(sql, db)``.
+    Returns ``(status, rows)`` of the committed batches: status (stmt_id, status, error) and rows (stmt_id,
+    row array<string>) with NULL cells as ''. ``stmt_id`` = ``statement_id(sql, db)``.
     """
-    db_expr = F.col(db_col) if db_col else F.lit(None).cast("string")
-    distinct = statements.select(statement_id(sql_col, db_col).alias("stmt_id"), db_expr.alias("db"),
-                                 F.coalesce(clean_sql(sql_col), F.lit("")).alias("text")).distinct()
-    todo = [(r["stmt_id"], r["db"], r["text"]) for r in distinct.collect()]  # control plane: texts only
-    out = out_path or scratch_path(spark, "stmt-rows")
+    work = (work or scratch_path(spark, "statements")).rstrip("/")
+    todo, batches = plan_statements(spark, statements, work, sql_col, db_col, batch_size)
     sc = spark.sparkContext
-    sessions: dict = {}
-    lock = threading.Lock()
-
-    def analyze(item):
-        sid, db, text = item
-        sess = _db_session(spark, db, tables_for, sessions, lock)
-        return (*_analyze(sess, sid, text), db)
-
-    with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        analyzed = list(pool.map(analyze, todo))
-    status = {sid: (st, err) for sid, st, err, _, _ in analyzed}
-    by_db: dict = {}
-    for sid, st, _, df, db in analyzed:
-        if st == "ok":
-            by_db.setdefault(db, []).append((sid, df))
-    batches = [items[i:i + batch_size] for items in by_db.values() for i in range(0, len(items), batch_size)]
-
-    def write(items, tag):
+    sessions = _Sessions(spark, tables_for)
+
+    def write(frames: list[DataFrame], tag: str) -> str | None:
         group = f"textsql-{uuid.uuid4().hex[:8]}"
         timer = None
         try:
@@ -150,10 +235,10 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
             if timeout_s:
                 timer = threading.Timer(timeout_s, lambda: sc.cancelJobGroup(group))
                 timer.start()
-            u = items[0][1]
-            for _, df in items[1:]:
+            u = frames[0]
+            for df in frames[1:]:
                 u = u.unionByName(df)
-            u.write.mode("overwrite").partitionBy("stmt_id").parquet(f"{out}/batch={tag}")
+            u.write.parquet(f"{work}/rows/tag={tag}")
             return None
         except Exception as e:  # noqa: BLE001 - runtime failure of a statement in the batch
             return type(e).__name__
@@ -161,40 +246,59 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
             if timer is not None:
                 timer.cancel()
 
-    def run_batch(k_items):
-        """Returns the tags of the directories that committed (only those are read back)."""
-        k, items = k_items
-        err = write(items, str(k))
-        if err is None:
-            return [str(k)]
-        done = []
-        for j, (sid, df) in enumerate(items):
-            e = write([(sid, df)], f"{k}-{j}")
-            if e is None:
-                done.append(f"{k}-{j}")
+    def run_batch(item) -> None:
+        batch, texts = item
+        attempt = f"{batch}-{uuid.uuid4().hex[:8]}"
+        status, by_db = [], {}
+        for sid, db, text in texts:
+            st, err, df = _analyze(sessions.get(db), sid, text)
+            if st == "ok":
+                by_db.setdefault(db, []).append((sid, df))
             else:
-                status[sid] = ("execution", e)
-        return done
-
-    with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        committed = [tag for tags in pool.map(run_batch, enumerate(batches)) for tag in tags]
-    results = [(sid, st, err) for sid, (st, err) in status.items()]
-    status_df = spark.createDataFrame(results, STATUS_SCHEMA)
-    if committed:
-        rows = spark.read.schema(ROWS_SCHEMA).option("basePath", out).parquet(
-            *[f"{out}/batch={tag}" for tag in committed])
-        ok_ids = status_df.filter(F.col("status") == "ok").select("stmt_id")
-        rows = rows.join(ok_ids, "stmt_id", "left_semi")
-    else:
-        rows = spark.createDataFrame([], ROWS_SCHEMA)
-    return status_df, rows.select("stmt_id", "row")
+                status.append((sid, st, err, None))
+        for i, items in enumerate(by_db.values()):
+            tag = f"{attempt}-{i}"
+            if write([df for _, df in items], tag) is None:
+                status += [(sid, "ok", None, tag) for sid, _ in items]
+                continue
+            for j, (sid, df) in enumerate(items):
+                err = write([df], f"{tag}-{j}")
+                status.append((sid, "execution", err, None) if err else (sid, "ok", None, f"{tag}-{j}"))
+        # the commit: one file, in place or not at all
+        spark.createDataFrame(status, STATUS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{work}/status/batch={batch}")
+
+    left = batches if max_batches is None else max_batches
+    try:
+        for window in range(-(-batches // WINDOW)):
+            first = window * WINDOW
+            done = {r["batch"] for r in _statuses(spark, work).where(
+                F.col("batch").between(first, first + WINDOW - 1)).select("batch").distinct().collect()}
+            texts: dict[int, list] = {}
+            for r in spark.read.schema(TODO_SCHEMA).parquet(todo).where(F.col("window") == window).collect():
+                if r["batch"] not in done:
+                    texts.setdefault(r["batch"], []).append((r["stmt_id"], r["db"], r["text"]))
+            now = sorted(texts.items())[:left]
+            left -= len(now)
+            with ThreadPoolExecutor(max_workers=max_workers) as pool:
+                list(pool.map(run_batch, now))
+            if left <= 0:
+                break
+    finally:
+        sessions.close()
+    status = _statuses(spark, work)
+    rows = spark.read.schema(ROWS_SCHEMA).parquet(f"{work}/rows")
+    kept = status.where("status = 'ok'").select("stmt_id", "tag")
+    return status.select("stmt_id", "status", "error"), rows.join(kept, ["stmt_id", "tag"], "left_semi").select("stmt_id", "row")
 
 
 def score_pairs(spark: SparkSession, pairs: DataFrame, key: str = "pair_id", gold_col: str = "gold_sql",
                 pred_col: str = "pred_sql", db_col: str | None = None, **run_kw) -> DataFrame:
-    """Execute gold and prediction once per distinct (database, statement), compare every
-    distinct (gold, prediction) statement pair as row multisets, and attach status and failure
-    mode. With ``db_col`` both statements of a pair run against that pair's database.
+    """Execute gold and prediction once per distinct (database, statement), compare them as row
+    multisets, and attach status and failure mode. With ``db_col`` both statements of a pair run
+    against that pair's database.
+
+    Statements are sorted into classes of equal results first (``multiset_classes``), so their rows are
+    read the same number of times however many pairs there are; a pair matches if its statements share a class.
 
     Output: key, gold_status, pred_status, exec_match, failure_mode.
     """
@@ -206,21 +310,22 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, key: str = "pair_id", gol
     stmts = pairs.select(*dbs, F.col(gold_col).alias("sql")).unionByName(
         pairs.select(*dbs, F.col(pred_col).alias("sql")))
     status, rows = run_statements(spark, stmts, "sql", db_col=db_col, **run_kw)
-    combos = p.select("gold_id", "pred_id").distinct()
-    st_g = status.select(F.col("stmt_id").alias("gold_id"), F.col("status").alias("gold_status"))
-    st_p = status.select(F.col("stmt_id").alias("pred_id"), F.col("status").alias("pred_status"))
-    c = combos.join(st_g, "gold_id").join(st_p, "pred_id")
-    both_ok = c.filter((F.col("gold_status") == "ok") & (F.col("pred_status") == "ok")).select("gold_id", "pred_id")
-    # The statement pairs to compare: broadcast only after a count proves the list small, so a
-    # statement with a huge result is matched in place instead of shuffled on its id.
-    # Two sha256 hex ids per row (~140 bytes): 100k pairs is ~14 MB.
-    both_ok = maybe_broadcast(both_ok, max_rows=100_000, row_bytes=160)
-    g_rows = both_ok.join(rows.withColumnRenamed("stmt_id", "gold_id"), "gold_id")
-    p_rows = both_ok.join(rows.withColumnRenamed("stmt_id", "pred_id"), "pred_id")
-    eq = multiset_equal(g_rows, p_rows, key=["gold_id", "pred_id"], keys=both_ok)
-    verdict = c.join(eq, ["gold_id", "pred_id"], "left").withColumn(
-        "exec_match", F.coalesce(F.col("exec_match"), F.lit(False)))
-    out = p.join(verdict, ["gold_id", "pred_id"])
+    classes, doubtful = multiset_classes(rows, status.where("status = 'ok'").select("stmt_id"), "stmt_id")
+    known = status.join(classes, "stmt_id", "left").select("stmt_id", "status", "class_id")
+    g = known.toDF("gold_id", "gold_status", "gold_class")
+    r = known.toDF("pred_id", "pred_status", "pred_class")
+    combos = p.select("gold_id", "pred_id").distinct().join(g, "gold_id").join(r, "pred_id")
+    match = F.coalesce(F.col("gold_class") == F.col("pred_class"), F.lit(False))
+    if doubtful is not None:  # digests that tie for different rows: those pairs are compared row by row
+        both = combos.where(match & (F.col("gold_id") != F.col("pred_id"))).join(
+            doubtful.withColumnRenamed("class_id", "gold_class"), "gold_class", "left_semi").select("gold_id", "pred_id")
+        both = maybe_broadcast(both, max_rows=100_000, row_bytes=160)
+        eq = multiset_equal(both.join(rows.withColumnRenamed("stmt_id", "gold_id"), "gold_id"),
+                            both.join(rows.withColumnRenamed("stmt_id", "pred_id"), "pred_id"),
+                            key=["gold_id", "pred_id"], keys=both, out_col="__eq")
+        combos = combos.join(eq, ["gold_id", "pred_id"], "left")
+        match = match & F.coalesce(F.col("__eq"), F.lit(True))
+    out = p.join(combos.withColumn("exec_match", match), ["gold_id", "pred_id"])
     return out.select(
         key, "gold_status", "pred_status", "exec_match",
         classify_failure(F.col("__pred_text"), F.col("pred_status").isin("ok", "execution"),

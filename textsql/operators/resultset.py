@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, maybe_broadcast
+
 
 def normalize_row(*cells: Column | str) -> Column:
     """Cells -> ``array<string>``, NULL -> ``''``."""
@@ -63,6 +65,42 @@ def multiset_equal(
     )
 
 
+def multiset_digest(rows: DataFrame, key: str, row_col: str = "row") -> DataFrame:
+    """Order-free digest of each key's rows: their number and commutative sums of two row hashes.
+
+    Every column is a sum, so partial aggregates do almost all the work and a key with a huge result
+    ships one row per task. Hash halves keep the sums inside a long for 2^31 rows a key."""
+    row = normalize_row_array(row_col)
+    h = rows.select(key, F.xxhash64(row).alias("__a"), F.xxhash64(F.lit(1), row, F.size(row)).alias("__b"))
+    parts = [F.sum(part).alias(f"__{i}") for i, part in enumerate(
+        x for c in ("__a", "__b") for x in (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32)))]
+    return h.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), *parts).select(
+        key, F.struct("n_rows", *[f"__{i}" for i in range(4)]).alias("digest"))
+
+
+def multiset_classes(rows: DataFrame, ids: DataFrame, key: str, row_col: str = "row") -> tuple[DataFrame, DataFrame | None]:
+    """S1 for any number of result sets at once: (key, class_id), equal classes for equal multisets.
+
+    Digests sort the keys into classes; the rows of classes with several members are then counted per
+    (class, row), where all members must have the same count. So every row is read twice, whatever the
+    number of pairs. Classes that fail (two different results with one digest) come back as the
+    second value, None if there are none. ``ids`` lists the keys; one without rows is an empty result.
+    """
+    digests = ids.select(key).distinct().join(multiset_digest(rows, key, row_col), key, "left")
+    digests = cut_lineage(digests)
+    groups = digests.groupBy("digest").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("__members"))
+    classes = cut_lineage(digests.join(groups, digests["digest"].eqNullSafe(groups["digest"])).select(
+        key, "class_id", "__members"))
+    several = maybe_broadcast(classes.where("__members > 1"), max_rows=100_000, row_bytes=160)
+    per = rows.select(key, normalize_row_array(row_col).alias("__row")).join(several, key).groupBy(
+        "class_id", "__members", "__row", key).agg(F.count(F.lit(1)).alias("__n"))
+    bad = per.groupBy("class_id", "__members", "__row").agg(
+        F.count(F.lit(1)).alias("__k"), F.min("__n").alias("__low"), F.max("__n").alias("__high")).where(
+        "__k <> __members OR __low <> __high").select("class_id").distinct()
+    bad = cut_lineage(bad)
+    return classes.select(key, "class_id"), None if bad.isEmpty() else bad
+
+
 def multiset_equal_pair(a: DataFrame, b: DataFrame) -> bool:
     """S1 for a single pair of small results (tests): ``exceptAll`` both ways plus counts."""
     return a.count() == b.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

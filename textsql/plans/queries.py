@@ -1137,6 +1137,46 @@ def q_score_sql_pairs(spark, sf):
     return score_pairs(spark, _pairs_df(spark))
 
 
+STATEMENT_KINDS = {
+    0: "SELECT s_name, s_acctbal FROM supplier WHERE s_suppkey BETWEEN {lo} AND {hi}",
+    1: "SELECT n_name, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey "
+       "WHERE s_suppkey >= {lo} AND s_suppkey <= {hi} GROUP BY n_name",
+    2: "SELECT s_title FROM supplier WHERE s_suppkey = {lo}",
+    3: "SELECT (s_name FROM supplier WHERE s_suppkey = {lo}",
+    4: "SELECT reflect('java.lang.Math', 'abs', {lo})",
+    5: "DELETE FROM supplier WHERE s_suppkey = {lo}",
+    6: "SELECT * FROM parquet.`/somewhere/{lo}`",
+}
+
+
+@register("statement_batches", """
+WITH b AS (SELECT s_suppkey // 8 AS block, min(s_suppkey) AS lo, max(s_suppkey) AS hi, count(*) AS n,
+                  count(DISTINCT s_nationkey) AS nations FROM supplier GROUP BY 1)
+SELECT CAST(block AS BIGINT) AS block,
+       CASE WHEN block % 7 IN (0, 1) THEN 'ok' WHEN block % 7 = 3 THEN 'parse' ELSE 'execution' END AS status,
+       CAST(CASE block % 7 WHEN 0 THEN n WHEN 1 THEN nations ELSE 0 END AS BIGINT) AS n_rows
+FROM b""")
+def q_statement_batches(spark, sf):
+    """X1 over a list of statements that grows with the data, in two calls that share a work folder."""
+    from ..operators.execute import run_statements, statement_id
+    from ..session import scratch_path
+
+    _register_tpch(spark, sf)
+    b = V.read(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 8).alias("block")).agg(
+        F.min("s_suppkey").alias("lo"), F.max("s_suppkey").alias("hi"))
+    text = F.lit(None).cast("string")
+    for kind, form in STATEMENT_KINDS.items():
+        parts = F.replace(F.replace(F.lit(form), F.lit("{lo}"), _s("lo")), F.lit("{hi}"), _s("hi"))
+        text = F.when(F.col("block") % 7 == kind, parts).otherwise(text)
+    stmts = b.select("block", text.alias("sql"))
+    work = scratch_path(spark, "statement-batches")
+    run_statements(spark, stmts, work=work, batch_size=16, max_batches=1)
+    status, rows = run_statements(spark, stmts, work=work, batch_size=16)
+    counts = rows.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return stmts.withColumn("stmt_id", statement_id("sql")).join(status, "stmt_id").join(counts, "stmt_id", "left").select(
+        "block", "status", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
+
+
 # ==============================================================================================
 # Prediction plumbing: J1, J2, J3, A8, U1
 # ==============================================================================================

@@ -20,8 +20,8 @@ PAIRS = (
     (5, "SELECT DISTINCT o_orderstatus FROM orders", "SELECT o_orderstatus FROM orders", "cmp", False),
     (6, "SELECT p_brand FROM part WHERE p_size > 40 EXCEPT SELECT p_brand FROM part WHERE p_size > 45",
         "SELECT p_brand FROM part WHERE p_size > 40 EXCEPT SELECT p_brand FROM part WHERE p_size > 45", "cmp", True),
-    (7, "SELECT count(*) FROM lineitem", "SELECT *** FROM ###", "parse", False),
-    (8, "SELECT count(*) FROM supplier", "SELECT * FROM no_such_table", "execution", False),
+    (7, "SELECT count(*) FROM lineitem", "SELECT (p_name FROM part", "parse", False),
+    (8, "SELECT count(*) FROM supplier", "SELECT * FROM missing_part_list", "execution", False),
     (9, "SELECT count(*) FROM part", "", "empty", False),
     (10, "SELECT s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)",
          "SELECT s.s_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE n.n_regionkey = 0",

@@ -81,8 +81,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         wrong = wrong.when((q + k) % 4 == i, _template_spark(_WRONG_TEMPLATES[i], q, c))
     pred = (
         F.when(empty, F.lit(""))
-        .when(~parses, F.lit("SELECT *** FROM ###"))
-        .when(~executes, F.lit("SELECT * FROM no_such_table"))
+        .when(~parses, F.lit("SELECT (p_name FROM part"))
+        .when(~executes, F.lit("SELECT * FROM missing_part_list"))
         .when(exact, gold)
         .when(match, F.replace(gold, F.lit(" = "), F.lit("=")))
         .otherwise(wrong)
@@ -133,8 +133,8 @@ v_outcomes_pre AS (
          CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'easy' WHEN '2' THEN 'medium'
               WHEN '3' THEN 'hard' WHEN '4' THEN 'extra' ELSE 'unknown' END AS difficulty,
          gold_sql,
-         CASE WHEN is_empty THEN '' WHEN NOT parses THEN 'SELECT *** FROM ###'
-              WHEN NOT executes THEN 'SELECT * FROM no_such_table'
+         CASE WHEN is_empty THEN '' WHEN NOT parses THEN 'SELECT (p_name FROM part'
+              WHEN NOT executes THEN 'SELECT * FROM missing_part_list'
               WHEN exec_match AND o_orderkey % 8 = k THEN gold_sql
               WHEN exec_match THEN replace(gold_sql, ' = ', '=')
               ELSE wrong_sql END AS pred_sql,
@@ -230,8 +230,8 @@ v_pred_rows AS (
 # (gold parts, pred parts, failure). "c" = o_custkey, "q" = o_orderkey, "p" = floor(o_totalprice).
 PAIR_TEMPLATES = (
     (("SELECT count(*) FROM orders WHERE o_custkey = ", "c"), ("",), "empty"),
-    (("SELECT o_orderkey FROM orders WHERE o_custkey = ", "c", ";"), ("SELECT *** FROM ###",), "parse"),
-    (("SELECT c_name FROM customer WHERE c_custkey = ", "c"), ("SELECT c_name FROM no_such_table WHERE id = ", "c"), "execution"),
+    (("SELECT o_orderkey FROM orders WHERE o_custkey = ", "c", ";"), ("SELECT (p_name FROM part",), "parse"),
+    (("SELECT c_name FROM customer WHERE c_custkey = ", "c"), ("SELECT c_name FROM missing_part_list WHERE id = ", "c"), "execution"),
     (("SELECT c.c_name FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = ", "q"),
      ("SELECT c_name FROM customer WHERE c_custkey = ", "c"), "wrong-result"),
     (("SELECT o_totalprice FROM orders WHERE o_orderkey = ", "q"),

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
 
 from textsql.operators import datasets as DS
 from textsql.operators.traces import candidate_funnel, drop_reasons, select_candidates
@@ -111,3 +113,24 @@ def test_length_filter_counts(spark):
     assert [r.n_tokens for r in f.collect()] == [10, 1, 0]
     r = DS.length_filter_counts(f).first()
     assert (r.kept, r.dropped) == (2, 1)
+
+
+@pytest.mark.parametrize("ids", [list(range(500)), [7] * 200 + list(range(50)), [None] * 30 + [3] * 40, [-5, 5, 0, 2 ** 62, -2 ** 62], [1], []])
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.4, 0.77, 1.0])
+def test_flag_first_takes_exactly_k_in_key_order(spark, ids, share):
+    from textsql.operators.ranking import flag_first, integer_key, seeded_key
+
+    df = spark.createDataFrame([(i, str(j)) for j, i in enumerate(ids)], "id long, payload string").repartition(3)
+    for key in (integer_key("id"), seeded_key("id", 3)):
+        out = flag_first(df.withColumn("key", key), F.col("key"), lambda n: int(round(share * n)), "first").collect()
+        assert sorted(int(r.payload) for r in out) == list(range(len(ids)))
+        first, rest = ([r.key or "" for r in out if r["first"] is f] for f in (True, False))
+        assert len(first) == int(round(share * len(ids)))
+        assert not first or not rest or max(first) <= min(rest)
+
+
+def test_shares_sort_no_payload(spark):
+    df = spark.range(1000).selectExpr("id AS question_id", "repeat('text', 50) AS text")
+    for out in (DS.assign_modes(df), DS.train_val_split(df), DS.train_val_split(df, head=True), DS.direct_only(DS.assign_modes(df))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Exchange" not in plan

@@ -1,9 +1,9 @@
 """Training-set preparation: mode assignment (W4), split (W5), length batches (W6), length filter
 (F4), direct-only subset (F5), prompts and chat records (P7-P9), JSONL reading (A4).
 
-Exact shares ("exactly round(share * n) rows") need global ranks; they come from
-``exact_rank`` (range-partitioned sort + per-partition offsets), never from an unpartitioned
-window over the data.
+Exact shares ("exactly round(share * n) rows") are a comparison with the k-th key, which
+``ranking.flag_first`` finds by histograms of hash prefixes: no row is sorted or moved. Batches need
+every rank; those come from ``exact_rank`` (range-partitioned sort + per-partition offsets).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.prompts import SYSTEM_PROMPT, assistant_completion, chat_messages, token_estimate, user_prompt
-from .ranking import exact_rank, seeded_order
+from .ranking import exact_rank, flag_first, integer_key, seeded_key
 
 # --- fixed values -----------------------------------------------------------------------------
 REASONING_SHARE = 0.4
@@ -29,21 +29,17 @@ def assign_modes(examples: DataFrame, share: float = REASONING_SHARE, seed: int
                  id_col: str = "question_id") -> DataFrame:
     """Exactly ``round(share * n)`` (half-even) examples get ``reasoning``, the rest
     ``direct``, chosen by a seeded hash order. Adds ``mode``."""
-    n = examples.count()
-    k = int(round(share * n))
-    ranked = exact_rank(examples, seeded_order(id_col, seed), "__r")
-    return ranked.withColumn("mode", F.when(F.col("__r") <= k, "reasoning").otherwise("direct")).drop("__r")
+    flagged = flag_first(examples, seeded_key(id_col, seed), lambda n: int(round(share * n)), "__first")
+    return flagged.withColumn("mode", F.when(F.col("__first"), "reasoning").otherwise("direct")).drop("__first")
 
 
 def train_val_split(rows: DataFrame, split: float = VAL_SPLIT, seed: int = SPLIT_SEED,
                     id_col: str = "question_id", head: bool = False) -> DataFrame:
     """``max(1, int(n * split))`` rows go to validation, picked by a seeded shuffle (or the
-    first rows by id with ``head=True``). Adds ``split`` in {train, val}."""
-    n = rows.count()
-    n_val = max(1, int(n * split))
-    order = [F.col(id_col)] if head else seeded_order(id_col, seed)
-    ranked = exact_rank(rows, order, "__r")
-    return ranked.withColumn("split", F.when(F.col("__r") <= n_val, "val").otherwise("train")).drop("__r")
+    first rows by integer id with ``head=True``). Adds ``split`` in {train, val}."""
+    key = integer_key(id_col) if head else seeded_key(id_col, seed)
+    flagged = flag_first(rows, key, lambda n: max(1, int(n * split)), "__first")
+    return flagged.withColumn("split", F.when(F.col("__first"), "val").otherwise("train")).drop("__first")
 
 
 def length_batches(prompts: DataFrame, length_col: str, batch_size: int, id_col: str = "question_id") -> DataFrame:

@@ -1,11 +1,10 @@
 """Schema linking: tokenise (P6), BM25 over tables (G7, J10), rank (W2), foreign-key closure
 (J6) and the budgeted table choice (W3).
 
-A "database" is a group of "tables" (documents), each with a text: at Spider scale a few dozen
-tables per database, in the scaled fixture a source of documents. Nothing here collects a
-database or a question into one row: scoring is a join of exploded postings, ranking is a
-group-limited window (Spark inserts a partial top-k before the shuffle), and the closure is an
-iterative join that converges in as many rounds as the longest FK chain it walks.
+A "database" is a group of "tables" (documents), each with a text: a few dozen tables a database, in
+the scaled fixture a block of documents of one source. Scoring is a join of exploded postings, ranking is a
+group-limited window (Spark inserts a partial top-k before the shuffle), and the closure folds a
+database's FK list, which its catalog row holds as one array anyway, over a question's few seeds.
 """
 
 from __future__ import annotations
@@ -99,8 +98,10 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = BM25_K1, b:
     qt = query_terms(questions)
     vocab = qt.select("db_id", "term").distinct().withColumn("__hit", F.lit(True))
     vocab = maybe_broadcast(vocab, max_rows=broadcast_rows, row_bytes=48)
+    # statistics are per database, so databases that nobody asks about need no tokens
+    asked = maybe_broadcast(questions.select("db_id").distinct(), max_rows=broadcast_rows, row_bytes=24)
 
-    toks = spread(corpus.select("db_id", "table_index", "text")).select(
+    toks = spread(corpus.select("db_id", "table_index", "text").join(asked, "db_id", "left_semi")).select(
         "db_id", "table_index", F.explode_outer(term_bag("text")).alias("term"))
     marked = toks.join(vocab, on=["db_id", "term"], how="left").select(
         "db_id", "table_index", "term", F.when(F.col("__hit"), F.col("term")).alias("mterm"))
@@ -156,44 +157,40 @@ def top_tables(scores: DataFrame, corpus: DataFrame, questions: DataFrame, k: in
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def fk_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """The pipeline's one ordered pass over the FK list, computed without collecting it.
+def fk_lists(edges: DataFrame) -> DataFrame:
+    """(db_id, fks): each database's foreign keys in list order. A catalog row holds the same list as one
+    array already (A1), so this is bounded by the catalog, not by the questions."""
+    fk = F.struct(F.col("pos").cast("long").alias("pos"), F.col("from_table").alias("a"), F.col("to_table").alias("b"))
+    return edges.groupBy("db_id").agg(F.array_sort(F.collect_list(fk)).alias("fks"))
+
+
+def fold_closure(kept: Column, fks: Column) -> Column:
+    """J6 in a row: the pipeline's one ordered pass over the FK list, where a key that touches a kept
+    table keeps both its ends."""
+    def step(acc, fk):
+        touches = F.array_contains(acc, fk["a"]) | F.array_contains(acc, fk["b"])
+        return F.when(touches, F.array_union(acc, F.array(fk["a"], fk["b"]))).otherwise(acc)
+
+    return F.aggregate(F.coalesce(fks, F.array().cast("array<struct<pos:bigint,a:bigint,b:bigint>>")), kept, step)
+
+
+def closed_sets(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(question_id, db_id, tables): each question's seeds closed over its database's FK list, in table
+    order. One join on the database and a fold in the row; no rounds, whatever the length of a chain."""
+    tables = F.array_distinct(F.collect_list(F.col("table_index").cast("long")))
+    per = seeds.groupBy("question_id", "db_id").agg(tables.alias("__seed"))
+    lists = fk_lists(edges.select("db_id", "pos", F.col("from_table").cast("long"), F.col("to_table").cast("long")))
+    return per.join(lists, "db_id", "left").select(
+        "question_id", "db_id", F.array_sort(fold_closure(F.col("__seed"), F.col("fks"))).alias("tables"))
 
-    Pass semantics: walking FKs in ``pos`` order, an FK whose endpoint is already kept adds both
-    endpoints. Equivalently a table's activation time is -1 for seeds, else the smallest ``pos``
-    of an FK touching it whose other endpoint was activated strictly earlier. That fixed point
-    is reached by relaxing only the rows that improved in the previous round (semi-naive), one
-    join per round; lineage is cut every round (reliable checkpoint).
+
+def fk_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """The closure of every question's seeds, a row per kept table.
 
     seeds: (question_id, db_id, table_index); edges: (db_id, pos, from_table, to_table).
-    Output: (question_id, db_id, table_index) of the closure.
+    Output: (question_id, db_id, table_index).
     """
-    both = edges.select("db_id", "pos", F.col("from_table").alias("a"), F.col("to_table").alias("b")).unionByName(
-        edges.select("db_id", "pos", F.col("to_table").alias("a"), F.col("from_table").alias("b"))
-    )
-    key = ["question_id", "db_id", "table_index"]
-    act = cut_lineage(seeds.select(*key, F.lit(-1).cast("bigint").alias("act")).distinct())
-    delta = act
-    while True:  # ends: activation times only sink, and there are finitely many
-        reach = (
-            delta.join(both, (delta.db_id == both.db_id) & (delta.table_index == both.a))
-            .filter(F.col("act") < F.col("pos"))
-            .select("question_id", delta.db_id, F.col("b").alias("table_index"), F.col("pos").cast("bigint").alias("new"))
-            .groupBy(*key).agg(F.min("new").alias("new"))
-        )
-        # One job per round: merge the relaxations into the activation table and mark what
-        # improved; the next delta is read back from the checkpoint.
-        merged = act.join(reach, on=key, how="full_outer").select(
-            *key,
-            F.least(F.col("act"), F.col("new")).alias("act"),
-            (F.col("new").isNotNull() & (F.col("act").isNull() | (F.col("new") < F.col("act")))).alias("__chg"),
-        )
-        merged = cut_lineage(merged)
-        delta = merged.filter("__chg").drop("__chg")
-        act = merged.drop("__chg")
-        if delta.isEmpty():
-            break
-    return act.select(*key)
+    return closed_sets(seeds, edges).select("question_id", "db_id", F.explode("tables").alias("table_index"))
 
 
 def sized_length(corpus: DataFrame, length_col: Column | None = None) -> DataFrame:

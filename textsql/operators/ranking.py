@@ -9,6 +9,8 @@ so the prefix sum over it is a tiny single-partition window and its broadcast is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,12 @@ from ..session import cut_lineage
 
 def exact_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank") -> DataFrame:
     """1-based dense position of every row in ``order`` (which must be a total order)."""
-    tagged = df.orderBy(*order).select("*", F.spark_partition_id().alias("__pid"),
-                                      F.monotonically_increasing_id().alias("__mid"))
+    return _numbered(df.orderBy(*order), rank_col)
+
+
+def _numbered(df: DataFrame, rank_col: str) -> DataFrame:
+    """1-based number of every row in the order of partitions and of rows in them."""
+    tagged = df.select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__mid"))
     # Materialise once in the shared checkpoint folder so the counts and the rows agree.
     tagged = cut_lineage(tagged)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__m0"))
@@ -31,9 +37,47 @@ def exact_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank")
     )
 
 
-def seeded_order(id_col: str, seed: int) -> list[Column]:
-    """A reproducible pseudo-random order: md5 of ``seed:id``, ties by id."""
-    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col)]
+def seeded_key(id_col: str, seed: int) -> Column:
+    """Key of a reproducible pseudo-random order: md5 of ``seed:id``."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+
+
+def integer_key(id_col: str) -> Column:
+    """Sixteen hex digits that sort like the integer itself, negative ones first."""
+    return F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def flag_first(df: DataFrame, key: Column, k: int | Callable[[int], int], flag: str, digits: int = 4) -> DataFrame:
+    """Adds ``flag``: the row is among the first ``k`` (or ``k(number of rows)``) by ``key``, a string.
+
+    No row is sorted or moved. A histogram of the key's first ``digits`` characters (16^4 groups of hex
+    keys, summed map-side) names the bucket that holds the k-th key; only that bucket is looked at
+    again, with more characters, until it ends at a bucket's end. The cutoff is a literal then, and
+    rows are compared with it. Rows whose keys tie at the cutoff can't be told apart by it: they alone
+    are numbered, so that exactly ``k`` rows are flagged. A null key comes first.
+    """
+    key = F.coalesce(key, F.lit(""))
+    keys = df.select(key.alias("__k"))
+    prefix, left, level = "", None, 0
+    while True:
+        level += digits
+        part = F.substring("__k", 1, level)
+        counts = sorted((r["p"], r["n"]) for r in keys.where(F.col("__k").startswith(prefix)).groupBy(
+            part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # bounded by the key's alphabet
+        if left is None:
+            n = sum(c for _, c in counts)
+            left = k(n) if callable(k) else k
+            if left <= 0 or left >= n:
+                return df.withColumn(flag, F.lit(left > 0))
+        for prefix, c in counts:  # noqa: B007 - the bucket that holds the k-th key stays
+            if left <= c:
+                break
+            left -= c
+        if left == c:
+            return df.withColumn(flag, F.substring(key, 1, level) <= prefix)
+        if len(prefix) < level:  # all of the key is used up: ``left`` of the rows that have it
+            tied = _numbered(df.where(key == prefix), flag).withColumn(flag, F.col(flag) <= left)
+            return df.where(key != prefix).withColumn(flag, key < prefix).unionByName(tied)
 
 
 def running_sum(df: DataFrame, part_cols: list[str], order_cols: list[str], value: Column,

@@ -126,6 +126,32 @@ def test_stream_keeps_late_rows(spark, tmp_path):
     assert [(r.outcome, r.n, r.prompt_tokens, r.completion_tokens) for r in got] == [("kept", 400, 400, 800)]
 
 
+def test_epochs_keep_their_keys_in_state(spark, tmp_path, monkeypatch):
+    """Fifty epochs: an epoch reads its own files and its keys' state, never what was written before."""
+    from textsql.streaming import traces as T
+
+    resp = spark.range(300).selectExpr("concat('k', id) AS key", "'```sql\nSELECT 1\n```' AS text", "1L AS prompt_tokens",
+                                       "2L AS completion_tokens", "timestamp_seconds(1700000000 + id) AS saved_at")
+    T.write_landing(resp.unionByName(resp.where("key LIKE '%3'")), str(tmp_path / "in"), n_files=50)
+    ended, run = [], T._run
+    monkeypatch.setattr(T, "_run", lambda *a: ended.append(run(*a)) or ended[-1])
+    out = T.build_traces_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), checkpoint=str(tmp_path / "ckpt"), files_per_trigger=1)
+    assert out.count() == 300 == out.select("key").distinct().count()
+    progress = [p for p in ended[0].recentProgress if p["numInputRows"]]
+    assert len(progress) >= 40 and max(p["numInputRows"] for p in progress) <= 60
+    state = progress[-1]["stateOperators"][0]
+    assert state["numRowsTotal"] == 300 and any(k.startswith("rocksdb") for k in state["customMetrics"])
+    # a second run over the same checkpoint goes on: only new keys come out
+    T.write_landing(resp.selectExpr("key", "text", "prompt_tokens", "completion_tokens", "saved_at").unionByName(
+        spark.createDataFrame([("late", "x", 1, 1, None)], T.LANDING_SCHEMA)), str(tmp_path / "more"), n_files=2)
+    for i, f in enumerate((tmp_path / "more").glob("part-*")):
+        (tmp_path / "in" / f"again-{i}.json").write_text(f.read_text())
+    sink = str(tmp_path / "out")
+    monkeypatch.setattr(T, "_open_sink", lambda rows, path: None)
+    again = T.build_traces_stream(spark, str(tmp_path / "in"), sink, checkpoint=str(tmp_path / "ckpt"))
+    assert again.count() == 301 and again.where("key = 'late'").count() == 1
+
+
 def test_no_unpartitioned_window_over_data(spark):
     """A window without PARTITION BY runs in one task. The only ones allowed are the bounded
     tables: exact_rank's per-partition offsets (``__pid``) and case_examples' category ranking

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from textsql import schemas as SC
@@ -141,3 +142,48 @@ def test_offline_prediction_values(spark, tmp_path):
                  '{"question_id": 3, "db_id": "zoo"}\n')
     got = {r.question_id: r.predicted_sql for r in read_predictions_jsonl(spark, str(p)).collect()}
     assert got == {1: "SELECT 1", 2: "None", 3: ""}
+
+
+def test_bucketed_store_upserts_and_replays_without_moving_the_store(spark, tmp_path):
+    from textsql.sources.store import missing_requests, open_store, replay_store, upsert_responses
+
+    def rows(lo, hi, word, at):
+        return spark.range(lo, hi).selectExpr("sha2(cast(id AS string), 256) AS key", f"concat('{word}', id) AS text", "id AS prompt_tokens",
+                                              "1L AS completion_tokens", f"timestamp_seconds({at}) AS saved_at")
+
+    path = str(tmp_path / "responses")
+    open_store(spark, "store_a", path, buckets=4, prefix_chars=1)
+    for _ in range(2):  # a repeated write
+        upsert_responses(spark, "store_a", rows(0, 100, "old", 10))
+    upsert_responses(spark, "store_a", rows(90, 120, "new", 20))
+    upsert_responses(spark, "store_a", rows(0, 5, "stale", 5))
+    upsert_responses(spark, "store_a", rows(0, 0, "none", 5))
+    open_store(spark, "store_b", path, buckets=4, prefix_chars=1)  # the same files under another name
+    got = {r.prompt_tokens: r.text for r in spark.table("store_b").collect()}
+    assert got == {i: f"new{i}" if i >= 90 else f"old{i}" for i in range(120)}
+    req = spark.range(60, 180, 2).selectExpr("sha2(cast(id AS string), 256) AS key", "id")
+    out = replay_store(spark, req, "store_a")
+    assert {r.id: (r.cached, r.text) for r in out.collect()} == {i: (i < 120, got.get(i, "")) for i in range(60, 180, 2)}
+    assert sorted(r.id for r in missing_requests(spark, req, "store_a").collect()) == list(range(120, 180, 2))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the requests' own
+    with pytest.raises(Exception, match="without a key"):
+        upsert_responses(spark, "store_a", rows(0, 1, "x", 1).withColumn("key", F.lit(None).cast("string")))
+
+
+def test_repeated_file_write_keeps_one_row_a_key(spark, tmp_path):
+    rows = spark.createDataFrame([("ab1", "x", 1, 2), ("cd2", "y", 3, 4)], "key string, text string, prompt_tokens long, completion_tokens long")
+    for _ in range(2):
+        write_store(rows, str(tmp_path / "s"))
+    write_store(rows.where("key = 'ab1'").withColumn("text", F.lit("z")), str(tmp_path / "s"))
+    assert sorted((r.key, r.text) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [("ab1", "z"), ("cd2", "y")]
+
+
+def test_small_costs_add_up(spark, tmp_path):
+    from textsql.operators.ledger import append_ledger, call_cost, load_spend
+
+    calls = spark.range(1000).selectExpr("1L AS ledger", "2L AS in_tokens", "0L AS out_tokens")
+    for run in ("a", "b", "b"):  # a retried run replaces itself
+        append_ledger(calls, call_cost("in_tokens", "out_tokens"), str(tmp_path / "led"), run)
+    r = load_spend(spark, str(tmp_path / "led"), 1.0).first()
+    assert (r.spend_usd, r.remaining_usd) == (0.0006, 0.9994)

@@ -8,10 +8,12 @@ prefix sum, so one busy ledger never becomes one task.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
+from ..session import cut_lineage
 from .ranking import running_sum
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -63,9 +65,24 @@ def misses(requests: DataFrame, store: DataFrame, key: str = "key") -> DataFrame
 
 
 def write_store(responses: DataFrame, path: str, key: str = "key") -> None:
-    """Append responses partitioned by the key's two-character prefix."""
-    (responses.withColumn("key_prefix", F.substring(key, 1, 2))
-     .write.mode("append").partitionBy("key_prefix").parquet(path))
+    """A9 as plain files: responses in folders by the key's two-character prefix. The folders that a write
+    touches are replaced by what they held merged with the new rows, one row per key (the last by
+    ``saved_at`` where there is one, else the greatest), so a repeated write changes nothing.
+    ``sources.store`` keeps the same store as a bucketed table for replays without a shuffle of it."""
+    spark = responses.sparkSession
+    rows = cut_lineage(responses.where(F.col(key).isNotNull()).withColumn("key_prefix", F.substring(key, 1, 2)))
+    touched = [r[0] for r in rows.select("key_prefix").distinct().collect()]  # at most 16^2 for hex keys
+    if not touched:
+        return
+    try:
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("key_prefix").isin(touched))
+    except AnalysisException:  # the first write
+        old = rows.limit(0)
+    first = ["saved_at"] if "saved_at" in rows.columns else []
+    rest = [c for c in rows.columns if c not in (key, "key_prefix", *first)]
+    merged = old.unionByName(rows).groupBy(key, "key_prefix").agg(F.max(F.struct(*first, *rest)).alias("__r")).select(
+        *[c if c in (key, "key_prefix") else F.col(f"__r.{c}") for c in rows.columns])
+    cut_lineage(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_prefix").parquet(path)
 
 
 def replay_counts(replayed: DataFrame) -> DataFrame:
@@ -147,16 +164,18 @@ def estimate_range(requests: DataFrame, in_col: str, max_out_col: str) -> DataFr
 
 
 def append_ledger(calls: DataFrame, cost: Column, path: str, run_id: str) -> None:
-    """A10 write side: store this run's priced calls (cost at 6 dp) to the shared ledger table,
-    partitioned by run so a retried run replaces only itself."""
-    (calls.withColumn("cost_usd", F.round(cost, 6)).withColumn("run_id", F.lit(run_id))
+    """A10 write side: store this run's priced calls (unrounded: a call of a few tokens costs less than a
+    millionth) to the shared ledger table, partitioned by run so a retried run replaces only itself."""
+    (calls.withColumn("cost_usd", cost).withColumn("run_id", F.lit(run_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
 
 
 def load_spend(spark, path: str, cap_usd: float, ledger_col: str = "ledger") -> DataFrame:
-    """A10 read side: cumulative spend over all recorded runs and what remains under the cap."""
+    """A10 read side: cumulative spend over all recorded runs and what remains under the cap, both rounded
+    once, as totals (6 dp)."""
     led = spark.read.parquet(path)
-    return spend_summary(led, F.col("cost_usd"), cap_usd, ledger_col)
+    return spend_summary(led, F.col("cost_usd"), cap_usd, ledger_col).withColumns(
+        {c: F.bround(c, 6) for c in ("spend_usd", "remaining_usd")})
 
 
 def complete_with(requests: DataFrame, fn, key: str = "key", text_col: str = "messages_text") -> DataFrame:

@@ -665,12 +665,16 @@ def _requests_with() -> str:
 
 
 def _store(spark, sf, req):
+    return _store_rows(spark, sf, req).drop("conv_id")
+
+
+def _store_rows(spark, sf, req):
     """Responses already stored: the assistant reply to sample 0 of each user turn."""
     c = V.read(spark, sf, "conversations").filter(F.col("role") == "assistant")
     a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
     r0 = req.filter(F.col("sample_index") == 0).select("conv_id", "turn", "key", "messages_text")
     return r0.join(a, on=["conv_id", "turn"]).select(
-        "key", "text", F.floor(F.length("messages_text") / 4).cast("bigint").alias("prompt_tokens"),
+        "conv_id", "key", "text", F.floor(F.length("messages_text") / 4).cast("bigint").alias("prompt_tokens"),
         F.floor(F.length("text") / 4).cast("bigint").alias("completion_tokens"))
 
 
@@ -691,6 +695,41 @@ def q_cache_replay(spark, sf):
     return replay_counts(replay(req, _store(spark, sf, req)))
 
 
+@register("response_store", _requests_with() + """
+, stored AS (
+  SELECT r.key, r.conv_id AS saved, a.text, CAST(floor(length(r.messages_text) / 4) AS BIGINT) AS prompt_tokens,
+         CAST(floor(length(a.text) / 4) AS BIGINT) AS completion_tokens
+  FROM req r JOIN conversations a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant'
+  WHERE r.sample_index = 0)
+, every AS (SELECT * FROM stored UNION ALL
+            SELECT key, saved + 1000000000, 'again: ' || text, prompt_tokens, completion_tokens FROM stored WHERE saved % 2 = 0)
+, last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY saved DESC, text DESC, prompt_tokens DESC, completion_tokens DESC) AS r
+           FROM every)
+SELECT q.conv_id, q.turn, CAST(q.sample_index AS BIGINT) AS sample_index, s.key IS NOT NULL AS cached,
+       md5(coalesce(s.text, '')) AS text_md5, coalesce(s.prompt_tokens, 0) AS prompt_tokens,
+       coalesce(s.completion_tokens, 0) AS completion_tokens
+FROM req q LEFT JOIN last s ON s.key = q.key AND s.r = 1""")
+def q_response_store(spark, sf):
+    """A9 + J9: three writes to the bucketed store (all, half of them again with a later answer, the first
+    once more) and a replay of every request."""
+    import uuid
+
+    from ..session import cut_lineage, scratch_path
+    from ..sources.store import open_store, replay_store, upsert_responses
+
+    req = cut_lineage(_requests(spark, sf))
+    name = f"responses_{uuid.uuid4().hex[:12]}"
+    open_store(spark, name, scratch_path(spark, "responses"), buckets=8, prefix_chars=1)
+    first = cut_lineage(_store_rows(spark, sf, req))
+    again = first.where(F.col("conv_id") % 2 == 0).withColumns({
+        "text": F.concat(F.lit("again: "), F.col("text")), "conv_id": F.col("conv_id") + 1_000_000_000})
+    for rows in (first, again, first):
+        upsert_responses(spark, name, rows.withColumn("saved_at", F.timestamp_seconds("conv_id")))
+    return replay_store(spark, req, name).select(
+        "conv_id", "turn", F.col("sample_index").cast("bigint").alias("sample_index"), "cached", F.md5("text").alias("text_md5"),
+        "prompt_tokens", "completion_tokens")
+
+
 @register("token_cost_per_1k", _requests_with() + f"""
 SELECT '{_TEACHER_MODEL}' AS model, count(*) AS hits, round(avg(prompt_tokens), 6) AS avg_in_tokens,
        round(avg(completion_tokens), 6) AS avg_out_tokens,

@@ -171,7 +171,7 @@ def fold_closure(kept: Column, fks: Column) -> Column:
         touches = F.array_contains(acc, fk["a"]) | F.array_contains(acc, fk["b"])
         return F.when(touches, F.array_union(acc, F.array(fk["a"], fk["b"]))).otherwise(acc)
 
-    return F.aggregate(F.coalesce(fks, F.array().cast("array<struct<pos:bigint,a:bigint,b:bigint>>")), kept, step)
+    return F.when(fks.isNull(), kept).otherwise(F.aggregate(fks, kept, step))
 
 
 def closed_sets(seeds: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1018,6 +1018,69 @@ def q_table_ddl(spark, sf):
     return t.select("db_id", "table_index", ddl.alias("ddl"))
 
 
+_BLOCK_BUDGET = 620
+
+
+def _schema_blocks_sql() -> str:
+    t2 = "CASE WHEN tab.ty2 = '' THEN 'TEXT' ELSE upper(tab.ty2) END"
+    lines = (f"['  ' || {_qi_sql('tab.c0')} || ' NUMBER PRIMARY KEY', '  ' || {_qi_sql('tab.c1')} || ' NUMBER', "
+             f"'  flag ' || {t2}]")
+    fk = (f"CASE WHEN table_index >= 1 THEN ['  FOREIGN KEY (' || {_qi_sql('tab.c1')} || ') REFERENCES ' || "
+          f"{_qi_sql('tabs[1].tname')} || '(' || {_qi_sql('tabs[1].c0')} || ')'] ELSE CAST([] AS VARCHAR[]) END")
+    cells = ("CAST(tab.b AS VARCHAR)", "CAST(tab.c AS VARCHAR)", "'row ' || CAST(tab.a AS VARCHAR)")
+    heads = ("tab.c0", "tab.c1", "'flag'")
+    pad = lambda v, i: f"rpad({v}, CAST(greatest(length({heads[i]}), length({cells[i]})) AS INTEGER), ' ')"
+    head, row = (" || '  ' || ".join(pad(v, i) for i, v in enumerate(vs)) for vs in (heads, cells))
+    sample = " || ' ' || ".join(cells)
+    return with_views(["v_raw_catalog"], f"""
+, rendered AS (
+  SELECT db_id, table_index, 'CREATE TABLE ' || {_qi_sql('tab.tname')} || ' (' || chr(10) ||
+         array_to_string(list_concat({lines}, {fk}), ',' || chr(10)) || chr(10) || ');' AS ddl,
+         '/* sample rows:' || chr(10) || '  ' || {head} || chr(10) || '  ' || {row} || chr(10) || '*/' AS block,
+         {sample} AS sample, tab.tname || ' ' || tab.c0 || ' ' || tab.c1 || ' flag ' || {sample} AS text
+  FROM v_cat_flat)
+, v_corpus AS (SELECT db_id, table_index, text FROM rendered)
+, sizes AS (SELECT db_id, count(*) AS n, sum(length(ddl) + length(sample)) + 2 * (2 * count(*) - 1) AS full_chars
+            FROM rendered GROUP BY db_id)
+, asked AS (SELECT l_orderkey AS question_id, 'ord' || CAST(l_orderkey AS VARCHAR) AS db_id,
+                   'which part_' || CAST(tabs[len(tabs)].b AS VARCHAR) || ' has the flag' AS question FROM v_cat_tabs)
+, v_questions AS (SELECT a.* FROM asked a JOIN sizes USING (db_id) WHERE full_chars > {_BLOCK_BUDGET})
+""" + _bm25_sql_ctes() + _topk_sql(2) + """
+, seeds AS (SELECT question_id, db_id, list(table_index) AS seed FROM ranked WHERE rank <= 2 GROUP BY ALL)
+, closed AS (SELECT question_id, s.db_id, list_sort(list_reduce(range(1, n), lambda acc, t:
+                    CASE WHEN list_contains(acc, t) OR list_contains(acc, 0) THEN list_distinct(list_concat(acc, [t, 0])) ELSE acc END,
+                    seed)) AS kept FROM seeds s JOIN sizes z ON z.db_id = s.db_id)
+, chosen AS (SELECT a.question_id, a.db_id, z.full_chars <= """ + str(_BLOCK_BUDGET) + """ AS whole,
+                    CASE WHEN z.full_chars <= """ + str(_BLOCK_BUDGET) + """ THEN range(0, z.n) ELSE c.kept END AS kept
+             FROM asked a JOIN sizes z ON z.db_id = a.db_id LEFT JOIN closed c ON c.question_id = a.question_id)
+SELECT c.question_id, any_value(c.whole) AS whole, CAST(count(*) AS BIGINT) AS n_tables,
+       CAST(sum(length(r.ddl) + length(r.sample) - CASE WHEN NOT list_contains(c.kept, 0) AND r.table_index >= 1
+                     THEN len(string_split(r.ddl, chr(10))[-2]) + 2 ELSE 0 END) + 2 * (2 * count(*) - 1) AS BIGINT) AS chars,
+       md5(string_agg(r.ddl || chr(10) || chr(10) || r.block, chr(10) || chr(10) ORDER BY r.table_index)) AS block_md5
+FROM chosen c JOIN rendered r ON r.db_id = c.db_id AND list_contains(c.kept, r.table_index)
+GROUP BY c.question_id""")
+
+
+@register("schema_blocks", _schema_blocks_sql())
+def q_schema_blocks(spark, sf):
+    """Catalog -> DDL and sample rows -> choice sized by rendered text -> the block of every question."""
+    from ..operators.schema_blocks import schema_blocks
+
+    li = V.read(spark, sf, "lineitem")
+    at = F.struct(F.col("l_linenumber").alias("a"), F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c"),
+                  F.col("l_extendedprice").alias("d"), F.col("l_shipdate").alias("e"))
+    tabs = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(at)).alias("tabs"))
+    db = F.concat(F.lit("ord"), _s("l_orderkey"))
+    asked = tabs.select(F.col("l_orderkey").alias("question_id"), db.alias("db_id"), F.concat(
+        F.lit("which part_"), F.element_at("tabs", -1)["b"].cast("string"), F.lit(" has the flag")).alias("question"))
+    flat = tabs.select(db.alias("db_id"), F.posexplode("tabs").alias("table_index", "t"))
+    samples = flat.select("db_id", "table_index", F.array(F.array(
+        _s("t.b"), _s("t.c"), F.concat(F.lit("row "), _s("t.a")))).alias("rows"))
+    out = schema_blocks(_raw_catalog_roundtrip(spark, sf), asked, samples, budget_chars=_BLOCK_BUDGET)
+    return out.select("question_id", "whole", F.size("tables").cast("bigint").alias("n_tables"), "chars",
+                      F.md5("schema_block").alias("block_md5"))
+
+
 @register("quote_ident", f"""
 SELECT p_partkey, {_qi_sql('p_name')} AS q_name, {_qi_sql('p_brand')} AS q_brand, {_qi_sql('p_type')} AS q_type,
        {_qi_sql("replace(p_type, ' ', '_')")} AS q_type_snake FROM part""")

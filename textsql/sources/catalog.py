@@ -36,9 +36,15 @@ def read_raw_catalog(spark: SparkSession, path: str, multiline: bool = False) ->
     return spark.read.schema(RAW_CATALOG_SCHEMA).option("multiLine", multiline).json(path)
 
 
+def catalog_tables(raw: DataFrame) -> DataFrame:
+    """A1: one row per table, in list order: (db_id, table_index, table_name). A table without columns is one too."""
+    return raw.select("db_id", F.posexplode("table_names_original").alias("table_index", "table_name"))
+
+
 def catalog_columns(raw: DataFrame) -> DataFrame:
     """A1: one row per real column: (db_id, table_index, table_name, flat_index, column_name,
-    column_type, is_primary). Unequal pair/type list lengths fail the job."""
+    column_type, is_primary). Unequal pair/type list lengths fail the job. ``catalog_tables`` lists the
+    tables themselves, those without columns too."""
     checked = raw.withColumn(
         "__ok",
         F.when(F.size("column_names_original") != F.size("column_types"),
@@ -122,7 +128,7 @@ def corpus_check(examples: DataFrame, schemas: DataFrame, data_dbs: DataFrame) -
 
 
 __all__ = [
-    "RAW_CATALOG_SCHEMA", "read_raw_catalog", "catalog_columns", "catalog_fks", "read_examples",
+    "RAW_CATALOG_SCHEMA", "read_raw_catalog", "catalog_columns", "catalog_fks", "catalog_tables", "read_examples",
     "sample_rows", "corpus_check", "IntegerType",
 ]
 

@@ -56,7 +56,13 @@ def test_latency_summary_cold_first(spark):
          (3, base + dt.timedelta(seconds=9), "m", 1.0, 10, 30)],
         "event_id long, ts timestamp, model string, seconds double, in_tokens long, out_tokens long")
     r = LG.latency_summary(df).first()
-    assert (r.n_warm, r.cold_s, r.warm_s_per_query, r.tokens_per_s) == (2, 3.0, 1.0, 25.0)
+    assert (r.n_warm, r.cold_load_s, r.cold_first_query_s, r.warm_s_per_query, r.tokens_per_s) == (2, None, 3.0, 1.0, 25.0)
+    assert (r.avg_in_tokens, r.avg_out_tokens) == (10, 25)
+    loads = spark.createDataFrame([("m", 1.125)], "model string, load_s double")
+    r = LG.latency_summary(df, loads=loads, n_warm=1).first()
+    assert (r.n_warm, r.cold_load_s, r.tokens_per_s, r.avg_out_tokens) == (1, 1.12, 20.0, 20)  # 1.125 rounds to the even digit
+    r = LG.latency_summary(df.limit(0).unionByName(df.where("event_id = 1"))).first()
+    assert (r.n_warm, r.warm_s_per_query, r.tokens_per_s) == (0, 0.0, 0.0)
 
 
 def test_exact_rank_with_hot_key(spark):

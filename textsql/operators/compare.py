@@ -14,20 +14,19 @@ from pyspark.sql import functions as F
 
 from ..functions.sqltext import error_category
 from ..session import maybe_broadcast
-from .evaluate import last_wins
+from .evaluate import last_wins, percent_text
 
 
 def _slice(outcomes: DataFrame, run: str, order_col: str | None) -> DataFrame:
-    s = outcomes.filter(F.col("run") == run).drop("run")
-    return last_wins(s, "question_id", order_col) if order_col else s
+    return last_wins(outcomes.filter(F.col("run") == run).drop("run"), "question_id", order_col)
 
 
 def disagreements(outcomes: DataFrame, losing: str, winning: str, questions: DataFrame | None = None,
                   order_col: str | None = None, whitespace_tolerant: bool = False) -> DataFrame:
     """J4 + F7 + J5 + P19: questions the losing run gets wrong and the winning run gets right.
 
-    ``order_col`` enables last-row-wins de-duplication per question (T13). NULL exec_match is
-    wrong. Question text comes from ``questions`` (question_id, question), '' when absent.
+    Of a question's repeated rows the last counts (T13), by ``order_col``, else in reading order. NULL
+    exec_match is wrong. Question text comes from ``questions`` (question_id, question), '' when absent.
     """
     a = _slice(outcomes, losing, order_col).filter(~F.coalesce(F.col("exec_match"), F.lit(False)))
     b = _slice(outcomes, winning, order_col).filter(F.coalesce(F.col("exec_match"), F.lit(False)))
@@ -80,8 +79,7 @@ def fixed_regressed(outcomes: DataFrame, baseline: str, treatments: Sequence[str
     t = outcomes.filter(F.col("run") != baseline)
     if treatments is not None:
         t = t.filter(F.col("run").isin(list(treatments)))
-    if order_col:
-        t = last_wins(t, ["run", "question_id"], order_col)
+    t = last_wins(t, ["run", "question_id"], order_col)
     j = t.join(base, on="question_id").withColumn("t_ok", F.coalesce(F.col("exec_match"), F.lit(False)))
     out = j.groupBy(F.col("run").alias("treatment")).agg(
         F.count_if(~F.col("base_ok") & F.col("t_ok")).alias("fixed"),
@@ -95,6 +93,27 @@ def fixed_regressed(outcomes: DataFrame, baseline: str, treatments: Sequence[str
         "missing", F.coalesce(F.col("missing"), F.lit(True)))
 
 
+def change_categories(outcomes: DataFrame, baseline: str, treatments: Sequence[str] | None = None,
+                      order_col: str | None = None) -> DataFrame:
+    """G13, category counts both ways: (treatment, direction, category, n, first_question_id). ``fixed`` cases
+    are sorted by what the baseline did wrong, ``regressed`` ones by what the treatment did. One join of the
+    baseline slice against all treatment rows serves every treatment and both directions."""
+    cols = ["question_id", "gold_sql", "pred_sql", F.coalesce("failure_mode", F.lit("")).alias("failure"),
+            F.coalesce("exec_match", F.lit(False)).alias("ok")]
+    base = _slice(outcomes, baseline, order_col).select(*cols)
+    t = outcomes.filter(F.col("run") != baseline)
+    if treatments is not None:
+        t = t.filter(F.col("run").isin(list(treatments)))
+    t = last_wins(t, ["run", "question_id"], order_col).select("run", *cols)
+    j = t.alias("t").join(base.alias("b"), F.col("t.question_id") == F.col("b.question_id")).where(F.col("t.ok") != F.col("b.ok"))
+    losing = lambda c: F.when(F.col("t.ok"), F.col(f"b.{c}")).otherwise(F.col(f"t.{c}"))
+    cases = j.select(F.col("run").alias("treatment"), F.when(F.col("t.ok"), "fixed").otherwise("regressed").alias("direction"),
+                     F.col("t.question_id").alias("question_id"),
+                     error_category(losing("gold_sql"), losing("pred_sql"), losing("failure")).alias("category"))
+    return cases.groupBy("treatment", "direction", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.min("question_id").alias("first_question_id"))
+
+
 def merge_runs(existing: DataFrame, new: DataFrame, key: str | Sequence[str] = "run") -> DataFrame:
     """Upsert -- a run present in ``new`` replaces all of its existing rows."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -110,12 +129,6 @@ def scaling_axis(axis: DataFrame, summary: DataFrame, run_col: str = "run") -> D
     return j.withColumn("exec_pct", percent_text(F.col("exec_accuracy")))
 
 
-def percent_text(x: Column, ndigits: int = 1) -> Column:
-    """``100*x`` rounded half-even to ``ndigits`` and printed, or 'NaN' when missing."""
-    return F.when(x.isNull(), F.lit("NaN")).otherwise(
-        F.format_string(f"%.{ndigits}f", F.bround(x * 100.0, ndigits)))
-
-
 def anchor_run(runs: DataFrame, pattern: str, run_col: str = "run") -> DataFrame:
     """The first run (by name) whose name matches ``pattern``; empty when none does."""
     return runs.filter(F.col(run_col).rlike(pattern)).agg(F.min(run_col).alias(run_col)).filter(

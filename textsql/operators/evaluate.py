@@ -100,13 +100,14 @@ def leaderboard(outcomes: DataFrame, run_col: str = "run", labels: DataFrame | N
                 ndigits: int = 6) -> DataFrame:
     """G12 (+ P25 labels): one row per run with overall and per-bucket execution accuracy.
 
-    A missing bucket reads 0.0. ``labels`` (run, label) is a small display table; missing
+    A missing bucket reads 0.0, and a NULL match counts as wrong, as in G1. ``labels`` (run, label) is a small display table; missing
     labels fall back to the run name. Order: ascending by exec_accuracy, then run (W10).
     """
+    n = F.count(F.lit(1))
     aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.col("exec_match").cast("double")), ndigits).alias("exec_accuracy"),
-        F.round(F.avg(F.col("exact_set_match").cast("double")), ndigits).alias("exact_match_accuracy"),
+        n.alias("n"),
+        F.round(_ratio(F.count_if("exec_match"), n), ndigits).alias("exec_accuracy"),
+        F.round(_ratio(F.count_if("exact_set_match"), n), ndigits).alias("exact_match_accuracy"),
     ]
     for b in DIFFICULTY_BUCKETS:
         hit = F.count_if((F.col("difficulty") == b) & F.col("exec_match"))
@@ -124,23 +125,35 @@ def leaderboard(outcomes: DataFrame, run_col: str = "run", labels: DataFrame | N
     return board.orderBy("exec_accuracy", run_col)
 
 
-def percent(c: Column | str, ndigits: int = 1) -> Column:
-    """100*x rounded half-even (Python's formatting), NULL for a missing value."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.bround(col * 100.0, ndigits)
+def percent_board(board: DataFrame) -> DataFrame:
+    """G12, percent variant: label and the accuracies as ``12.3%`` texts, without n and exact match, in
+    the same order."""
+    cells = [F.concat(percent_text(F.col(c)), F.lit("%")).alias(c) for c in ("exec_accuracy", *DIFFICULTY_BUCKETS)]
+    return board.select("run", "label", F.col("exec_accuracy").alias("__acc"), *cells).orderBy("__acc", "run").drop("__acc")
+
+
+def percent_text(x: Column, ndigits: int = 1) -> Column:
+    """``100*x`` rounded half-even to ``ndigits`` and printed, or 'NaN' when missing."""
+    return F.when(x.isNull(), F.lit("NaN")).otherwise(
+        F.format_string(f"%.{ndigits}f", F.bround(x * 100.0, ndigits)))
 
 
 # ----------------------------------------------------------------------------------------------
 # Joins around prediction
 # ----------------------------------------------------------------------------------------------
 
-def last_wins(df: DataFrame, key: Sequence[str] | str, order_col: str) -> DataFrame:
-    """Keep the row with the greatest ``order_col`` per key (dict-building semantics).
+def last_wins(df: DataFrame, key: Sequence[str] | str, order_col: str | None) -> DataFrame:
+    """Keep the row with the greatest ``order_col`` per key (dict-building semantics); without one, the
+    last in reading order (files and their rows as they were split, so a shuffle before it leaves that open).
 
     ``max_by`` is a partial aggregate: no single task ever holds a whole key group.
     """
     key = [key] if isinstance(key, str) else list(key)
     others = [c for c in df.columns if c not in key]
+    if not others:
+        return df.distinct()
+    if order_col is None:
+        df, order_col = df.withColumn("__at", F.monotonically_increasing_id()), "__at"
     packed = F.struct(*[F.col(c) for c in others])
     return (
         df.groupBy(*key)
@@ -178,14 +191,15 @@ def attach_outputs(examples: DataFrame, outputs: DataFrame, text_col: str = "pre
     )
 
 
-def attach_schemas(examples: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Examples left-joined to their DB's schema; ``has_schema`` marks a miss.
+def attach_schemas(examples: DataFrame, schemas: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Examples left-joined to their DB's schema; ``has_schema`` marks a miss. A database listed more
+    than once counts by its last row (by ``order_col``, else in reading order), so no example is repeated.
 
     The schema catalog is one row per database (tens to thousands of rows, each a few KB);
     Spark/AQE broadcasts it when its measured size is under the broadcast threshold and falls
     back to a shuffle join otherwise, so no explicit hint is forced here.
     """
-    s = schemas.withColumn("has_schema", F.lit(True))
+    s = last_wins(schemas, "db_id", order_col).withColumn("has_schema", F.lit(True))
     return examples.join(s, on="db_id", how="left").withColumn(
         "has_schema", F.coalesce(F.col("has_schema"), F.lit(False))
     )

@@ -9,11 +9,11 @@ prefix sum, so one busy ledger never becomes one task.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
-from ..session import cut_lineage
+from ..session import cut_lineage, maybe_broadcast
 from .ranking import running_sum
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -123,26 +123,37 @@ def spend_summary(calls: DataFrame, cost: Column, cap_usd: float, ledger_col: st
 
 
 def latency_summary(timings: DataFrame, group_col: str = "model", ts_col: str = "ts", id_col: str = "event_id",
-                    seconds_col: str = "seconds", in_col: str = "in_tokens", out_col: str = "out_tokens") -> DataFrame:
-    """First call per group is cold, the rest warm; tokens/s = sum(out) / sum(seconds) over
-    warm calls. ``min_by`` finds the cold row as a partial aggregate (no window)."""
+                    seconds_col: str = "seconds", in_col: str = "in_tokens", out_col: str = "out_tokens",
+                    loads: DataFrame | None = None, n_warm: int | None = None) -> DataFrame:
+    """First call per group is cold, the rest (or the ``n_warm`` calls after it) warm; tokens/s and the
+    token averages are over warm calls. ``loads`` (group, load_s) gives the load time apart from the first
+    query's. Figures are rounded half to even. ``min_by`` finds the cold row as a partial aggregate (no
+    window); only ``n_warm`` ranks calls, by a group-limited window."""
+    if n_warm is not None:
+        w = Window.partitionBy(group_col).orderBy(ts_col, id_col)
+        timings = timings.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n_warm + 1).drop("__r")
     order = F.struct(F.col(ts_col), F.col(id_col))
     g = timings.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct(seconds_col, out_col), order).alias("__cold"),
-        F.sum(seconds_col).alias("__s"), F.sum(out_col).alias("__o"),
-        F.avg(in_col).alias("avg_in_tokens"), F.avg(out_col).alias("avg_out_tokens"),
+        F.min_by(F.struct(seconds_col, in_col, out_col), order).alias("__cold"),
+        F.sum(seconds_col).alias("__s"), F.sum(in_col).alias("__i"), F.sum(out_col).alias("__o"),
     )
-    warm_s = F.col("__s") - F.col("__cold")[seconds_col]
-    warm_o = F.col("__o") - F.col("__cold")[out_col]
+    if loads is not None:
+        g = g.join(maybe_broadcast(loads.select(group_col, "load_s"), max_rows=10_000), group_col, "left")
+    else:
+        g = g.withColumn("load_s", F.lit(None).cast("double"))
+    warm = F.col("n") - 1
+    warm_s, warm_i, warm_o = (F.col(c) - F.col("__cold")[col] for c, col in (("__s", seconds_col), ("__i", in_col), ("__o", out_col)))
+    per = lambda x: F.coalesce(F.when(warm > 0, x / warm), F.lit(0.0))
     return g.select(
         group_col,
-        (F.col("n") - 1).alias("n_warm"),
-        F.round(F.col("__cold")[seconds_col], 2).alias("cold_s"),
-        F.round(F.when(F.col("n") > 1, warm_s / (F.col("n") - 1)), 3).alias("warm_s_per_query"),
-        F.round(F.when(warm_s > 0, warm_o / warm_s), 1).alias("tokens_per_s"),
-        F.round("avg_in_tokens", 0).alias("avg_in_tokens"),
-        F.round("avg_out_tokens", 0).alias("avg_out_tokens"),
+        warm.alias("n_warm"),
+        F.bround("load_s", 2).alias("cold_load_s"),
+        F.bround(F.col("__cold")[seconds_col], 3).alias("cold_first_query_s"),
+        F.bround(per(warm_s), 3).alias("warm_s_per_query"),
+        F.bround(warm_o / F.greatest(warm_s, F.lit(1e-3)), 1).alias("tokens_per_s"),
+        F.bround(per(warm_i), 0).alias("avg_in_tokens"),
+        F.bround(per(warm_o), 0).alias("avg_out_tokens"),
     )
 
 

@@ -790,19 +790,22 @@ def q_spend_ledger(spark, sf):
 
 
 @register("latency_summary", with_views(["v_calls"], """
-, g AS (SELECT model, count(*) AS n, arg_min(seconds, (ts, event_id)) AS cold_s,
-               arg_min(out_tokens, (ts, event_id)) AS cold_out, sum(seconds) AS s, sum(out_tokens) AS o,
-               avg(in_tokens) AS ai, avg(out_tokens) AS ao
+, g AS (SELECT model, count(*) AS n, arg_min(seconds, (ts, event_id)) AS cold_s, arg_min(in_tokens, (ts, event_id)) AS cold_in,
+               arg_min(out_tokens, (ts, event_id)) AS cold_out, sum(seconds) AS s, sum(in_tokens) AS i, sum(out_tokens) AS o,
+               max(seconds) / 16 AS load_s
         FROM v_calls GROUP BY model)
-SELECT model, n - 1 AS n_warm, round(cold_s, 2) AS cold_s,
-       round(CASE WHEN n > 1 THEN (s - cold_s) / (n - 1) END, 3) AS warm_s_per_query,
-       round(CASE WHEN s - cold_s > 0 THEN (o - cold_out) / (s - cold_s) END, 1) AS tokens_per_s,
-       round(ai, 0) AS avg_in_tokens, round(ao, 0) AS avg_out_tokens
+SELECT model, n - 1 AS n_warm, round_even(load_s, 2) AS cold_load_s, round_even(cold_s, 3) AS cold_first_query_s,
+       round_even(CASE WHEN n > 1 THEN (s - cold_s) / (n - 1) ELSE 0 END, 3) AS warm_s_per_query,
+       round_even((o - cold_out) / greatest(s - cold_s, 0.001), 1) AS tokens_per_s,
+       round_even(CASE WHEN n > 1 THEN (i - cold_in) / (n - 1) ELSE 0 END, 0) AS avg_in_tokens,
+       round_even(CASE WHEN n > 1 THEN (o - cold_out) / (n - 1) ELSE 0 END, 0) AS avg_out_tokens
 FROM g"""))
 def q_latency_summary(spark, sf):
+    """The load of a model, the call before all others, is given here as a sixteenth of its slowest call."""
     from ..operators.ledger import latency_summary
 
-    return latency_summary(V.calls(spark, sf))
+    c = V.calls(spark, sf)
+    return latency_summary(c, loads=c.groupBy("model").agg((F.max("seconds") / 16).alias("load_s")))
 
 
 # ==============================================================================================
@@ -866,6 +869,35 @@ def q_fixed_regressed(spark, sf):
     return fixed_regressed(V.outcomes(spark, sf), "base")
 
 
+@register("change_categories", with_views(["v_outcomes"], f"""
+, b AS (SELECT * FROM v_outcomes WHERE run = 'base')
+, j AS (SELECT t.run AS treatment, t.question_id, coalesce(t.exec_match, false) AS t_ok,
+               CASE WHEN t.exec_match THEN b.gold_sql ELSE t.gold_sql END AS gold_sql,
+               CASE WHEN t.exec_match THEN b.pred_sql ELSE t.pred_sql END AS pred_sql,
+               CASE WHEN t.exec_match THEN b.failure_mode ELSE t.failure_mode END AS failure
+        FROM v_outcomes t JOIN b ON b.question_id = t.question_id
+        WHERE t.run <> 'base' AND coalesce(t.exec_match, false) <> coalesce(b.exec_match, false))
+SELECT treatment, CASE WHEN t_ok THEN 'fixed' ELSE 'regressed' END AS direction,
+       {_category_sql('gold_sql', 'pred_sql', 'failure')} AS category, count(*) AS n, min(question_id) AS first_question_id
+FROM j GROUP BY ALL"""))
+def q_change_categories(spark, sf):
+    from ..operators.compare import change_categories
+
+    return change_categories(V.outcomes(spark, sf), "base")
+
+
+@register("percent_board", with_views(["v_outcomes"], """
+, g AS (SELECT run, count_if(exec_match) / count(*) AS exec_accuracy, """ + ", ".join(
+    f"CASE WHEN count_if(difficulty = '{b}') > 0 THEN count_if(difficulty = '{b}' AND exec_match) / "
+    f"count_if(difficulty = '{b}') ELSE 0.0 END AS {b}" for b in st.DIFFICULTY_BUCKETS) + """
+        FROM v_outcomes GROUP BY run)
+SELECT run, run AS label, """ + ", ".join(
+    f"printf('%.1f', round_even(100 * round({c}, 6), 1)) || '%' AS {c}" for c in ("exec_accuracy", *st.DIFFICULTY_BUCKETS)) + """
+FROM g"""))
+def q_percent_board(spark, sf):
+    return ev.percent_board(ev.leaderboard(V.outcomes(spark, sf)))
+
+
 _SUMMARY_SQL = """
 SELECT run, CASE WHEN grouping(difficulty) = 1 THEN 'all' ELSE difficulty END AS difficulty, count(*) AS n,
        round(sum(CAST(exec_match AS INTEGER)) / count(*), 6) AS exec_accuracy,

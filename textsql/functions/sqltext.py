@@ -108,12 +108,13 @@ def error_category(gold_sql: Column | str, pred_sql: Column | str, failure: Colu
 
 
 # --- statement fingerprint (P12) ---------------------------------------------------------------
-# Token grammar: single-quoted string | double-quoted identifier | back-quoted identifier |
+# Token grammar: comment | single-quoted string | double-quoted identifier | back-quoted identifier |
 # bracketed identifier | word | number | operator of two characters | any other single non-space
 # character.
 _NON_SPACE = r"[^ \t\n\x0B\f\r]"
 TOKEN_RE = (
-    r"'(?:[^']|'')*'"
+    r"--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
+    r"|'(?:[^']|'')*'"
     r'|"(?:[^"]|"")*"'
     r"|`[^`]*`"
     r"|\[[^\]]*\]"
@@ -122,27 +123,26 @@ TOKEN_RE = (
     r"|<=>|<=|>=|<>|!=|==|\|\||<<|>>|->>|->|::"
     r"|" + _NON_SPACE
 )
-QUOTED_TOKEN_RE = r"^['\"`\[]"
+
+
+def _tokens(s: Column) -> Column:
+    """The tokens of a text, comments left out."""
+    return F.filter(F.regexp_extract_all(s, F.lit(TOKEN_RE), 0), lambda t: ~(t.startswith("--") | t.startswith("/*")))
 
 
 def fingerprint(sql: Column | str) -> Column:
-    """Whitespace- and case-invariant (outside quotes) statement text.
+    """Whitespace- and case-invariant (outside quotes) statement text without its comments.
 
     ``''`` for NULL/blank input; total (never fails) and idempotent. It is a fingerprint for
     logging and de-duplication, not a SQL re-rendering.
     """
-    s = F.coalesce(clean_sql(sql), F.lit(""))
-    toks = F.regexp_extract_all(s, F.lit(TOKEN_RE), 0)
+    toks = _tokens(F.coalesce(clean_sql(sql), F.lit("")))
     # A token is quoted iff its first character opens a quote (cheaper than a regex per token).
     norm = F.transform(toks, lambda t: F.when(F.substring(t, 1, 1).isin("'", '"', "`", "["), t)
                        .otherwise(F.lower(t)))
     return F.array_join(norm, " ")
 
 
-def fingerprint_hash(sql: Column | str) -> Column:
-    return F.sha2(fingerprint(sql), 256)
-
-
 def stored_sql(sql: Column | str) -> Column:
     """The cleaned statement itself, which parses wherever the candidate did, or the trimmed
     raw text when cleaning leaves nothing. The fingerprint is for hashing only."""
@@ -152,52 +152,75 @@ def stored_sql(sql: Column | str) -> Column:
 
 
 # --- referenced tables (P13) -------------------------------------------------------------------
-_IDENT = r'(?:[A-Za-z_][A-Za-z0-9_$]*|"[^"]+"|`[^`]+`|\[[^\]]+\])'
-_NAME = r"(?:" + _IDENT + r"\.)*" + _IDENT
-_WS = PY_WS_CLASS
-# String literals and comments are blanked before names are looked for.
-LITERAL_RE = r"'(?:[^']|'')*'|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
-# FROM a [AS x] [, b [AS y]]... -- the whole comma list is captured, split below.
-FROM_LIST_RE = (
-    r"(?i)\bfrom" + _WS + r"+(" + _NAME + r"(?:" + _WS + r"+(?:as" + _WS + r"+)?" + _IDENT + r")?"
-    r"(?:" + _WS + r"*," + _WS + r"*" + _NAME + r"(?:" + _WS + r"+(?:as" + _WS + r"+)?" + _IDENT + r")?)*)"
-)
-JOIN_TARGET_RE = r"(?i)\bjoin" + _WS + r"+(" + _NAME + r")"
-CTE_NAME_RE = (
-    r"(?i)(?:\bwith(?:" + _WS + r"+recursive)?|,)" + _WS + r"*(" + _IDENT + r")"
-    r"(?:" + _WS + r"*\([^()]*\)" + _WS + r"*|" + _WS + r"+)as"
-    r"(?:" + _WS + r"+(?:not" + _WS + r"+)?materialized)?" + _WS + r"*\("
-)
-LEADING_IDENT_RE = r"^" + _WS + r"*(" + _NAME + r")"
-LAST_PART_RE = r"(" + _IDENT + r")$"
-
-
-def _unquote_lower(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(name, LAST_PART_RE, 1), r'^["`\[]|["`\]]$', ""))
+# What the innermost open parenthesis (or the statement) is in the middle of:
+#   other   anything that names no table        call   a parenthesis without a SELECT of its own
+#   table   a table name comes next             item   behind a name in a FROM list (alias, JOIN, comma)
+#   part    behind the dot of a qualified name  cond   a join condition
+#   cte     a CTE name comes next               body   behind a CTE name
+_ENDS_FROM = ("select", "where", "group", "order", "having", "limit", "union", "except", "intersect", "window", "qualify",
+              "offset", "fetch")
+_NO_NAME = ("lateral", "only", "as", "values", "from", "join", "on", "using", "with", *_ENDS_FROM)
+
+
+def _name(token: Column) -> Column:
+    quoted = token.startswith('"') | token.startswith("`") | token.startswith("[")
+    return F.lower(F.when(quoted, F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token))
+
+
+def _read_token(s: Column, t: Column) -> Column:
+    """One step of the fold: the state after token ``t``."""
+    quoted = t.startswith('"') | t.startswith("`") | t.startswith("[")
+    word = F.when(quoted, F.lit("")).otherwise(F.lower(t))
+    top, below = F.element_at(s["at"], -1), F.slice(s["at"], F.lit(1), F.size(s["at"]) - 1)
+    opens, closes, comma, dot = t == "(", t == ")", t == ",", t == "."
+    mark = opens | closes | comma | dot
+    name = ~mark & (quoted | ~word.isin(*_NO_NAME))
+    named = (top == "table") & name
+    now = (
+        F.when(dot, F.when(s["name"].isNotNull(), "part").otherwise(top))
+        .when((top == "part") & name, "item")
+        .when((word == "with") & s["prev"].isin("", "(", "as"), "cte")
+        .when((top == "cte") & name & (word != "recursive"), "body")
+        .when(word.isin(*_ENDS_FROM), "other")
+        # FROM inside EXTRACT(.. FROM d) or behind IS DISTINCT begins no list
+        .when((word == "from") & (top != "call") & (s["prev"] != "distinct"), "table")
+        .when((word == "join") & (top != "call"), "table")
+        .when(word.isin("on", "using") & (top == "item"), "cond")
+        .when(comma & top.isin("item", "cond"), "table")
+        .when(comma & (top == "body"), "cte")
+        .when(named | ((top == "table") & (word == "values")), "item")
+        .otherwise(top)
+    )
+    at = (
+        # a parenthesis in place of a table holds a joined list or a query
+        F.when(opens & (top == "table"), F.concat(below, F.array(F.lit("item"), F.lit("table"))))
+        .when(opens, F.concat(s["at"], F.array(F.lit("call"))))
+        .when(closes, F.when(F.size(s["at"]) > 1, below).otherwise(s["at"]))
+        .otherwise(F.concat(below, F.array(now)))
+    )
+    pending = F.when(named | ((top == "part") & name), _name(t)).when(dot, s["name"])
+    # a name is a table's once the next token shows that it is neither qualified further nor a function
+    is_table = s["name"].isNotNull() & ~dot & ~opens & (top != "part")
+    return F.struct(
+        at.alias("at"), pending.alias("name"), F.when(quoted, F.lit('"')).otherwise(word).alias("prev"),
+        F.when(is_table, F.concat(s["tables"], F.array(s["name"]))).otherwise(s["tables"]).alias("tables"),
+        F.when((top == "cte") & name & (word != "recursive"), F.concat(s["ctes"], F.array(_name(t)))).otherwise(s["ctes"]).alias("ctes"))
 
 
 def referenced_tables(sql: Column | str) -> Column:
     """Sorted distinct lower-case base-table names after FROM / JOIN, minus CTE names.
 
-    Text-level: literals and comments are blanked first, a qualified name counts by its last part;
-    ``EXTRACT(x FROM y)`` is also picked up. A derived table ``FROM (SELECT ...)`` contributes its
-    inner FROM names.
+    One pass over the tokens that carries a small state: what each open parenthesis is in the middle of, the name
+    read last, and the names found. A qualified name counts by its last part, a table function not at all, a
+    derived table by the names inside. There is no grammar: a text that is no statement may still
+    name tables.
     """
-    s = F.regexp_replace(F.coalesce(col_(sql), F.lit("")), LITERAL_RE, " ")
-    lists = F.regexp_extract_all(s, F.lit(FROM_LIST_RE), 1)
-    from_names = F.flatten(
-        F.transform(
-            lists,
-            lambda lst: F.transform(
-                F.split(lst, ","), lambda item: F.regexp_extract(item, LEADING_IDENT_RE, 1)
-            ),
-        )
-    )
-    join_names = F.regexp_extract_all(s, F.lit(JOIN_TARGET_RE), 1)
-    names = F.transform(F.concat(from_names, join_names), _unquote_lower)
-    names = F.filter(names, lambda n: n != "")
-    ctes = F.transform(F.regexp_extract_all(s, F.lit(CTE_NAME_RE), 1), _unquote_lower)
-    return F.array_sort(F.array_except(names, ctes))
+    tokens = F.filter(_tokens(F.coalesce(col_(sql), F.lit(""))), lambda t: t.rlike(r'^[A-Za-z_"`\[(),.]'))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array(F.lit("other")).alias("at"), F.lit(None).cast("string").alias("name"), F.lit("").alias("prev"),
+                     none.alias("tables"), none.alias("ctes"))
+    return F.aggregate(tokens, start, _read_token, lambda s: F.array_sort(F.array_except(
+        F.array_compact(F.concat(s["tables"], F.array(s["name"]))), s["ctes"])))
 
 
 def grounded(refs: Column | str, schema_tables: Column | str) -> Column:

@@ -252,7 +252,68 @@ PAIR_TEMPLATES = (
       "UNION SELECT count(*) FROM lineitem",),
      ("  with BIG as (select * from ORDERS where O_TOTALPRICE > ", "p", ") select COUNT(*) from big\n"
       "union select count(*) from lineitem ;  ",), "ok"),
+    (("SELECT count(*) FROM orders CROSS JOIN (region) WHERE o_custkey = ", "c"),
+     ("SELECT count(*) FROM (orders JOIN customer ON o_custkey = c_custkey) WHERE o_custkey = ", "c"), "wrong-result"),
+    (("SELECT \"from x\" FROM nation JOIN region, part WHERE n_nationkey = ", "q"),
+     ("SELECT n_name FROM nation -- from part\n, supplier WHERE n_nationkey = ", "q"), "wrong-result"),
+    (("SELECT EXTRACT(year FROM o_orderdate) FROM orders WHERE o_custkey IS DISTINCT FROM ", "c"),
+     ("SELECT trim(BOTH 'x' FROM o_comment) FROM main.orders o /* from lineitem */ WHERE o_orderkey = ", "q"), "wrong-result"),
+    (("SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem, part GROUP BY l_partkey) AS t, supplier WHERE n > ", "p"),
+     ("SELECT * FROM range(", "p", ") AS r, (VALUES (1, 2)) AS v, [nation] ORDER BY 1"), "wrong-result"),
+    (("WITH RECURSIVE up(n) AS (SELECT ", "q", " UNION ALL SELECT n + 1 FROM up JOIN customer ON n < c_custkey), b AS "
+      "(SELECT * FROM up) SELECT * FROM b WHERE EXISTS (SELECT 1 FROM `Supplier` WHERE s_suppkey = n)",),
+     ("SELECT n FROM up",), "execution"),
 )
+# Expected for each template, written out by hand: the tables that gold and prediction name (a text that is no
+# statement, with its FROM inside an open parenthesis, names none).
+PAIR_TABLES = (
+    ("orders", ""), ("orders", ""), ("customer", "missing_part_list"), ("customer,orders", "customer"),
+    ("orders", "customer,orders"), ("orders", "orders"), ("orders", "orders"), ("orders", "orders"), ("orders", "customer,orders"),
+    ("orders", "orders"), ("orders", "orders"), ("lineitem,orders", "lineitem,orders"),
+    ("orders,region", "customer,orders"), ("nation,part,region", "nation,supplier"), ("orders", "orders"),
+    ("lineitem,part,supplier", "nation"), ("customer,supplier", "up"),
+)
+# Expected fingerprints, written out by hand, with the same places as in the templates.
+PAIR_FINGERPRINTS = (
+    (("select count ( * ) from orders where o_custkey = ", "c"), ("",)),
+    (("select o_orderkey from orders where o_custkey = ", "c"), ("select ( p_name from part",)),
+    (("select c_name from customer where c_custkey = ", "c"), ("select c_name from missing_part_list where id = ", "c")),
+    (("select c . c_name from customer as c join orders as o on c . c_custkey = o . o_custkey where o . o_orderkey = ", "q"),
+     ("select c_name from customer where c_custkey = ", "c")),
+    (("select o_totalprice from orders where o_orderkey = ", "q"),
+     ("select o . o_totalprice from orders o join customer c on o . o_custkey = c . c_custkey where o . o_orderkey = ", "q")),
+    (("select avg ( o_totalprice ) from orders where o_custkey = ", "c"), ("select sum ( o_totalprice ) from orders where o_custkey = ", "c")),
+    (("select o_orderstatus , count ( * ) from orders where o_custkey = ", "c", " group by o_orderstatus"),
+     ("select o_orderstatus , count ( * ) from orders where o_custkey = ", "c")),
+    (("select o_orderkey from orders where o_totalprice > ", "p", " and o_orderstatus = 'F'"), ("select o_orderkey from orders",)),
+    (("select count ( * ) from orders",),
+     ("select count ( * ) from orders , customer where o_custkey = c_custkey and o_totalprice > ", "p")),
+    (("select o_orderkey from orders where o_custkey = ", "c", " order by o_totalprice desc limit 3"),
+     ("select o_orderkey from orders where o_custkey = ", "c", " limit 3")),
+    (("select distinct o_orderstatus from orders where o_custkey = ", "c"), ("select o_orderstatus from orders where o_custkey = ", "c")),
+    (("with big as ( select * from orders where o_totalprice > ", "p", " ) select count ( * ) from big union select count ( * ) from lineitem"),
+     ("with big as ( select * from orders where o_totalprice > ", "p", " ) select count ( * ) from big union select count ( * ) from lineitem")),
+    (("select count ( * ) from orders cross join ( region ) where o_custkey = ", "c"),
+     ("select count ( * ) from ( orders join customer on o_custkey = c_custkey ) where o_custkey = ", "c")),
+    (("select \"from x\" from nation join region , part where n_nationkey = ", "q"),
+     ("select n_name from nation , supplier where n_nationkey = ", "q")),
+    (("select extract ( year from o_orderdate ) from orders where o_custkey is distinct from ", "c"),
+     ("select trim ( both 'x' from o_comment ) from main . orders o where o_orderkey = ", "q")),
+    (("select max ( n ) from ( select count ( * ) as n from lineitem , part group by l_partkey ) as t , supplier where n > ", "p"),
+     ("select * from range ( ", "p", " ) as r , ( values ( 1 , 2 ) ) as v , [nation] order by 1")),
+    (("with recursive up ( n ) as ( select ", "q", " union all select n + 1 from up join customer on n < c_custkey ) , b as "
+      "( select * from up ) select * from b where exists ( select 1 from `Supplier` where s_suppkey = n )"),
+     ("select n from up",)),
+)
+
+
+def by_template_sql(texts) -> str:
+    """CASE over a pair's template: its expected text, as template parts or as one literal."""
+    n = len(PAIR_TEMPLATES)
+    assert len(texts) == n
+    parts = [[x] if isinstance(x, str) else x for x in texts]
+    return f"CASE question_id % {n} " + " ".join(
+        f"WHEN {i} THEN concat({', '.join(_pair_part_sql(x) for x in p)})" for i, p in enumerate(parts)) + " END"
 
 
 def _pair_part_spark(p: str) -> Column:

@@ -6,26 +6,26 @@ from tests.named import SF_SMALL
 from textsql.operators.execute import score_pairs
 
 
-def scored(spark, zoo_examples, preds):
+def scored(spark, tram_examples, preds):
     p = spark.createDataFrame(preds, "question_id long, predicted_sql string")
-    j = zoo_examples.join(p, "question_id")
+    j = tram_examples.join(p, "question_id")
     pairs = j.select(F.col("question_id").alias("pair_id"), F.col("query").alias("gold_sql"),
                      F.col("predicted_sql").alias("pred_sql"))
     return {r.pair_id: r for r in score_pairs(spark, pairs).collect()}
 
 
-def test_gold_predictions_score_one(spark, zoo_tables, zoo_examples):
-    out = scored(spark, zoo_examples, [(r.question_id, r.query) for r in zoo_examples.collect()])
+def test_gold_predictions_score_one(spark, tram_tables, tram_examples):
+    out = scored(spark, tram_examples, [(r.question_id, r.query) for r in tram_examples.collect()])
     assert all(r.exec_match for r in out.values())
 
 
-def test_blank_predictions_score_zero(spark, zoo_tables, zoo_examples):
-    out = scored(spark, zoo_examples, [(i, "") for i in range(3)])
+def test_blank_predictions_score_zero(spark, tram_tables, tram_examples):
+    out = scored(spark, tram_examples, [(i, "") for i in range(3)])
     assert all(not r.exec_match and r.failure_mode == "empty" for r in out.values())
 
 
-def test_one_bad_prediction_per_mode(spark, zoo_tables, zoo_examples):
-    out = scored(spark, zoo_examples, [(0, "SELECT (p_name FROM part"), (1, "SELECT * FROM missing_part_list"),
+def test_one_bad_prediction_per_mode(spark, tram_tables, tram_examples):
+    out = scored(spark, tram_examples, [(0, "SELECT (p_name FROM part"), (1, "SELECT * FROM missing_part_list"),
                                        (2, "SELECT 'wrong'")])
     assert [out[i].failure_mode for i in range(3)] == ["parse", "execution", "wrong-result"]
 
@@ -70,11 +70,11 @@ def test_statements_run_against_their_own_database(spark):
     data = {"a": [(1,), (2,)], "b": [(1,), (2,), (3,)]}
 
     def tables_for(sess, db):
-        return {"animal": sess.createDataFrame(data[db], "id long")}
+        return {"car": sess.createDataFrame(data[db], "id long")}
 
     pairs = spark.createDataFrame(
-        [(1, "a", "SELECT count(*) FROM animal", "SELECT 2"), (2, "b", "SELECT count(*) FROM animal", "SELECT 2"),
-         (3, "b", "SELECT max(id) FROM animal", "SELECT count(*) FROM animal")],
+        [(1, "a", "SELECT count(*) FROM car", "SELECT 2"), (2, "b", "SELECT count(*) FROM car", "SELECT 2"),
+         (3, "b", "SELECT max(id) FROM car", "SELECT count(*) FROM car")],
         "pair_id long, db_id string, gold_sql string, pred_sql string")
     out = {r.pair_id: r.exec_match for r in score_pairs(spark, pairs, db_col="db_id", tables_for=tables_for).collect()}
     assert out == {1: True, 2: False, 3: True}

@@ -14,24 +14,24 @@ def rows(spark, qid, data):
 
 
 def test_multiset_equal_nulls_order_and_duplicates(spark):
-    a = [(1, "tiger"), (2, "lion"), (3, None)]
-    g = rows(spark, 1, a).unionByName(rows(spark, 2, a))
-    p = rows(spark, 1, list(reversed(a))).unionByName(rows(spark, 2, a + a))
+    a = [(7, None), (None, "Fields"), (7, None), (9, "Harbour")]
+    g = rows(spark, 1, a).unionByName(rows(spark, 2, a)).unionByName(rows(spark, 3, a))
+    p = rows(spark, 1, a[2:] + a[:2]).unionByName(rows(spark, 2, a[1:])).unionByName(rows(spark, 3, a[1:] + a[3:]))
     got = {r.question_id: r.exec_match for r in multiset_equal(g, p).collect()}
-    assert got == {1: True, 2: False}
+    assert got == {1: True, 2: False, 3: False}
 
 
 def test_multiset_null_equals_empty_string_and_empty_sets(spark):
-    g = rows(spark, 1, [(1, None)])
-    p = rows(spark, 1, [(1, "")])
-    keys = spark.createDataFrame([(1,), (7,)], "question_id long")
+    g = rows(spark, 4, [(None, "x"), (2, None)])
+    p = rows(spark, 4, [(2, ""), (None, "x")])
+    keys = spark.createDataFrame([(4,), (5,)], "question_id long")
     got = {r.question_id: r.exec_match for r in multiset_equal(g, p, keys=keys).collect()}
-    assert got == {1: True, 7: True}  # 7: empty == empty
+    assert got == {4: True, 5: True}  # 5 has no rows on either side
 
 
 def test_multiset_symmetric(spark):
-    g = rows(spark, 1, [(1, "a"), (1, "a")])
-    p = rows(spark, 1, [(1, "a")])
+    g = rows(spark, 6, [(3, "x"), (3, "x"), (4, "y")])
+    p = rows(spark, 6, [(3, "x"), (4, "y"), (4, "y")])
     assert multiset_equal(g, p).first().exec_match is False
     assert multiset_equal(p, g).first().exec_match is False
 
@@ -63,10 +63,10 @@ def test_leaderboard_missing_bucket_is_zero(spark):
     assert r.medium == 0.0 and r.extra == 0.0 and r.easy == 0.5
 
 
-def test_join_predictions_unknown_id_raises(spark, zoo_examples):
-    preds = spark.createDataFrame([(999, "zoo", "SELECT 1")], "question_id long, db_id string, predicted_sql string")
+def test_join_predictions_unknown_id_raises(spark, tram_examples):
+    preds = spark.createDataFrame([(999, "trams", "SELECT 1")], "question_id long, db_id string, predicted_sql string")
     with pytest.raises(Exception, match="no example for question_id 999"):
-        ev.join_predictions(preds, zoo_examples).collect()
+        ev.join_predictions(preds, tram_examples).collect()
 
 
 def test_last_wins(spark):
@@ -89,22 +89,22 @@ def test_printout_missing_metric_raises(spark):
         ev.parse_evaluator_printout(lines, pos_col="line_no").collect()
 
 
-def test_evaluator_lines(spark, zoo_examples):
+def test_evaluator_lines(spark, tram_examples):
     preds = spark.createDataFrame([(0, "  SELECT\n1 "), (1, "   ")], "question_id long, predicted_sql string")
     got = {r.question_id: r.line for r in ev.evaluator_pred_lines(preds).collect()}
     assert got == {0: "SELECT 1", 1: "SELECT 1"}
-    gold = {r.question_id: r.line for r in ev.evaluator_gold_lines(zoo_examples).collect()}
-    assert gold[0] == "SELECT COUNT(*) FROM animal\tzoo"
+    gold = {r.question_id: r.line for r in ev.evaluator_gold_lines(tram_examples).collect()}
+    assert gold[0] == "SELECT district FROM depot ORDER BY district\ttrams"
 
 
-def test_predict_with_python_hook(spark, zoo_examples):
+def test_predict_with_python_hook(spark, tram_examples):
     def fn(pdf):
-        return "SELECT COUNT(*) FROM animal WHERE id < " + pdf["question_id"].astype(str)
+        return "SELECT seats FROM car WHERE fleet_no = " + pdf["question_id"].astype(str)
 
-    out = {r.question_id: r.predicted_sql for r in ev.predict_with(zoo_examples, fn).collect()}
-    assert out[2] == "SELECT COUNT(*) FROM animal WHERE id < 2"
-    assert ev.predict_empty(zoo_examples).filter("predicted_sql <> ''").count() == 0
-    assert {r.predicted_sql for r in ev.predict_gold(zoo_examples).collect()} == {r.query for r in zoo_examples.collect()}
+    out = {r.question_id: r.predicted_sql for r in ev.predict_with(tram_examples, fn).collect()}
+    assert out[2] == "SELECT seats FROM car WHERE fleet_no = 2"
+    assert ev.predict_empty(tram_examples).filter("predicted_sql <> ''").count() == 0
+    assert {r.predicted_sql for r in ev.predict_gold(tram_examples).collect()} == {r.query for r in tram_examples.collect()}
 
 
 def test_summary_empty_run_gives_zeros(spark):

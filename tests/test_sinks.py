@@ -17,8 +17,8 @@ from textsql.sources.files import read_outcomes, read_traces, write_outcomes
 
 
 def test_traces_round_trip_and_corrupt_quarantine(spark, tmp_path):
-    rows = [(2, "zoo", "q2", "", "direct", "select 2", None, "SELECT 2", 3, True),
-            (1, "zoo", "q1", "", "reasoning", "select 1", "why", "SELECT 1", 3, False)]
+    rows = [(2, "trams", "q2", "", "direct", "select 2", None, "SELECT 2", 3, True),
+            (1, "trams", "q1", "", "reasoning", "select 1", "why", "SELECT 1", 3, False)]
     t = spark.createDataFrame(rows, SC.TRACE)
     write_traces(t, str(tmp_path / "traces"))
     (tmp_path / "traces" / "part-bad.json").write_text('{"question_id": 9, oops\n\n')
@@ -88,8 +88,8 @@ def test_tokenizer_hook(spark):
 
 def test_read_jsonl_skips_blank_lines(spark, tmp_path):
     p = tmp_path / "p.jsonl"
-    p.write_text('{"question_id": 1, "db_id": "zoo", "predicted_sql": "SELECT 1"}\n\n'
-                 '{"question_id": 2, "db_id": "zoo", "predicted_sql": null}\n')
+    p.write_text('{"question_id": 1, "db_id": "trams", "predicted_sql": "SELECT 1"}\n\n'
+                 '{"question_id": 2, "db_id": "trams", "predicted_sql": null}\n')
     df = read_jsonl(spark, str(p), SC.PREDICTION)
     assert df.count() == 2
 
@@ -137,9 +137,9 @@ def test_offline_prediction_values(spark, tmp_path):
     from textsql.sources.files import read_predictions_jsonl
 
     p = tmp_path / "pred.jsonl"
-    p.write_text('{"question_id": 1, "db_id": "zoo", "predicted_sql": "SELECT 1"}\n\n'
-                 '{"question_id": 2, "db_id": "zoo", "predicted_sql": null}\n'
-                 '{"question_id": 3, "db_id": "zoo"}\n')
+    p.write_text('{"question_id": 1, "db_id": "trams", "predicted_sql": "SELECT 1"}\n\n'
+                 '{"question_id": 2, "db_id": "trams", "predicted_sql": null}\n'
+                 '{"question_id": 3, "db_id": "trams"}\n')
     got = {r.question_id: r.predicted_sql for r in read_predictions_jsonl(spark, str(p)).collect()}
     assert got == {1: "SELECT 1", 2: "None", 3: ""}
 

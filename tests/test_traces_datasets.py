@@ -10,24 +10,24 @@ CAND_SCHEMA = "question_id long, sample_index long, sql string, parses_ok boolea
 
 
 def select(spark, cands, **kw):
-    qs = spark.createDataFrame([(1, "zoo", True, True)], "question_id long, db_id string, gold_ok boolean, has_schema boolean")
-    tables = spark.createDataFrame([("zoo", ["animal", "zookeeper"])], "db_id string, tables array<string>")
+    qs = spark.createDataFrame([(1, "trams", True, True)], "question_id long, db_id string, gold_ok boolean, has_schema boolean")
+    tables = spark.createDataFrame([("trams", ["depot", "car"])], "db_id string, tables array<string>")
     c = spark.createDataFrame(cands, CAND_SCHEMA)
     return select_candidates(qs, c, tables, **kw).first()
 
 
 def test_prefers_matching_candidate(spark):
-    r = select(spark, [(1, 0, "SELECT 1 FROM animal", True, True, False), (1, 1, "SELECT 2 FROM animal", True, True, True)])
+    r = select(spark, [(1, 0, "SELECT 1 FROM car", True, True, False), (1, 1, "SELECT 2 FROM car", True, True, True)])
     assert r.kept and r.chosen_index == 1 and r.matched_gold
 
 
 def test_no_match_without_fallback(spark):
-    r = select(spark, [(1, 0, "SELECT 1 FROM animal", True, True, False)], fallback_executes_only=False)
+    r = select(spark, [(1, 0, "SELECT 1 FROM car", True, True, False)], fallback_executes_only=False)
     assert not r.kept and r.drop_reason == "no-match"
 
 
 def test_fallback_first_executable(spark):
-    r = select(spark, [(1, 0, "SELECT x", False, False, False), (1, 1, "SELECT 1 FROM animal", True, True, False)])
+    r = select(spark, [(1, 0, "SELECT x", False, False, False), (1, 1, "SELECT 1 FROM car", True, True, False)])
     assert r.kept and r.chosen_index == 1 and not r.matched_gold
 
 
@@ -42,15 +42,15 @@ def test_all_garbage_dropped(spark):
 
 
 def test_pool_first_when_match_not_required(spark):
-    r = select(spark, [(1, 0, "SELECT 1 FROM animal", True, False, False)], require_matches_gold=False,
+    r = select(spark, [(1, 0, "SELECT 1 FROM car", True, False, False)], require_matches_gold=False,
                require_executes=False)
     assert r.kept and r.chosen_index == 0
 
 
 def test_funnel_and_reasons(spark):
-    qs = spark.createDataFrame([(1, "zoo", True, True), (2, "zoo", False, True), (3, "nope", True, False),
-                                (4, "zoo", True, True)], "question_id long, db_id string, gold_ok boolean, has_schema boolean")
-    c = spark.createDataFrame([(1, 0, "SELECT 1 FROM animal", True, True, True), (2, 0, "SELECT 1", True, True, True)],
+    qs = spark.createDataFrame([(1, "trams", True, True), (2, "trams", False, True), (3, "nope", True, False),
+                                (4, "trams", True, True)], "question_id long, db_id string, gold_ok boolean, has_schema boolean")
+    c = spark.createDataFrame([(1, 0, "SELECT 1 FROM car", True, True, True), (2, 0, "SELECT 1", True, True, True)],
                               CAND_SCHEMA)
     sel = select_candidates(qs, c)
     f = candidate_funnel(sel, c).first()
@@ -94,10 +94,10 @@ def test_length_batches(spark):
 
 
 def test_api_error_reason_and_funnel(spark):
-    qs = spark.createDataFrame([(1, "zoo", True, True, None), (2, "zoo", True, True, "RateLimitError")],
+    qs = spark.createDataFrame([(1, "trams", True, True, None), (2, "trams", True, True, "RateLimitError")],
                                "question_id long, db_id string, gold_ok boolean, has_schema boolean, api_error string")
-    c = spark.createDataFrame([(1, 0, "SELECT 1 FROM animal", True, True, True),
-                               (2, 0, "SELECT 1 FROM animal", True, True, True)], CAND_SCHEMA)
+    c = spark.createDataFrame([(1, 0, "SELECT 1 FROM car", True, True, True),
+                               (2, 0, "SELECT 1 FROM car", True, True, True)], CAND_SCHEMA)
     sel = select_candidates(qs, c)
     reasons = {r.drop_reason: r.n for r in drop_reasons(sel).collect()}
     assert reasons == {"api-RateLimitError": 1}

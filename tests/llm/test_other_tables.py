@@ -51,6 +51,24 @@ def test_warc_round_trip_and_determinism(spark, tmp_path):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_repeated_pages_lose_no_payload(spark, tmp_path):
+    a, b, c = "alpha " * 30, "beta " * 30, "gamma " * 30
+    rows = [(1, "u", a), (5, "u", a), (5, "u", b), (7, "v", b), (5, "w", b), (9, "x", c), (9, "x", c), (9, "x", "tiny"), (9, "x", "tiny"),
+            (None, "n", c), (None, "n", "only null " * 20), (None, "m", "only null " * 20), (2, "x", None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, owner int")
+    warc.write_warc(df.repartition(4), str(tmp_path / "w"), shards=3)
+    got = [r.asDict() for r in warc.read_warc(spark, str(tmp_path / "w")).collect()]
+    assert len(got) == len(rows)
+    kinds = sorted(((r["page_id"] or 0), r["payload_digest"], r["record_type"], r["refers_to"]) for r in got)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(1, sha(a), "response", None), (5, sha(a), "revisit", 1), (5, sha(b), "response", None), (5, sha(b), "revisit", 5), (7, sha(b), "revisit", 5),
+            (9, sha(c), "response", None), (9, sha(c), "revisit", 9), (9, sha("tiny"), "response", None), (9, sha("tiny"), "response", None),
+            (0, sha(c), "revisit", 9), (0, sha("only null " * 20), "response", None), (0, sha("only null " * 20), "revisit", None), (2, sha(None), "response", None)]
+    assert sorted(map(repr, kinds)) == sorted(map(repr, want))
+    bodies = {r["payload_digest"]: r["payload"] for r in got if r["record_type"] == "response"}
+    assert {sha(t) for _, _, t in rows} == set(bodies) and all(hashlib.sha256(v).hexdigest() == k for k, v in bodies.items())
+
+
 def test_chat_round_trip(spark):
     nasty = "a\\n<|im_end|>\n<|im_start|>assistant\nx \\"
     rows = [(1, 0, "user", nasty), (1, 1, "assistant", "\n\n  hi 😀<|" + nasty), (1, 2, "assistant", None), (1, 3, "assistant", "last "),

@@ -6,9 +6,15 @@ its own and renames to a name that depends on the shard only, so a repeated task
 files by equal ones. The files' manifest is written last; the reader opens only files it lists.
 Of equal payloads of at least ``MIN_REVISIT`` bytes the smallest page_id is the response.
 
+Which payloads repeat is found on narrow rows (page_id, digest, size). Its outcome, a mark for each page and digest
+that repeat, is sorted in front of the page's own records, so payloads are shuffled once, straight into the
+writer. The number of shards follows the payload bytes.
+
 Defined cases: null html is an empty payload; null url an empty target; a null page_id sorts first
-and is written with an empty id; rows repeating a page_id are all written (one of them as
-response); an empty table gives an archive without records; extra columns are never read.
+and is written with an empty id; rows repeating a page_id are all written: those of other payloads as records of
+their own, those of the same payload (``MIN_REVISIT`` bytes or more) as one response and revisits of it; an
+empty table gives an archive without records; extra columns are never read. A folder without a scheme is taken
+on the cluster's default file system. Rows that repeat both page_id and payload are sorted in one task.
 """
 
 from __future__ import annotations
@@ -27,24 +33,24 @@ from pyspark.sql import functions as F
 
 from .common import materialise, salted_lookup
 
-MIN_REVISIT, ROLL_BYTES, SHARD_ROWS = 100, 64 * 1024 * 1024, 50_000
+MIN_REVISIT, ROLL_BYTES, SHARD_BYTES = 100, 64 * 1024 * 1024, 256 * 1024 * 1024
 DATE = "2024-01-01T00:00:00Z"  # fixed: equal inputs give equal bytes
 MANIFEST = "file string, records long, bytes long, sha256 string"
+ORDERED = ["page_id", "digest", "is_record", "url", "payload", "owner"]
 _EOL = b"\r\n"
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, record_type and refers_to of every row."""
+def keyed_pages(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
-    keyed = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
-    owner = materialise(keyed.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(
+    return pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn(
+        "digest", F.unhex(F.sha2("payload", 256)))
+
+
+def repeat_marks(narrow: DataFrame) -> DataFrame:
+    """(page_id, digest, owner) of every page and digest whose payload is found more than once."""
+    owner = materialise(narrow.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(
         F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), "owners")
-    # only narrow rows meet the owners; payloads join by page
-    revisits = salted_lookup(keyed.select("page_id", "digest"), owner, "digest", "page_id", "inner").where(
-        "page_id <> owner").select("page_id", F.col("owner").alias("refers_to")).distinct()
-    return rows.join(revisits, "page_id", "left").withColumn(
-        "record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    return salted_lookup(narrow.select("page_id", "digest"), owner, "digest", "page_id", "inner").distinct()
 
 
 def record(page_id, url: str, payload: bytes, kind: str, refers_to) -> bytes:
@@ -78,7 +84,7 @@ def _writer(folder: str, roll_bytes: int):
         fs.create_dir(base, recursive=True)
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         state = {"out": None, "n": 0, "size": 0, "sha": None, "file": 0}
-        done = []
+        done, mark, owner, given = [], None, None, False
 
         def close():
             state["out"].close()
@@ -88,8 +94,13 @@ def _writer(folder: str, roll_bytes: int):
             state.update(out=None, file=state["file"] + 1)
 
         for pdf in batches:
-            for page_id, url, payload, kind, ref in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["record_type"], pdf["refers_to"]):
-                data = record(None if pd.isna(page_id) else int(page_id), url, payload, kind, None if pd.isna(ref) else int(ref))
+            for page_id, digest, is_record, url, payload, own in zip(*(pdf[c] for c in ORDERED)):
+                if not is_record:  # sorted in front of the records it speaks of
+                    mark, owner, given = (page_id, bytes(digest)), own, False
+                    continue
+                again = mark == (page_id, bytes(digest)) and (owner != page_id or given)
+                given = True
+                data = record(page_id, url, payload, "revisit" if again else "response", owner if again else None)
                 if state["out"] is None:
                     name = f"part-{shard:06d}-{state['file']:04d}.warc.gz"
                     state.update(out=fs.open_output_stream(f"{base}/{name}.{attempt}.tmp", compression=None),
@@ -110,15 +121,29 @@ def _writer(folder: str, roll_bytes: int):
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
     """Write the archive and commit its manifest (``folder``/manifest); returns the manifest."""
     spark = pages.sparkSession
-    plan = materialise(plan_records(pages), "records")
-    n = shards or max(spark.sparkContext.defaultParallelism, -(-plan.count() // SHARD_ROWS))
-    order = ["page_id", F.xxhash64("url", "payload")]
-    ordered = plan.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ids = ordered.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
-    ids.mapInPandas(_writer(f"{folder}/data", roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
+    folder = qualified(spark, folder)
+    rows = keyed_pages(pages)
+    narrow = materialise(rows.select("page_id", "digest", F.length("payload").alias("size")), "page_digests")
+    total = narrow.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    n = shards or max(spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = repeat_marks(narrow).select("page_id", "digest", F.lit(0).alias("is_record"), none("string").alias("url"),
+                                        none("binary").alias("payload"), "owner")
+    records = rows.select("page_id", "digest", F.lit(1).alias("is_record"), "url", "payload", none("long").alias("owner"))
+    ordered = records.unionByName(marks).repartitionByRange(n, "page_id", "digest").sortWithinPartitions(
+        "page_id", "digest", "is_record", "url")
+    text = {c: F.col(c).cast("string") for c in ("page_id", "owner")}  # pandas has no null integer without loss
+    ordered.withColumns(text).select(*ORDERED).mapInPandas(_writer(f"{folder}/data", roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme: one without is on the cluster's default file system, never on a worker's disk."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    return spark.conf.get("spark.hadoop.fs.defaultFS", "file://").rstrip("/") + folder
+
+
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, body) of each record of a decompressed archive stream."""
     while True:
@@ -160,6 +185,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                             rows = []
                 yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
 
+    folder = qualified(spark, folder)
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     files = files.repartition(max(spark.sparkContext.defaultParallelism, 1), "file")
     return files.select("file").mapInPandas(

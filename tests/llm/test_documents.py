@@ -43,6 +43,22 @@ def test_members_missed_by_their_leaders_are_found(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_rows_with_one_id_link_by_their_own_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(4, a), (9, b), (4, b + " more"), (9, c), (7, c + " tail"), (None, a + " end"), (None, None), (5, ""), (5, " "), (8, a), (8, a), (None, c)]
+    df = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id long, text string, place int, group string")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df.repartition(3), shingle=2).collect())
+    assert got == sorted([(4, 39, 4, True), (9, 39, 4, False), (4, 40, 4, True), (9, 39, 7, False), (7, 40, 7, True), (0, 40, 4, False),
+                          (0, 0, 0, True), (5, 0, 5, True), (5, 0, 5, True), (8, 39, 4, False), (8, 39, 4, False), (0, 39, 7, False)])
+    kept = minhash.drop_near_duplicates(df.repartition(3), shingle=2)
+    assert kept.columns == df.columns
+    # a row for each group of near copies (a, b, c), and the three without words
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.where("text LIKE '%4%'").collect()) == [(4, a), (4, b + " more"), (7, c + " tail")]
+    assert kept.count() == 6 and minhash.drop_near_duplicates(df.limit(0)).count() == 0
+    nulls = df.where("doc_id IS NULL AND text IS NOT NULL")
+    assert minhash.drop_near_duplicates(nulls.unionByName(nulls)).count() == 2
+
+
 def brute_repeat(words):
     seen, hit = {}, set()
     for i in range(len(words) - 7):
@@ -69,6 +85,14 @@ def test_quality_filter_keeps_columns(awkward):
     assert kept.columns == awkward.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3}
 
 
+def test_quality_filter_judges_each_row(spark):
+    good = "the cat sat on a mat with the dog and then it went to see that it is for you and me today"
+    rows = [(None, good), (1, good), (1, "short"), (2, None), (3, good), (3, good)]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_words int")
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_words"]) for r in quality.quality_filter(df).collect()) == [
+        (0, good, 9), (1, good, 9), (3, good, 9), (3, good, 9)]
+
+
 def test_line_dedup_keeps_first_and_offsets(spark):
     line = "this line has more than ten words and it repeats across documents"
     docs = [(1, f"start\n{line}\nend"), (2, f"{line.upper()}\nmore"), (3, f"{line}\n{line}"), (4, None), (5, "")]

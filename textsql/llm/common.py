@@ -69,5 +69,5 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
 
 def _fingerprint(df: DataFrame) -> tuple:
     r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-               F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).first()
+               F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("s")).first()
     return r["n"], r["x"], r["s"]

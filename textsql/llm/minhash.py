@@ -5,16 +5,20 @@ the signature, and steps end as soon as no slot could still improve (values of s
 All shingles of a block of documents take a step together in numpy. Bands of ``ROWS`` slots give
 buckets; with 40 bands of 6 a pair at similarity 0.8 shares a bucket with probability 1 - 6e-6.
 
-Documents with equal shingle sets form one class first; only class representatives are banded.
-In a bucket each member is checked against a leader (twelve independent leaders over the bands), then
-members of buckets that still span several components are checked across components, so no link
+Documents with equal shingle sets form one class first; only one row of each class is banded.
+Links are looked for in rounds: every bucket that still holds several components names a leader, members of other
+components are checked against it, what links is united, and members that have met their leader's component need
+no further check there. So after the first round almost all of a group of copies is one component
+and moves no more. Members that stay apart for ``LEADERS`` rounds are then checked across components, so no link
 that could join two components is skipped while no group is expanded into all its pairs. A pair
 is dropped unconfirmed only where a bitmap of its sets proves it too far apart. Links are
 confirmed on full shingle sets (64-bit hashes); groups come from distributed star contraction.
 
+Every row stands for itself, known by hashes of its id and text (two of 64 bits), so an id may come with several texts.
 Defined cases: null or empty texts have an empty set and link with nothing; a text of fewer words
-than a shingle is one shingle; rows repeating a doc_id are kept as rows and share their component;
-an empty table gives no rows; extra columns are never read.
+than a shingle is one shingle; rows repeating a doc_id are linked each by its own text; null ids link like others,
+and a component's id is its smallest id that is not null; an empty table gives no rows; extra columns
+are never read.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, salted_lookup
+from .common import WORD, connected_components, materialise, salted_lookup
 
-SHINGLE, THRESHOLD_PCT, ROWS, BANDS, LEADERS = 5, 80, 6, 40, 12
+SHINGLE, THRESHOLD_PCT, ROWS, BANDS, LEADERS = 5, 80, 6, 40, 4
 BLOCK = 200_000  # shingles that step together
 PAIRS_PER_SALT = 500
 BITMAP_WORDS = 16  # 64-bit words of the bitmap over the top bits of a set's hashes
@@ -144,8 +148,9 @@ def _signatures(shingle: int, rows: int, bands: int):
                 if size >= BLOCK // 2 or i == len(pdf) - 1:
                     yield pd.DataFrame({
                         "doc_id": ids.iloc[start:i + 1].astype("Int64").values,
+                        "k1": pdf["k1"].values[start:i + 1], "k2": pdf["k2"].values[start:i + 1],
                         "n_shingles": [len(x) for x in sets],
-                        "set_id": [hashlib.sha256(x.tobytes()).digest()[:16] if len(x) else None for x in sets],
+                        "set_id": [hashlib.sha256(x.tobytes()).hexdigest()[:32] if len(x) else None for x in sets],
                         "keys": flush(sets),
                         "bits": [bitmap(x) for x in sets]})
                     sets, size, start = [], 0, i + 1
@@ -153,21 +158,27 @@ def _signatures(shingle: int, rows: int, bands: int):
     return run
 
 
+def row_keys() -> dict[str, F.Column]:
+    """Two hashes that tell rows of different ids or texts apart."""
+    return {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "text", "doc_id")}
+
+
 def _full_sets(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"].values,
+            yield pd.DataFrame({"id": pdf["set_id"].values,
                                 "elements": [shingle_hashes(t, shingle).view(np.int64) for t in pdf["text"]]})
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, pct: int) -> DataFrame:
-    """Keep the (a, b) pairs whose full shingle sets reach the similarity. ``b`` may be hot: its
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, pct: int) -> DataFrame:
+    """Keep the (a, b) pairs of classes whose full shingle sets reach the similarity. ``b`` may be hot: its
     set is repeated once per PAIRS_PER_SALT pairs it takes part in."""
     pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(texts.mapInPandas(_full_sets(shingle), "id long, elements array<long>"), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    asked = reps.select("set_id", "k1", "k2").join(ids, "set_id", "left_semi")
+    texts = docs.select("text", *[c.alias(k) for k, c in row_keys().items()]).join(asked, ["k1", "k2"]).dropDuplicates(["set_id"])
+    sets = materialise(texts.mapInPandas(_full_sets(shingle), "id string, elements array<long>"), "sets")
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
     right = degree.join(sets, F.col("b") == F.col("id")).select(
         "b", F.col("elements").alias("eb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -179,56 +190,103 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, pct: int) -> DataF
     return both.where(100 * inter >= pct * (F.size("ea") + F.size("eb") - inter)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT,
-                    rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    signed = materialise(docs.select("doc_id", "text").mapInPandas(
-        _signatures(shingle, rows, bands), "doc_id long, n_shingles long, set_id binary, keys array<long>, bits array<long>"), "signed")
-    classes = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    member = materialise(salted_lookup(signed.select("doc_id", "n_shingles", "set_id"), classes, "set_id", "doc_id"), "member")
-    reps = signed.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    exploded = reps.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
-    lead = [F.min_by("doc_id", F.xxhash64("doc_id", F.col("band") % LEADERS)).alias("leader"),
-            F.min_by("n_shingles", F.xxhash64("doc_id", F.col("band") % LEADERS)).alias("n_leader")]
-    buckets = exploded.groupBy("key").agg(F.count("*").alias("n"), *lead).where("n > 1").drop("n")
-    shared = materialise(salted_lookup(exploded, buckets, "key", "doc_id", "inner"), "shared")
+def _placed(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Bucket members with their component, in the buckets that still hold several components; of those,
+    members of the largest component (main) are the ones to be met, the others the ones that ask."""
+    if comp is None:
+        placed = shared.withColumn("c", F.col("set_id"))
+    else:
+        placed = shared.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
+    placed = placed.select("key", "set_id", "n", "c")
+    per_comp = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    main = per_comp.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    return materialise(salted_lookup(placed, main, "key", "set_id", "inner"), "placed")
+
+
+def near_classes(docs: DataFrame, shingle: int, threshold_pct: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """(signed rows with set_id, (set_id, component) of linked classes)."""
+    keyed = docs.select("doc_id", "text", *[c.alias(k) for k, c in row_keys().items()])
+    signed = materialise(keyed.mapInPandas(
+        _signatures(shingle, rows, bands),
+        "doc_id long, k1 long, k2 long, n_shingles long, set_id string, keys array<long>, bits array<long>"), "signed")
+    chosen = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2", "set_id")
+    reps = materialise(signed.join(chosen, ["k1", "k2", "set_id"], "left_semi").dropDuplicates(["set_id"]).select(
+        "set_id", "k1", "k2", F.col("n_shingles").alias("n"), "keys", "bits"), "reps")
+    exploded = reps.select("set_id", "n", F.explode("keys").alias("key"))
+    buckets = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.lit(True).alias("more"))
+    shared = materialise(salted_lookup(exploded, buckets, "key", "set_id", "inner").select("key", "set_id", "n"), "shared")
 
     def similar_size(x: str, y: str):
         return 100 * F.least(x, y) >= threshold_pct * F.greatest(x, y)
 
-    star = shared.where("doc_id <> leader").where(similar_size("n_shingles", "n_leader")).select(
-        F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = materialise(_confirm(star, docs, shingle, threshold_pct), "links")
-    comp = connected_components(links)
-    # buckets that still hold several components: check members outside the largest one against all
-    placed = shared.select("key", "doc_id", "n_shingles").join(comp, shared["doc_id"] == comp["id"], "left").select(
-        "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
-    per_comp = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    main = per_comp.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    placed = materialise(salted_lookup(placed, main, "key", "doc_id", "inner"), "placed")
-    bits = signed.select("doc_id", "bits").join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    placed = materialise(placed.join(bits, "doc_id"), "placed")
-    out = placed.where("c <> main").select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"),
-                                           F.col("c").alias("ca"), F.col("bits").alias("xa"))
-    every = placed.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"),
-                          F.col("bits").alias("xb"))
+    comp, tried = None, None
+    for turn in range(LEADERS):
+        # members outside the main component ask a leader: one of the main component, in odd turns one of their own
+        placed = _placed(shared, comp)
+        order = F.xxhash64("set_id", F.lit(turn))
+        of_main = F.col("c") == F.col("main")
+        best = F.when(of_main if turn % 2 == 0 else ~of_main, F.struct(order.alias("o"), "set_id", "n", "c"))
+        lead = placed.groupBy("key").agg(F.min(best).alias("l")).select(
+            "key", F.col("l.set_id").alias("leader"), F.col("l.n").alias("n_leader"), F.col("l.c").alias("c_leader"))
+        asks = salted_lookup(placed.where("c <> main"), lead, "key", "set_id", "inner").where("c <> c_leader").where(
+            similar_size("n", "n_leader"))
+        star = asks.select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct()
+        star = materialise(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "star")
+        tried = star if tried is None else tried.unionByName(star)
+        comp = _unite(comp, _confirm(star, reps, docs, shingle, threshold_pct) if not star.isEmpty() else None)
+    placed = _placed(shared, comp)
+    bits = reps.select("set_id", "bits").join(placed.select("set_id").distinct(), "set_id", "left_semi")
+    placed = materialise(placed.join(bits, "set_id"), "placed")
+    out = placed.where("c <> main").select("key", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"),
+                                           F.col("bits").alias("xa"))
+    every = placed.select("key", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("xb"))
     shared_most = most_shared("na", "nb", "xa", "xb")
     cross = out.join(every, "key").where("ca <> cb").where(similar_size("na", "nb")).where(
         100 * shared_most >= threshold_pct * (F.col("na") + F.col("nb") - shared_most)).select("a", "b").distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    more = materialise(_confirm(cross, docs, shingle, threshold_pct), "links")
-    final = connected_components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    result = salted_lookup(member, final.select(F.col("id").alias("rep"), "component"), "rep", "doc_id")
-    component = F.coalesce("component", "rep", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"),
-                         (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays; columns as they came."""
-    keep = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    cols = docs.columns
-    return docs.join(keep, "doc_id", "left_semi").select(*cols)
+    cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "cross")
+    comp = _unite(comp, _confirm(cross, reps, docs, shingle, threshold_pct) if not cross.isEmpty() else None)
+    if comp is None:
+        comp = docs.sparkSession.createDataFrame([], "id string, component string")
+    return signed, comp.withColumnRenamed("id", "set_id")
+
+
+def _unite(comp: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+    """Components after new links; unchanged, without a job more, where nothing links."""
+    if links is None or (links := materialise(links, "links")).isEmpty():
+        return comp
+    known = links if comp is None else links.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return materialise(connected_components(known), "components")
+
+
+def _grouped(docs: DataFrame, shingle: int, threshold_pct: int, rows: int, bands: int) -> DataFrame:
+    """Every row (doc_id, k1, k2, n_shingles, group): rows of one group are near copies; a text without words has no group."""
+    signed, comp = near_classes(docs, shingle, threshold_pct, rows, bands)
+    group = salted_lookup(signed.select("doc_id", "k1", "k2", "n_shingles", "set_id"), comp, "set_id", "k1")
+    return materialise(group.withColumn("group", F.coalesce("component", "set_id")).drop("component", "set_id"), "grouped")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT,
+                    rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    grouped = _grouped(docs, shingle, threshold_pct, rows, bands)
+    least = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
+    component = F.coalesce("least", "doc_id")
+    return salted_lookup(grouped, least, "group", "k1").select(
+        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT,
+                         rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """One row of each group stays, that of the smallest doc_id (null ones last), and every row without words;
+    columns as they came. Of rows that repeat id and text any one may stay."""
+    grouped = _grouped(docs, shingle, threshold_pct, rows, bands)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    stays = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min(at).alias("s")).select(
+        F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2"), F.lit(True).alias("_stays"))
+    row = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(f"_{k}") for k, c in row_keys().items()])
+    words = F.coalesce(F.col("_row.text").rlike(WORD), F.lit(False))
+    chosen = row.where(words).join(stays, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return row.where(~words).select("_row.*").unionByName(chosen.select("_row.*"))
 
 
 ORACLE = r"""

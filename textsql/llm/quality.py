@@ -57,14 +57,14 @@ def _repeat_words(words: Column) -> Column:
         let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), F.lit(0)).otherwise(let(pairs, covered))
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id -> base counts, ratios, base_failed, kept (one projection, no shuffle)."""
+def score(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id -> base counts, ratios, base_failed, kept (one projection, no shuffle), and the ``carry`` columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     stop = F.lit("|".join(sorted(set(STOP_WORDS))))
     stop_re = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), stop, F.lit(r")(?=[.,;:!?]*(?:[\x20\x09-\x0D]|$))"))
     base = docs.select(
-        "doc_id",
+        "doc_id", *carry,
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -73,7 +73,7 @@ def score(docs: DataFrame) -> DataFrame:
                                       (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_l"))
     n = F.size("_words").cast("long")
     counted = base.select(
-        "doc_id", n.alias("n_words"), "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"),
+        "doc_id", *carry, n.alias("n_words"), "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"),
         let(F.col("_words"), _repeat_words).cast("long").alias("n_repeat_words"),
         "n_stop_words", F.col("_l.n").alias("n_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
@@ -91,10 +91,9 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    cols = docs.columns
-    keep = score(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*cols)
+    """The rows that pass, each by its own text whatever its id, with the columns they came with."""
+    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return score(row, carry=("_row",)).where("kept").select("_row.*")
 
 
 COLUMNS = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, connected_components, materialise, salted_lookup
 
-SHINGLE, THRESHOLD_PCT, ROWS, BANDS, LEADERS = 5, 80, 6, 40, 4
+SHINGLE, THRESHOLD_PCT, ROWS, BANDS, LEADERS = 5, 80, 6, 40, 2
 BLOCK = 200_000  # shingles that step together
 PAIRS_PER_SALT = 500
 BITMAP_WORDS = 16  # 64-bit words of the bitmap over the top bits of a set's hashes
@@ -197,9 +197,9 @@ def _placed(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
         placed = shared.withColumn("c", F.col("set_id"))
     else:
         placed = shared.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
-    placed = placed.select("key", "set_id", "n", "c")
-    per_comp = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
-    main = per_comp.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    placed = placed.select("key", "set_id", "n", "met", "c")
+    per_comp = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("met").alias("met"))
+    main = per_comp.groupBy("key").agg(F.max_by("c", F.struct("m", "met", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     return materialise(salted_lookup(placed, main, "key", "set_id", "inner"), "placed")
 
 
@@ -213,17 +213,21 @@ def near_classes(docs: DataFrame, shingle: int, threshold_pct: int, rows: int, b
     reps = materialise(signed.join(chosen, ["k1", "k2", "set_id"], "left_semi").dropDuplicates(["set_id"]).select(
         "set_id", "k1", "k2", F.col("n_shingles").alias("n"), "keys", "bits"), "reps")
     exploded = reps.select("set_id", "n", F.explode("keys").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.lit(True).alias("more"))
-    shared = materialise(salted_lookup(exploded, buckets, "key", "set_id", "inner").select("key", "set_id", "n"), "shared")
+    buckets = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = salted_lookup(exploded, buckets, "key", "set_id", "inner")
+    # a set that meets many others is likely their common source, and so a good leader
+    met = shared.groupBy("set_id").agg(F.sum("m").alias("met"))
+    shared = materialise(shared.drop("m").join(met, "set_id").select("key", "set_id", "n", "met"), "shared")
 
     def similar_size(x: str, y: str):
         return 100 * F.least(x, y) >= threshold_pct * F.greatest(x, y)
 
     comp, tried = None, None
     for turn in range(LEADERS):
-        # members outside the main component ask a leader: one of the main component, in odd turns one of their own
+        # members outside the main component ask a leader: one of the main component, in odd turns one of their own;
+        # first the set that meets most others, later any
         placed = _placed(shared, comp)
-        order = F.xxhash64("set_id", F.lit(turn))
+        order = F.xxhash64("set_id", F.lit(turn)) if turn > 1 else -F.col("met")
         of_main = F.col("c") == F.col("main")
         best = F.when(of_main if turn % 2 == 0 else ~of_main, F.struct(order.alias("o"), "set_id", "n", "c"))
         lead = placed.groupBy("key").agg(F.min(best).alias("l")).select(

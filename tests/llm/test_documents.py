@@ -292,3 +292,34 @@ def test_empty_tables(spark, awkward):
     for out in (minhash.near_duplicates(none), quality.score(none), substrings.removed_spans(none), pii.find_pii(none),
                 packing.pack(none), mixing.mixing_rates(none, lab), licenses.scan_licenses(none, licenses.template_table(spark))):
         assert out.count() == 0
+
+
+def test_repeats_are_cut_from_the_rows_own_text(spark):
+    line = "one line of ten words or more that every text repeats for sure"
+    other = "a wholly different text of the same id whose first characters must stay as they are"
+    rows = [(1, f"{line}\nend"), (2, other), (2, f"{line}\ntail"), (None, f"head\n{line}"), (3, None)]
+    df = spark.createDataFrame([(*r, "old", 7) for r in rows], "doc_id long, text string, removed_spans string, t int")
+    out = substrings.remove_repeats(df.repartition(3))
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["removed_spans"], r["t"]) for r in out.collect())
+    n = len(line)
+    # a null id ranks first and keeps its line
+    assert got == sorted([(0, f"head\n{line}", "", 7), (1, "end", f"0:{n}", 7), (2, other, "", 7), (2, "tail", f"0:{n}", 7), (3, "", "", 7)])
+
+
+def test_packing_encodes_as_the_tokenizer_does(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a<|endoftext|>b", "plain words", "", None, "<|endoftext|>", "word " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packing.tokenise(df).collect())
+    want = []
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        cuts = sorted(r[1] for r in got if r[0] == i)
+        assert cuts[0] == 0 and all(b - a == 2048 for a, b in zip(cuts[1:], [*cuts[2:], len(ids)])) if len(ids) > 2048 else cuts == [0]
+        for a, b in zip(cuts, [*cuts[1:], len(ids)]):
+            want.append((i, a, b - a, zlib.crc32(np.asarray(ids[a:b], dtype="<u4").tobytes())))
+    assert got == sorted(want)

@@ -45,7 +45,6 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         for pdf in batches:
             out, ids_out = [], []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):

@@ -6,7 +6,7 @@ removed. Rank: smallest (doc_id, start). Offsets are code points, end exclusive,
 text. Digests are 128 bits of SHA-256.
 
 Defined cases: null or empty texts have no units and lose nothing; a document keeps the first of
-its own repeated lines; rows with equal doc_id and start share a rank and all stay; a null doc_id
+its own repeated lines; rows that repeat doc_id and text share a rank and all stay; a null doc_id
 ranks first; an empty table gives no rows; extra columns are never read.
 
 ``removed_passages`` adds what whole lines miss: every run of ``PASSAGE_WORDS`` words (lower case, split at
@@ -35,30 +35,31 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def line_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, digest) of every line of at least ``min_words`` words."""
+    """(doc_id, t, start, end, digest) of every line of at least ``min_words`` words; ``t`` is the text's hash."""
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, t, text in zip(pdf["doc_id"], pdf["t"], pdf["text"]):
                 at = 0
                 for line in (text or "").split("\n"):
                     norm = _SPACE.sub(" ", line).strip(" ").lower()
                     if norm.count(" ") + 1 >= min_words:
-                        out.append((doc_id, at, at + len(line), hashlib.sha256(norm.encode()).digest()[:16]))
+                        out.append((doc_id, t, at, at + len(line), hashlib.sha256(norm.encode()).digest()[:16]))
                     at += len(line) + 1
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "digest"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "t", "start", "end", "digest"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(units, "doc_id long, start long, end long, digest binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInPandas(
+        units, "doc_id long, t long, start long, end long, digest binary")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end) of every unit that repeats an earlier ranked one. The minimum per
+    """(doc_id, t, start, end) of every unit that repeats an earlier ranked one. The minimum per
     digest is pre-aggregated before its shuffle; a hot line is salted on the way back."""
     keyed = materialise(line_units(docs, min_words), "units")
-    rank = F.struct("doc_id", "start")
+    rank = F.struct("doc_id", "start", "t")
     first = keyed.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = salted_lookup(keyed.withColumn("rank", rank), first.select("digest", "first"), "digest", "rank", "inner")
-    return again.where(~F.col("rank").eqNullSafe(F.col("first"))).select("doc_id", "start", "end")
+    return again.where(~F.col("rank").eqNullSafe(F.col("first"))).select("doc_id", "t", "start", "end")
 
 
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -75,9 +76,13 @@ def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated lines cut out of ``text`` (their line breaks go with them) and
-    the cut spans of the original in ``removed_spans``."""
-    spans = removed_spans(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("spans").alias("removed_spans"))
+    """The rows with repeated lines cut out of ``text`` (their line breaks go with them) and
+    the cut spans of the original in ``removed_spans`` (a column of that name is replaced). Every row loses
+    lines of its own text only, whatever other texts its doc_id has."""
+    spans = repeated_units(docs, min_words).groupBy("doc_id", "t").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_s")).select(
+        F.col("doc_id").alias("_d"), F.col("t").alias("_t"),
+        F.array_join(F.transform("_s", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("_spans"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -91,8 +96,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             return "".join(out) + t[at:]
         return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
-    return joined.withColumn("text", cut("text", "removed_spans"))
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_h"))
+    joined = row.join(spans, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    cols = [cut("_row.text", "_spans").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "removed_spans"]
+    return joined.select(*cols, F.coalesce("_spans", F.lit("")).alias("removed_spans"))
 
 
 def word_hashes(text: str | None, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +203,7 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame
 
 def removed_passages(docs: DataFrame, min_words: int = MIN_WORDS, length: int = PASSAGE_WORDS) -> DataFrame:
     """As ``removed_spans``, of repeated lines and repeated runs of words; spans that meet are merged."""
-    both = repeated_units(docs, min_words).unionByName(repeated_passages(docs, length))
+    both = repeated_units(docs, min_words).drop("t").unionByName(repeated_passages(docs, length))
     # one span for each start, then each document's spans in order are merged
     spans = both.groupBy("doc_id", "start").agg(F.max("end").alias("end")).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))

@@ -323,3 +323,22 @@ def test_packing_encodes_as_the_tokenizer_does(spark):
         for a, b in zip(cuts, [*cuts[1:], len(ids)]):
             want.append((i, a, b - a, zlib.crc32(np.asarray(ids[a:b], dtype="<u4").tobytes())))
     assert got == sorted(want)
+
+
+def test_mix_takes_clashing_columns_and_repeated_ids(spark):
+    good, bad = "the cat sat on a mat and the dog went to see it ", "zz## $$ %% qq "
+    docs = [(i, (good if i % 2 else bad) * (2 + i % 3)) for i in range(60)] + [(1, bad * 3), (None, good), (2, None), (3, good * 2), (3, good * 2)]
+    df = spark.createDataFrame([(*r, 5, "d", "k") for r in docs], "doc_id long, text string, n_copies int, _d string, _k string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(df, labels, targets=(0.7, 0.3, 0.0))
+    assert out.columns == df.columns and out.where("n_copies = 5 AND _d = 'd' AND _k = 'k'").count() == out.count() > 0
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} <= set(docs)
+    assert mixing.mix(df.limit(0), labels).count() == 0
+
+
+def test_added_spans_never_overlap_chosen_ones():
+    text = "ids " + ".".join(f"10.0.0.{i}" for i in range(30)) + "@example.org and +49 30 1234567 or 030 1234567"
+    base, every = pii.all_spans(text, pii.fit())
+    added = [s for s in every if s not in base]
+    for _, a, b in added:
+        assert not any(a < y and x < b for _, x, y in [*base, *(s for s in added if s[1:] != (a, b))])

@@ -103,17 +103,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
 
 def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
-    """doc_id, tokens, p_<domain> of every row."""
+    """doc_id, _row (hash of id and text), tokens, p_<domain> of every row."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, row, text in zip(pdf["doc_id"], pdf["_row"], pdf["text"]):
                 ids, shape, n = featurise(text)
-                rows.append((doc_id, n, *model.posterior(ids, shape)))
-            yield pd.DataFrame(rows, columns=["doc_id", "tokens", *(f"p_{d}" for d in DOMAINS)]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, row, n, *model.posterior(ids, shape)))
+            yield pd.DataFrame(rows, columns=["doc_id", "_row", "tokens", *(f"p_{d}" for d in DOMAINS)]).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
-    return docs.select("doc_id", "text").mapInPandas(score, schema)
+    schema = "doc_id long, _row long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text").mapInPandas(score, schema)
 
 
 def _rate(dual: Sequence[float]):
@@ -175,8 +175,7 @@ def solve_rates(soft: DataFrame, targets=TARGETS, growth: float = GROWTH, tolera
     return dual.tolist()
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, tokens, posteriors, rate, n_copies."""
+def _rates(docs: DataFrame, labels: DataFrame, targets, sample: int) -> DataFrame:
     model = Softmax(*labelled_sample(docs, labels, sample))
     soft = materialise(posteriors(docs, model), "soft")
     dual = solve_rates(soft, targets)
@@ -184,9 +183,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: in
     return soft.withColumn("rate", _rate(dual)).withColumn("n_copies", F.floor(F.col("rate") + u).cast("long"))
 
 
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, tokens, posteriors, rate, n_copies."""
+    return _rates(docs, labels, targets, sample).drop("_row")
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE) -> DataFrame:
-    """The documents, each repeated n_copies times; columns as they came."""
-    rates = mixing_rates(docs, labels, targets, sample).select(F.col("doc_id").alias("_d"), "n_copies").distinct()
-    rates = rates.groupBy("_d").agg(F.max("n_copies").alias("n_copies")).where("n_copies > 0")
-    joined = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*docs.columns)
+    """The rows, each repeated n_copies times by its own text's rate; columns as they came."""
+    rates = _rates(docs, labels, targets, sample).where("n_copies > 0").select(
+        F.col("_row").alias("_key"), F.col("n_copies").alias("_copies")).dropDuplicates(["_key"])
+    row = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64("doc_id", "text").alias("_key"))
+    joined = row.join(rates, "_key").select("_all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return joined.select("_all.*")

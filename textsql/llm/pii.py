@@ -16,6 +16,7 @@ the new length; null text stays null.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -186,15 +187,18 @@ def all_spans(text: str, model) -> tuple[list, list]:
     if not extra:
         return base, base
     scores = trees.predict(np.array([features(text, *c) for c in extra]))
-    taken = sorted((a, b) for _, a, b in base)
-    import bisect
+    cover: list[tuple[int, int]] = []  # the text that chosen spans cover, as disjoint intervals in order
+    for a, b in sorted((a, b) for _, a, b in base):  # base spans of different kinds may overlap
+        if cover and a < cover[-1][1]:
+            cover[-1] = (cover[-1][0], max(b, cover[-1][1]))
+        else:
+            cover.append((a, b))
     added = []
     for score, span in sorted(zip(scores, extra), key=lambda t: (-t[0], t[1])):
-        at = bisect.bisect_left(taken, (span[2],))
-        # chosen spans of different base kinds may overlap, so look at every one that starts before the end
-        if score >= limits[span[0]] and not any(b > span[1] for _, b in taken[max(0, at - 8):at]):
+        at = bisect.bisect_left(cover, (span[2],))
+        if score >= limits[span[0]] and not (at and cover[at - 1][1] > span[1]):
             added.append(span)
-            bisect.insort(taken, span[1:])
+            cover.insert(at, span[1:])
     return base, sorted(base + added)
 
 

@@ -33,14 +33,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removed_spans(table(spark, sf_dir, "documents"))
-
-
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -74,7 +74,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_superminhash, op3_multi_index, op4_warc, op5_quality_rules, op6_line_dedup, op6_passage_dedup, op7_chat_format,
+    op1_license_scan, op2_superminhash, op3_multi_index, op4_warc, op5_quality_rules, op6_passage_dedup, op6_line_dedup, op7_chat_format,
     op8_pii_boosting, op9_soft_mixing, op10_packing, op11_toxicity_mil, op12_hard_negatives, op13_periodic_runs)}
 ORACLE = {"op2_superminhash": minhash.ORACLE, "op3_multi_index": embeddings.ORACLE, "op4_warc": warc.ORACLE,
           "op5_quality_rules": quality.ORACLE, "op6_line_dedup": substrings.ORACLE, "op12_hard_negatives": negatives.ORACLE}

@@ -204,21 +204,18 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame
 def removed_passages(docs: DataFrame, min_words: int = MIN_WORDS, length: int = PASSAGE_WORDS) -> DataFrame:
     """As ``removed_spans``, of repeated lines and repeated runs of words; spans that meet are merged."""
     both = repeated_units(docs, min_words).drop("t").unionByName(repeated_passages(docs, length))
-    # one span for each start, then each document's spans in order are merged
-    spans = both.groupBy("doc_id", "start").agg(F.max("end").alias("end")).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
+    # a document's spans come as start * 2^32 + end; sorted so, those that meet are merged
+    spans = both.groupBy("doc_id").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("_s"))
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, s in zip(pdf["doc_id"].astype("Int64"), pdf["_s"]):
-                out: list[list[int]] = []
-                for x in s:
-                    if out and x["start"] <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], x["end"])
-                    else:
-                        out.append([x["start"], x["end"]])
-                rows.append((doc_id, len(out), sum(b - a for a, b in out), ",".join(f"{a}:{b}" for a, b in out)))
+            for doc_id, packed in zip(pdf["doc_id"].astype("Int64"), pdf["_s"]):
+                at = np.sort(packed)
+                start, end = at >> 32, np.maximum.accumulate(at & 0xFFFFFFFF)
+                new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+                first, last = start[new], end[np.concatenate([new[1:], [len(at)]]) - 1]
+                rows.append((doc_id, len(new), int((last - first).sum()), ",".join(map("{}:{}".format, first, last))))
             yield pd.DataFrame(rows, columns=["_d", "n_removed", "removed_chars", "spans"]).astype({"_d": "Int64"})
 
     found = spans.mapInPandas(merged, "_d long, n_removed long, removed_chars long, spans string")

@@ -19,7 +19,15 @@ from ..functions.sqltext import (
     difficulty,
     exact_match,
 )
-from ..functions.text import clean_sql
+
+
+# --- fixed values -----------------------------------------------------------------------------
+# The external evaluator's printout: a line per metric, a figure per bucket.
+EVAL_LINE_RE = (
+    r"^\s*(execution|exact match)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9.]+)\s*$"
+)
+EVAL_BUCKETS = ("easy", "medium", "hard", "extra", "all")
+# ----------------------------------------------------------------------------------------------
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -258,10 +266,6 @@ def evaluator_gold_lines(examples: DataFrame, order_col: str = "question_id") ->
     )
 
 
-EVAL_LINE_RE = (
-    r"^\s*(execution|exact match)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9.]+)\s*$"
-)
-EVAL_BUCKETS = ("easy", "medium", "hard", "extra", "all")
 
 
 def evaluator_printout(summary: DataFrame, run_col: str = "run") -> DataFrame:
@@ -334,7 +338,3 @@ def overlay_metrics(summary: DataFrame, official: DataFrame, run_col: str = "run
     return base.join(off, on=[run_col, "difficulty"], how="left").withColumn(
         "exec_overlay", F.coalesce(F.col("official_exec"), F.col("exec_accuracy"))
     )
-
-
-def clean_prediction(c: str = "predicted_sql") -> Column:
-    return clean_sql(c)

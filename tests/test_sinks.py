@@ -12,7 +12,7 @@ from textsql.operators import evaluate as ev
 from textsql.operators.compare import anchor_run, merge_runs, results_document
 from textsql.operators.datasets import length_filter, read_jsonl, tokenizer_counter
 from textsql.operators.ledger import misses, replay, write_store
-from textsql.operators.traces import write_stats, write_traces
+from textsql.operators.traces import read_ordered_traces, write_ordered_traces, write_stats, write_traces
 from textsql.sources.files import read_outcomes, read_traces, write_outcomes
 
 
@@ -28,6 +28,16 @@ def test_traces_round_trip_and_corrupt_quarantine(spark, tmp_path):
     assert sum(1 for r in rows if r._corrupt_record is not None) == 1
 
 
+def test_ordered_traces_round_trip(spark, tmp_path):
+    rows = [(i, "trams", f'q"{i}\n\u00e9', "", "direct" if i % 2 else "reasoning", f"select {i}", None if i % 2 else "why", "SELECT 2", 3, i % 3 == 0)
+            for i in range(50)]
+    t = spark.createDataFrame(rows, SC.TRACE)
+    for commit in (1, 2):
+        assert write_ordered_traces(t.repartition(5), str(tmp_path / "t"), rows_per_file=8) == commit
+    back = read_ordered_traces(spark, str(tmp_path / "t")).orderBy("line_no").collect()
+    assert [tuple(r) for r in back] == [(i + 1, *r) for i, r in enumerate(rows)]
+
+
 def test_stats_document(spark, tmp_path):
     funnel = spark.createDataFrame([(3, 1, 2)], "examples_seen long, examples_kept long, examples_dropped long")
     reasons = spark.createDataFrame([("no-match", 2)], "drop_reason string, n long")

@@ -266,6 +266,29 @@ def evaluator_gold_lines(examples: DataFrame, order_col: str = "question_id") ->
     )
 
 
+def write_evaluator_files(rows: DataFrame, path: str, rows_per_file: int = 1_000_000) -> int:
+    """A8 both files, line n of one belonging to line n of the other: committed parts in ``question_id`` order
+    (``sources.lines``). ``rows`` has question_id, db_id, predicted_sql and query; a null query or db_id is empty."""
+    from ..sources.lines import write_aligned
+
+    both = rows.select("question_id", F.coalesce("db_id", F.lit("")).alias("db_id"), "predicted_sql",
+                       F.coalesce("query", F.lit("")).alias("query"))
+    lines = evaluator_pred_lines(both.withColumn("__l", F.struct("question_id", "db_id", "query")), "__l")
+    lines = lines.select("__l.*", F.col("line").alias("__pred"))
+    lines = evaluator_gold_lines(lines.withColumn("__l", F.struct("question_id", "__pred")), "__l").select(
+        "__l.question_id", "__l.__pred", F.col("line").alias("__gold"))
+    return write_aligned(lines, ["question_id"], {"pred": F.col("__pred"), "gold": F.col("__gold")}, path, rows_per_file)
+
+
+def read_evaluator_files(spark, path: str) -> DataFrame:
+    """The newest committed pair of A8 files: (line_no, pred_line, gold_sql, db_id)."""
+    from ..sources.lines import read_aligned
+
+    return read_aligned(spark, path, ["pred", "gold"]).select(
+        "line_no", F.col("pred").alias("pred_line"), F.regexp_replace("gold", r"(?s)\t[^\t]*$", "").alias("gold_sql"),
+        F.substring_index("gold", "\t", -1).alias("db_id"))
+
+
 
 
 def evaluator_printout(summary: DataFrame, run_col: str = "run") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import grounded, referenced_tables, stored_sql
+from ..schemas import TRACE
 
 # --- fixed values -----------------------------------------------------------------------------
 DROP_REASONS = (
@@ -159,6 +160,22 @@ def write_traces(traces: DataFrame, path: str, fmt: str = "json") -> None:
     traces.orderBy("question_id").write.mode("overwrite").format(fmt).save(path)
 
 
+def write_ordered_traces(traces: DataFrame, path: str, rows_per_file: int = 1_000_000) -> int:
+    """A5 as committed parts: one JSON line a trace in ``question_id`` order, null fields written out. A retry
+    replaces the traces of the run before it."""
+    from ..sources.lines import write_aligned
+
+    line = F.to_json(F.struct(*[f.name for f in TRACE.fields]), {"ignoreNullFields": "false"})
+    return write_aligned(traces, ["question_id"], {"trace": line}, path, rows_per_file)
+
+
+def read_ordered_traces(spark, path: str) -> DataFrame:
+    """The newest committed traces with their line numbers."""
+    from ..sources.lines import read_aligned
+
+    return read_aligned(spark, path, ["trace"]).select("line_no", F.from_json("trace", TRACE).alias("t")).select("line_no", "t.*")
+
+
 def write_stats(funnel: DataFrame, reasons: DataFrame, cost_usd: Column | float, path: str) -> None:
     """A6 sink: one JSON document with the funnel, the drop-reason map and cost (4 dp).
 

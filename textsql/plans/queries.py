@@ -1333,6 +1333,60 @@ def q_predict_join(spark, sf):
     return j.select("question_id", "has_schema", "predicted_sql").join(lines, "question_id").join(gold, "question_id")
 
 
+@register("evaluator_files", with_views(["v_outcomes"], f"""
+, j AS (SELECT question_id, 'c' || CAST(o_custkey AS VARCHAR) AS db_id, gold_sql AS query, pred_sql AS predicted_sql
+        FROM v_outcomes o JOIN orders ON o_orderkey = question_id WHERE run = 'student')
+SELECT row_number() OVER (ORDER BY question_id) AS line_no,
+       CASE WHEN replace(replace({strip_sql('predicted_sql')}, chr(10), ' '), chr(13), ' ') = '' THEN 'SELECT 1'
+            ELSE replace(replace({strip_sql('predicted_sql')}, chr(10), ' '), chr(13), ' ') END AS pred_line,
+       replace({strip_sql('query')}, chr(10), ' ') AS gold_sql, db_id
+FROM j"""))
+def q_evaluator_files(spark, sf):
+    """Both files written in parts, committed, and paired again by line number."""
+    from ..session import scratch_path
+
+    orders = V.read(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"),
+                                                F.concat(F.lit("c"), _s("o_custkey")).alias("db_id"))
+    rows = V.outcomes(spark, sf).filter(F.col("run") == "student").select(
+        "question_id", F.col("gold_sql").alias("query"), F.col("pred_sql").alias("predicted_sql")).join(orders, "question_id")
+    path = scratch_path(spark, "evaluator-files")
+    ev.write_evaluator_files(rows, path, rows_per_file=20_000)
+    return ev.read_evaluator_files(spark, path)
+
+
+ARRAY_ROWS = 2000
+
+
+@register("example_arrays", f"""
+WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)
+SELECT n // {ARRAY_ROWS} AS part, n % {ARRAY_ROWS} AS question_id, source AS db_id, md5(coalesce(text, '')) AS question_md5,
+       'SELECT "}}{{" FROM t WHERE x = ' || CAST(doc_id AS VARCHAR) AS query
+FROM d""")
+def q_example_arrays(spark, sf):
+    """A3: documents as the questions of JSON arrays, one array a file, read back in splits with their positions."""
+    from ..operators.ranking import exact_rank
+    from ..session import scratch_path
+    from ..sources.catalog import EXAMPLE_SCHEMA
+    from ..sources.lines import array_elements
+
+    docs = exact_rank(V.read(spark, sf, "documents").select("doc_id", "source", "text"), ["doc_id"], "__n").withColumn(
+        "__n", F.col("__n") - 1)
+    parts = docs.select(F.floor(F.col("__n") / ARRAY_ROWS).cast("long").alias("part"), "__n", "doc_id", F.struct(
+        F.struct(F.lit("}").alias("brace"), F.array(F.lit("]")).alias("list")).alias("extra"), F.col("source").alias("db_id"),
+        F.coalesce("text", F.lit("")).alias("question"),
+        F.concat(F.lit('SELECT "}{" FROM t WHERE x = '), _s("doc_id")).alias("query")).alias("__x"))
+    last = docs.agg(F.max("__n")).first()[0]
+    path = scratch_path(spark, "example-arrays")
+    head = F.when(F.col("__n") % ARRAY_ROWS == 0, "[").otherwise(", ")
+    tail = F.when((F.col("__n") % ARRAY_ROWS == ARRAY_ROWS - 1) | (F.col("__n") == F.lit(last)), "]").otherwise("")
+    parts.repartition("part").sortWithinPartitions("part", "__n").select(
+        "part", F.concat(head, F.to_json("__x"), tail).alias("value")).write.partitionBy("part").text(path)
+    rows = array_elements(spark, path).select(
+        F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long").alias("part"), F.col("position").alias("question_id"),
+        F.from_json("element", EXAMPLE_SCHEMA).alias("x"))
+    return rows.select("part", "question_id", "x.db_id", F.md5("x.question").alias("question_md5"), "x.query")
+
+
 @register("predictor_baselines", """
 WITH q AS (SELECT item_id FROM benchmark)
 SELECT 'gold' AS run, count(*) AS n, 1.0 AS exec_accuracy, CAST(0 AS BIGINT) AS n_empty FROM q

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.ddl import cell_text
+from .lines import read_array
 
 RAW_CATALOG_SCHEMA = StructType([
     StructField("db_id", StringType(), False),
@@ -32,8 +33,10 @@ EXAMPLE_SCHEMA = StructType([
 
 
 def read_raw_catalog(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """A1 read side: JSON lines (or one JSON array with ``multiline=True``)."""
-    return spark.read.schema(RAW_CATALOG_SCHEMA).option("multiLine", multiline).json(path)
+    """A1 read side: JSON lines, or one JSON array with ``multiline=True`` (read in splits)."""
+    if multiline:
+        return read_array(spark, path, RAW_CATALOG_SCHEMA)
+    return spark.read.schema(RAW_CATALOG_SCHEMA).json(path)
 
 
 def catalog_tables(raw: DataFrame) -> DataFrame:
@@ -84,13 +87,9 @@ def catalog_fks(raw: DataFrame) -> DataFrame:
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """A3: a JSON array of examples; question_id = position in the array (``posexplode`` of the
-    whole document, which is what keeps positions). For large corpora use JSON lines with an
-    explicit id column instead (A4)."""
-    doc = spark.read.text(path, wholetext=True)
-    arr = F.from_json("value", ArrayType(EXAMPLE_SCHEMA))
-    return doc.select(F.posexplode(arr).alias("question_id", "ex")).select(
-        F.col("question_id").cast("bigint"), "ex.db_id", "ex.question", "ex.query")
+    """A3: a JSON array of examples; question_id = position in the array, whatever the number of tasks
+    that read it."""
+    return read_array(spark, path, EXAMPLE_SCHEMA, "question_id")
 
 
 def sample_rows(table: DataFrame, order_cols, n: int = 3, cell_truncate: int = 40,

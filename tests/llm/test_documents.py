@@ -2,6 +2,7 @@
 
 import bisect
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -286,6 +287,35 @@ def test_mixing_reports_targets_out_of_reach(spark):
     assert np.allclose(gap, best, atol=1e-4)
 
 
+def test_mixing_is_projected_gradient_on_the_rates(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([3, 0.4, 0.3], 400)
+    t = rng.integers(0, 300, 400)
+    soft = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(t, p))],
+                                 "doc_id long, tokens long, p_clean double, p_low double, p_toxic double")
+    soft = mixing.materialise(soft.coalesce(1), "soft")
+    for targets, top in (((0.8, 0.12, 0.08), None), ((0.72, 0.18, 0.1), 1.5), ((0.85, None, 0.06), 3.0)):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", mixing.TargetsMissed)
+            got = soft.withColumn("rate", mixing._rate(mixing.solve_rates(soft, targets, max_rate=top))).orderBy("doc_id").toPandas().rate.to_numpy()
+        # the same steps on a vector of all rates, with the step size found by the power method
+        on = np.array([x is not None for x in targets])
+        goal = mixing.GROWTH * np.array([x or 0 for x in targets])
+        a = p * t[:, None] / t.sum()
+        scale = (p**2 * on / (a * p).sum(0)).sum(1)
+        v = np.ones(3)
+        for _ in range(2000):
+            v = on * (a.T @ (scale * (p @ (on * v))))
+            top_value, v = np.linalg.norm(v), v / np.linalg.norm(v)
+        r, last = np.ones(400), None
+        for _ in range(mixing.STEPS):
+            gap = on * (a.T @ r - goal)
+            if np.abs(gap).max() < 1e-4 or (last is not None and np.abs(gap - last).max() < 1e-6):
+                break
+            r, last = np.clip(r - scale * (p @ gap) / top_value, 0, top), gap
+        assert np.allclose(got, r, atol=1e-6) and got.min() >= 0 and (top is None or got.max() <= top)
+
+
 def test_empty_tables(spark, awkward):
     none = awkward.limit(0)
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")

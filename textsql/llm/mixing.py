@@ -2,12 +2,16 @@
 
 A softmax classifier over hashed words, fitted on a bounded sample of the labelled rows
 (``SAMPLE`` documents by smallest id hash, the documented bound), gives every document its domain
-posteriors. Nonnegative document rates r then bring sum_i r_i t_i p_i to the targets as close to 1 as
-possible: r_i = max(0, 1 + dual . p_i) with one dual number per domain, found by Newton steps that are
-one aggregation each and end at the tolerance. Rates have no upper bound, so a rare domain is repeated as
-often as its target asks. Targets that no rates can meet (a domain of which no document is sure enough) are
-met as nearly as possible and the gap left is warned of. Copies are floor(rate + u) with u uniform from the
-id's hash, so expected totals match the targets.
+posteriors. Nonnegative document rates r are then fitted by projected-gradient least squares on
+|sum_i r_i t_i p_i / T - goal|^2: every rate starts at 1 and a step is r_i = max(0, r_i - step * s_i * gap . p_i),
+with one aggregation of the domain totals a step. s_i = sum_k p_ik^2 / sum_j t_j p_jk^2 is a fixed scale of the
+document's own, so that a document of a rare domain moves as fast as its domain needs; a positive scale by row
+leaves the projection and the minimum as they are. The step is the inverse of the largest eigenvalue of the
+scaled domain matrix, so the objective falls in every step; every ``WRITE_EVERY`` steps the rates are written.
+Targets that no rates can meet (a domain of which no document is sure enough) are approached for ``STEPS`` steps
+and the gap left is warned of. ``max_rate`` bounds the rates where it is given (projection on [0, max_rate]); without it a rare
+domain is repeated as often as its target asks. A target of None leaves its domain free. Copies are
+floor(rate + u) with u uniform from the id's hash, so expected totals match the targets.
 
 Domains from the labels table: clean (quality 1, not toxic), low (quality 0, not toxic), toxic.
 Defined cases: null or empty text has no tokens, its prior as posterior and rate as others; rows
@@ -21,7 +25,8 @@ from __future__ import annotations
 import re
 import warnings
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,7 +38,7 @@ from .common import materialise
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = (0.90, 0.08, 0.02)
 SAMPLE, BUCKETS, GROWTH = 4000, 4096, 1.05
-RIDGES, NEWTON = tuple(10.0**-i for i in range(2, 11, 2)), 60
+STEPS, WRITE_EVERY = 150, 10  # gradient steps at most; steps after which the rates are written
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STRIP = ".,;:!?()[]\"'"
 _N_SHAPE = 4
@@ -116,81 +121,93 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text").mapInPandas(score, schema)
 
 
-def _rate(dual: Sequence[float]):
-    """Rate max(0, 1 + dual . p): of all rates with the same domain totals, the closest to 1."""
-    return F.greatest(F.lit(0.0), sum((F.lit(float(v)) * F.col(f"p_{d}") for v, d in zip(dual, DOMAINS)), F.lit(1.0)))
+class Rates(NamedTuple):
+    """The fitted rates: what a document's posteriors are worth, step by step."""
+    weights: tuple[float, ...]  # s_i = sum_k weights_k p_ik^2
+    gradients: tuple[tuple[float, ...], ...]  # step * gap of every step taken
+    max_rate: float | None = None
 
 
-def solve_rates(soft: DataFrame, targets=TARGETS, growth: float = GROWTH, tolerance: float = 1e-4) -> list[float]:
-    """The dual vector of the rates (one number per domain); ``soft`` must be a written table.
-
-    Minimises sum_i t_i r_i^2 / 2T - dual . goal + ridge |dual|^2 / 2, r_i = max(0, 1 + dual . p_i), by Newton
-    steps with backtracking, one aggregation each. The gradient is the gap to the goal plus ridge . dual, so
-    the gap vanishes with the ridge where rates can meet the goal at all, and otherwise ends at the smallest
-    gap that rates can reach; that one is warned of (``TargetsMissed``)."""
-    k = len(DOMAINS)
-    goal = growth * np.array(targets, dtype=float)
+def _rate(rates: Rates, start=None, done: int = 0):
+    """A row's rate: from 1 (or from ``start``, the rate after ``done`` steps) through its steps, each projected on
+    the rates that are allowed. The steps are one literal that is folded, so the expression keeps its size."""
+    start = F.lit(1.0) if start is None else start
+    steps = rates.gradients[done:]
+    if not steps:
+        return start
     p = [F.col(f"p_{d}") for d in DOMAINS]
+    scale = sum((F.lit(w) * x * x for w, x in zip(rates.weights, p)), F.lit(0.0))
+
+    def move(rate, g):
+        at = F.greatest(F.lit(0.0), rate - scale * sum((g[i] * x for i, x in enumerate(p)), F.lit(0.0)))
+        return at if rates.max_rate is None else F.least(F.lit(float(rates.max_rate)), at)
 
-    def look(dual):
-        """Sum of t, of t r^2, of t r p, and of t p p' where r > 0, the last three by token."""
-        r, t = F.col("_r"), F.col("tokens")
-        row = soft.withColumn("_r", _rate(dual)).agg(
-            F.sum(t), F.sum(t * r * r), *[F.sum(t * r * p[i]) for i in range(k)],
-            *[F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]).first()
-        total = float(row[0] or 0)
-        if not total:
-            return None
-        v = np.array(row[1:], dtype=float) / total
-        gram = np.zeros((k, k))
-        gram[np.triu_indices(k)] = v[1 + k:]
-        return v[0], v[1:1 + k] - goal, gram + np.triu(gram, 1).T
-
-    dual = np.zeros(k)
-    seen = look(dual)
-    if seen is None:
-        return dual.tolist()
-    for ridge in RIDGES:
-        for _ in range(NEWTON):
-            square, gap, gram = seen
-            slope = gap + ridge * dual
-            if np.abs(gap).max() < tolerance or np.abs(slope).max() < tolerance / 100:
-                break
-            value = square / 2 - dual @ goal + ridge * dual @ dual / 2
-            step = -np.linalg.solve(gram + ridge * np.eye(k), slope)
-            size = 1.0
-            while size > 1e-6:
-                trial = dual + size * step
-                at = look(trial)
-                if at[0] / 2 - trial @ goal + ridge * trial @ trial / 2 <= value + 1e-4 * size * (slope @ step):
-                    break
-                size /= 2
-            else:
-                break
-            dual, seen = trial, at
-        if np.abs(seen[1]).max() < tolerance:
-            return dual.tolist()
+    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), start, move)
+
+
+def solve_rates(soft: DataFrame, targets=TARGETS, growth: float = GROWTH, tolerance: float = 1e-4,
+                max_rate: float | None = None) -> Rates:
+    """The rates' steps; ``soft`` must be a written table. Ends when every gap is below ``tolerance`` (a share of
+    the tokens), or when a step moves no total by a hundredth of it or ``STEPS`` are taken (``TargetsMissed``)."""
+    if max_rate is not None and max_rate < 1:
+        raise ValueError("max_rate must be at least 1, where the rates start")
+    k = len(DOMAINS)
+    free = np.array([t is None for t in targets])
+    goal = growth * np.array([t or 0.0 for t in targets])
+    p, t = [F.col(f"p_{d}") for d in DOMAINS], F.col("tokens")
+    first = soft.agg(F.sum(t), *[F.sum(t * x * x) for x in p]).first()
+    total = float(first[0] or 0)
+    if not total:
+        return Rates((0.0,) * k, (), max_rate)
+    square = np.array(first[1:], dtype=float) / total
+    weights = tuple(float(1 / q) if q > 0 and not f else 0.0 for q, f in zip(square, free))
+    scale = sum((F.lit(w) * x * x for w, x in zip(weights, p)), F.lit(0.0))
+    upper = soft.withColumn("_s", scale).agg(*[F.sum(F.col("_s") * t * p[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
+    gram = np.zeros((k, k))
+    gram[np.triu_indices(k)] = np.array(upper, dtype=float) / total
+    gram = gram + np.triu(gram, 1).T
+    gram[free, :] = gram[:, free] = 0.0
+    top = float(np.linalg.eigvalsh(gram)[-1])
+    step = 1 / top if top > 0 else 0.0
+
+    rates, last, done = Rates(weights, (), max_rate), None, 0
+    state = soft.select("tokens", *p, F.lit(1.0).alias("_r"))
+    while True:
+        if len(rates.gradients) - done == WRITE_EVERY:
+            state = materialise(state.withColumn("_r", _rate(rates, F.col("_r"), done)), "rates")
+            done = len(rates.gradients)
+        share = np.array(state.withColumn("_r", _rate(rates, F.col("_r"), done)).agg(
+            *[F.sum(F.col("_r") * t * x) for x in p]).first(), dtype=float) / total
+        gap = np.where(free, 0.0, share - goal)
+        if np.abs(gap).max() < tolerance:
+            return rates
+        if len(rates.gradients) == STEPS or (last is not None and np.abs(gap - last).max() < tolerance / 100):
+            break
+        last = gap
+        rates = rates._replace(gradients=(*rates.gradients, tuple(float(step * g) for g in gap)))
     warnings.warn(TargetsMissed("token shares by document token that rates leave over (+) or short (-) of the goal: " + ", ".join(
-        f"{d} {g:+.6f} of {x:.6f}" for d, g, x in zip(DOMAINS, seen[1], goal))), stacklevel=2)
-    return dual.tolist()
+        f"{d} {g:+.6f} of {x:.6f}" for d, g, x, f in zip(DOMAINS, gap, goal, free) if not f)), stacklevel=2)
+    return rates
 
 
-def _rates(docs: DataFrame, labels: DataFrame, targets, sample: int) -> DataFrame:
+def _rates(docs: DataFrame, labels: DataFrame, targets, sample: int, max_rate: float | None) -> DataFrame:
     model = Softmax(*labelled_sample(docs, labels, sample))
     soft = materialise(posteriors(docs, model), "soft")
-    dual = solve_rates(soft, targets)
+    rates = solve_rates(soft, targets, max_rate=max_rate)
     u = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return soft.withColumn("rate", _rate(dual)).withColumn("n_copies", F.floor(F.col("rate") + u).cast("long"))
+    return soft.withColumn("rate", _rate(rates)).withColumn("n_copies", F.floor(F.col("rate") + u).cast("long"))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE,
+                 max_rate: float | None = None) -> DataFrame:
     """doc_id, tokens, posteriors, rate, n_copies."""
-    return _rates(docs, labels, targets, sample).drop("_row")
+    return _rates(docs, labels, targets, sample, max_rate).drop("_row")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, sample: int = SAMPLE,
+        max_rate: float | None = None) -> DataFrame:
     """The rows, each repeated n_copies times by its own text's rate; columns as they came."""
-    rates = _rates(docs, labels, targets, sample).where("n_copies > 0").select(
+    rates = _rates(docs, labels, targets, sample, max_rate).where("n_copies > 0").select(
         F.col("_row").alias("_key"), F.col("n_copies").alias("_copies")).dropDuplicates(["_key"])
     row = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64("doc_id", "text").alias("_key"))
     joined = row.join(rates, "_key").select("_all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))

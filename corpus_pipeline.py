@@ -8,6 +8,13 @@ from textsql.llm import minhash, mixing, packing, pii, quality
 from textsql.llm.common import materialise, table
 
 
+# The first stage rejects documents of low quality, so that domain has no target here: the others keep their
+# proportion, and no document is repeated more than MAX_RATE times.
+TARGETS_LEFT = tuple(None if d == "low" else t / (1 - mixing.TARGETS[mixing.DOMAINS.index("low")])
+                     for d, t in zip(mixing.DOMAINS, mixing.TARGETS))
+MAX_RATE = 8.0
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs)
 
@@ -21,7 +28,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), targets=TARGETS_LEFT, max_rate=MAX_RATE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 (J6) and the budgeted table choice (W3).
 
 A "database" is a group of "tables" (documents), each with a text: a few dozen tables a database, in
-the scaled fixture a block of documents of one source. Scoring is a join of exploded postings, ranking is a
+the scaled fixture all documents of one source. Scoring is a join of exploded postings, ranking is a
 group-limited window (Spark inserts a partial top-k before the shuffle), and the closure folds a
 database's FK list, which its catalog row holds as one array anyway, over a question's few seeds.
 """

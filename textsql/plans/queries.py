@@ -335,12 +335,12 @@ def _bm25_sql_ctes() -> str:
   GROUP BY ALL)"""
 
 
-@register("bm25_scores", with_views(["v_corpus", "v_questions"], _bm25_sql_ctes() + """
+@register("bm25_scores", with_views(["v_corpus", "v_source_questions"], _bm25_sql_ctes() + """
 SELECT question_id, db_id, table_index, round(score, 6) AS score FROM scores"""))
 def q_bm25_scores(spark, sf):
     from ..operators.linking import bm25_scores
 
-    s = bm25_scores(V.corpus(spark, sf), V.questions(spark, sf))
+    s = bm25_scores(V.corpus(spark, sf), V.source_questions(spark, sf))
     return s.select("question_id", "db_id", "table_index", F.round("score", 6).alias("score"))
 
 
@@ -356,18 +356,18 @@ def _topk_sql(k: int) -> str:
              FROM cand)"""
 
 
-@register("bm25_topk", with_views(["v_corpus", "v_questions"], _bm25_sql_ctes() + _topk_sql(2) + """
+@register("bm25_topk", with_views(["v_corpus", "v_source_questions"], _bm25_sql_ctes() + _topk_sql(2) + """
 SELECT question_id, db_id, table_index, round(score, 6) AS score, rank FROM ranked WHERE rank <= 2"""))
 def q_bm25_topk(spark, sf):
     from ..operators.linking import bm25_scores, top_tables
 
-    c, q = V.corpus(spark, sf), V.questions(spark, sf)
+    c, q = V.corpus(spark, sf), V.source_questions(spark, sf)
     t = top_tables(bm25_scores(c, q), c, q, k=2)
     return t.select("question_id", "db_id", "table_index", F.round("score", 6).alias("score"),
                     F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("schema_prune", with_views(["v_corpus", "v_questions", "v_fk_edges"], _bm25_sql_ctes() + _topk_sql(2) + """
+@register("schema_prune", with_views(["v_corpus", "v_source_questions", "v_fk_edges"], _bm25_sql_ctes() + _topk_sql(2) + """
 , sizes AS (SELECT db_id, sum(length(text)) + 2 * (count(*) - 1) AS full_chars FROM v_corpus GROUP BY db_id)
 , seeds AS (SELECT question_id, db_id, list(table_index) AS seed FROM ranked WHERE rank <= 2 GROUP BY ALL)
 , fks AS (SELECT db_id, list(struct_pack(f := from_table, t := to_table) ORDER BY pos) AS fks
@@ -388,7 +388,7 @@ SELECT question_id, db_id, table_index FROM over_budget UNION ALL SELECT * FROM
 def q_schema_prune(spark, sf):
     from ..operators.linking import prune_schema
 
-    return prune_schema(V.corpus(spark, sf), V.questions(spark, sf), V.fk_edges(spark, sf))
+    return prune_schema(V.corpus(spark, sf), V.source_questions(spark, sf), V.fk_edges(spark, sf))
 
 
 # ==============================================================================================

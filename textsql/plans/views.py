@@ -7,7 +7,7 @@ and casts so both engines build identical rows. DuckDB text is used by ``oracle_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import classify_failure
@@ -471,21 +471,12 @@ v_cand_questions AS (
 # questions, BM25 corpus, FK edges
 # ----------------------------------------------------------------------------------------------
 
-# A database is a block of documents of one source: blocks of 400 ids hold about twenty tables, those of the
-# first five sources one or two, so that databases stay small and their number grows with the data.
+# The databases that ``questions`` names: blocks of 400 ids of one source, of 20 ids for the first five sources.
+# The linking queries rank all documents of a source (``source_questions``, ``corpus``).
 def _block_width(n: str) -> str:
     return f"CASE WHEN {n} < 5 THEN 20 ELSE 400 END"
 
 
-_SOURCE_NO = "CAST(substr(source, 4) AS INT)"
-
-
-def _doc_db(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    block = F.floor(F.col("doc_id") / F.expr(_block_width(_SOURCE_NO))).cast("string")
-    return d.withColumn("db_id", F.concat("source", F.lit("_"), block))
-
-
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items, each asked of one database: source by item, block by item."""
     last = read(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0  # one number
@@ -510,41 +501,49 @@ v_questions AS (
 )"""
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 documents: database = block of a source, table = document (index = doc_id), text = document text."""
-    return _doc_db(spark, sf_dir).select("db_id", F.col("doc_id").alias("table_index"), "text")
+def source_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items, each asked of all documents of one source."""
+    b = read(spark, sf_dir, "benchmark")
+    return b.select(
+        F.col("item_id").alias("question_id"),
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("db_id"),
+        F.col("text").alias("question"),
+        F.concat(F.lit("SELECT count(*) FROM documents WHERE doc_id = "), _s("item_id")).alias("query"),
+    )
 
 
-CORPUS_SQL = f"""
-v_corpus AS (
-  SELECT source || '_' || CAST(doc_id // {_block_width(_SOURCE_NO)} AS VARCHAR) AS db_id, doc_id AS table_index, text
-  FROM documents
+SOURCE_QUESTIONS_SQL = """
+v_questions AS (
+  SELECT item_id AS question_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS db_id, text AS question,
+         'SELECT count(*) FROM documents WHERE doc_id = ' || CAST(item_id AS VARCHAR) AS query
+  FROM benchmark
 )"""
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 documents: database = source, table = document (index = doc_id), text = document text."""
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("db_id"), F.col("doc_id").alias("table_index"), "text")
+
+
+CORPUS_SQL = """
+v_corpus AS (SELECT source AS db_id, doc_id AS table_index, text FROM documents)"""
+
+
 def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document but the first of its database refers to the one before it, and every third to the
-    first; FK list order = from doc_id, chain before star."""
-    d = _doc_db(spark, sf_dir).select("db_id", "doc_id")
-    w = Window.partitionBy("db_id").orderBy("doc_id")
-    chain = d.select("db_id", F.col("doc_id").alias("from_table"), F.lag("doc_id").over(w).alias("to_table"),
-                     F.first("doc_id").over(w).alias("first"))
-    edges = F.array(F.struct((F.col("from_table") * 2).alias("pos"), F.col("to_table").alias("to")),
-                    F.struct((F.col("from_table") * 2 + 1).alias("pos"), F.when(F.col("from_table") % 3 == 0, F.col("first")).alias("to")))
-    return chain.where("to_table IS NOT NULL").select("db_id", "from_table", F.explode(edges).alias("e")).where(
-        "e.to IS NOT NULL").select("db_id", "e.pos", "from_table", F.col("e.to").alias("to_table"))
+    """Edge ``doc -> doc // 2`` when both are in the same source; FK list order = from doc_id."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source")
+    parent = d.select(F.col("doc_id").alias("to_table"), F.col("source").alias("db_id"))
+    child = d.select(F.col("doc_id").alias("from_table"), F.col("source").alias("db_id"),
+                     F.floor(F.col("doc_id") / 2).cast("bigint").alias("to_table"))
+    e = child.join(parent, on=["db_id", "to_table"], how="inner")
+    return e.select("db_id", F.col("from_table").alias("pos"), "from_table", "to_table")
 
 
 FK_EDGES_SQL = """
 v_fk_edges AS (
-  SELECT db_id, pos, from_table, to_table FROM (
-    SELECT db_id, table_index * 2 AS pos, table_index AS from_table,
-           lag(table_index) OVER (PARTITION BY db_id ORDER BY table_index) AS to_table FROM v_corpus
-    UNION ALL
-    SELECT db_id, table_index * 2 + 1, table_index,
-           CASE WHEN table_index % 3 = 0 AND table_index <> min(table_index) OVER (PARTITION BY db_id)
-                THEN min(table_index) OVER (PARTITION BY db_id) END FROM v_corpus)
-  WHERE to_table IS NOT NULL
+  SELECT c.source AS db_id, c.doc_id AS pos, c.doc_id AS from_table, p.doc_id AS to_table
+  FROM documents c JOIN documents p ON p.source = c.source AND p.doc_id = c.doc_id // 2
 )"""
 
 
@@ -581,6 +580,7 @@ VIEW_SQL = {
     "v_completions": COMPLETIONS_SQL,
     "v_candidates": CANDIDATES_SQL,
     "v_questions": QUESTIONS_SQL,
+    "v_source_questions": SOURCE_QUESTIONS_SQL,  # also named v_questions in its query
     "v_corpus": CORPUS_SQL,
     "v_fk_edges": FK_EDGES_SQL,
     "v_calls": CALLS_SQL,

@@ -188,12 +188,15 @@ def q_statement_fingerprint(spark, sf):
                     (F.col("gold_fp") == F.col("pred_fp")).alias("same_statement"))
 
 
+_FOLD_ROWS = 50_000  # pairs of a task that reads statements token by token
+
+
 @register("referenced_tables", with_views(["v_sql_pairs"], f"""
 {_PAIR_KEYS}
 SELECT question_id, {V.by_template_sql([g for g, _ in V.PAIR_TABLES])} AS gold_tables,
        {V.by_template_sql([p for _, p in V.PAIR_TABLES])} AS pred_tables FROM o"""))
 def q_referenced_tables(spark, sf):
-    p = V.sql_pairs(spark, sf)
+    p = V.sql_pairs(spark, sf, rows_per_task=_FOLD_ROWS)
     return p.select("question_id", F.array_join(st.referenced_tables("gold_sql"), ",").alias("gold_tables"),
                     F.array_join(st.referenced_tables("pred_sql"), ",").alias("pred_tables"))
 
@@ -206,7 +209,7 @@ _TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "l
 , r AS (SELECT question_id, list_filter(string_split({V.by_template_sql([p for _, p in V.PAIR_TABLES])}, ','), lambda x: x <> '') AS refs FROM o)
 SELECT question_id, len(refs) = 0 OR len(list_intersect(refs, {list(_TPCH_TABLES)})) > 0 AS grounded FROM r"""))
 def q_grounding(spark, sf):
-    p = V.sql_pairs(spark, sf)
+    p = V.sql_pairs(spark, sf, rows_per_task=_FOLD_ROWS)
     tables = F.array(*[F.lit(t) for t in _TPCH_TABLES])
     return p.select("question_id", st.grounded(st.referenced_tables("pred_sql"), tables).alias("grounded"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import classify_failure
-from ..session import spread
+from ..session import spread, spread_rows
 
 
 # Tables large enough that a scan with fewer splits than cores should be spread (see ``spread``).
@@ -336,8 +336,11 @@ def _pair_part_sql(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-def sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sql_pairs(spark: SparkSession, sf_dir: str, rows_per_task: int | None = None) -> DataFrame:
+    """``rows_per_task`` bounds a task's rows for queries that work long on each pair."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    if rows_per_task:
+        o = spread_rows(o, rows_per_task)
     t = F.col("o_orderkey") % len(PAIR_TEMPLATES)
     gold = pred = fail = None
     for i, (g, p, f) in enumerate(PAIR_TEMPLATES):

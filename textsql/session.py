@@ -81,6 +81,13 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     return df
 
 
+def spread_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Tasks of at most about ``rows`` rows for long per-row work, so that the longest task does not grow with
+    the input. ``df`` should be narrow and cheap to count (a scan: from the file footers)."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = 100_000, row_bytes: int = 64,
                     max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Broadcast ``df`` only after a count proves it small (rows, and rows x estimated width

@@ -963,14 +963,14 @@ def q_scaling_axis(spark, sf):
 # ==============================================================================================
 
 def _raw_catalog_roundtrip(spark, sf):
-    """A1 read path: the catalog is written as JSON lines to the shared scratch folder and read
+    """A1 read path: the catalog is written as compressed JSON lines to the shared scratch folder and read
     back with the explicit catalog schema."""
-    from ..session import scratch_path
+    from ..session import scratch_path, spread
     from ..sources.catalog import read_raw_catalog
 
     path = scratch_path(spark, "catalog")
-    V.raw_catalog(spark, sf).write.mode("overwrite").json(path)
-    return read_raw_catalog(spark, path)
+    V.raw_catalog(spark, sf).write.mode("overwrite").json(path, compression="gzip")
+    return spread(read_raw_catalog(spark, path))  # a compressed file is one split
 
 
 def _qi_sql(n: str) -> str:
@@ -1019,21 +1019,12 @@ FROM v_cat_flat""")
 @register("table_ddl", _ddl_sql())
 def q_table_ddl(spark, sf):
     from ..functions.ddl import column_line, create_table, fk_line
-    from ..sources.catalog import catalog_columns, catalog_fks
-
-    raw = _raw_catalog_roundtrip(spark, sf)
-    cols = catalog_columns(raw)
-    per_t = cols.groupBy("db_id", "table_index").agg(
-        F.first("table_name").alias("table_name"),
-        F.array_sort(F.collect_list(F.struct("flat_index", column_line("column_name", "column_type", "is_primary")
-                                             .alias("line")))).alias("cl"))
-    fks = catalog_fks(raw).groupBy("db_id", F.col("from_table").alias("table_index")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", fk_line(F.col("from_column"), F.col("to_table_name"),
-                                                            F.col("to_column")).alias("line")))).alias("fl"))
-    t = per_t.join(fks, on=["db_id", "table_index"], how="left")
-    ddl = create_table("table_name", F.transform("cl", lambda x: x["line"]),
-                       F.transform(F.coalesce("fl", F.array().cast("array<struct<pos:bigint,line:string>>")),
-                                   lambda x: x["line"]))
+    from ..sources.catalog import catalog_table_lists
+
+    t = catalog_table_lists(_raw_catalog_roundtrip(spark, sf)).where(F.size("columns") > 0)
+    ddl = create_table("table_name",
+                       F.transform("columns", lambda c: column_line(c["column_name"], c["column_type"], c["is_primary"])),
+                       F.transform("fks", lambda f: fk_line(f["from_column"], f["to_table_name"], f["to_column"])))
     return t.select("db_id", "table_index", ddl.alias("ddl"))
 
 

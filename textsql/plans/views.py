@@ -607,17 +607,24 @@ def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentinel and must be dropped by the reader. An order has a handful of lines, so a database
     row is small by construction."""
     li = read(spark, sf_dir, "lineitem")
-    ln = F.col("l_linenumber")
-    tname = (F.when(ln % 3 == 0, F.concat(F.lit("line "), _s(ln)))
-             .when(ln % 3 == 1, F.concat(F.lit("line_"), _s(ln), F.lit("_"), _s("l_partkey")))
-             .otherwise(F.concat(F.lit('l"'), _s("l_suppkey"))))
-    c1 = F.when(ln == 3, F.concat(F.lit("3rd supp "), _s("l_suppkey"))).otherwise(F.concat(F.lit("supp_"), _s("l_suppkey")))
-    ty2 = F.when(F.col("l_returnflag") == "A", "text").when(F.col("l_returnflag") == "N", "").otherwise("varchar(1)")
-    t = li.select("l_orderkey", F.struct(ln.alias("a"), F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c"),
+    # only what the names are made of is shuffled; ``ty`` is the type's rank in text order, so ties sort as by its text
+    ty = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 0).otherwise(2)
+    t = li.select("l_orderkey", F.struct(F.col("l_linenumber").alias("a"), F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c"),
                                          F.col("l_extendedprice").alias("d"), F.col("l_shipdate").alias("e"),
-                                         tname.alias("tname"), F.concat(F.lit("part_"), _s("l_partkey")).alias("c0"),
-                                         c1.alias("c1"), ty2.alias("ty2")).alias("t"))
-    g = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("t")).alias("tabs"))
+                                         ty.cast("byte").alias("ty")).alias("t"))
+    g = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("t")).alias("lines"))
+
+    def names(x):
+        ln, part, supp = x["a"], x["b"].cast("string"), x["c"].cast("string")
+        return F.struct(
+            F.when(ln % 3 == 0, F.concat(F.lit("line "), ln.cast("string")))
+            .when(ln % 3 == 1, F.concat(F.lit("line_"), ln.cast("string"), F.lit("_"), part))
+            .otherwise(F.concat(F.lit('l"'), supp)).alias("tname"),
+            F.concat(F.lit("part_"), part).alias("c0"),
+            F.when(ln == 3, F.concat(F.lit("3rd supp "), supp)).otherwise(F.concat(F.lit("supp_"), supp)).alias("c1"),
+            F.when(x["ty"] == 1, "text").when(x["ty"] == 0, "").otherwise("varchar(1)").alias("ty2"))
+
+    g = g.select("l_orderkey", F.transform("lines", names).alias("tabs"))
     n = F.size("tabs")
     cols = F.flatten(F.transform("tabs", lambda x, i: F.array(
         F.array(i.cast("string"), x["c0"]), F.array(i.cast("string"), x["c1"]), F.array(i.cast("string"), F.lit("flag")))))

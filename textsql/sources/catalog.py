@@ -8,7 +8,7 @@ explicit schema and exploded with positions; nothing is parsed on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -44,46 +44,66 @@ def catalog_tables(raw: DataFrame) -> DataFrame:
     return raw.select("db_id", F.posexplode("table_names_original").alias("table_index", "table_name"))
 
 
+def _fields(**values: Column) -> Column:
+    return F.named_struct(*[x for name, value in values.items() for x in (F.lit(name), value)])
+
+
+def column_list() -> Column:
+    """A catalog row's real columns in list order, resolved by array indexing in the row."""
+    pairs, names, types = F.col("column_names_original"), F.col("table_names_original"), F.col("column_types")
+    real = F.filter(F.transform(pairs, lambda p, i: _fields(t=p[0].cast("int"), i=i, name=p[1])),
+                    lambda c: c["t"] != -1)
+    columns = F.transform(real, lambda c: _fields(
+        table_index=c["t"],
+        table_name=F.element_at(names, c["t"] + 1),
+        flat_index=c["i"].cast("bigint"),
+        column_name=c["name"],
+        column_type=F.element_at(types, c["i"] + 1),
+        is_primary=F.coalesce(F.array_contains("primary_keys", c["i"].cast("bigint")), F.lit(False))))
+    return F.when(F.size(pairs) != F.size(types),
+                  F.raise_error(F.concat(F.lit("catalog lists differ in length for "), F.col("db_id")))).otherwise(columns)
+
+
 def catalog_columns(raw: DataFrame) -> DataFrame:
     """A1: one row per real column: (db_id, table_index, table_name, flat_index, column_name,
     column_type, is_primary). Unequal pair/type list lengths fail the job. ``catalog_tables`` lists the
     tables themselves, those without columns too."""
-    checked = raw.withColumn(
-        "__ok",
-        F.when(F.size("column_names_original") != F.size("column_types"),
-               F.raise_error(F.concat(F.lit("catalog lists differ in length for "), F.col("db_id"))))
-        .otherwise(F.lit(True)),
-    ).filter(F.col("__ok").isNull() | F.col("__ok"))
-    ex = checked.select(
-        "db_id", "table_names_original", "column_types", "primary_keys",
-        F.posexplode("column_names_original").alias("flat_index", "pair"),
-    )
-    t = F.col("pair")[0].cast("int")
-    return ex.filter(t != -1).select(
-        "db_id",
-        t.alias("table_index"),
-        F.element_at("table_names_original", t + 1).alias("table_name"),
-        F.col("flat_index").cast("bigint").alias("flat_index"),
-        F.col("pair")[1].alias("column_name"),
-        F.element_at("column_types", F.col("flat_index") + 1).alias("column_type"),
-        F.coalesce(F.array_contains("primary_keys", F.col("flat_index").cast("bigint")), F.lit(False)).alias("is_primary"),
-    )
+    return raw.select("db_id", F.inline(column_list()))
+
+
+def fk_list() -> Column:
+    """A catalog row's FK pairs resolved to tables and columns, in list order without those that touch the sentinel."""
+    pairs, names = F.col("column_names_original"), F.col("table_names_original")
+
+    def ends(fk, pos):
+        src, dst = F.element_at(pairs, fk[0].cast("int") + 1), F.element_at(pairs, fk[1].cast("int") + 1)
+        return _fields(pos=pos.cast("bigint"), from_table=src[0].cast("int"), from_column=src[1],
+                       to_table=dst[0].cast("int"), to_column=dst[1])
+
+    real = F.filter(F.transform("foreign_keys", ends), lambda f: (f["from_table"] != -1) & (f["to_table"] != -1))
+    return F.transform(real, lambda f: _fields(
+        pos=f["pos"], from_table=f["from_table"], from_column=f["from_column"], to_table=f["to_table"],
+        to_column=f["to_column"], to_table_name=F.element_at(names, f["to_table"] + 1)))
 
 
 def catalog_fks(raw: DataFrame) -> DataFrame:
     """A2: FK flat-index pairs resolved to (table, column) names, list order kept in ``pos``;
     pairs touching the sentinel are dropped. Resolution is array indexing in the same row."""
-    ex = raw.select("db_id", "table_names_original", "column_names_original",
-                    F.posexplode("foreign_keys").alias("pos", "fk"))
-    src = F.element_at("column_names_original", F.col("fk")[0].cast("int") + 1)
-    dst = F.element_at("column_names_original", F.col("fk")[1].cast("int") + 1)
-    out = ex.select("db_id", F.col("pos").cast("bigint").alias("pos"),
-                    src[0].cast("int").alias("from_table"), src[1].alias("from_column"),
-                    dst[0].cast("int").alias("to_table"), dst[1].alias("to_column"),
-                    "table_names_original")
-    out = out.filter((F.col("from_table") != -1) & (F.col("to_table") != -1))
-    return out.withColumn("to_table_name", F.element_at("table_names_original", F.col("to_table") + 1)).drop(
-        "table_names_original")
+    return raw.select("db_id", F.inline(fk_list()))
+
+
+def catalog_table_lists(raw: DataFrame) -> DataFrame:
+    """A1 and A2 by table: (db_id, table_index, table_name, columns, fks), the rows of ``catalog_columns`` and
+    ``catalog_fks`` as arrays in list order. A catalog row holds all of its database, so nothing is
+    shuffled. A null db_id names no database whose keys could be followed."""
+    lists = raw.select("db_id", "table_names_original", column_list().alias("__cols"),
+                       F.when(F.col("db_id").isNotNull(), fk_list()).alias("__fks"))
+    none = {c: F.array().cast(lists.schema[c].dataType) for c in ("__cols", "__fks")}
+    t = lists.select("db_id", F.posexplode("table_names_original").alias("table_index", "table_name"), "__cols", "__fks")
+    at = F.col("table_index")
+    return t.select("db_id", "table_index", "table_name",
+                    F.coalesce(F.filter("__cols", lambda c: c["table_index"] == at), none["__cols"]).alias("columns"),
+                    F.coalesce(F.filter("__fks", lambda f: f["from_table"] == at), none["__fks"]).alias("fks"))
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +147,7 @@ def corpus_check(examples: DataFrame, schemas: DataFrame, data_dbs: DataFrame) -
 
 
 __all__ = [
-    "RAW_CATALOG_SCHEMA", "read_raw_catalog", "catalog_columns", "catalog_fks", "catalog_tables", "read_examples",
+    "RAW_CATALOG_SCHEMA", "read_raw_catalog", "catalog_columns", "catalog_fks", "catalog_tables", "catalog_table_lists", "read_examples",
     "sample_rows", "corpus_check", "IntegerType",
 ]
 

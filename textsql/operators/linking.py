@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, maybe_broadcast, spread
+from ..session import maybe_broadcast, spread, stored
 from ..functions.text import col_
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -108,8 +108,8 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = BM25_K1, b:
     agg = marked.groupBy("db_id", "table_index", "mterm").agg(F.count("term").alias("tf"))
     # Small (one row per document plus its vocabulary hits) and read by three branches whose
     # pushed-down filters differ, so Spark cannot reuse the shuffle: materialise it once in the
-    # shared checkpoint folder -- the text is read and tokenised exactly once.
-    agg = cut_lineage(agg)
+    # shared folder -- the text is read and tokenised exactly once.
+    agg = stored(agg, "terms")
     dl = agg.groupBy("db_id", "table_index").agg(F.sum("tf").alias("dl"))
     # Per-database statistics include documents with zero tokens.
     stats = dl.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ddl import column_line, create_table, fk_line, sample_rows_block
-from ..sources.catalog import catalog_columns, catalog_fks, catalog_tables
+from ..sources.catalog import catalog_fks, catalog_table_lists
 from .linking import MIN_TABLES_KEPT, SCHEMA_BUDGET_CHARS, bm25_scores, fold_closure, render_schema_blocks, top_tables
 
-_LINES = "array<struct<pos:bigint,line:string>>"
 _FKS = "array<struct<pos:bigint,a:bigint,b:bigint,chars:bigint>>"
 
 
@@ -28,18 +27,14 @@ def rendered_tables(raw: DataFrame, samples: DataFrame | None = None) -> DataFra
     counts its sample text as a part of its own when it is sized, even an empty one.
     """
     key = ["db_id", "table_index"]
-    cols = catalog_columns(raw).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
-        "flat_index", "column_name", column_line("column_name", "column_type", "is_primary").alias("line")))).alias("cols"))
-    fks = catalog_fks(raw).groupBy("db_id", F.col("from_table").alias("table_index")).agg(F.array_sort(F.collect_list(F.struct(
-        "pos", fk_line(F.col("from_column"), F.col("to_table_name"), F.col("to_column")).alias("line")))).alias("fks"))
-    t = catalog_tables(raw).join(cols, key, "left").join(fks, key, "left")
+    t = catalog_table_lists(raw)
     if samples is not None:
         t = t.join(samples.select(*key, F.col("rows").alias("__rows")), key, "left")
     else:
         t = t.withColumn("__rows", F.lit(None).cast("array<array<string>>"))
-    headers = F.coalesce(F.transform("cols", lambda c: c["column_name"]), F.array().cast("array<string>"))
-    lines = F.coalesce(F.transform("cols", lambda c: c["line"]), F.array().cast("array<string>"))
-    fk_lines = F.transform(F.coalesce("fks", F.array().cast(_LINES)), lambda f: f["line"])
+    headers = F.transform("columns", lambda c: c["column_name"])
+    lines = F.transform("columns", lambda c: column_line(c["column_name"], c["column_type"], c["is_primary"]))
+    fk_lines = F.transform("fks", lambda f: fk_line(f["from_column"], f["to_table_name"], f["to_column"]))
     sample_text = F.array_join(F.flatten("__rows"), " ")
     return t.select(
         *key, "table_name", headers.alias("headers"),
@@ -96,11 +91,11 @@ def choose_tables(questions: DataFrame, dbs: DataFrame, docs: DataFrame, budget_
 def schema_blocks(raw: DataFrame, questions: DataFrame, samples: DataFrame | None = None,
                   budget_chars: int = SCHEMA_BUDGET_CHARS, min_tables: int = MIN_TABLES_KEPT) -> DataFrame:
     """The whole chain: (question_id, db_id, whole, tables, chars, schema_block)."""
-    from ..session import cut_lineage
+    from ..session import stored
 
-    tables = cut_lineage(rendered_tables(raw, samples))  # read by sizing, scoring and rendering
-    chosen = cut_lineage(choose_tables(questions, database_rows(raw, tables),
-                                       tables.select("db_id", "table_index", F.col("doc").alias("text")), budget_chars, min_tables))
+    tables = stored(rendered_tables(raw, samples), "tables")  # read by sizing, scoring and rendering
+    chosen = stored(choose_tables(questions, database_rows(raw, tables),
+                                  tables.select("db_id", "table_index", F.col("doc").alias("text")), budget_chars, min_tables), "chosen")
     kept = chosen.select("question_id", "db_id", F.explode("tables").alias("table_index"))
     return chosen.join(render_schema_blocks(kept, tables), "question_id", "left").withColumn(
         "schema_block", F.coalesce("schema_block", F.lit("")))

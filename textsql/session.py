@@ -68,6 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as compressed Parquet to the shared folder and read back: for wide text rows, which a checkpoint
+    keeps uncompressed, and for readers that need a few columns each."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Use every core for CPU-heavy per-row work on inputs with few splits.
 

@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,6 +58,11 @@ def _before(value: Column, *keys: str) -> Column:
 # Line-aligned sets
 # ----------------------------------------------------------------------------------------------
 
+def _all_of(key: str) -> WindowSpec:
+    """All splits of a file or part, in their order."""
+    return Window.partitionBy(key).orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(MANIFEST).json(f"{path}/manifest")
@@ -108,7 +113,7 @@ def read_aligned(spark: SparkSession, path: str, names: Sequence[str]) -> DataFr
         got = _split_lines(spark, f"{path}/{newest['folder']}/{name}", "\n", "part", schema="value string, part long")
         splits = got.groupBy("part", *_SPLIT).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
         splits = splits.withColumn("_off", _before(F.col("_n"), "part")).withColumn(
-            "_all", F.sum("_n").over(Window.partitionBy("part")))
+            "_all", F.sum("_n").over(_all_of("part")))
         # the manifest leads: a part whose file is gone fails too
         base = entries.join(splits, "part", "left").select(
             *_SPLIT, "_m0", F.when(F.coalesce(F.col("_all"), F.lit(0)) != F.col("n_lines"), F.raise_error(F.concat(
@@ -151,7 +156,7 @@ def array_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     splits = splits.withColumn("_d", _before(F.when(F.col("_s") == 0, F.col("_e._d0")).otherwise(F.col("_e._d1"))))
     # the closing bracket and the brace that no piece had at the end of the file
     final = F.max_by(F.col("_d") + F.when(F.col("_s") == 0, F.col("_e._d0")).otherwise(F.col("_e._d1")), "_block").over(
-        Window.partitionBy("_file"))
+        _all_of("_file"))
     splits = splits.withColumn("_d", F.when(final == -1, F.col("_d")).otherwise(
         F.raise_error(F.concat(F.lit("not an array of objects, or cut off: "), "_file"))))
     depth = F.col("_d") + F.when(F.col("_s") == 0, F.col("_d0")).otherwise(F.col("_d1"))

@@ -372,3 +372,21 @@ def test_added_spans_never_overlap_chosen_ones():
     added = [s for s in every if s not in base]
     for _, a, b in added:
         assert not any(a < y and x < b for _, x, y in [*base, *(s for s in added if s[1:] != (a, b))])
+
+
+def test_kept_word_ids_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 40)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 30)
+    enc = packing.WordIds(packing.default_tokenizer())
+    assert enc.by_word
+    texts = ["it's the dog's, they'll '' 's 're x'tyz \"'s", "a  b\n\n c \r\n\td\x0b 　e f g \x1c\x85h", "", " ", "\n", None,
+             "naïve café العربية 中文字 १२ ½Ⅷ ʼ́ \U0001f469‍\U0001f469 \U00010100﻿",
+             "one<|endoftext|> two", "word " * 60, "x" * 200 + " " * 90 + "y", "-- 12345 3.14 __init__ <b>&amp;</b>"]
+    for text in texts * 2:
+        want = enc.tok.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want, text
+    given, whole = [], enc._whole
+    monkeypatch.setattr(enc, "_whole", lambda t: (given.append(t), whole(t))[1])
+    enc.encode("harbour ferry harbour ferry")
+    enc.encode("harbour ferry harbour ferry")
+    assert sorted("".join(given).split()) == ["ferry", "harbour"] + ["harbour"] and len(given) == 1  # first without its space

@@ -7,6 +7,9 @@ names lengths that fill the gap exactly, and they are consumed under their avail
 What no combination fills goes best-fit decreasing. The plan (patterns x counts) is bounded by the
 capacity too; pieces find their slot by the distributed rank of their length.
 
+A byte-level BPE encodes each word of its own split by itself, so a task keeps the ids of words it has met
+and gives the tokenizer only new ones (``WordIds``); the ids are those of encoding whole texts.
+
 Defined cases: null or empty text is the single id 0; equal lengths rank by (doc_id, piece), repeated
 rows share doc_id and are ranked among themselves arbitrarily but each gets its own slot; an empty
 table gives no rows; extra columns are never read.
@@ -14,7 +17,9 @@ table gives no rows; extra columns are never read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CAPACITY = 2048
+KEPT_WORDS, KEPT_CHARS = 400_000, 32  # words of a generation that a worker keeps, and their longest
+STRETCH = 1 << 20  # characters of a text that are split into words at once
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,19 +43,117 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class WordIds:
+    """Encodes texts as the tokenizer does. The words of its split are matched here with the classes of
+    characters (letter, number, space, other) that the tokenizer itself shows, learnt in blocks of 256 as texts
+    bring them; new words go to the tokenizer in one call, a line each. Two generations of words are kept. Texts
+    that name an added token, and all texts of a tokenizer that splits otherwise, are encoded whole."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        form = json.loads(self.tok.to_str())
+        split, model = form.get("pre_tokenizer") or {}, form["model"]
+        self.by_word = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                        and model["type"] == "BPE" and not model.get("dropout") and not form.get("truncation")
+                        and not form.get("padding") and not form.get("normalizer") and not form.get("post_processor"))
+        self.added = [t["content"] for t in form.get("added_tokens") or []]
+        self.blocks: set[int] = set()
+        self.classes: dict[str, list[int]] = {"letter": [], "number": [], "space": []}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        if self.by_word:
+            self.newline = self._whole("\n")
+            self.by_word = len(self.newline) == 4
+            self._learn_blocks({0})
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _learn_blocks(self, blocks: set[int]) -> None:
+        def joins(text: str) -> bool:
+            return len(self.tok.pre_tokenizer.pre_tokenize_str(text)) == 1
+
+        for code in (c for b in blocks for c in range(b << 8, (b + 1) << 8) if not 0xD800 <= c < 0xE000):
+            char = chr(code)
+            kind = "letter" if joins("a" + char) else "number" if joins("1" + char) else None if joins("!" + char) else "space"
+            if kind:
+                self.classes[kind].append(code)
+        self.blocks |= blocks
+        self.spaces = set(map(chr, self.classes["space"]))
+
+        def ranges(codes: list[int]) -> str:
+            at = np.sort(np.array(codes))
+            cut = np.flatnonzero(np.diff(at) > 1)
+            return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, -1]]))
+
+        le, nu, sp = (ranges(self.classes[k]) for k in ("letter", "number", "space"))
+        self.words = re.compile(f" [{le}]+|[{le}]+| ?[{nu}]+|'(?:[stmd]|re|ve|ll)| ?[^{le}{nu}{sp}]+|[{sp}]+(?![^{sp}])|[{sp}]+").findall
+        self.break_ = re.compile(f"(?<=[^{sp}])[{sp}]")
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words: one line each; words of spaces, which would run into a line break, alone."""
+        lines = [w for w in words if w[-1] not in self.spaces]
+        raw = self._whole("".join(w + "\n" for w in lines))
+        ends = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.newline, "<u4")[0]).tolist()
+        ids = {w: raw[4 * (a + 1):4 * b] for w, a, b in zip(lines, [-1, *ends], ends)}
+        return ids | {w: self._whole(w) for w in words if w[-1] in self.spaces}
+
+    def _stretch(self, text: str) -> bytes:
+        words = self.words(text)
+        ids = list(map(self.kept.get, words))
+        if None in ids:
+            missing = {w for w, i in zip(words, ids) if i is None}
+            found = {w: self.older[w] for w in missing if w in self.older}
+            found |= self._encode_words([w for w in missing if w not in found])
+            ids = [found[w] if i is None else i for w, i in zip(words, ids)]
+            self.kept.update((w, i) for w, i in found.items() if len(w) <= KEPT_CHARS)
+            if len(self.kept) >= KEPT_WORDS:
+                self.kept, self.older = {}, self.kept
+        return b"".join(ids)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
+        text = text or ""
+        if not self.by_word or any(t in text for t in self.added):
+            return self._whole(text)
+        if not text.isascii():
+            new = {ord(c) >> 8 for c in set(text)} - self.blocks
+            if new:
+                self._learn_blocks(new)
+        out, at = [], 0
+        while len(text) - at > STRETCH:  # no word goes on from a character that is no space to one that is
+            cut = self.break_.search(text, at + STRETCH)
+            if cut is None:
+                break
+            out.append(self._stretch(text[at:cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self._stretch(text[at:])])
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's encoder: its words last from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
+
+
 def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Pieces of every document; ``keep_ids`` adds the ids themselves as ``ids``."""
     path = tokenizer or default_tokenizer()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+        encode, end = word_ids(path).encode, bytes(4)
         for pdf in batches:
             out, ids_out = [], []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+                ids = np.frombuffer(encode(text) + end, dtype="<u4")
                 head = len(ids) % capacity if len(ids) > capacity else len(ids)
                 cuts = [0, *range(head or capacity, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -140,6 +140,38 @@ def test_passage_dedup_matches_brute_force(spark):
     assert all(want[d] for d in (1, 2, 6, 7, 10)) and not any(want[d] for d in (None, 0, 3, 4, 5, 8, 9))
 
 
+def test_passages_among_alike_surroundings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [list(rng.choice(["a", "b", "c", "dd"], 40)) for _ in range(6)]
+
+    def text():
+        parts = [base[rng.integers(6)][rng.integers(20):][:rng.integers(5, 30)] for _ in range(rng.integers(1, 5))]
+        return "".join(w + rng.choice([" ", "\n", "  "], p=[0.8, 0.1, 0.1]) for p in parts for w in p)
+
+    docs = [(int(rng.integers(40)), text()) for _ in range(80)] + [(None, text()), (None, text()), (41, "x y " * 30), (42, None)]
+    docs += docs[:5]
+    rows = []
+    for doc_id, t in docs:
+        at = [(m.start(), m.end(), m.group()) for m in W.finditer(t or "")]
+        rows += [(doc_id, at[i][0], at[i + 5][1], tuple(w for _, _, w in at[i:i + 6])) for i in range(len(at) - 5)]
+    first, want = {}, set()
+    for doc_id, start, _, run in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1])):
+        first.setdefault(run, (doc_id, start))
+    for doc_id, start, end, run in rows:
+        if (doc_id, start) != first[run]:
+            want |= {(doc_id, c) for c in range(start, end)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = substrings.repeated_passages(df, 6).collect()
+    assert {(r["doc_id"], c) for r in got for c in range(r["start"], r["end"])} == want
+    # whole copies are told by their surroundings: none of their runs is digested
+    sizes, keep = {}, substrings.materialise
+    monkeypatch.setattr(substrings, "materialise", lambda f, name: (out := keep(f, name), sizes.update({name: out.count()}))[0])
+    said = " ".join(f"w{i}" for i in rng.permutation(300))
+    copies = spark.createDataFrame([(i, said) for i in range(4)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in substrings.removed_passages(copies).collect()}
+    assert got == {0: ""} | {i: f"0:{len(said)}" for i in range(1, 4)} and sizes["runs"] == 0
+
+
 def test_license_scan(spark):
     t = dict(licenses.TEMPLATES)
     docs = [(1, "Some words here. " + t["MIT"] + " more words"), (2, None), (3, "licensed under nothing at all today"),

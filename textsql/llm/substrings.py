@@ -11,9 +11,10 @@ ranks first; an empty table gives no rows; extra columns are never read.
 
 ``removed_passages`` adds what whole lines miss: every run of ``PASSAGE_WORDS`` words (lower case, split at
 white space, so line breaks and line lengths do not matter) that occurs at an earlier rank goes too, wherever
-in a line it stands. Two passes: each run selects the smallest hash of its half runs (by its own words alone, so
-equal runs select equal hashes) and only runs whose selected hash repeats are then digested, 128 bits each, and
-grouped, so the result is that of digesting every run. Every removed word stands at an earlier
+in a line it stands. Each run selects the smallest hash of its half runs (by its own words alone, so equal runs select
+equal hashes), and the runs that select one half run are taken as one. Where a selected hash repeats with a second
+64-bit hash of all words of its runs, the runs of all but the first go without being digested; only runs of half runs that repeat
+among different words are digested, 128 bits each, and grouped, so the result is that of digesting every run. Every removed word stands at an earlier
 rank in the same run or line; a text that repeats with a period keeps its first period.
 """
 
@@ -158,28 +159,39 @@ def _winners(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         h[i:i + 100_000 + wide - 1], wide).argmin(1) for i in range(0, n, 100_000)]), h
 
 
-def _selected(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the winnowed half runs."""
+def _selected(text: str | None, length: int) -> tuple[np.ndarray, ...]:
+    """Of every winnowed half run: the characters that the runs which select it cover (start, end), its hash, and a
+    second hash of all their words. The runs that select one half run follow each other."""
+    start, end, words = word_hashes(text)
     won, h = _winners(words, length)
-    at = np.unique(won)
-    return at, h[at]
+    first = np.flatnonzero(np.diff(won, prepend=-1))
+    last = np.append(first[1:], len(won)) - 1
+    if not len(first):
+        return start[:0], end[:0], h[:0], h[:0]
+    other = word_hashes(text, 1)[2] * _powers(len(words), _BASE[1])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(other, dtype=np.uint64)])
+    around = (sums[last + length] - sums[first]) * _powers(len(words), pow(_BASE[1], -1, 1 << 64))[first]
+    place = (won[first] - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
+    return start[first], end[last + length - 1], h[won[first]], _mix(around ^ _mix(place + np.uint64(1)))
 
 
 def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, start, end) of every run of ``length`` words that occurs at an earlier rank."""
+    """(doc_id, start, end) of spans that together cover just the runs of ``length`` words that occur at an earlier rank."""
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [_selected(word_hashes(t)[2], length) for t in pdf["text"]]
-            size = [len(g[0]) for g in got]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").repeat(size).values,
-                                "at": np.concatenate([g[0] for g in got] or [[]]).astype("int32"),
-                                "h": np.concatenate([g[1] for g in got] or [[]]).astype("uint64").view("int64")})
+            got = [_selected(t, length) for t in pdf["text"]]
+            start, end, h, around = (np.concatenate([g[i] for g in got] or [[]]) for i in range(4))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").repeat([len(g[0]) for g in got]).values,
+                                "start": start.astype("int32"), "end": end.astype("int32"),
+                                "h": h.astype("uint64").view("int64"), "around": around.astype("uint64").view("int64")})
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc_id, text, places in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["places"]):
                 start, end, words = word_hashes(text)
-                run = np.flatnonzero(np.isin(_winners(words, length)[0], places))
+                won = _winners(words, length)[0]
+                first = np.flatnonzero(np.diff(won, prepend=-1))  # of the runs that select one half run
+                run = np.flatnonzero(np.repeat(np.isin(start[first], places), np.diff(np.append(first, len(won)))))
                 if not len(run):
                     continue
                 yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(run), dtype="Int64"),
@@ -188,17 +200,26 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame
                                     "d2": run_hashes(word_hashes(text, 1)[2], length, 1)[run].view("int64")})
 
     texts = docs.select("doc_id", "text")
-    marks = materialise(texts.mapInPandas(select, "doc_id long, at int, h long"), "marks")
-    # both joins shuffle both sides by the hash alone, so that a hot one is split among tasks when they run
-    often = materialise(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    places = marks.join(often, "h").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    places = places.withColumnRenamed("doc_id", "_d")
+    marks = materialise(texts.mapInPandas(select, "doc_id long, start int, end int, h long, around long"), "marks")
+    # the joins shuffle both sides by the hash alone, so that a hot one is split among tasks when they run
+    often = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    marks = materialise(marks.join(often, "h"), "often")
+    # equal surroundings: the runs of all but the first repeat the first one's, word for word
+    alike = marks.groupBy("h", "around").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"))
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") < F.col("first.end")))
+    marks = materialise(marks.join(alike.select("h", F.col("around").alias("_a"), "first"), "h").where(
+        "around = _a").select("doc_id", "start", "end", "h", later.alias("later")), "ranked")
+    # the first ones of different surroundings may share some of their runs: those are compared one by one
+    left = marks.where("NOT later")
+    shared = left.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    places = left.join(shared, "h").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("start").alias("places"))
     runs = materialise(texts.join(places, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "places").mapInPandas(
         digest, "doc_id long, start long, end long, d1 long, d2 long"), "runs")
     rank = F.struct("doc_id", "start")
     first = runs.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = runs.join(first.select("d1", F.col("d2").alias("_d2"), "first"), "d1").where("d2 = _d2")
-    return again.where(~rank.eqNullSafe(F.col("first"))).select("doc_id", "start", "end")
+    return again.where(~rank.eqNullSafe(F.col("first"))).select("doc_id", "start", "end").unionByName(
+        marks.where("later").select("doc_id", F.col("start").cast("long"), F.col("end").cast("long")))
 
 
 def removed_passages(docs: DataFrame, min_words: int = MIN_WORDS, length: int = PASSAGE_WORDS) -> DataFrame:

@@ -40,6 +40,30 @@ def test_a_stopped_run_goes_on_and_ends_equal(spark, tmp_path, monkeypatch):
     assert outcome(*ex.run_statements(spark, stmts, work=work, batch_size=8)) == whole and again == []
 
 
+def test_unresolved_names_are_looked_up_once(spark, monkeypatch):
+    texts = ["SELECT nope FROM range(2)", "SELECT * FROM nowhere", "SELECT no_such(1)", "SELECT * FROM parquet.`/no/where`",
+             "SELECT 1 AS a, 2 AS a", "SELECT 'x' || id, NULL, DATE'2024-01-02' FROM range(1)", "SELECT id FROM range(3) WHERE sum(id) > 1"]
+    child, calls = ex.read_only_session(spark), []
+    want = []
+    for text in texts:
+        try:
+            child.sql(text)
+            want.append(("ok", None))
+        except ex.AnalysisException as e:
+            want.append(("execution", e.getCondition()))
+    sql = type(child).sql
+    monkeypatch.setattr(type(child), "sql", lambda self, query, *a, **k: (calls.append(query), sql(self, query, *a, **k))[1])
+    got = [ex._analyze(child, str(i), text) for i, text in enumerate(texts)]
+    assert [g[:2] for g in got] == want and [w[0] for w in want].count("ok") == 2
+    assert len(calls) == 2 * len(texts) - 4
+    assert [r.row for g in got if g[2] is not None for r in g[2].collect()] == [["1", "2"], ["x0", "", "2024-01-02"]]
+
+
+def test_status_rows_are_literal(spark):
+    rows = [("a", "ok", None, "t-'\"\\\n"), ("b", "execution", "é😀", None)]
+    assert [tuple(r) for r in ex._literal_rows(spark, rows, ex.STATUS_SCHEMA).collect()] == rows
+
+
 def test_max_batches_stops_early(spark, tmp_path):
     status, rows = ex.run_statements(spark, listed(spark), work=str(tmp_path / "w"), batch_size=8, max_batches=2)
     assert status.count() == 16

@@ -16,6 +16,7 @@ refused non-query or function, timeout); ``empty`` for a blank statement.
 
 from __future__ import annotations
 
+import json
 import threading
 import uuid
 from collections import OrderedDict
@@ -35,6 +36,8 @@ from .resultset import multiset_classes, multiset_equal
 # --- fixed values -----------------------------------------------------------------------------
 # functions that run arbitrary JVM methods
 REFUSED_FUNCTIONS = ("java_method", "reflect", "try_reflect")
+# errors of names that aren't there: the same in a view's body and in the statement itself
+UNRESOLVED = ("UNRESOLVED_COLUMN", "TABLE_OR_VIEW_NOT_FOUND", "UNRESOLVED_ROUTINE")
 # ----------------------------------------------------------------------------------------------
 BATCH_SIZE = 32  # statements of a batch: one job a database
 WINDOW = 64  # batches whose texts the driver holds at once
@@ -139,17 +142,19 @@ def _parses(sess: SparkSession, text: str) -> bool:
         return True
 
 
-def _is_query(sess: SparkSession, text: str) -> bool:
-    """Only a query can be the body of a view: no command, and no write below a WITH."""
+def _is_query(sess: SparkSession, text: str) -> tuple[bool, str | None]:
+    """Only a query can be the body of a view: no command, and no write below a WITH. With it the error of
+    a query that names what isn't there, which would fail again in the same way."""
     probe = f"textsql_probe_{uuid.uuid4().hex[:12]}"
     try:
         sess.sql(f"CREATE TEMPORARY VIEW {probe} AS\n{text}")
         sess.catalog.dropTempView(probe)
-        return True
+        return True, None
     except ParseException:
-        return False
-    except AnalysisException:
-        return True  # a query that doesn't resolve, or one with equal column names
+        return False, None
+    except AnalysisException as e:  # a query that doesn't resolve, or one with equal column names
+        condition = getattr(e, "getCondition", lambda: None)() or ""
+        return True, condition if condition.startswith(UNRESOLVED) else None
 
 
 def _analyze(sess: SparkSession, sid: str, text: str):
@@ -157,13 +162,16 @@ def _analyze(sess: SparkSession, sid: str, text: str):
     if not text:
         return "empty", None, None
     try:
-        if not _is_query(sess, text):
+        query, unresolved = _is_query(sess, text)
+        if unresolved:
+            return "execution", unresolved, None
+        if not query:
             return ("execution", "refused: not a read-only query", None) if _parses(sess, text) else (
                 "parse", "ParseException", None)
         df = sess.sql(text)
-        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-        return "ok", None, df.select(F.array(*cells).alias("row"), F.lit(sid).alias("stmt_id"))
+        names = [f"c{i}" for i in range(len(df.columns))]
+        cells = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in names)
+        return "ok", None, df.toDF(*names).select(F.expr(f"array({cells})").alias("row"), F.lit(sid).alias("stmt_id"))
     except ParseException as e:
         return "parse", type(e).__name__, None
     except AnalysisException as e:
@@ -197,6 +205,12 @@ def plan_statements(spark: SparkSession, statements: DataFrame, work: str, sql_c
     return todo, batches
 
 
+def _literal_rows(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A few rows as one literal in one partition; needs no Python worker, as ``createDataFrame`` does."""
+    text = json.dumps([dict(zip(schema.names, r)) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), ArrayType(schema))))
+
+
 def _statuses(spark: SparkSession, work: str) -> DataFrame:
     return spark.read.schema(StructType([*STATUS_SCHEMA.fields, StructField("batch", LongType())])).parquet(
         f"{work}/status").where("batch >= 0")
@@ -265,7 +279,7 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
                 err = write([df], f"{tag}-{j}")
                 status.append((sid, "execution", err, None) if err else (sid, "ok", None, f"{tag}-{j}"))
         # the commit: one file, in place or not at all
-        spark.createDataFrame(status, STATUS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{work}/status/batch={batch}")
+        _literal_rows(spark, status, STATUS_SCHEMA).write.mode("overwrite").parquet(f"{work}/status/batch={batch}")
 
     left = batches if max_batches is None else max_batches
     try:

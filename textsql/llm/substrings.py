@@ -202,8 +202,8 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame
     texts = docs.select("doc_id", "text")
     marks = materialise(texts.mapInPandas(select, "doc_id long, start int, end int, h long, around long"), "marks")
     # the joins shuffle both sides by the hash alone, so that a hot one is split among tasks when they run
-    often = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    marks = materialise(marks.join(often, "h"), "often")
+    often = materialise(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+    marks = materialise(marks.join(often, "h"), "repeated")
     # equal surroundings: the runs of all but the first repeat the first one's, word for word
     alike = marks.groupBy("h", "around").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") < F.col("first.end")))
@@ -211,7 +211,7 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame
         "around = _a").select("doc_id", "start", "end", "h", later.alias("later")), "ranked")
     # the first ones of different surroundings may share some of their runs: those are compared one by one
     left = marks.where("NOT later")
-    shared = left.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = materialise(left.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     places = left.join(shared, "h").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("start").alias("places"))
     runs = materialise(texts.join(places, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "places").mapInPandas(
         digest, "doc_id long, start long, end long, d1 long, d2 long"), "runs")

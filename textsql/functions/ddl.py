@@ -69,14 +69,19 @@ def sample_rows_block(headers: Column | str, rows: Column | str) -> Column:
     ``headers``: array<string>; ``rows``: array<array<string>> (already cell text). No rows ->
     ''."""
     h, r = col_(headers), col_(rows)
-    idx = F.sequence(F.lit(1), F.size(h))
-    widths = F.transform(idx, lambda i: F.greatest(
-        F.length(F.element_at(h, i)),
-        F.coalesce(F.array_max(F.transform(r, lambda row: F.length(F.element_at(row, i)))), F.lit(0))))
+    n = F.size(h)
 
-    def fmt(row: Column) -> Column:
-        cells = F.transform(idx, lambda i: F.rpad(F.element_at(row, i), F.element_at(widths, i), " "))
-        return F.concat(F.lit("  "), F.array_join(cells, "  "))
+    def cells(row: Column) -> Column:  # as many as there are headers; a shorter row is looked up past its end, as an error or null
+        return F.coalesce(F.when(F.size(row) < n, F.concat(row, F.array(F.element_at(row, n)))).when(
+            F.size(row) > n, F.slice(row, 1, n)).otherwise(row), F.array().cast("array<string>"))
 
-    lines = F.concat(F.array(F.lit("/* sample rows:"), fmt(h)), F.transform(r, fmt), F.array(F.lit("*/")))
+    def fmt(row: Column, widths: Column) -> Column:
+        padded = F.zip_with(row, widths, lambda cell, width: F.rpad(cell, width, " "))
+        return F.concat(F.lit("  "), F.array_join(padded, "  "))
+
+    widths = F.aggregate(r, F.transform(h, lambda name: F.length(name)), lambda w, row: F.zip_with(
+        w, cells(row), lambda a, cell: F.greatest(a, F.length(cell))))
+    # as the variable of a lambda the widths are computed once, not once a cell
+    lines = F.transform(F.array(widths), lambda w: F.concat(
+        F.array(F.lit("/* sample rows:"), fmt(h, w)), F.transform(r, lambda row: fmt(cells(row), w)), F.array(F.lit("*/"))))[0]
     return F.when(F.coalesce(F.size(r), F.lit(0)) <= 0, F.lit("")).otherwise(F.array_join(lines, "\n"))

@@ -24,6 +24,7 @@ BM25_MIN_DENOM = 1e-9
 MIN_TABLES_KEPT = 2
 SCHEMA_MAX_TOKENS = 1500
 TOKENS_PER_CHAR = 0.30
+ROW_TERMS = 64  # a database's question terms that are compared with a document's words in the row
 # ----------------------------------------------------------------------------------------------
 
 
@@ -81,31 +82,91 @@ def query_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:
     )
 
 
+def _row_terms(corpus: DataFrame, lists: DataFrame) -> DataFrame:
+    """(db_id, table_index, mterm, tf) with each document's words compared with its database's few question terms in
+    the row: only hits are exploded, and one row more with a null term that counts the other words."""
+    bags = spread(corpus.select("db_id", "table_index", "text")).join(lists, "db_id").select(
+        "db_id", "table_index", "__words", term_bag("text").alias("__bag"))
+    hits = bags.withColumn("__hits", F.filter("__bag", lambda w: F.array_contains("__words", w)))
+    one = F.transform("__hits", lambda w: F.struct(w.alias("mterm"), F.lit(1).alias("n")))
+    rest = F.struct(F.lit(None).cast("string").alias("mterm"), (F.size("__bag") - F.size("__hits")).alias("n"))
+    no_text = F.array(F.struct(F.lit(None).cast("string").alias("mterm"), F.lit(0).alias("n")))
+    found = hits.select("db_id", "table_index", F.inline(
+        F.when(F.col("__bag").isNull(), no_text).otherwise(F.concat(one, F.array(rest)))))
+    return found.groupBy("db_id", "table_index", "mterm").agg(F.sum("n").alias("tf"))
+
+
+def _row_scores(corpus: DataFrame, qt: DataFrame, k1: float, b: float) -> DataFrame:
+    """``bm25_scores`` with each database's documents in one row: one shuffle by database of the words and of the
+    question terms, and no posting leaves its row. Documents of equal table_index are one document."""
+    words = corpus.select("db_id", "table_index", F.coalesce(term_bag("text"), F.array().cast("array<string>")).alias("bag"))
+    docs = F.col("__docs")
+    apart = F.array_distinct(F.transform(docs, lambda d: d["table_index"]))
+    merged = F.transform(apart, lambda i: F.struct(i.alias("table_index"), F.flatten(F.transform(
+        F.filter(docs, lambda d: d["table_index"].eqNullSafe(i)), lambda d: d["bag"])).alias("bag")))
+    dbs = words.groupBy("db_id").agg(F.collect_list(F.struct("table_index", "bag")).alias("__docs")).select(
+        "db_id", F.when(F.size(apart) < F.size(docs), merged).otherwise(docs).alias("__docs"))
+    n = F.size("__docs")
+    total = F.aggregate("__docs", F.lit(0).cast("long"), lambda a, d: a + F.size(d["bag"]))
+    dbs = dbs.select("db_id", "__docs", n.alias("__n"), (total / n).alias("__avgdl"))
+    asked = qt.groupBy("question_id", "db_id").agg(F.collect_list(F.struct("term", "qtf")).alias("__terms"))
+
+    def weight(t):
+        df = F.size(F.filter("__docs", lambda d: F.array_contains(d["bag"], t["term"])))
+        return F.struct(t["term"].alias("term"), df.alias("df"),
+                        (t["qtf"] * F.log(1.0 + (F.col("__n") - df + 0.5) / (df + 0.5))).alias("w"))
+
+    weighted = asked.join(dbs, "db_id").select(
+        "question_id", "db_id", "__docs", "__avgdl",
+        F.filter(F.transform("__terms", weight), lambda t: t["df"] > 0).alias("__terms"))
+
+    def score(d):
+        norm = F.when(F.col("__avgdl") > 0, F.size(d["bag"]) / F.col("__avgdl")).otherwise(F.lit(0.0))
+        tf = lambda t: F.size(F.filter(d["bag"], lambda w: w == t["term"]))
+        shared = F.transform(F.filter("__terms", lambda t: F.array_contains(d["bag"], t["term"])),
+                             lambda t: F.struct(t["w"].alias("w"), tf(t).alias("tf")))
+        return F.struct(d["table_index"].alias("table_index"), F.aggregate(shared, F.lit(None).cast("double"), lambda a, t: F.coalesce(
+            a, F.lit(0.0)) + t["w"] * (t["tf"] * (k1 + 1)) / F.greatest(t["tf"] + k1 * (1 - b + b * norm), F.lit(BM25_MIN_DENOM))).alias("score"))
+
+    return weighted.select("question_id", "db_id", F.inline(F.transform("__docs", score))).where(
+        F.col("score").isNotNull() & F.col("table_index").isNotNull())
+
+
 def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
-                broadcast_rows: int = 2_000_000) -> DataFrame:
+                broadcast_rows: int = 2_000_000, small_databases: bool = False) -> DataFrame:
     """G7 + J10: BM25 of every (question, table of the question's database) pair that shares a
     term. Pairs sharing nothing score 0.0 and are not emitted (no all-pairs product).
 
     corpus: (db_id, table_index, text); questions: (question_id, db_id, question).
-    Output: (question_id, db_id, table_index, score).
+    Output: (question_id, db_id, table_index, score). ``small_databases``: every database has a few dozen documents
+    at most, as those of a catalog, so that a row may hold a database.
 
     Plan: the corpus is read and tokenised once. Each token is marked against the query
-    vocabulary (broadcast when a count proves it small), and one aggregation keyed by
+    vocabulary -- in the document's row where no database has more than ``ROW_TERMS`` query terms, else by a join
+    (broadcast when a count proves it small) -- and one aggregation keyed by
     (db, table, vocabulary-term-or-NULL) yields both the postings and, summed per table, the
     document length. That table is checkpointed once and read by every branch. Only vocabulary
     terms and one row per document leave the map side.
     """
     qt = query_terms(questions)
-    vocab = qt.select("db_id", "term").distinct().withColumn("__hit", F.lit(True))
-    vocab = maybe_broadcast(vocab, max_rows=broadcast_rows, row_bytes=48)
-    # statistics are per database, so databases that nobody asks about need no tokens
-    asked = maybe_broadcast(questions.select("db_id").distinct(), max_rows=broadcast_rows, row_bytes=24)
-
-    toks = spread(corpus.select("db_id", "table_index", "text").join(asked, "db_id", "left_semi")).select(
-        "db_id", "table_index", F.explode_outer(term_bag("text")).alias("term"))
-    marked = toks.join(vocab, on=["db_id", "term"], how="left").select(
-        "db_id", "table_index", "term", F.when(F.col("__hit"), F.col("term")).alias("mterm"))
-    agg = marked.groupBy("db_id", "table_index", "mterm").agg(F.count("term").alias("tf"))
+    if small_databases:
+        return stored(_row_scores(corpus, qt, k1, b), "terms-scored")
+    vocab = qt.select("db_id", "term").distinct()
+    sizes = vocab.groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("dbs"), F.max("n").alias("most")).first()
+    if sizes["dbs"] and sizes["most"] <= ROW_TERMS:
+        lists = vocab.groupBy("db_id").agg(F.collect_list("term").alias("__words"))
+        small = sizes["dbs"] * sizes["most"] <= broadcast_rows and sizes["dbs"] * sizes["most"] * 48 <= 64 * 1024 * 1024
+        agg = _row_terms(corpus, F.broadcast(lists) if small else lists)
+    else:
+        vocab = maybe_broadcast(vocab.withColumn("__hit", F.lit(True)), max_rows=broadcast_rows, row_bytes=48)
+        # statistics are per database, so databases that nobody asks about need no tokens
+        asked = maybe_broadcast(questions.select("db_id").distinct(), max_rows=broadcast_rows, row_bytes=24)
+        toks = spread(corpus.select("db_id", "table_index", "text").join(asked, "db_id", "left_semi")).select(
+            "db_id", "table_index", F.explode_outer(term_bag("text")).alias("term"))
+        marked = toks.join(vocab, on=["db_id", "term"], how="left").select(
+            "db_id", "table_index", "term", F.when(F.col("__hit"), F.col("term")).alias("mterm"))
+        agg = marked.groupBy("db_id", "table_index", "mterm").agg(F.count("term").alias("tf"))
     # Small (one row per document plus its vocabulary hits) and read by three branches whose
     # pushed-down filters differ, so Spark cannot reuse the shuffle: materialise it once in the
     # shared folder -- the text is read and tokenised exactly once.

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ddl import column_line, create_table, fk_line, sample_rows_block
-from ..sources.catalog import catalog_fks, catalog_table_lists
+from ..sources.catalog import catalog_table_lists
+from ..session import stored
 from .linking import MIN_TABLES_KEPT, SCHEMA_BUDGET_CHARS, bm25_scores, fold_closure, render_schema_blocks, top_tables
 
 _FKS = "array<struct<pos:bigint,a:bigint,b:bigint,chars:bigint>>"
@@ -21,40 +22,51 @@ _FKS = "array<struct<pos:bigint,a:bigint,b:bigint,chars:bigint>>"
 
 def rendered_tables(raw: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """One row per table of the catalog, those without columns too: db_id, table_index, table_name, headers, ddl
-    (with all FK lines), sample_block, doc (the BM25 document), base_chars, parts.
+    (with all FK lines), sample_block, doc (the BM25 document), base_chars, parts, db_fks (the FK list of the catalog row,
+    at its first table).
 
     ``samples``: (db_id, table_index, rows array<array<string>>), rows as cell text; a table with a row in it
     counts its sample text as a part of its own when it is sized, even an empty one.
     """
     key = ["db_id", "table_index"]
-    t = catalog_table_lists(raw)
-    if samples is not None:
-        t = t.join(samples.select(*key, F.col("rows").alias("__rows")), key, "left")
+    parts = {"column": lambda name, kind, primary: {"name": name, "line": column_line(name, kind, primary)},
+             "fk": lambda f: {"line": fk_line(f["from_column"], f["to_table_name"], f["to_column"])}}
+    if samples is not None:  # joined by database, where a catalog row still holds all of its tables
+        lists = samples.groupBy("db_id").agg(F.collect_list(F.struct("table_index", "rows")).alias("__samples"))
+        t = catalog_table_lists(raw.join(lists, "db_id", "left"), "__samples", **parts)
+        own = F.transform(F.filter("__samples", lambda s: s["table_index"] == F.col("table_index")), lambda s: s["rows"])
+        t = t.select("*", F.posexplode_outer(own).alias("__nth", "__rows"))  # a repeated sample repeats its table
     else:
-        t = t.withColumn("__rows", F.lit(None).cast("array<array<string>>"))
-    headers = F.transform("columns", lambda c: c["column_name"])
-    lines = F.transform("columns", lambda c: column_line(c["column_name"], c["column_type"], c["is_primary"]))
-    fk_lines = F.transform("fks", lambda f: fk_line(f["from_column"], f["to_table_name"], f["to_column"]))
-    sample_text = F.array_join(F.flatten("__rows"), " ")
+        t = catalog_table_lists(raw, **parts).select(
+            "*", F.lit(0).alias("__nth"), F.lit(None).cast("array<array<string>>").alias("__rows"))
+    # lists that are used more than once are columns of their own, so that each is built once a row
+    t = t.select(
+        *key, "table_name", "__rows", F.when(F.coalesce("__nth", F.lit(0)) == 0, F.transform("db_fks", lambda f: F.struct(
+            f["pos"].alias("pos"), f["from_table"].cast("long").alias("a"), f["to_table"].cast("long").alias("b"),
+            (F.length(f["line"]) + 2).cast("long").alias("chars")))).alias("db_fks"),  # a line and the comma and break before it
+        F.transform("columns", lambda c: c["name"]).alias("headers"),
+        F.transform("columns", lambda c: c["line"]).alias("__lines"),
+        F.transform("fks", lambda f: f["line"]).alias("__fk_lines"),
+        F.array_join(F.flatten("__rows"), " ").alias("__sample_text"))
     return t.select(
-        *key, "table_name", headers.alias("headers"),
-        create_table("table_name", lines, fk_lines).alias("ddl"),
-        F.when(F.size(headers) > 0, sample_rows_block(headers, "__rows")).otherwise("").alias("sample_block"),
-        F.concat_ws(" ", "table_name", F.array_join(headers, " "), sample_text).alias("doc"),
-        (F.length(create_table("table_name", lines, F.array().cast("array<string>"))) +
-         F.coalesce(F.length(sample_text), F.lit(0))).cast("long").alias("base_chars"),
-        F.when(F.col("__rows").isNull(), 1).otherwise(2).alias("parts"))
+        *key, "table_name", "headers",
+        create_table("table_name", "__lines", "__fk_lines").alias("ddl"),
+        F.when(F.size("headers") > 0, sample_rows_block("headers", "__rows")).otherwise("").alias("sample_block"),
+        F.concat_ws(" ", "table_name", F.array_join("headers", " "), "__sample_text").alias("doc"),
+        (F.length(create_table("table_name", "__lines", F.array().cast("array<string>"))) +
+         F.coalesce(F.length("__sample_text"), F.lit(0))).cast("long").alias("base_chars"),
+        F.when(F.col("__rows").isNull(), 1).otherwise(2).alias("parts"), "db_fks")
 
 
 def database_rows(raw: DataFrame, tables: DataFrame) -> DataFrame:
-    """(db_id, tabs, fks): a database's tables with their sizes, and its FK list with each line's own size."""
-    tabs = tables.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("table_index").cast("long").alias("table_index"), "base_chars", F.size("headers").alias("n_cols"), "parts"))).alias("tabs"))
-    line = fk_line(F.col("from_column"), F.col("to_table_name"), F.col("to_column"))
-    fks = catalog_fks(raw).groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct(
-        "pos", F.col("from_table").cast("long").alias("a"), F.col("to_table").cast("long").alias("b"),
-        (F.length(line) + 2).cast("long").alias("chars")))).alias("fks"))  # a line and the comma and break before it
-    return tabs.join(fks, "db_id", "left").withColumn("fks", F.coalesce("fks", F.array().cast(_FKS)))
+    """(db_id, tabs, fks): a database's tables with their sizes, and its FK list with each line's own size.
+
+    tables: ``rendered_tables`` of ``raw``; the FK lists were resolved there and come with the first tables, so that the
+    catalog is not read again."""
+    return tables.groupBy("db_id").agg(
+        F.array_sort(F.collect_list(F.struct(
+            F.col("table_index").cast("long").alias("table_index"), "base_chars", F.size("headers").alias("n_cols"), "parts"))).alias("tabs"),
+        F.array_sort(F.flatten(F.collect_list("db_fks"))).cast(_FKS).alias("fks"))
 
 
 def kept_size(kept: Column, tabs: Column, fks: Column) -> Column:
@@ -78,10 +90,10 @@ def choose_tables(questions: DataFrame, dbs: DataFrame, docs: DataFrame, budget_
     """
     every = F.transform("tabs", lambda t: t["table_index"])
     sized = dbs.withColumn("whole", kept_size(every, F.col("tabs"), F.col("fks")) <= budget_chars)
-    q = questions.select("question_id", "db_id", "question").join(sized, "db_id")
+    # sized once; scoring, ranking and the choice read what is written here
+    q = stored(questions.select("question_id", "db_id", "question").join(sized, "db_id"), "chosen-sized")
     over = q.where(~F.col("whole")).select("question_id", "db_id", "question")
-    seeds = top_tables(bm25_scores(docs, over), docs.join(sized.where(~F.col("whole")).select("db_id"), "db_id", "left_semi"), over,
-                       k=max(min_tables, 1)).groupBy("question_id").agg(
+    seeds = top_tables(bm25_scores(docs, over, small_databases=True), docs, over, k=max(min_tables, 1)).groupBy("question_id").agg(
         F.collect_list(F.col("table_index").cast("long")).alias("seeds"))
     kept = F.when(F.col("whole"), every).otherwise(F.array_sort(fold_closure(F.col("seeds"), F.col("fks"))))
     out = q.drop("question").join(seeds, "question_id", "left").withColumn("tables", kept)
@@ -91,8 +103,6 @@ def choose_tables(questions: DataFrame, dbs: DataFrame, docs: DataFrame, budget_
 def schema_blocks(raw: DataFrame, questions: DataFrame, samples: DataFrame | None = None,
                   budget_chars: int = SCHEMA_BUDGET_CHARS, min_tables: int = MIN_TABLES_KEPT) -> DataFrame:
     """The whole chain: (question_id, db_id, whole, tables, chars, schema_block)."""
-    from ..session import stored
-
     tables = stored(rendered_tables(raw, samples), "tables")  # read by sizing, scoring and rendering
     chosen = stored(choose_tables(questions, database_rows(raw, tables),
                                   tables.select("db_id", "table_index", F.col("doc").alias("text")), budget_chars, min_tables), "chosen")

@@ -48,20 +48,27 @@ def _fields(**values: Column) -> Column:
     return F.named_struct(*[x for name, value in values.items() for x in (F.lit(name), value)])
 
 
+def _checked(lists: Column) -> Column:
+    return F.when(F.size("column_names_original") != F.size("column_types"),
+                  F.raise_error(F.concat(F.lit("catalog lists differ in length for "), F.col("db_id")))).otherwise(lists)
+
+
+def _is_primary(i: Column) -> Column:
+    return F.coalesce(F.array_contains("primary_keys", i.cast("bigint")), F.lit(False))
+
+
 def column_list() -> Column:
     """A catalog row's real columns in list order, resolved by array indexing in the row."""
     pairs, names, types = F.col("column_names_original"), F.col("table_names_original"), F.col("column_types")
     real = F.filter(F.transform(pairs, lambda p, i: _fields(t=p[0].cast("int"), i=i, name=p[1])),
                     lambda c: c["t"] != -1)
-    columns = F.transform(real, lambda c: _fields(
+    return _checked(F.transform(real, lambda c: _fields(
         table_index=c["t"],
         table_name=F.element_at(names, c["t"] + 1),
         flat_index=c["i"].cast("bigint"),
         column_name=c["name"],
         column_type=F.element_at(types, c["i"] + 1),
-        is_primary=F.coalesce(F.array_contains("primary_keys", c["i"].cast("bigint")), F.lit(False))))
-    return F.when(F.size(pairs) != F.size(types),
-                  F.raise_error(F.concat(F.lit("catalog lists differ in length for "), F.col("db_id")))).otherwise(columns)
+        is_primary=_is_primary(c["i"]))))
 
 
 def catalog_columns(raw: DataFrame) -> DataFrame:
@@ -92,18 +99,32 @@ def catalog_fks(raw: DataFrame) -> DataFrame:
     return raw.select("db_id", F.inline(fk_list()))
 
 
-def catalog_table_lists(raw: DataFrame) -> DataFrame:
+def catalog_table_lists(raw: DataFrame, *more: str, column=None, fk=None) -> DataFrame:
     """A1 and A2 by table: (db_id, table_index, table_name, columns, fks), the rows of ``catalog_columns`` and
-    ``catalog_fks`` as arrays in list order. A catalog row holds all of its database, so nothing is
-    shuffled. A null db_id names no database whose keys could be followed."""
-    lists = raw.select("db_id", "table_names_original", column_list().alias("__cols"),
-                       F.when(F.col("db_id").isNotNull(), fk_list()).alias("__fks"))
+    ``catalog_fks`` as arrays in list order, and the columns ``more`` of ``raw`` as they are. A catalog row holds all
+    of its database, so nothing is shuffled. A null db_id names no database whose keys could be followed.
+
+    ``column(name, type, is_primary)`` and ``fk(entry)`` name the fields to build of a column and of an FK pair (given
+    together, instead of all fields, each built once a catalog row); the database's whole FK list is then added
+    at its first table as ``db_fks``."""
+    types, names = F.col("column_types"), F.col("table_names_original")
+    if column is None:
+        columns, fks = column_list(), fk_list()
+    else:  # the sentinel has no table's index, so it is left behind with the row
+        columns = _checked(F.transform("column_names_original", lambda p, i: _fields(
+            table_index=p[0].cast("int"), **column(p[1], F.element_at(types, i + 1), _is_primary(i)))))
+        fks = F.transform(fk_list(), lambda f: _fields(pos=f["pos"], from_table=f["from_table"], to_table=f["to_table"], **fk(f)))
+    lists = raw.select("db_id", names, *more, columns.alias("__cols"), F.when(F.col("db_id").isNotNull(), fks).alias("__fks"))
     none = {c: F.array().cast(lists.schema[c].dataType) for c in ("__cols", "__fks")}
-    t = lists.select("db_id", F.posexplode("table_names_original").alias("table_index", "table_name"), "__cols", "__fks")
-    at = F.col("table_index")
-    return t.select("db_id", "table_index", "table_name",
-                    F.coalesce(F.filter("__cols", lambda c: c["table_index"] == at), none["__cols"]).alias("columns"),
-                    F.coalesce(F.filter("__fks", lambda f: f["from_table"] == at), none["__fks"]).alias("fks"))
+
+    def table(name, at):  # only its own columns and keys leave the row
+        whole = {} if column is None else {"db_fks": F.when(at == 0, F.col("__fks"))}
+        return _fields(table_index=at, table_name=name,
+                       columns=F.coalesce(F.filter("__cols", lambda c: c["table_index"] == at), none["__cols"]),
+                       fks=F.coalesce(F.filter("__fks", lambda f: f["from_table"] == at), none["__fks"]), **whole)
+
+    t = lists.select("db_id", *more, F.inline(F.transform(names, table)))
+    return t.select("db_id", "table_index", "table_name", *more, "columns", "fks", *([] if column is None else ["db_fks"]))
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:

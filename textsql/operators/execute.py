@@ -9,8 +9,8 @@ nor a lost driver matters. Rows of attempts that were cut off are never read: a
 directory that holds its rows.
 
 Statements run in child sessions that can only read: a text counts as a query only where Spark's
-parser takes it as the body of a view, paths don't resolve as tables, and the functions that call into the
-JVM are replaced. Status: ``ok``; ``parse`` (no statement at all); ``execution`` (analysis or runtime error,
+parser takes it in parentheses or as the body of a view, paths don't resolve as tables, and the functions that call into the
+JVM resolve to nothing. Status: ``ok``; ``parse`` (no statement at all); ``execution`` (analysis or runtime error,
 refused non-query or function, timeout); ``empty`` for a blank statement.
 """
 
@@ -34,10 +34,11 @@ from .ranking import exact_rank
 from .resultset import multiset_classes, multiset_equal
 
 # --- fixed values -----------------------------------------------------------------------------
-# functions that run arbitrary JVM methods
+# functions that run arbitrary JVM methods, and a class that handles no call: what is named by it fails when it is analysed
 REFUSED_FUNCTIONS = ("java_method", "reflect", "try_reflect")
-# errors of names that aren't there: the same in a view's body and in the statement itself
-UNRESOLVED = ("UNRESOLVED_COLUMN", "TABLE_OR_VIEW_NOT_FOUND", "UNRESOLVED_ROUTINE")
+NO_FUNCTION = "java.lang.Void"
+# errors of names that aren't there or are refused: the same in parentheses, in a view's body and in the statement itself
+UNRESOLVED = ("UNRESOLVED_COLUMN", "TABLE_OR_VIEW_NOT_FOUND", "UNRESOLVED_ROUTINE", "NO_HANDLER_FOR_UDAF")
 # ----------------------------------------------------------------------------------------------
 BATCH_SIZE = 32  # statements of a batch: one job a database
 WINDOW = 64  # batches whose texts the driver holds at once
@@ -81,15 +82,10 @@ def read_only_session(spark: SparkSession) -> SparkSession:
             child.conf.set(r["key"], r["value"])
     child.conf.set("spark.sql.runSQLOnFiles", "false")
     for name in REFUSED_FUNCTIONS:
-        child.udf.register(name, _refuse, "string")
+        child.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} AS '{NO_FUNCTION}'")
     return child
 
 
-def _refuse(*_) -> str:
-    """Stands for a refused function: a statement that calls one fails when it runs."""
-    raise ValueError("refused: this function is not available to statements")
-
-
 def _shared_views(spark: SparkSession, child: SparkSession) -> list[str]:
     """Give the caller's temporary views to a child session; returns the global views that carry them."""
     shared = []
@@ -143,16 +139,20 @@ def _parses(sess: SparkSession, text: str) -> bool:
 
 
 def _is_query(sess: SparkSession, text: str) -> tuple[bool, str | None]:
-    """Only a query can be the body of a view: no command, and no write below a WITH. With it the error of
-    a query that names what isn't there, which would fail again in the same way."""
+    """Only a query can stand in parentheses (where nothing is executed) or be the body of a view: no command, and no write
+    below a WITH. With it the error of a query that names what isn't there, which would fail again in the same way.
+    What starts with a parenthesis is always a query, and a text that parses by itself can't close it."""
     probe = f"textsql_probe_{uuid.uuid4().hex[:12]}"
     try:
-        sess.sql(f"CREATE TEMPORARY VIEW {probe} AS\n{text}")
-        sess.catalog.dropTempView(probe)
+        try:
+            sess.sql(f"(\n{text}\n)")
+        except ParseException:  # a view's body may end in semicolons
+            sess.sql(f"CREATE TEMPORARY VIEW {probe} AS\n{text}")
+            sess.catalog.dropTempView(probe)
         return True, None
     except ParseException:
         return False, None
-    except AnalysisException as e:  # a query that doesn't resolve, or one with equal column names
+    except AnalysisException as e:  # a query that doesn't resolve, or one that can't be a view
         condition = getattr(e, "getCondition", lambda: None)() or ""
         return True, condition if condition.startswith(UNRESOLVED) else None
 
@@ -224,8 +224,8 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
                    max_batches: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Run every distinct cleaned statement (per database when ``db_col`` is given) once.
 
-    Each batch's runnable statements go out as one Spark job a database; a job that fails is run again one
-    statement a job, so that the failure is pinned to its statement. Batches run concurrently from a
+    Each batch's runnable statements go out as one Spark job a database; a job that fails is run again in
+    halves, down to one statement a job, so that the failure is pinned to its statement. Batches run concurrently from a
     bounded pool; each job group is cancelled after ``timeout_s`` (off by default). Statements see the
     caller's views, or with ``db_col`` that database's tables (``tables_for(session, db_id) -> {name:
     DataFrame}``) or catalog database. ``work`` names a folder to go on in; ``max_batches`` ends the call
@@ -260,6 +260,15 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
             if timer is not None:
                 timer.cancel()
 
+    def run_items(items: list, tag: str) -> list[tuple]:
+        err = write([df for _, df in items], tag)
+        if err is None:
+            return [(sid, "ok", None, tag) for sid, _ in items]
+        if len(items) == 1:
+            return [(items[0][0], "execution", err, None)]
+        half = len(items) // 2
+        return run_items(items[:half], f"{tag}-0") + run_items(items[half:], f"{tag}-1")
+
     def run_batch(item) -> None:
         batch, texts = item
         attempt = f"{batch}-{uuid.uuid4().hex[:8]}"
@@ -271,24 +280,21 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
             else:
                 status.append((sid, st, err, None))
         for i, items in enumerate(by_db.values()):
-            tag = f"{attempt}-{i}"
-            if write([df for _, df in items], tag) is None:
-                status += [(sid, "ok", None, tag) for sid, _ in items]
-                continue
-            for j, (sid, df) in enumerate(items):
-                err = write([df], f"{tag}-{j}")
-                status.append((sid, "execution", err, None) if err else (sid, "ok", None, f"{tag}-{j}"))
+            status += run_items(items, f"{attempt}-{i}")
         # the commit: one file, in place or not at all
         _literal_rows(spark, status, STATUS_SCHEMA).write.mode("overwrite").parquet(f"{work}/status/batch={batch}")
 
     left = batches if max_batches is None else max_batches
     try:
+        # both folders are listed once; a window's batches are written by this call alone
+        done = {r["batch"] for r in _statuses(spark, work).select("batch").distinct().collect()}
+        listed = spark.read.schema(TODO_SCHEMA).parquet(todo)
         for window in range(-(-batches // WINDOW)):
             first = window * WINDOW
-            done = {r["batch"] for r in _statuses(spark, work).where(
-                F.col("batch").between(first, first + WINDOW - 1)).select("batch").distinct().collect()}
+            if done.issuperset(range(first, min(first + WINDOW, batches))):
+                continue
             texts: dict[int, list] = {}
-            for r in spark.read.schema(TODO_SCHEMA).parquet(todo).where(F.col("window") == window).collect():
+            for r in listed.where(F.col("window") == window).collect():
                 if r["batch"] not in done:
                     texts.setdefault(r["batch"], []).append((r["stmt_id"], r["db"], r["text"]))
             now = sorted(texts.items())[:left]

@@ -22,8 +22,10 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from logging import LogRecord
 
 from pyspark.errors import AnalysisException, ParseException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -43,6 +45,7 @@ UNRESOLVED = ("UNRESOLVED_COLUMN", "TABLE_OR_VIEW_NOT_FOUND", "UNRESOLVED_ROUTIN
 BATCH_SIZE = 32  # statements of a batch: one job a database
 WINDOW = 64  # batches whose texts the driver holds at once
 SESSIONS = 64  # child sessions kept open
+ANALYSTS = 4  # threads that analyse statements, for each batch that runs; they mostly wait for the JVM
 
 STATUS_SCHEMA = StructType([
     StructField("stmt_id", StringType(), False),
@@ -65,6 +68,9 @@ TODO_SCHEMA = StructType([
 PLAN_SCHEMA = StructType([StructField("todo", StringType(), False), StructField("batches", LongType(), False)])
 
 
+_ANALYST = "textsql-analyst"
+
+
 def statement_id(sql_col, db_col=None) -> F.Column:
     """sha256 of the cleaned text, or of ``db_id <US> text`` when statements are per database."""
     text = F.coalesce(clean_sql(sql_col), F.lit(""))
@@ -127,6 +133,11 @@ class _Sessions:
             self.spark.catalog.dropGlobalTempView(view)
 
 
+def _not_of_analysts(record: LogRecord) -> bool:
+    """An error in a statement is its status; PySpark need not write a stack trace of it to its log."""
+    return not (record.threadName or "").startswith(_ANALYST)
+
+
 def _parses(sess: SparkSession, text: str) -> bool:
     """Spark's own parser decides; EXPLAIN runs nothing."""
     try:
@@ -224,7 +235,7 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
                    max_batches: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Run every distinct cleaned statement (per database when ``db_col`` is given) once.
 
-    Each batch's runnable statements go out as one Spark job a database; a job that fails is run again in
+    A batch's statements are analysed by a pool of threads of their own; its runnable statements go out as one Spark job a database; a job that fails is run again in
     halves, down to one statement a job, so that the failure is pinned to its statement. Batches run concurrently from a
     bounded pool; each job group is cancelled after ``timeout_s`` (off by default). Statements see the
     caller's views, or with ``db_col`` that database's tables (``tables_for(session, db_id) -> {name:
@@ -273,8 +284,8 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
         batch, texts = item
         attempt = f"{batch}-{uuid.uuid4().hex[:8]}"
         status, by_db = [], {}
-        for sid, db, text in texts:
-            st, err, df = _analyze(sessions.get(db), sid, text)
+        analyzed = analysts.map(lambda t: _analyze(sessions.get(t[1]), t[0], t[2]), texts)
+        for (sid, db, _), (st, err, df) in zip(texts, analyzed):
             if st == "ok":
                 by_db.setdefault(db, []).append((sid, df))
             else:
@@ -285,6 +296,8 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
         _literal_rows(spark, status, STATUS_SCHEMA).write.mode("overwrite").parquet(f"{work}/status/batch={batch}")
 
     left = batches if max_batches is None else max_batches
+    analysts = ThreadPoolExecutor(max_workers=ANALYSTS * max_workers, thread_name_prefix=_ANALYST)
+    PySparkLogger.getLogger("SQLQueryContextLogger").addFilter(_not_of_analysts)  # the same filter is added once
     try:
         # both folders are listed once; a window's batches are written by this call alone
         done = {r["batch"] for r in _statuses(spark, work).select("batch").distinct().collect()}
@@ -304,6 +317,7 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
             if left <= 0:
                 break
     finally:
+        analysts.shutdown(cancel_futures=True)
         sessions.close()
     status = _statuses(spark, work)
     rows = spark.read.schema(ROWS_SCHEMA).parquet(f"{work}/rows")

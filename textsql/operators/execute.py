@@ -235,9 +235,10 @@ def run_statements(spark: SparkSession, statements: DataFrame, sql_col: str = "s
                    max_batches: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Run every distinct cleaned statement (per database when ``db_col`` is given) once.
 
-    A batch's statements are analysed by a pool of threads of their own; its runnable statements go out as one Spark job a database; a job that fails is run again in
-    halves, down to one statement a job, so that the failure is pinned to its statement. Batches run concurrently from a
-    bounded pool; each job group is cancelled after ``timeout_s`` (off by default). Statements see the
+    A batch's statements are analysed by threads of their own. Its runnable ones go out as one Spark job a
+    database; a job that fails is run again in halves, down to one statement a job, so that the failure is
+    pinned to its statement. Batches run concurrently from a bounded pool; each job group is cancelled after
+    ``timeout_s`` (off by default). Statements see the
     caller's views, or with ``db_col`` that database's tables (``tables_for(session, db_id) -> {name:
     DataFrame}``) or catalog database. ``work`` names a folder to go on in; ``max_batches`` ends the call
     after so many batches, for a later call with the same folder.
